@@ -24,5 +24,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
