@@ -30,5 +30,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_languages
+
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id}
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
