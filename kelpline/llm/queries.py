@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +42,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id}
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import length_histogram, token_lengths
+
+    return length_histogram(token_lengths(_table(spark, sf_dir, "documents")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.crawl_report(_table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}

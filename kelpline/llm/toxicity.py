@@ -5,10 +5,15 @@
    the n-gram's scale. Rare n-grams shrink to 0 in proportion to the classes' sizes.
 2. A logistic regression on scaled presence features is fitted in NumPy on at most ``sample`` texts
    of each label (those of the smallest hash), with L2 regularisation. N-grams of a weak scale are
-   left out, so that the length of a text adds no noise.
-3. Each task scores its whole texts with the weights: 2**bits numbers, whatever the corpus.
-
-Defined results: null and empty texts have no features and get the score of the intercept. Labels
+   left out.
+3. A text's figures are the largest sum of weights in any window of 2 * WINDOW characters (steps of
+   WINDOW, over the whole text: one insult counts as much in a long text as in a short one), and the
+   log of its number of features, as noise grows with it. A second regression turns them into a
+   probability; it is fitted on figures from scales and weights that were learnt without the text
+   (two folds by hash of the text).
+4. Each task scores its whole texts with the weights: 2**BITS numbers, whatever the corpus.
+
+Defined results: null and empty texts have no features and get the score of figures of 0. Labels
 other than 0 and 1, and texts without a label, train nothing. If either label is missing from the
 training rows, every score is the share of toxic training labels (0 if there are none). Where
 labels repeat a doc_id, the largest label counts. Rows that repeat a doc_id are scored each by
@@ -27,12 +32,13 @@ from pyspark.sql import functions as F
 from . import bytes_np as B
 from .maptext import map_texts
 
-BITS = 18
-LENGTHS = (3, 4, 5)
+BITS = 20
+LENGTHS = (4, 5, 6)
+WINDOW = 256
 #: Texts of each label that the regression is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Added counts per class share; scales below LEAST_SCALE are left out.
-ALPHA, LEAST_SCALE = 4.0, 0.7
+ALPHA, LEAST_SCALE = 30.0, 0.8
 #: From this score on a text is taken as toxic.
 THRESHOLD = 0.7
 _STEPS = np.random.default_rng(5).integers(0, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,7 +56,7 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Presence:
-    """The distinct n-gram buckets of each text, by a stamp per bucket instead of a sort."""
+    """The distinct n-gram buckets of each text and where each stands, by a stamp per bucket instead of a sort."""
 
     def __init__(self, bits: int = BITS, lengths: tuple[int, ...] = LENGTHS):
         self.bits, self.lengths, self.stamp = bits, lengths, np.zeros(1 << bits, np.int32)
@@ -70,33 +76,58 @@ class Presence:
             own = np.concatenate([h[a : b - n + 1] if b - a >= n else h[:0] for n, h in zip(self.lengths, hashes, strict=True)])
             order = np.arange(len(own), dtype=np.int32)
             self.stamp[own] = order
-            yield own[self.stamp[own] == order]
+            kept = np.flatnonzero(self.stamp[own] == order)
+            at = kept.copy()
+            left = 0
+            for n in self.lengths[:-1]:
+                left += max(0, b - a - n + 1)
+                at[kept >= left] = kept[kept >= left] - left
+            yield own[kept], at
+
+
+def figures(weights: np.ndarray, at: np.ndarray) -> tuple[float, float]:
+    """Largest sum over two neighbouring windows, log of the number of features."""
+    if not len(at):
+        return 0.0, 0.0
+    sums = np.bincount(at // WINDOW, weights)
+    most = float((sums[1:] + sums[:-1]).max() if len(sums) > 1 else sums[0])
+    return most, float(np.log1p(len(at)))
 
 
 def _counts(batches):
-    features, counts = Presence(), np.zeros((2, 1 << BITS), np.int64)
-    sizes = np.zeros(2, np.int64)
+    """Texts with each n-gram by cell (2 * label + fold); bucket -1 has the numbers of texts."""
+    features, counts, sizes = Presence(), np.zeros((4, 1 << BITS), np.int32), np.zeros(4, np.int64)
     for batch in batches:
         data, offsets = B.text_buffers(batch.column(0))
-        label = batch.column(1).to_numpy(zero_copy_only=False)
+        cell = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in B.slices(offsets):
-            for y, own in zip(label[a:b], features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), strict=True):
+            for y, (own, _) in zip(cell[a:b], features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), strict=True):
                 counts[y, own] += 1
                 sizes[y] += 1
     found = np.flatnonzero(counts.any(0))
     bucket = np.concatenate([[-1], found])
     for a in range(0, len(bucket), 1 << 16):
         part = slice(a, a + (1 << 16))
-        cells = [pa.array(np.concatenate([[sizes[y]], counts[y, found]])[part]) for y in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int32)), *cells], names=["bucket", "toxic", "clean"])
+        cells = [pa.array(np.concatenate([[sizes[y]], counts[y, found]])[part]) for y in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int32)), *cells], names=["bucket", "c0", "c1", "c2", "c3"])
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 2.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on full batches; returns a weight per bucket and the intercept."""
-    rows = [r[scale[r] != 0] for r in rows]
+def _scale(buckets: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log ratio of the toxic and the clean rate of each bucket; cells and sizes: (2, ...), clean first."""
+    scale, total = np.zeros(1 << BITS), max(1, sizes.sum())
+    rates = [(cells[y] + ALPHA * sizes[y] / total) / max(1, sizes[y]) for y in (0, 1)]
+    scale[buckets] = np.log(rates[1] / rates[0]) if sizes.all() else 0
+    scale[np.abs(scale) < LEAST_SCALE] = 0
+    return scale
+
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 10.0, steps: int = 100) -> np.ndarray:
+    """Logistic regression by Adam on full batches; returns a weight per bucket."""
+    if not len(labels):
+        return np.zeros(len(scale), np.float32)
     used, column = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    x = scale[used][column]
+    x = scale[used].astype(np.float32)[column]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
@@ -109,41 +140,62 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: floa
         w, b = w - step[:-1], b - step[-1]
     weights = np.zeros(len(scale), np.float32)
     weights[used] = w * scale[used]
-    return weights, float(b)
-
-
-def train(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (text, label) rows with labels 0 and 1."""
-    counted = texts.mapInArrow(_counts, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    bucket, toxic, clean = (counted[c].to_numpy() for c in ("bucket", "toxic", "clean"))
-    n = {1: int(toxic[bucket == -1].sum()), 0: int(clean[bucket == -1].sum())}
-    weights = np.zeros(1 << BITS, np.float32)
-    if not n[0] or not n[1]:
-        return weights, (40.0 if n[1] else -40.0)
-    keep = bucket >= 0
-    total = n[0] + n[1]
-    rates = [(c[keep] + ALPHA * n[y] / total) / n[y] for y, c in ((1, toxic), (0, clean))]
-    scale = np.zeros(1 << BITS)
-    scale[bucket[keep]] = np.log(rates[0] / rates[1])
-    scale[np.abs(scale) < LEAST_SCALE] = 0
-    features, rows, labels = Presence(), [], []
+    return weights
+
+
+def _calibrate(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A class-balanced logistic regression on a few figures, by Newton steps; the last term is the intercept."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1).T
+    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+    w = np.zeros(len(x))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -40, 40)))
+        step = np.linalg.solve((x * (share * p * (1 - p))) @ x.T + 1e-4 * np.eye(len(x)), x @ (share * (p - labels)) + 1e-4 * w)
+        w = w - np.clip(step, -1, 1)
+    return w
+
+
+def train(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and the second regression's terms, from (text, label) rows with labels 0 and 1."""
+    fold = F.xxhash64("text").bitwiseAND(1).cast("int")
+    cells = texts.select("text", (F.col("label") * 2 + fold).alias("cell"))
+    counted = cells.mapInArrow(_counts, "bucket int, c0 long, c1 long, c2 long, c3 long").groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]).toArrow()
+    bucket = counted["bucket"].to_numpy()
+    table = np.array([counted[f"c{i}"].to_numpy() for i in range(4)]).reshape(4, -1)
+    sizes, table, bucket = table[:, bucket == -1].sum(1), table[:, bucket >= 0], bucket[bucket >= 0]
+    if not sizes[:2].sum() or not sizes[2:].sum():
+        return np.zeros(1 << BITS, np.float32), np.array([0, 0, 40.0 if sizes[2:].sum() else -40.0])
+    # 0, 1: without that fold; 2: all
+    scales = [_scale(bucket, table[[1 - k, 3 - k]], sizes[[1 - k, 3 - k]]) for k in (0, 1)]
+    scales.append(_scale(bucket, table[[0, 2]] + table[[1, 3]], sizes[[0, 2]] + sizes[[1, 3]]))
+    features, rows, places, labels, folds = Presence(), [], [], [], []
+    strong = (scales[0] != 0) | (scales[1] != 0) | (scales[2] != 0)
     for y in (0, 1):
-        own = texts.where(F.col("label") == y).orderBy(F.xxhash64("text")).limit(sample).select("text").toArrow()["text"]
-        data, offsets = B.text_buffers(own)
+        got = cells.where(F.shiftright("cell", 1) == y).orderBy(F.xxhash64("text")).limit(sample).toArrow()
+        data, offsets = B.text_buffers(got["text"])
+        folds += (got["cell"].to_numpy() % 2).tolist()
+        labels += [y] * len(got)
         for a, b in B.slices(offsets):
-            for r in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                rows.append(r[scale[r] != 0])
-                labels.append(y)
-    return _fit(rows, np.array(labels), scale)
+            for own, at in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                keep = strong[own]
+                rows.append(own[keep])
+                places.append(at[keep].astype(np.int32))
+    mark, fold_of, held = np.array(labels), np.array(folds), np.zeros((len(rows), 2))
+    for k in (0, 1):
+        inside, outside = np.flatnonzero(fold_of != k), np.flatnonzero(fold_of == k)
+        part = _fit([rows[i][scales[k][rows[i]] != 0] for i in inside], mark[inside], scales[k])
+        for i in outside:
+            held[i] = figures(part[rows[i]], places[i])
+    return _fit([r[scales[2][r] != 0] for r in rows], mark, scales[2]), _calibrate(held, mark)
 
 
 def _scorer(shared):
     def make():
-        weights, intercept = shared.value
+        weights, terms = shared.value
         features = Presence()
 
         def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-            z = np.array([float(weights[own].sum()) + intercept for own in features(data, offsets)])
+            z = np.array([(*figures(weights[own], at), 1.0) for own, at in features(data, offsets)]).reshape(-1, 3) @ terms
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
 
         return run
@@ -156,6 +208,7 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
 
 
 def _model(documents: DataFrame, labels: DataFrame, sample: int):
+    """The broadcast model: one number per bucket."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("label"))
     texts = documents.where(~held_out()).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
     return documents.sparkSession.sparkContext.broadcast(train(texts, sample))
