@@ -56,5 +56,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode_and_check
+
+    return encode_and_check(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_mixing import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_lm_score": op5_lm_score}
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
