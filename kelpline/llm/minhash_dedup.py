@@ -9,10 +9,15 @@ is a table: half_keys**2 tables of 2*rows MinHashes for 2*half_keys*rows hash ev
 2. Equal sets are folded into one representative, so copies cost one row from here on.
 3. Half keys that only one set holds can't make a table key that two sets share; they go first.
    What is left forms the paired keys.
-4. Two rounds link the members of a table to its hub, confirm on full sets and contract by
+4. The shingles that no other remaining set holds bound every similarity of their set from above.
+   This exact test drops sets, and later pairs, that can't reach the threshold.
+5. A round links the members of a table to its hub, confirms on full sets and contracts by
    connected components. So a large family of near copies is never expanded into pairs.
-5. The pairs of sets that share a table, still lie in different components, and aren't ruled out by
-   size or by sketch are confirmed on full sets. No cap applies to any of these steps.
+6. The pairs of sets that share a table, still lie in different components, and aren't ruled out by
+   size, own shingles or sketch are confirmed on full sets. Tables of up to ``SMALL`` sets are joined
+   with themselves. Larger ones are dealt into blocks of bounded size, and each pair of blocks is
+   compared with bit sets in a task of its own, which returns only what lies at the threshold. No cap
+   applies to any of these steps.
 
 At similarity s a pair is missed with probability about 2*(1 - s**rows)**half_keys: 1.5e-4 at the
 threshold 0.85 with the defaults, 2e-6 at 0.9, and the rounds give further chances through others.
@@ -37,8 +42,10 @@ from .components import components
 from .store import Scratch
 
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, us array<long>, vs array<long>, s1 long, s2 long"
-#: Sketch bits that may differ: over six standard deviations above the mean at similarity 0.8.
-SKETCH_SLACK = 38
+#: Sketch bits that may differ: 6.5 standard deviations above the mean at similarity 0.85.
+SKETCH_SLACK = 34
+#: Sets in a table that is joined with itself; sets and bytes in a block of a larger one.
+SMALL, BLOCK_SETS, BLOCK_BYTES = 16, 1500, 4 << 20
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +113,71 @@ def _signatures(width: int, half_keys: int, rows: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, small: bool = False):
+    """(rep, items): the sorted hashes of each set, 64 bits or (small) 32 bits each."""
+    kind = np.uint32 if small else np.uint64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
             for a, b in B.slices(offsets):
                 sets, bounds = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                raw = pa.py_buffer(sets.tobytes())
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw]).cast(pa.binary())
+                raw = pa.py_buffer(sets.astype(kind).tobytes())
+                at = pa.py_buffer((bounds * kind().itemsize).astype(np.int64).tobytes())
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, at, raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), column], names=["rep", "items"])
 
     return run
 
 
+def _items(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = B.text_buffers(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for a, b in B.slices(offsets, 1 << 20):
+                sets, bounds = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], np.diff(bounds))), pa.array(sets.view(np.int64))], names=["rep", "item"])
+
+    return run
+
+
+def _compare_blocks(percent: int):
+    """Of two blocks' sets (32-bit items): pairs in different components that may reach the threshold.
+
+    Items that collide change an intersection by one or two, so the test leaves room for that; the
+    confirmation on full sets follows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, block, comp, n, own = (table[c].to_numpy() for c in ("rep", "block", "comp", "n", "own"))
+        column = table["items"].combine_chunks()
+        raw = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+        owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+        item, place, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        common = held > 1
+        number = np.cumsum(common) - 1
+        shared = common[place]
+        width = max(1, -(-int(common.sum()) // 64))
+        bits = np.zeros((len(raw), width), np.uint64)
+        at, who = number[place[shared]], owner[shared]
+        np.bitwise_or.at(bits, (who, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        two = table["bi"][0].as_py() != table["bj"][0].as_py()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(len(raw) - 1):
+            rest = np.arange(i + 1, len(raw))
+            bound = np.minimum(n[i] - own[i], n[rest] - own[rest]) * 100 >= percent * np.maximum(n[i] + own[rest], n[rest] + own[i])
+            rest = rest[bound & (comp[rest] != comp[i]) & ((block[rest] != block[i]) if two else True)]
+            if len(rest):
+                both = np.bitwise_count(bits[rest] & bits[i]).sum(1, dtype=np.int64) + 2
+                rest = rest[100 * both >= percent * (n[i] + n[rest] - both)]
+                found.append((np.minimum(rep[i], rep[rest]), np.maximum(rep[i], rep[rest])))
+        a, b = (np.concatenate([f[k] for f in found]) if found else rep[:0] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +194,6 @@ def _confirm(percent: int):
 
 def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = scratch.table(pairs, f"{tag}-pairs")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
     sets = scratch.table(texts.mapInArrow(_sets(width), "rep long, items binary").dropDuplicates(["rep"]), f"{tag}-sets")
@@ -147,12 +205,43 @@ def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, width
 
 
 def _possible(percent: int, a: str = "", b: str = "h_") -> str:
-    """No pair above the threshold fails this test of sizes (certain) and sketches (see SKETCH_SLACK)."""
-    return f"""100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)
+    """What every pair above the threshold fulfils.
+
+    n is the size of a set, own the number of its shingles that no other set in question holds:
+    the intersection is at most n - own of either, the union at least n plus the other's own. That
+    test is exact; the sketches allow six standard deviations (see SKETCH_SLACK).
+    """
+    return f"""100 * least({a}n - {a}own, {b}n - {b}own) >= {percent} * greatest({a}n + {b}own, {b}n + {a}own)
         AND bit_count({a}s1 ^ {b}s1) + bit_count({a}s2 ^ {b}s2) <= {SKETCH_SLACK}"""
 
 
-def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, half_keys: int = 10, rows: int = 3, hub_rounds: int = 2) -> DataFrame:
+def _own_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, own): how many shingles of each wanted set no other wanted set holds."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    rows = texts.mapInArrow(_items(width), "rep long, item long")
+    alone = rows.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def _large_tables(members: DataFrame, mixed: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """The pairs within large tables that may reach the threshold, block against block."""
+    rows = scratch.table(members.join(mixed, "u").select("u", "rep", "comp", "n", "own", "blocks"), "large")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(rows.select("rep").distinct(), "rep", "left_semi")
+    sets = texts.mapInArrow(_sets(width, small=True), "rep long, items binary").dropDuplicates(["rep"])
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("u", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "rep", "block", "comp", "n", "own")
+    return dealt.join(sets, "rep").groupBy("u", "bi", "bj").applyInArrow(_compare_blocks(percent), "a long, b long")
+
+
+def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return rows.withColumn("comp", F.col("rep"))
+    known = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    return rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, half_keys: int = 10, rows: int = 3, hub_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; see the module's text.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct
@@ -171,32 +260,37 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
     halves = sets.select("rep", F.explode("us").alias("h"), F.lit(0).alias("side")).union(sets.select("rep", F.explode("vs").alias("h"), F.lit(1).alias("side")))
     shared = scratch.table(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     lists = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("us"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("vs")).where("size(us) > 0 AND size(vs) > 0")
-    lists = lists.join(sets.select("rep", "n", "s1", "s2"), "rep")
-    keyed = lists.select("rep", "n", "s1", "s2", F.explode("us").alias("u"), "vs").select("rep", "n", "s1", "s2", "u", F.explode("vs").alias("v"))
-    keyed = scratch.table(keyed.select(F.xxhash64("u", "v").alias("key"), "rep", "n", "s1", "s2"), "keyed")
+    lists = scratch.table(lists.join(sets.select("rep", "n", "s1", "s2"), "rep"), "lists")
+    own = scratch.table(_own_shingles(docs, lists.select("rep"), width), "own")
+    lists = lists.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    lists = scratch.table(lists.where(f"100 * (n - own) >= {percent} * n"), "live")
+    facts = ["rep", "n", "own", "s1", "s2"]
+    keyed = lists.select(*facts, F.explode("us").alias("u"), "vs").select(*facts, "u", F.explode("vs").alias("v"))
+    keyed = scratch.table(keyed.select(F.xxhash64("u", "v").alias("key"), *facts), "keyed")
 
-    links = None
-    comps = None
+    links = comps = None
     for turn in range(hub_rounds + 1):
         tag = f"round{turn}"
-        if comps is None:
-            members = keyed.withColumn("comp", F.col("rep"))
-        else:
-            members = keyed.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("comp"))
-        members = scratch.table(members, f"{tag}-members")
-        # a table with one component is done; the rest go on
-        rank = F.xxhash64("rep", F.lit(turn))
-        hubs = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "s1", "s2", "comp")).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        hubs = scratch.table(hubs.select("key", F.col("hub.rep").alias("h_rep"), F.col("hub.n").alias("h_n"), F.col("hub.s1").alias("h_s1"), F.col("hub.s2").alias("h_s2"), F.col("hub.comp").alias("h_comp")), f"{tag}-hubs")
-        if hubs.isEmpty():
-            break
         if turn < hub_rounds:
-            pairs = members.join(hubs, "key").where(f"comp <> h_comp AND {_possible(percent)}").select("rep", "h_rep")
+            members = _in_components(keyed, comps)
+            rank = F.xxhash64("rep", F.lit(turn))
+            hub = F.min(F.struct(rank.alias("rank"), *facts, "comp")).alias("hub")
+            # a table with one component is done; the rest go on
+            hubs = members.groupBy("key").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+            hubs = scratch.table(hubs.select("key", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in [*facts, "comp"]]), f"{tag}-hubs")
+            pairs = members.join(hubs, "key").where(f"comp <> h_comp AND {_possible(percent)}")
         else:
-            left = members.join(hubs.select("key"), "key", "left_semi")
-            right = left.select("key", *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", "s1", "s2", "comp")])
-            pairs = left.join(right, "key").where(f"comp < h_comp AND {_possible(percent)}").select("rep", "h_rep")
-        pairs = pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
+            members = scratch.table(_in_components(lists, comps).select("comp", *facts, "vs", F.explode("us").alias("u")), f"{tag}-members")
+            weight = F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.col("n") * 4) / BLOCK_BYTES)
+            mixed = members.groupBy("u").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"), F.ceil(weight).cast("int").alias("blocks")).where("c0 <> c1")
+            mixed = scratch.table(mixed.select("u", "m", "blocks"), f"{tag}-mixed")
+            left = members.join(mixed.where(F.col("m") <= SMALL).select("u"), "u", "left_semi")
+            right = left.select("u", *[F.col(c).alias(f"h_{c}") for c in [*facts, "comp", "vs"]])
+            pairs = left.join(right, "u").where(f"comp < h_comp AND {_possible(percent)} AND arrays_overlap(vs, h_vs)")
+            pairs = pairs.select("rep", "h_rep").union(_large_tables(members, mixed.where(F.col("m") > SMALL), docs, scratch, width, percent))
+        pairs = scratch.table(pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct(), f"{tag}-pairs")
+        if pairs.isEmpty():
+            continue
         found = _verify(pairs, docs, scratch, tag, width, percent)
         links = found if links is None else links.union(found)
         comps = scratch.table(components(links, scratch, f"{tag}-cc"), f"{tag}-comps")
