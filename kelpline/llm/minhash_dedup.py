@@ -46,6 +46,7 @@ SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, us array<long>, v
 SKETCH_SLACK = 34
 #: Sets in a table that is joined with itself; sets and bytes in a block of a larger one.
 SMALL, BLOCK_SETS, BLOCK_BYTES = 16, 1500, 4 << 20
+FILTER_BITS = 26
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +131,32 @@ def _sets(width: int, small: bool = False):
     return run
 
 
+def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted documents.
+
+    A bit map of fixed size (FILTER_BITS, whatever the number of documents) lets each task drop most
+    others before the join; the join decides.
+    """
+    place = F.expr(f"(rep ^ shiftrightunsigned(rep, {FILTER_BITS})) & {(1 << FILTER_BITS) - 1}")
+    maps = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    rows = {r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << 12
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for bucket, part in shared.value.items():
+            bits[bucket * size : (bucket + 1) * size] = np.frombuffer(part, np.uint8)
+        for batch in batches:
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            at = (ids ^ (ids >> np.uint64(FILTER_BITS))) & np.uint64((1 << FILTER_BITS) - 1)
+            keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string")
+    return some.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+
 def _items(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +288,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
     shared = scratch.table(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     lists = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("us"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("vs")).where("size(us) > 0 AND size(vs) > 0")
     lists = scratch.table(lists.join(sets.select("rep", "n", "s1", "s2"), "rep"), "lists")
+    docs = scratch.table(_candidate_texts(docs, lists.select("rep")), "texts")
     own = scratch.table(_own_shingles(docs, lists.select("rep"), width), "own")
     lists = lists.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     lists = scratch.table(lists.where(f"100 * (n - own) >= {percent} * n"), "live")
