@@ -138,7 +138,7 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     others before the join; the join decides.
     """
     place = F.expr(f"(rep ^ shiftrightunsigned(rep, {FILTER_BITS})) & {(1 << FILTER_BITS) - 1}")
-    maps = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    maps = wanted.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     rows = {r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
