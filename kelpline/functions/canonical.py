@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: array<struct<key string, value string>> where value is already JSON text.
 ATTRIBUTES = "array<struct<key:string,value:string>>"
@@ -98,7 +99,7 @@ def walk_value(value: Any) -> tuple[str, int, int, int, int, int]:
     return body, 1 + max([w[1] for w in walks], default=0), max([*keys, *(w[2] for w in walks)], default=0), max([w[3] for w in walks], default=0), NODE_OVERHEAD + sum(keys) + sum(w[4] for w in walks), sum(w[5] for w in walks)
 
 
-@F.pandas_udf(WALKED)
+@F.pandas_udf(T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}[t]) for n, t in (x.split(" ") for x in WALKED.split(", "))]))
 def walk_json(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """walk_value over JSON text; null text gives a null value."""
     columns = ["json", "depth", "max_key_bytes", "max_leaf_bytes", "size", "strindex_losses"]
