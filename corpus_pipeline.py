@@ -20,6 +20,8 @@ from kelpline.llm.toxicity import drop_toxic
 
 #: The pipeline's near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: More keys than the operator's default keep the chance to miss a pair at this lower threshold below 1e-4.
+HALF_KEYS = 14
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_poor_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id stays in each group. Of rows that repeat a doc_id, one stays; rows without one stay."""
-    dropped = near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT).where("NOT kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, half_keys=HALF_KEYS).where("NOT kept").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
 
