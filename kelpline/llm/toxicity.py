@@ -1,7 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-1. Spark counts, over all labelled training texts, in how many texts of either label each hashed
-   n-gram occurs; tasks add up their own counts first. The log ratio of the two smoothed rates is
+1. Spark counts, over at most ``TOXIC`` and ``CLEAN`` labelled training texts (those of the smallest
+   hash), in how many texts of either label each hashed n-gram occurs; tasks add up their own counts
+   first. The log ratio of the two smoothed rates is
    the n-gram's scale. Rare n-grams shrink to 0 in proportion to the classes' sizes.
 2. A logistic regression on scaled presence features is fitted in NumPy on at most ``sample`` texts
    of each label (those of the smallest hash), with L2 regularisation. N-grams of a weak scale are
@@ -22,8 +23,6 @@ itself; a null doc_id is never labelled and is held in. Extra columns don't matt
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +30,15 @@ from pyspark.sql import functions as F
 
 from . import bytes_np as B
 from .maptext import map_texts
+from .store import Scratch
 
 BITS = 20
 LENGTHS = (4, 5, 6)
 WINDOW = 256
+#: Labelled texts of each kind that are learnt from, at most; the bound lets their ids be broadcast.
+TOXIC, CLEAN = 12_000, 24_000
+#: Tasks that count the n-grams of these texts.
+COUNTERS = 8
 #: Texts of each label that the regression is fitted on, at most.
 SAMPLE = 1500
 #: Added counts per class share; scales below LEAST_SCALE are left out.
@@ -68,7 +72,7 @@ class Presence:
         for n in self.lengths:
             acc = np.full(max(0, len(wide) - n + 1), n, np.uint64)
             for k in range(n):
-                acc += wide[k : len(wide) - n + 1 + k] * _STEPS[k]
+                acc += wide[k : k + len(acc)] * _STEPS[k]
             acc ^= acc >> np.uint64(29)
             acc *= _STEPS[6]
             hashes.append((acc >> np.uint64(64 - self.bits)).astype(np.int32))
@@ -208,9 +212,13 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
 
 
 def _model(documents: DataFrame, labels: DataFrame, sample: int):
-    """The broadcast model: one number per bucket."""
+    """The broadcast model: one number per bucket, and the second regression."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("label"))
-    texts = documents.where(~held_out()).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
+    marks = marks.where(~held_out("__id"))
+    pick = lambda y, most: marks.where(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    chosen = F.broadcast(pick(1, TOXIC).unionByName(pick(0, CLEAN)))
+    texts = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
+    texts = Scratch(documents.sparkSession, "toxicity").table(texts, "training").coalesce(COUNTERS)
     return documents.sparkSession.sparkContext.broadcast(train(texts, sample))
 
 
