@@ -16,7 +16,7 @@ table gives an archive without records. Extra columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -64,8 +64,6 @@ def _clean(value: str) -> str:
 
 
 def _restore(value: str) -> str:
-    import re
-
     return re.sub("%(0D|0A|09|20|25)", lambda m: chr(int(m[1], 16)), value)
 
 
@@ -276,10 +274,6 @@ def crawl_report(pages: DataFrame) -> DataFrame:
     return whole.unionByName(heads)
 
 
-def sha1_hex(data: bytes) -> str:
-    return hashlib.sha1(data).hexdigest()
-
-
 #: DuckDB SQL for the contract's columns.
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
