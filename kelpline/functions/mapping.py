@@ -72,8 +72,9 @@ def lossy_text(raw: Column) -> Column:
 
 def plain_double(value: Column) -> Column:
     """A double without exponent: 5.0 prints as 5; not-a-number and infinities as NaN, inf, -inf."""
-    text = F.when(value.isNotNull(), F.regexp_replace(F.format_string("%s", value.try_cast("decimal(38,17)")), r"\.?0+$", ""))
-    return F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf")).when(value == F.floor(value), value.try_cast("decimal(38,0)").cast("string")).otherwise(text)
+    small, whole = value.try_cast("decimal(38,17)"), value.try_cast("decimal(38,0)")
+    text = F.when(small.isNotNull(), F.regexp_replace(F.format_string("%s", small), r"\.?0+$", ""))
+    return F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf")).when(whole.cast("double") == value, whole.cast("string")).otherwise(text)
 
 
 def scalar_body(text: Column, integer: Column, double: Column, boolean: Column) -> Column:
