@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a task remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -60,10 +60,22 @@ class Model:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.ids))
+        self.names = [p.piece for p in proto.pieces]
+        # character -> node; the id of a piece that ends in a node is under the empty string
+        self.trie: dict = {}
+        for piece, k in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = k
         lowest = min((p.score for p in proto.pieces if p.type == 1), default=0.0)
         self.unknown_score = lowest - 10.0
         self.out = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
 
+    def text(self, piece: int) -> str:
+        """A piece's characters; negative numbers are characters without a piece."""
+        return self.names[piece] if piece >= 0 else chr(-1 - piece)
+
     def merged(self, text: str) -> list[str]:
         """What a BPE model's merges make of a short text: best score first, the leftmost of equals."""
         parts = list(text)
@@ -79,91 +91,96 @@ class Model:
 
 
 class StreamingViterbi:
-    """The search over one stretch of characters, which may come in portions."""
+    """The search over one stretch of characters, which may come in portions.
+
+    A cursor in the pieces' trie stands for each recent boundary that a piece may still start from;
+    a character moves all cursors on, and those that fall out of the trie end. The lists hold, for
+    each boundary since the last committed one, the start of its last piece, that piece and a score.
+    Pieces are ids; a character without a piece is -1 minus its code.
+    """
 
-    def __init__(self, model: Model, compatible: dict[tuple[str, str], bool] | None = None):
+    def __init__(self, model: Model, compatible: dict[tuple[int, int], bool] | None = None):
         self.model, self.compatible = model, {} if compatible is None else compatible
-        # boundary -> (score, start of its last piece, last piece)
-        self.best: dict[int, tuple[float, int, str]] = {}
-        self.text, self.base, self.at = "", 0, 0
-        self.root, self.last = 0, ""
-
-    def _fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        ok = self.compatible.get(key)
-        if ok is None:
-            if len(self.compatible) > 1_000_000:
-                self.compatible.clear()
-            ok = self.compatible[key] = self.model.merged(before + piece) == [before, piece]
+        self.before, self.starts, self.pieces, self.scores = 0, [0], [0], [0.0]
+        self.begun = False  # whether a piece was committed; self.before is the last one
+        self.cursors: list[tuple[int, dict]] = []
+
+    def _fits(self, before: int, piece: int) -> bool:
+        a, b = self.model.text(before), self.model.text(piece)
+        if len(self.compatible) > 1_000_000:
+            self.compatible.clear()
+        ok = self.compatible[before, piece] = self.model.merged(a + b) == [a, b]
         return ok
 
-    def _step(self) -> None:
-        """Reach the next boundary."""
-        model, i = self.model, self.at + 1
-        end = i - self.base
-        bpe = model.kind == BPE
-        chosen: tuple[float, int, str] | None = None
-        for size in range(min(model.longest, i - self.root), 0, -1):
-            start = i - size
-            piece = self.text[end - size : end]
-            k = model.ids.get(piece)
-            if k is None and size > 1:
-                continue
-            if start == self.root:
-                score, before = 0.0, self.last
-            elif start in self.best:
-                score, _, before = self.best[start]
-            else:
-                continue
-            if bpe:
-                if not before or self._fits(before, piece):
-                    chosen = (0.0, start, piece)
-                    break
-            else:
-                score += model.scores[k] if k is not None else model.unknown_score
-                if chosen is None or score > chosen[0]:
-                    chosen = (score, start, piece)
-        if chosen is None:
-            raise ValueError("no admissible path")
-        self.best[i] = chosen
-        self.at = i
-
-    def _path(self, to: int) -> list[tuple[int, str]]:
+    def feed(self, portion: str) -> Iterator[int]:
+        model, trie, fits = self.model, self.model.trie, self.compatible
+        bpe, cost, longest = model.kind == BPE, model.scores, model.longest
+        starts, pieces, scores = self.starts, self.pieces, self.scores
+        for c in portion:
+            at = len(starts)
+            moved, chosen, value = [], -1, 0.0
+            self.cursors.append((at - 1, trie))
+            for start, node in self.cursors:
+                node = node.get(c)
+                if node is None:
+                    continue
+                moved.append((start, node))
+                k = node.get("")
+                if k is None:
+                    continue
+                if not bpe:
+                    score = scores[start] + cost[k]
+                    if chosen < 0 or score > value:
+                        chosen, piece, value = start, k, score
+                elif chosen < 0:  # the longest one that fits is the only one
+                    before = pieces[start] if start else self.before
+                    if not start and not self.begun:
+                        ok = True
+                    else:
+                        ok = fits.get((before, k))
+                        if ok is None:
+                            ok = self._fits(before, k)
+                    if ok:
+                        chosen, piece = start, k
+            if chosen < 0:
+                chosen, piece, value = at - 1, -1 - ord(c), scores[at - 1] + model.unknown_score
+            self.cursors = moved
+            starts.append(chosen)
+            pieces.append(piece)
+            scores.append(value)
+            if at >= 4 * longest and at % longest == 0:
+                yield from self._commit(self._shared())
+                starts, pieces, scores = self.starts, self.pieces, self.scores
+
+    def _path(self, to: int) -> list[int]:
+        """The boundaries of the best path to one, itself first, without the committed one."""
         out = []
-        while to > self.root:
-            _, start, piece = self.best[to]
-            out.append((to, piece))
-            to = start
-        return out[::-1]
-
-    def _commit(self, done: bool) -> Iterator[str]:
-        """Pieces up to the last boundary that all surviving paths share."""
-        if done:
-            shared = self.at
-        else:
-            ends = None
-            for to in range(max(self.root, self.at - self.model.longest + 1), self.at + 1):
-                own = {self.root} | {e for e, _ in self._path(to)}
-                ends = own if ends is None else ends & own
-            shared = max(ends or {self.root})
-        if shared == self.root:
-            return
-        score = self.best[shared][0]
-        for _, piece in self._path(shared):
-            yield piece
-            self.last = piece
-        self.best = {i: (s - score, a, p) for i, (s, a, p) in self.best.items() if i > shared}
-        self.text, self.base, self.root = self.text[shared - self.base :], shared, shared
+        while to:
+            out.append(to)
+            to = self.starts[to]
+        return out
 
-    def feed(self, portion: str) -> Iterator[str]:
-        self.text += portion
-        for _ in portion:
-            self._step()
-            if self.at - self.root >= 4 * self.model.longest and self.at % self.model.longest == 0:
-                yield from self._commit(False)
+    def _shared(self) -> int:
+        """The last boundary on the paths of all that a piece can still start from."""
+        ends = set(self._path(len(self.starts) - 1))
+        for start, _ in self.cursors:
+            ends &= set(self._path(start))
+        return max(ends, default=0)
+
+    def _commit(self, to: int) -> Iterator[int]:
+        if not to:
+            return
+        yield from [self.pieces[i] for i in reversed(self._path(to))]
+        self.before, self.begun = self.pieces[to], True
+        base = self.scores[to]
+        self.starts = [0, *(x - to for x in self.starts[to + 1 :])]
+        self.pieces = [0, *self.pieces[to + 1 :]]
+        self.scores = [0.0, *(x - base for x in self.scores[to + 1 :])]
+        self.cursors = [(start - to, node) for start, node in self.cursors]
 
-    def finish(self) -> Iterator[str]:
-        yield from self._commit(True)
+    def finish(self) -> Iterator[int]:
+        yield from self._commit(len(self.starts) - 1)
+        self.cursors = []
 
 
 class Encoder(dict):
@@ -176,11 +193,10 @@ class Encoder(dict):
         search = StreamingViterbi(self.model, self.pairs)
         ids: list[int] = []
         for piece in chain(search.feed(word), search.finish()):
-            k = self.model.ids.get(piece)
-            if k is not None:
-                ids.append(k)
+            if piece >= 0:
+                ids.append(piece)
             elif self.model.bytes:
-                ids += [self.model.bytes[b] for b in piece.encode()]
+                ids += [self.model.bytes[b] for b in chr(-1 - piece).encode()]
             else:
                 ids.append(self.model.unknown)
         if len(self) >= REMEMBERED:
