@@ -32,6 +32,8 @@ from .maptext import map_texts
 
 #: Benchmark bytes that go to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of a shard's texts; a longer text is a shard by itself.
+SHARD_BYTES = 2 << 20
 RESULT = "n_words long, items array<long>, hits array<struct<first:long,last:long,start:long,stop:long>>"
 
 
@@ -218,7 +220,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[s
     for k in range(n_blocks):
         block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(block)
-        made = map_texts(out, "text", _lazy(shared, window), RESULT, [*dict.fromkeys([*known, *(["text"] if n_blocks > 1 else [])]), *merged])
+        made = map_texts(out, "text", _lazy(shared, window), RESULT, [*dict.fromkeys([*known, *(["text"] if n_blocks > 1 else [])]), *merged], SHARD_BYTES)
         if n_blocks == 1:
             return made
         names = [f"__n{k}", f"__i{k}", f"__h{k}"]
@@ -265,7 +267,7 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     for k in range(n_blocks):
         block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(block)
-        made = map_texts(documents.withColumn("__text", F.col("text")), "__text", _cleaner(shared, window), "clean string, cut boolean", names)
+        made = map_texts(documents.withColumn("__text", F.col("text")), "__text", _cleaner(shared, window), "clean string, cut boolean", names, SHARD_BYTES)
         text = F.when(F.col("cut"), F.col("clean")).otherwise(F.col("text"))
         columns = {"text": text} | ({"n_chars": F.when(F.col("cut"), F.char_length("clean").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
         documents = made.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in names])

@@ -16,7 +16,7 @@ from . import bytes_np as B
 TextFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], TextFunction], result: str, carry: list[str], slice_bytes: int = 4 << 20) -> DataFrame:
+def map_texts(df: DataFrame, column: str, make: Callable[[], TextFunction], result: str, carry: list[str], slice_bytes: int = 1 << 20) -> DataFrame:
     """The columns ``carry`` of each row, then the fields that ``result`` (DDL) names.
 
     ``make`` runs once in each task. Carried columns travel inside a struct, so their names can't

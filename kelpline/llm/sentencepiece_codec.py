@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a task remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -107,7 +107,7 @@ class StreamingViterbi:
 
     def _fits(self, before: int, piece: int) -> bool:
         a, b = self.model.text(before), self.model.text(piece)
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) > 300_000:
             self.compatible.clear()
         ok = self.compatible[before, piece] = self.model.merged(a + b) == [a, b]
         return ok
@@ -189,6 +189,11 @@ class Encoder(dict):
     def __init__(self, model: Model):
         self.model, self.pairs = model, {}
 
+    def forget(self) -> None:
+        self.clear()
+        if len(self.pairs) > 100_000:
+            self.pairs.clear()
+
     def __missing__(self, word: str) -> tuple[int, ...]:
         search = StreamingViterbi(self.model, self.pairs)
         ids: list[int] = []
@@ -223,7 +228,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's encoder for a model file; it lives on between tasks."""
+    """A worker's encoder for a model file. The model lives on between tasks, what was remembered doesn't."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(Model(path))
     return _ENCODERS[path]
@@ -236,10 +241,14 @@ def _mapped(df: DataFrame, column: str, result: T.StructType, f: Callable[[pa.Ar
     schema = T.StructType([packed.schema["carry"], T.StructField("result", result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), rows):
-                part = batch.slice(a, rows)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.StructArray.from_arrays(f(part.column(0)), names=result.fieldNames())], names=["carry", "result"])
+        try:
+            for batch in batches:
+                for a in range(0, len(batch), rows):
+                    part = batch.slice(a, rows)
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.StructArray.from_arrays(f(part.column(0)), names=result.fieldNames())], names=["carry", "result"])
+        finally:  # what a task remembers goes with it
+            for e in _ENCODERS.values():
+                e.forget()
 
     out = packed.mapInArrow(run, schema)
     return out.select(*[F.col(f"carry.`{c}`") for c in names], *[F.col(f"result.`{c}`") for c in result.fieldNames()])
