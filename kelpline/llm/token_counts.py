@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How many neighbouring lengths form a range.
 RANGE = 1024
@@ -65,6 +67,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     this length or less (for quantiles).
     """
     rows = lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    rows = Scratch(lengths.sparkSession, "lengths").table(rows, "histogram")  # it is read twice below
     sums = rows.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     above = W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
     below = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
