@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytes_np as B
 from .maptext import map_texts
+from .store import Scratch
 
 #: Benchmark bytes that go to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -252,26 +253,51 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items", "hits")
 
 
-def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents without the words that any phrase covers, in the same columns.
 
     A span gives way to a line break. Where a text's rest brings words of a phrase together, the
     rest is searched again, until no phrase is left. n_chars, where it is a column, is renewed.
     Rows whose texts have no hit come back unchanged, null texts included.
+
+    One block is cut and searched again inside the task. With more, a round finds the spans of all
+    blocks in the same text and cuts their union; the next round has the rows that were cut.
     """
     spark = documents.sparkSession
     names = documents.columns
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    for k in range(n_blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(block)
-        made = map_texts(documents.withColumn("__text", F.col("text")), "__text", _cleaner(shared, window), "clean string, cut boolean", names, SHARD_BYTES)
-        text = F.when(F.col("cut"), F.col("clean")).otherwise(F.col("text"))
-        columns = {"text": text} | ({"n_chars": F.when(F.col("cut"), F.char_length("clean").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-        documents = made.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in names])
-    return documents
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").cast("string").alias("text"))
+
+    def renewed(df: DataFrame) -> DataFrame:
+        columns = {c: F.col(f"__row.`{c}`") for c in names}
+        columns["text"] = F.when(F.col("cut"), F.col("text")).otherwise(columns["text"])
+        if "n_chars" in names:
+            columns["n_chars"] = F.when(F.col("cut"), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+        return df.select(*[columns[c].alias(c) for c in names])
+
+    if total <= block_bytes:
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+        made = map_texts(rows, "text", _cleaner(shared, window), "clean string, cut boolean", ["__row"], SHARD_BYTES)
+        return renewed(made.withColumnRenamed("clean", "text"))
+    scratch, done, rounds = Scratch(spark, "decontaminate"), [], 0
+    left = rows.withColumn("cut", F.lit(False))
+    while rounds == 0 or not left.isEmpty():
+        found = find_contamination(left, benchmark, ["__row", "text", "cut"], window, block_bytes)
+        raw, hits = F.col("text").cast("binary"), F.col("hits")
+        rest = F.transform(
+            F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), hits["stop"]).alias("a"), F.concat(hits["start"], F.array(F.octet_length("text").cast("long"))).alias("b")),
+            lambda x: F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"),
+        )
+        hit = F.size("hits") > 0
+        made = found.select("__row", F.when(hit, F.array_join(rest, "\n")).otherwise(F.col("text")).alias("text"), (F.col("cut") | hit).alias("cut"), hit.alias("again"))
+        made = scratch.table(made, f"round{rounds}")
+        done.append(made.where("NOT again"))
+        left, rounds = made.where("again").drop("again"), rounds + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return renewed(out)
 
 
 def _cleaner(shared, window: int):

@@ -212,6 +212,18 @@ def test_decontamination(spark, sf, docs, odd, empty):
     assert {r["items_sha256"] for r in decontaminate.contamination_report(odd, short.limit(0)).collect()} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_decontamination_in_blocks(spark):
+    w = [f"w{i}" for i in range(60)]
+    inner, outer = " ".join(f"in{i}" for i in range(10)), [f"out{i}" for i in range(10)]
+    items = [(i, " ".join(w[i : i + 10])) for i in range(0, 51, 5)] + [(i, inner) for i in range(100, 110)] + [(i, " ".join(outer)) for i in range(200, 210)]
+    texts = [(1, f"keep {' '.join(w)} this", 0), (2, f"é, {' '.join(outer[:5])} {inner} {' '.join(outer[5:])}. ß", 0), (3, None, 7), (4, "as it was", 7), (None, " ".join(w[:10]), 0)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, n_chars int")
+    known = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 400):
+        got = {r["doc_id"]: r for r in decontaminate.remove_contamination(rows, known, block_bytes=size).collect()}
+        assert {i: (r["text"], r["n_chars"]) for i, r in got.items()} == {1: ("keep \n this", 11), 2: ("é, \n. ß", 7), 3: (None, 7), 4: ("as it was", 7), None: ("\n", 1)}
+
+
 def test_fm_index_against_scan():
     rng = random.Random(3)
     for _ in range(20):
