@@ -9,7 +9,6 @@ on every row that the one before it kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kelpline.llm.decontaminate import remove_contamination
 from kelpline.llm.minhash_dedup import near_duplicates
@@ -44,8 +43,8 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text, ids, n_tokens and round_trip of each document that has words left."""
-    return encode_and_check(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), ["doc_id", "text"])
+    """doc_id, text, ids, n_tokens and round_trip of each document, one without words or text included."""
+    return encode_and_check(docs, ["doc_id", "text"])
 
 
 STAGES = [

@@ -30,3 +30,12 @@ def test_odd_rows(spark, sf):
     for name, stage in pipeline.STAGES:
         for df in (docs, docs.limit(0)):
             assert stage(spark, df, sf).count() <= df.count(), name
+
+
+def test_encoding_keeps_every_row(spark, sf):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "two words"), (4, "two words"), (None, "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pipeline.encode_documents(spark, docs, sf)
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, docs.collect()))
+    assert {(r["text"], r["ids"] is None, r["n_tokens"]) for r in out.collect() if r["doc_id"] in (1, 2)} == {(None, True, None), ("", False, 0)}
+    assert out.where("NOT round_trip").count() == 0
