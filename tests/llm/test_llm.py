@@ -328,6 +328,14 @@ def test_quality_counts(spark, docs, odd, empty):
     assert kept > 0.97
 
 
+def test_first_line_counts_once():
+    texts = [b"abc\n", b"first", b"", b"", b"x\nx\n", b"\n", b"y\n\ny", b"\nz"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for a in range(len(texts)):
+        own = np.frombuffer(b"".join(texts[a:]), np.uint8)
+        assert quality.base_counts(own, offsets[a:] - offsets[a])[3].tolist() == [0, 0, 0, 0, 1, 0, 1, 0][a:]
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
     model = quality.train(docs.select("text"), Scratch(spark, "kn"))
     table = np.exp(model.table().astype(np.float64)).reshape(-1, quality.SIZE)
