@@ -61,33 +61,80 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes that one polynomial spans. Longer buffers are hashed in blocks, so the tables of powers have a fixed size.
+_SPAN = 1 << 16
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("p", BASE), ("q", BASE_INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _POWERS[name] = out
-    return _POWERS["p"], _POWERS["q"]
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(_SPAN, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(BASE), _powers(BASE_INVERSE)
+_BLOCK_UP, _BLOCK_DOWN = (np.uint64(pow(int(b), _SPAN, 2**64)) for b in (BASE, BASE_INVERSE))
+
+
+def _power(table: np.ndarray, step: np.uint64, at: np.ndarray, blocks: int) -> np.ndarray:
+    """base ** at for positions below blocks * _SPAN."""
+    if blocks <= 1:
+        return table.take(at)
+    whole = np.full(blocks, step, np.uint64)
+    whole[0] = 1
+    whole = np.multiply.accumulate(whole)
+    return table.take(at & (_SPAN - 1)) * whole.take(at >> 16)
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """len+1 polynomial prefix sums modulo 2**64, for ``range_hashes``."""
-    p, _ = _powers(len(data))
+    terms = BYTE_CODES[data]
+    for k, a in enumerate(range(0, len(data), _SPAN)):
+        part = terms[a : a + _SPAN]
+        part *= _UP[: len(part)]
+        if k:
+            part *= np.uint64(pow(int(_BLOCK_UP), k, 2**64))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * p[: len(data)], out=out[1:])
+    np.cumsum(terms, out=out[1:])
     return out
 
 
 def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte range [start, end): equal for equal bytes, wherever they stand."""
-    _, q = _powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    return mix((prefix[ends] - prefix[starts]) * _power(_DOWN, _BLOCK_DOWN, starts, len(prefix) // _SPAN + 1) + (ends - starts).astype(np.uint64))
+
+
+class Table:
+    """A fixed map from int64 keys to int64 values, looked up for whole arrays. Keys are sorted by a mixed form."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        mixed = self._mixed(keys)
+        order = np.argsort(mixed)
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.keys = np.append(mixed[order], np.uint64(2**64 - 1))
+        self.values = np.append(values[order], missing)
+        self.missing = missing
+        self.first = np.searchsorted(self.keys[:-1] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    @staticmethod
+    def _mixed(keys: np.ndarray) -> np.ndarray:
+        h = np.ascontiguousarray(keys).view(np.uint64) * BASE  # odd factors and shifts: one to one
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        mixed = self._mixed(keys)
+        at = self.first.take((mixed >> np.uint64(64 - self.bits)).view(np.int64))
+        todo = np.flatnonzero(self.keys.take(at) < mixed)
+        for _ in range(self.most):
+            if not len(todo):
+                break
+            at[todo] += 1
+            todo = todo[self.keys.take(at[todo]) < mixed[todo]]
+        out = self.values.take(at)
+        out[self.keys.take(at) != mixed] = self.missing
+        return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,10 +155,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 def owners(bounds: np.ndarray) -> np.ndarray:
     """For offsets of groups, the group of each element."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
-def crc_remainders(ids: np.ndarray, modulus: int) -> np.ndarray:
-    """crc32 of each id as decimal text, modulo ``modulus``."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(b"%d" % i) % modulus for i in ids.tolist()), np.int64, len(ids))

@@ -10,8 +10,13 @@ Unigram models: a path's score is the sum of its pieces' scores. BPE models: a p
 each two neighbouring pieces are what the merges make of their joint text; merges are local, so this
 singles out exactly one admissible path to each boundary, and it is the model's own encoding.
 
-White space is escaped as U+2581; no piece of such a model has one after another character, so every
-word is a stretch by itself, at whose end all paths meet. Tasks remember the ids of recent words.
+White space is escaped as U+2581. In a model none of whose pieces has it after another character, no
+piece crosses the start of a run of it: there all paths are known to meet. A task therefore searches
+the stretches between such boundaries side by side, one character of all of them at a time
+(``Lanes``), and each distinct stretch of a slice once. A stretch of more than ``LONG`` characters
+goes through ``StreamingViterbi``, which finds by itself where paths meet; so does every text of a
+model with other pieces. Texts are taken in portions of bytes, and nothing is remembered between them
+but the model and a table of fixed size of which pieces may stand side by side.
 Characters without a piece become byte pieces, or the unknown id in models without them.
 
 Defined results: null gives null ids (and null on decoding); an empty text gives no ids. As in the
@@ -22,9 +27,8 @@ kept, whatever their names.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytes_np as B
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a task remembers at most.
-REMEMBERED = 300_000
 UNIGRAM, BPE = 1, 2
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Characters of a stretch that is searched beside others; bytes of text that are searched at once.
+LONG, PORTION = 48, 2 << 20
+#: Pairs of pieces whose verdict a worker holds: 2**PAIR_BITS.
+PAIR_BITS = 20
+_NEVER = 1 << 30
 
 
 class Model:
-    """Pieces of a model file: ids, scores, types, and the two flags that matter here."""
+    """Pieces of a model file: ids, scores, types, the trie, and for BPE models what merges into what."""
 
     def __init__(self, path: str = MODEL, kind: int | None = None):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -61,25 +69,62 @@ class Model:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.ids))
         self.names = [p.piece for p in proto.pieces]
-        # character -> node; the id of a piece that ends in a node is under the empty string
-        self.trie: dict = {}
-        for piece, k in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = k
+        self.in_stretches = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         lowest = min((p.score for p in proto.pieces if p.type == 1), default=0.0)
         self.unknown_score = lowest - 10.0
         self.out = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
+        self.out_at = np.concatenate([[0], np.cumsum([len(x) for x in self.out])])
+        self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
+        self._merges()
+        self._trie()
+        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    def _merges(self) -> None:
+        """For each piece the last merge that makes it, and what each pair of pieces merges into. -1: nothing."""
+        n = len(self.names) + 1  # the last one stands for a character without a piece
+        order = {s: i for i, s in enumerate(sorted(set(self.scores), reverse=True))}
+        self.rank, self.left, self.right = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+        keys, ranks = [], []
+        self.made = np.zeros(n, bool)
+        for piece, k in self.ids.items():
+            if len(piece) > 1:
+                self.rank[k] = order[self.scores[k]]
+                for cut in range(1, len(piece)):
+                    a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                    if a is not None and b is not None:
+                        keys.append(a << 20 | b)
+                        ranks.append(order[self.scores[k]])
+            if self.kind == BPE:
+                parts = self.merged(piece, stop=2)
+                self.made[k] = len(piece) == 1 or len(parts) == 2 and "".join(parts) == piece and self.merged(piece) == [piece]
+                if len(parts) == 2:
+                    self.left[k], self.right[k] = (self.ids.get(p, n - 1) for p in parts)
+        self.pairs = B.Table(np.array(keys, np.int64), np.array(ranks, np.int64), _NEVER)
+
+    def _trie(self) -> None:
+        self.next: dict[int, int] = {}
+        piece_at = [-1]
+        for piece, k in self.ids.items():
+            if self.kind == BPE and not self.made[k]:
+                continue  # no merges lead to it
+            node = 0
+            for c in piece:
+                to = self.next.get(node << 21 | ord(c))
+                if to is None:
+                    to = self.next[node << 21 | ord(c)] = len(piece_at)
+                    piece_at.append(-1)
+                node = to
+            piece_at[node] = k
+        self.piece_at, self.steps = np.array(piece_at, np.int32), B.Table(np.fromiter(self.next, np.int64), np.fromiter(self.next.values(), np.int64), -1)
 
     def text(self, piece: int) -> str:
         """A piece's characters; negative numbers are characters without a piece."""
         return self.names[piece] if piece >= 0 else chr(-1 - piece)
 
-    def merged(self, text: str) -> list[str]:
-        """What a BPE model's merges make of a short text: best score first, the leftmost of equals."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """What a BPE model's merges make of a short text: best score first, the leftmost of equals. Ends at ``stop`` parts."""
         parts = list(text)
-        while True:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = self.ids.get(parts[i] + parts[i + 1])
@@ -88,10 +133,43 @@ class Model:
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the merges leave each pair of pieces as they are.
+
+        The pieces are taken apart in the reverse order of their making. If at some time the two parts
+        at the seam would merge before what made either of them whole, the pair can't stand. Of equal
+        ranks the leftmost merge comes first.
+        """
+        out, at = np.ones(len(a), bool), np.arange(len(a))
+        a, b, limit = a.astype(np.int64), b.astype(np.int64), np.full(len(a), _NEVER)
+        while len(at):
+            stands = self.pairs.get(a << 20 | b) >= limit
+            out[at[~stands]] = False
+            at, a, b, limit = at[stands], a[stands], b[stands], limit[stands]
+            can_a, can_b = self.right[a] >= 0, self.left[b] >= 0
+            do_a = can_a & (~can_b | (self.rank[a] > self.rank[b]))
+            more = can_a | can_b
+            limit = np.where(do_a, self.rank[a], self.rank[b] + 1)
+            a, b = np.where(do_a, self.right[a], a), np.where(do_a, b, self.left[b])
+            at, a, b, limit = at[more], a[more], b[more], limit[more]
+        return out
+
+    def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``side_by_side`` with the table of recent verdicts."""
+        key = before.astype(np.int64) << 20 | piece
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        out = self.pair_fits.take(slot)
+        new = np.flatnonzero(self.pair_keys.take(slot) != key)
+        if len(new):
+            out[new] = self.side_by_side(before[new], piece[new])
+            self.pair_fits[slot[new]], self.pair_keys[slot[new]] = out[new], key[new]
+        return out
 
 
 class StreamingViterbi:
-    """The search over one stretch of characters, which may come in portions.
+    """The search over characters that may come in portions.
 
     A cursor in the pieces' trie stands for each recent boundary that a piece may still start from;
     a character moves all cursors on, and those that fall out of the trie end. The lists hold, for
@@ -99,34 +177,34 @@ class StreamingViterbi:
     Pieces are ids; a character without a piece is -1 minus its code.
     """
 
-    def __init__(self, model: Model, compatible: dict[tuple[int, int], bool] | None = None):
-        self.model, self.compatible = model, {} if compatible is None else compatible
+    def __init__(self, model: Model):
+        self.model, self.verdicts = model, {}
         self.before, self.starts, self.pieces, self.scores = 0, [0], [0], [0.0]
         self.begun = False  # whether a piece was committed; self.before is the last one
-        self.cursors: list[tuple[int, dict]] = []
+        self.cursors: list[tuple[int, int]] = []
 
     def _fits(self, before: int, piece: int) -> bool:
-        a, b = self.model.text(before), self.model.text(piece)
-        if len(self.compatible) > 300_000:
-            self.compatible.clear()
-        ok = self.compatible[before, piece] = self.model.merged(a + b) == [a, b]
+        if len(self.verdicts) > 100_000:
+            self.verdicts.clear()
+        other = len(self.model.names)
+        ok = self.verdicts[before, piece] = bool(self.model.side_by_side(np.array([before if before >= 0 else other]), np.array([piece]))[0])
         return ok
 
     def feed(self, portion: str) -> Iterator[int]:
-        model, trie, fits = self.model, self.model.trie, self.compatible
+        model, trie, piece_at, fits = self.model, self.model.next, self.model.piece_at, self.verdicts
         bpe, cost, longest = model.kind == BPE, model.scores, model.longest
         starts, pieces, scores = self.starts, self.pieces, self.scores
         for c in portion:
-            at = len(starts)
+            at, code = len(starts), ord(c)
             moved, chosen, value = [], -1, 0.0
-            self.cursors.append((at - 1, trie))
+            self.cursors.append((at - 1, 0))
             for start, node in self.cursors:
-                node = node.get(c)
+                node = trie.get(node << 21 | code)
                 if node is None:
                     continue
                 moved.append((start, node))
-                k = node.get("")
-                if k is None:
+                k = int(piece_at[node])
+                if k < 0:
                     continue
                 if not bpe:
                     score = scores[start] + cost[k]
@@ -143,7 +221,7 @@ class StreamingViterbi:
                     if ok:
                         chosen, piece = start, k
             if chosen < 0:
-                chosen, piece, value = at - 1, -1 - ord(c), scores[at - 1] + model.unknown_score
+                chosen, piece, value = at - 1, -1 - code, scores[at - 1] + model.unknown_score
             self.cursors = moved
             starts.append(chosen)
             pieces.append(piece)
@@ -183,72 +261,253 @@ class StreamingViterbi:
         self.cursors = []
 
 
-class Encoder(dict):
-    """Words (escaped stretches) to ids; a dict that fills itself, within REMEMBERED entries."""
+class Lanes:
+    """The search over many stretches at once: one character of all that are long enough at a time."""
+
+    def __init__(self, model: Model, points: np.ndarray, bounds: np.ndarray):
+        self.model, self.points, self.bounds = model, points, bounds
+
+    def _pieces(self) -> np.ndarray:
+        """(longest, n): the piece of each length that starts at each character, or -1."""
+        model, n = self.model, len(self.points)
+        out = np.full((model.longest, n), -1, np.int32)
+        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        for depth in range(model.longest):
+            inside = np.flatnonzero(at + depth < ends[at])
+            at, node = at[inside], node[inside]
+            node = model.steps.get(node << 21 | self.points[at + depth])
+            on = np.flatnonzero(node >= 0)
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+            out[depth, at] = model.piece_at[node]
+        return out
 
+    def search(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all stretches (characters without one as -1 minus their code), and their offsets."""
+        model, lengths = self.model, np.diff(self.bounds)
+        order = np.argsort(-lengths, kind="stable")
+        base, size = self.bounds[:-1][order], lengths[order]
+        most = int(size.max(initial=0))
+        live = np.searchsorted(-size, -np.arange(most + 1), "right")
+        pieces, other = self._pieces(), len(model.names)
+        last, length = np.zeros((most + 1, len(order)), np.int32), np.ones((most + 1, len(order)), np.uint8)
+        value = np.zeros((most + 1, len(order))) if model.kind == UNIGRAM else None
+        cost = np.array(model.scores)
+        for i in range(1, most + 1):
+            n = int(live[i])
+            last[i, :n] = other
+            rest = np.arange(n)
+            if value is not None:
+                value[i, :n] = -np.inf
+            for step in range(min(i, model.longest), 0, -1):
+                found = pieces[step - 1].take(base[rest] + (i - step))
+                own = np.flatnonzero(found >= 0)
+                lane, piece = rest[own], found[own]
+                if value is not None:  # the best sum of scores
+                    score = value[i - step, lane] + cost[piece]
+                    better = score > value[i, lane]
+                    lane, piece = lane[better], piece[better]
+                    value[i, lane] = score[better]
+                elif step < i:  # the longest one that fits is the only one
+                    fits = np.flatnonzero(model.fits(last[i - step, lane], piece))
+                    lane, piece, own = lane[fits], piece[fits], own[fits]
+                last[i, lane], length[i, lane] = piece, step
+                if value is None:
+                    left = np.ones(len(rest), bool)
+                    left[own] = False
+                    rest = rest[left]
+                    if not len(rest):
+                        break
+            if value is not None:
+                none = np.flatnonzero(value[i, :n] == -np.inf)
+                value[i, none] = value[i - 1, none] + model.unknown_score
+        # back along the paths
+        at, lanes, steps = size.copy(), np.flatnonzero(size), []
+        count = np.zeros(len(order), np.int64)
+        while len(lanes):
+            piece, here = last[at[lanes], lanes], at[lanes]
+            odd = piece == other
+            if odd.any():
+                piece[odd] = -1 - self.points[base[lanes[odd]] + here[odd] - 1].astype(np.int32)
+            steps.append((lanes, piece))
+            count[lanes] += 1
+            at[lanes] -= length[here, lanes]
+            lanes = lanes[at[lanes] > 0]
+        sizes = np.zeros(len(order), np.int64)
+        sizes[order] = count
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros(offsets[-1], np.int32)
+        ends = offsets[1:][order] - 1
+        for k, (lanes, piece) in enumerate(steps):
+            out[ends[lanes] - k] = piece
+        return out, offsets
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of values one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Encoder:
     def __init__(self, model: Model):
-        self.model, self.pairs = model, {}
-
-    def forget(self) -> None:
-        self.clear()
-        if len(self.pairs) > 100_000:
-            self.pairs.clear()
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        search = StreamingViterbi(self.model, self.pairs)
-        ids: list[int] = []
-        for piece in chain(search.feed(word), search.finish()):
-            if piece >= 0:
-                ids.append(piece)
-            elif self.model.bytes:
-                ids += [self.model.bytes[b] for b in chr(-1 - piece).encode()]
+        self.model = model
+
+    def _long(self, text: str) -> np.ndarray:
+        """One stretch, fed in portions to one search; only its ids grow with it."""
+        search, out = StreamingViterbi(self.model), array("i")
+        for a in range(0, len(text), 1 << 16):
+            out.extend(search.feed(text[a : a + (1 << 16)]))
+        out.extend(search.finish())
+        return np.frombuffer(out, np.int32)
+
+    def _with_bytes(self, pieces: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become byte pieces, or the unknown id."""
+        odd = np.flatnonzero(pieces < 0)
+        if not len(odd):
+            return pieces, offsets
+        sizes = np.ones(len(pieces), np.int64)
+        codes, which = np.unique(-1 - pieces[odd], return_inverse=True)
+        made = [[self.model.bytes[b] for b in chr(c).encode()] if self.model.bytes else [self.model.unknown] for c in codes.tolist()]
+        sizes[odd] = np.array([len(x) for x in made])[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.repeat(pieces, sizes)
+        for k, ids in enumerate(made):
+            for j, i in enumerate(ids):
+                out[ends[odd[which == k]] + j] = i
+        return out, ends[offsets]
+
+    def _stretches(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each range of bytes that is a stretch by itself, and their offsets."""
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points[points == 32] = ord(SPACE)
+        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[bounds]
+        sizes = np.diff(at)
+        long = np.flatnonzero(sizes > LONG)
+        short = np.flatnonzero(sizes <= LONG)
+        own = _gather(points, at[short], sizes[short])
+        pieces, offsets = self._with_bytes(*Lanes(self.model, own, np.concatenate([[0], np.cumsum(sizes[short])])).search())
+        if not len(long):
+            return pieces, offsets
+        parts: list[np.ndarray] = [pieces[:0]] * len(sizes)
+        for k, i in enumerate(short.tolist()):
+            parts[i] = pieces[offsets[k] : offsets[k + 1]]
+        for i in long.tolist():
+            text = "".join(map(chr, points[at[i] : at[i + 1]].tolist()))
+            ids = self._long(text)
+            parts[i] = self._with_bytes(ids, np.array([0, len(ids)]))[0]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def encode_buffers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts and each text's offsets. Works on portions of about PORTION bytes; a text may span several."""
+        parts, sizes = [], np.zeros(len(offsets) - 1, np.int64)
+        for a, b in B.slices(offsets, PORTION):
+            if b == a + 1 and offsets[b] - offsets[a] > PORTION and self.model.in_stretches:
+                for lead, own in self._portions(data[offsets[a] : offsets[b]]):
+                    ids, n = self._encode(own, np.array([0, len(own)]), lead)
+                    parts.append(ids)
+                    sizes[a] += len(ids)
             else:
-                ids.append(self.model.unknown)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = tuple(ids)
-        if len(word) <= 64:
-            self[word] = out
-        return out
+                ids, n = self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], self.model.prefix)
+                parts.append(ids)
+                sizes[a:b] = np.diff(n)
+        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)).astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _portions(self, text: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+        """A long text cut where a run of spaces begins; only the first portion gets the prefix."""
+        at = 0
+        while at < len(text):
+            to = min(len(text), at + PORTION)
+            while to < len(text):
+                window = text[max(at, to - PORTION) : to + 1] == 32
+                starts = np.flatnonzero(window[1:] & ~window[:-1])
+                if len(starts):
+                    to = max(at, to - PORTION) + 1 + int(starts[-1])
+                    break
+                to = min(len(text), to + PORTION)
+            yield self.model.prefix and at == 0, text[at:to]
+            at = to
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
+        full = np.diff(offsets) > 0
+        if prefix:
+            data = np.insert(data, offsets[:-1][full], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+        starts = offsets[:-1][full]
+        if self.model.in_stretches and len(data):
+            space = data == 32
+            first = np.zeros(len(data), bool)
+            first[1:] = space[1:] & ~space[:-1]
+            first[starts] = True
+            starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(data))
+        key = B.range_hashes(B.prefix_hashes(data), starts, ends)
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        size = ends[one] - starts[one]
+        ids, at = self._stretches(_gather(data, starts[one], size), np.concatenate([[0], np.cumsum(size)]))
+        count = np.diff(at)[which]
+        return _gather(ids, at[:-1][which], count), np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, offsets)]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        escaped = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-        return list(chain.from_iterable(map(self.__getitem__, _WORD.findall(escaped))))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_buffers(raw, np.array([0, len(raw)]))[0].tolist()
+
+    def decode_buffers(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each list of ids, as they stand (a prefix included), and their offsets."""
+        at = self.model.out_at
+        size = at[ids + 1] - at[ids]
+        return _gather(self.model.out_bytes, at[ids], size), np.concatenate([[0], np.cumsum(size)])[offsets]
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.model.out.__getitem__, ids))
-        if self.model.prefix and raw.startswith(b" "):
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        own = np.fromiter(ids, np.int64)
+        return self.as_text(self.decode_buffers(own, np.array([0, len(own)]))[0].tobytes())
+
+    def as_text(self, raw: bytes) -> str:
+        return (raw[1:] if self.model.prefix and raw.startswith(b" ") else raw).decode("utf-8", "replace")
+
+    def decodes_to(self, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each list of ids decodes to its text."""
+        made, at = self.decode_buffers(ids, bounds)
+        lead = (np.diff(at) > 0) & self.model.prefix
+        lead[lead] = made[at[:-1][lead]] == 32
+        out = np.diff(at) - lead == np.diff(offsets)
+        size = np.diff(offsets)[out]
+        wrong = _gather(made, (at[:-1] + lead)[out], size) != _gather(data, offsets[:-1][out], size)
+        out[out] = np.diff(np.concatenate([[0], np.cumsum(wrong)])[np.concatenate([[0], np.cumsum(size)])]) == 0
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's encoder for a model file. The model lives on between tasks, what was remembered doesn't."""
+    """A worker's encoder for a model file; its size is fixed."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(Model(path))
     return _ENCODERS[path]
 
 
-def _mapped(df: DataFrame, column: str, result: T.StructType, f: Callable[[pa.Array], list[pa.Array]], rows: int = 256) -> DataFrame:
+def _lists(ids: np.ndarray, bounds: np.ndarray, nulls: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=nulls)
+
+
+def _mapped(df: DataFrame, column: str, result: T.StructType, f: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """Every column of df, then the result's fields (which replace equal names)."""
     names = [c for c in df.columns if c not in result.fieldNames()]
     packed = df.select(F.col(f"`{column}`").alias("value"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in names]).alias("carry"))
     schema = T.StructType([packed.schema["carry"], T.StructField("result", result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                for a in range(0, len(batch), rows):
-                    part = batch.slice(a, rows)
-                    yield pa.RecordBatch.from_arrays([part.column(1), pa.StructArray.from_arrays(f(part.column(0)), names=result.fieldNames())], names=["carry", "result"])
-        finally:  # what a task remembers goes with it
-            for e in _ENCODERS.values():
-                e.forget()
+        for batch in batches:
+            value = batch.column(0)
+            if pa.types.is_string(value.type) or pa.types.is_large_string(value.type):
+                cuts = B.slices(B.text_buffers(value)[1], PORTION)
+            else:
+                cuts = B.slices(np.concatenate([[0], np.cumsum(value.value_lengths().fill_null(0).to_numpy())]), PORTION // 4)
+            for a, b in cuts:
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.StructArray.from_arrays(f(value.slice(a, b - a)), names=result.fieldNames())], names=["carry", "result"])
 
     out = packed.mapInArrow(run, schema)
     return out.select(*[F.col(f"carry.`{c}`") for c in names], *[F.col(f"result.`{c}`") for c in result.fieldNames()])
@@ -258,9 +517,8 @@ def encode_texts(df: DataFrame, column: str = "text", path: str = MODEL) -> Data
     """df with ids array<int> and n_tokens long (null where the text is)."""
 
     def f(texts: pa.Array) -> list[pa.Array]:
-        encode = encoder(path).encode
-        ids = [None if t is None else encode(t) for t in texts.to_pylist()]
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64())]
+        ids, bounds = encoder(path).encode_buffers(*B.text_buffers(texts))
+        return [_lists(ids, bounds, texts.is_null()), pa.array(np.diff(bounds), mask=texts.is_null().to_numpy(zero_copy_only=False))]
 
     return _mapped(df, column, T._parse_datatype_string("ids array<int>, n_tokens long"), f)
 
@@ -269,8 +527,12 @@ def decode_ids(df: DataFrame, column: str = "ids", path: str = MODEL) -> DataFra
     """df with decoded string (null where the ids are)."""
 
     def f(ids: pa.Array) -> list[pa.Array]:
-        decode = encoder(path).decode
-        return [pa.array([None if x is None else decode(x) for x in ids.to_pylist()], pa.string())]
+        sizes = ids.value_lengths().fill_null(0).to_numpy()
+        own = encoder(path)
+        raw, at = own.decode_buffers(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]))
+        whole = raw.tobytes()
+        texts = [None if null else own.as_text(whole[a:b]) for null, a, b in zip(ids.is_null().to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [pa.array(texts, pa.string())]
 
     return _mapped(df, column, T._parse_datatype_string("decoded string"), f)
 
@@ -279,16 +541,9 @@ def encode_and_check(documents: DataFrame, keep: list[str], path: str = MODEL) -
     """``keep``, ids, n_tokens and round_trip: whether the ids decode to the text (null: true)."""
 
     def f(texts: pa.Array) -> list[pa.Array]:
-        both = encoder(path)
-        lists, same = [], []
-        for t in texts.to_pylist():
-            ids = None if t is None else both.encode(t)
-            lists.append(ids)
-            same.append(ids is None or both.decode(ids) == t)
-        flat = np.fromiter(chain.from_iterable(x or () for x in lists), np.int32)
-        sizes = np.array([len(x or ()) for x in lists])
-        column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([x is None for x in lists]))
-        return [column, pa.array([None if x is None else len(x) for x in lists], pa.int64()), pa.array(same)]
+        own, (data, offsets), nulls = encoder(path), B.text_buffers(texts), texts.is_null()
+        ids, bounds = own.encode_buffers(data, offsets)
+        return [_lists(ids, bounds, nulls), pa.array(np.diff(bounds), mask=nulls.to_numpy(zero_copy_only=False)), pa.array(own.decodes_to(ids, bounds, data, offsets))]
 
     chosen = documents.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     out = _mapped(chosen, "text", T._parse_datatype_string("ids array<int>, n_tokens long, round_trip boolean"), f)

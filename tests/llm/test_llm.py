@@ -142,11 +142,77 @@ def test_streaming_viterbi_unigram():
         assert abs(sum(model.scores[p] if p >= 0 else model.unknown_score for p in pieces) - best[-1]) < 1e-6
 
 
+def test_lanes_unigram():
+    """Stretches side by side give a best path each, as a plain search does."""
+    model = sentencepiece_codec.Model(kind=sentencepiece_codec.UNIGRAM)
+    model.scores = [-((i * 7919) % 1000) / 100 - 1 for i in range(len(model.scores))]
+    rng = random.Random(4)
+    texts = ["▁" * rng.randint(0, 2) + "".join(rng.choice("theingaq→") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    points, bounds = np.array([ord(c) for t in texts for c in t]), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    pieces, at = sentencepiece_codec.Lanes(model, points, bounds).search()
+    for k, text in enumerate(texts):
+        own = pieces[at[k] : at[k + 1]].tolist()
+        best = [0.0] + [-math.inf] * len(text)
+        for i in range(1, len(text) + 1):
+            for s in range(max(0, i - model.longest), i):
+                found = model.ids.get(text[s:i])
+                if found is not None:
+                    best[i] = max(best[i], best[s] + model.scores[found])
+            if best[i] == -math.inf:
+                best[i] = best[i - 1] + model.unknown_score
+        assert "".join(map(model.text, own)) == text
+        assert abs(sum(model.scores[p] if p >= 0 else model.unknown_score for p in own) - best[-1]) < 1e-6
+
+
+def test_pairs_stand_as_merges_leave_them():
+    model, rng = sentencepiece_codec.encoder(sentencepiece_codec.MODEL).model, random.Random(6)
+    ids = [k for k in model.ids.values() if len(model.names[k]) <= 4]
+    a, b = np.array(rng.choices(ids, k=3000)), np.array(rng.choices(ids, k=3000))
+    want = [model.merged(model.names[x] + model.names[y]) == [model.names[x], model.names[y]] for x, y in zip(a, b, strict=True)]
+    assert model.side_by_side(a, b).tolist() == want and model.fits(a, b).tolist() == want == model.fits(a, b).tolist()
+
+
+@pytest.mark.parametrize("kind", [sentencepiece_codec.BPE, sentencepiece_codec.UNIGRAM])
+def test_window_is_bounded(kind):
+    """What a search holds doesn't grow with its text."""
+    model = sentencepiece_codec.Model(kind=kind)
+    search, rng, n, most = sentencepiece_codec.StreamingViterbi(model), random.Random(1), 0, 0
+    for _ in range(60):
+        n += sum(len(model.text(p)) for p in search.feed("".join(rng.choice("abcdefghinorst") for _ in range(1000))))
+        most = max(most, len(search.starts), len(search.cursors))
+    n += sum(len(model.text(p)) for p in search.finish())
+    assert n == 60_000 and most < 12 * model.longest
+
+
+def test_long_texts_in_portions(docs, monkeypatch):
+    """Cuts at spaces change nothing, and a text of many portions takes no more working memory than one of few."""
+    import tracemalloc
+
+    own = sentencepiece_codec.encoder(sentencepiece_codec.MODEL)
+    text = " ".join(r["text"] for r in docs.limit(60).collect()) + "  é" + "y" * 3000 + "  end "
+    whole = own.encode(text)
+    monkeypatch.setattr(sentencepiece_codec, "PORTION", 1 << 14)
+    assert own.encode(text) == whole and own.decode(whole) == text
+
+    def peak(n):
+        raw = np.frombuffer((text * n).encode(), np.uint8)
+        tracemalloc.start()
+        ids, _ = own.encode_buffers(raw, np.array([0, len(raw)]))
+        used = tracemalloc.get_traced_memory()[1] - 3 * ids.nbytes
+        tracemalloc.stop()
+        return used
+
+    assert peak(8) < 1.5 * peak(1) + (2 << 20)
+
+
 def test_sentencepiece_odd(odd, empty):
     got = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(odd)).collect()
     assert all(r["decoded"] == r["text"] for r in got) and len(got) == len(ODD) and "score" in got[0].asDict()
     assert sentencepiece_codec.encode_and_check(empty, ["doc_id"]).count() == 0
-    assert all(r["round_trip"] for r in sentencepiece_codec.encode_and_check(odd, ["doc_id"]).collect())
+    got = sentencepiece_codec.encode_and_check(odd, ["doc_id"]).collect()
+    assert all(r["round_trip"] for r in got) and all((r["ids"] is None) == (r["doc_id"] == 1) for r in got)
+    clash = odd.withColumnRenamed("source", "ids").withColumnRenamed("lang", "result").withColumnRenamed("n", "carry")
+    assert sorted(len(r["ids"] or []) for r in sentencepiece_codec.encode_texts(clash).collect()) == sorted(len(r["ids"] or []) for r in got)
 
 
 def test_toxicity(spark, empty, odd):
