@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytes_np as B
+from .maptext import let_go
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -508,6 +509,7 @@ def _mapped(df: DataFrame, column: str, result: T.StructType, f: Callable[[pa.Ar
                 cuts = B.slices(np.concatenate([[0], np.cumsum(value.value_lengths().fill_null(0).to_numpy())]), PORTION // 4)
             for a, b in cuts:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.StructArray.from_arrays(f(value.slice(a, b - a)), names=result.fieldNames())], names=["carry", "result"])
+        let_go()
 
     out = packed.mapInArrow(run, schema)
     return out.select(*[F.col(f"carry.`{c}`") for c in names], *[F.col(f"result.`{c}`") for c in result.fieldNames()])
