@@ -14,7 +14,7 @@ words of an item; an item of fewer words (but not none) is one phrase.
 
 Defined results: null, empty and word-less texts have no words and no hits; null or word-less items
 have no phrases; an empty benchmark gives no hits. Rows that repeat a doc_id are judged each by
-itself, in their own row. Items that repeat an item_id count once; items with a null id are ignored.
+itself, in their own row. Items that repeat an item_id count once; items with a null id are ignored; ids may be of any type.
 Extra columns don't matter.
 """
 
@@ -32,10 +32,10 @@ from .maptext import map_texts
 from .store import Scratch
 
 #: Benchmark bytes that go to the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of a shard's texts; a longer text is a shard by itself.
 SHARD_BYTES = 2 << 20
-RESULT = "n_words long, items array<long>, hits array<struct<first:long,last:long,start:long,stop:long>>"
+RESULT = "n_words long, items array<string>, hits array<struct<first:long,last:long,start:long,stop:long>>"
 
 
 class WaveletMatrix:
@@ -123,31 +123,44 @@ class FMIndex:
 
 
 class Phrases:
-    """The phrases of one block of items as symbols, by length, and the items that hold each."""
+    """The phrases of one block of items as rows of symbols, by length, and the items that hold each (as places in ``ids``).
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    Equal phrases are told by 64-bit hashes of their symbols, which are exact here: words were told by
+    64-bit hashes of their bytes before.
+    """
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        self.ids = [i for i, _ in items]
         data, offsets = B.text_buffers(pa.array([t for _, t in items], pa.large_string()))
         low = B.LOWER[data]
         starts, ends, words = B.word_spans(low, offsets, B.ALNUM_BYTES)
         self.vocabulary, symbols = np.unique(B.range_hashes(B.prefix_hashes(low), starts, ends), return_inverse=True)
-        symbols = symbols.astype(np.int64) + 1
-        held: dict[tuple[int, ...], set[int]] = {}
-        for (item, _), a, b in zip(items, words[:-1], words[1:], strict=True):
-            for i in range(a, max(a + 1, b - window + 1) if b > a else a):
-                held.setdefault(tuple(symbols[i : min(b, i + window)].tolist()), set()).add(item)
-        self.by_length = {}
-        for n in sorted({len(p) for p in held}):
-            own = [p for p in held if len(p) == n]
-            self.by_length[n] = np.array(own, np.int64), [sorted(held[p]) for p in own]
+        symbols = symbols.astype(np.int32) + 1
+        sizes = np.diff(words)
+        counts = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        item = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+        first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - words[:-1], counts)
+        length = np.minimum(sizes, window)[item]
+        #: length -> (patterns, offsets into holders, holders)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            key = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                key = B.mix(key * np.uint64(2 * k + 3) + symbols[first[own] + k].astype(np.uint64))
+            pairs = np.unique(np.stack([np.unique(key, return_inverse=True)[1], item[own]]), axis=1)
+            _, one = np.unique(key, return_index=True)
+            patterns = symbols[first[own[one]][:, None] + np.arange(n)]
+            self.by_length[n] = patterns, np.searchsorted(pairs[0], np.arange(len(one) + 1)), pairs[1]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
-def _search(phrases: Phrases, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
-    """Which words lie in a phrase, and the items found in each document."""
-    hit, found = np.zeros(len(symbols) + 1, np.int64), [set() for _ in range(len(words) - 1)]
+def _search(phrases: Phrases, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words lie in a phrase, and the (document, item) pairs that were found, as two rows."""
+    hit, found = np.zeros(len(symbols) + 1, np.int64), [np.zeros((2, 0), np.int64)]
     # runs of known words inside a document, long enough for the shortest phrase
     known = symbols > 0
     breaks = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]])))
@@ -156,14 +169,14 @@ def _search(phrases: Phrases, symbols: np.ndarray, words: np.ndarray) -> tuple[n
     fit = known[np.minimum(a, len(symbols) - 1)] & (b - a >= min(phrases.by_length)) if len(symbols) else np.zeros(len(a), bool)
     a, b = a[fit], b[fit]
     if not len(a):
-        return hit[:-1] > 0, found
+        return hit[:-1] > 0, found[0]
     sizes = b - a + 1
     ends = np.cumsum(sizes)
     place = np.arange(ends[-1]) - np.repeat(ends - sizes - a, sizes)
     text = symbols[np.minimum(place, len(symbols) - 1)]
     text[ends - 1] = 0
     index = FMIndex(text, len(phrases.vocabulary))
-    for n, (patterns, items) in phrases.by_length.items():
+    for n, (patterns, starts, holders) in phrases.by_length.items():
         which, low, high = index.find(patterns)
         count = high - low
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)
@@ -172,25 +185,21 @@ def _search(phrases: Phrases, symbols: np.ndarray, words: np.ndarray) -> tuple[n
         np.add.at(hit, at + n, -1)
         document = np.searchsorted(words, at, "right") - 1
         pairs = np.unique(np.stack([document, np.repeat(which, count)]), axis=1)
-        for d, p in pairs.T.tolist():
-            found[d].update(items[p])
-    return np.cumsum(hit[:-1]) > 0, found
+        held = starts[pairs[1] + 1] - starts[pairs[1]]
+        place_of = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held - starts[pairs[1]], held)
+        found.append(np.stack([np.repeat(pairs[0], held), holders[place_of]]))
+    return np.cumsum(hit[:-1]) > 0, np.unique(np.concatenate(found, 1), axis=1)
 
 
-def _searcher(blocks: list[list[tuple[int, str | None]]], window: int):
+def _searcher(phrases: Phrases):
     def make():
-        ready = [p for p in (Phrases(block, window) for block in blocks) if p.by_length]
-
         def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             low = B.LOWER[data]
             starts, ends, words = B.word_spans(low, offsets, B.ALNUM_BYTES)
-            hashes = B.range_hashes(B.prefix_hashes(low), starts, ends)
-            hit, found = np.zeros(len(starts), bool), [set() for _ in range(len(offsets) - 1)]
-            for phrases in ready:
-                more, items = _search(phrases, phrases.symbols(hashes), words)
-                hit |= more
-                for mine, its in zip(found, items, strict=True):
-                    mine |= its
+            if phrases.by_length:
+                hit, pairs = _search(phrases, phrases.symbols(B.range_hashes(B.prefix_hashes(low), starts, ends)), words)
+            else:
+                hit, pairs = np.zeros(len(starts), bool), np.zeros((2, 0), np.int64)
             # maximal runs of hit words within a document, as word and byte ranges
             before = np.concatenate([[False], hit[:-1]])
             before[words[:-1][words[:-1] < len(hit)]] = False
@@ -200,47 +209,51 @@ def _searcher(blocks: list[list[tuple[int, str | None]]], window: int):
             document = np.searchsorted(words, first, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array(first - words[document]), pa.array(last - words[document] + 1), pa.array(starts[first] - offsets[document]), pa.array(ends[last] - offsets[document])], names=["first", "last", "start", "stop"])
             bounds = pa.array(np.searchsorted(first, words).astype(np.int32))
-            return [pa.array(np.diff(words)), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.ListArray.from_arrays(bounds, spans)]
+            names = pa.array([phrases.ids[i] for i in pairs[1].tolist()], pa.string())
+            held = pa.array(np.searchsorted(pairs[0], np.arange(len(offsets))).astype(np.int32))
+            return [pa.array(np.diff(words)), pa.ListArray.from_arrays(held, names), pa.ListArray.from_arrays(bounds, spans)]
 
         return run
 
     return make
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    return max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[str], window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``carry``, then n_words, items (ids of items with a phrase in the text) and hits.
+    """``carry``, then n_words, items (ids, as strings, of items with a phrase in the text) and hits.
 
     hits: maximal ranges of covered words [first, last) and the bytes [start, stop) they take.
     """
     spark = documents.sparkSession
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_bytes))
-    out, known = documents, carry
-    merged: list[str] = []
+    items = _items(benchmark)
+    n_blocks = _blocks(items, block_bytes)
+    found = documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
     for k in range(n_blocks):
         block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(block)
-        made = map_texts(out, "text", _lazy(shared, window), RESULT, [*dict.fromkeys([*known, *(["text"] if n_blocks > 1 else [])]), *merged], SHARD_BYTES)
-        if n_blocks == 1:
-            return made
-        names = [f"__n{k}", f"__i{k}", f"__h{k}"]
-        out = made.withColumnsRenamed({"n_words": names[0], "items": names[1], "hits": names[2]})
-        merged += names
+        shared = spark.sparkContext.broadcast(Phrases(block, window))
+        known = [c for c in found.columns if c not in ("row", "text")]
+        found = map_texts(found, "text", _lazy(shared), RESULT, ["row", *known, *(["text"] if k + 1 < n_blocks else [])], SHARD_BYTES)
+        found = found.withColumnsRenamed({"n_words": f"n{k}", "items": f"i{k}", "hits": f"h{k}"})
     parts = range(n_blocks)
-    items_all = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"__i{k}") for k in parts]))))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"__h{k}") for k in parts])))
-    joined = F.aggregate(
-        spans,
+    both = lambda name: F.flatten(F.array(*[F.col(f"{name}{k}") for k in parts]))
+    joined = F.col("h0") if n_blocks == 1 else F.aggregate(
+        F.array_sort(both("h")),
         F.array().cast("array<struct<first:long,last:long,start:long,stop:long>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"), F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return out.select(*carry, F.col("__n0").alias("n_words"), items_all.alias("items"), joined.alias("hits"))
+    )
+    return found.select(*[F.col(f"row.`{c}`") for c in carry], F.col("n0").alias("n_words"), F.array_sort(F.array_distinct(both("i"))).alias("items"), joined.alias("hits"))
 
 
-def _lazy(shared, window: int):
+def _lazy(shared):
     def make():
-        return _searcher([shared.value], window)()
+        return _searcher(shared.value)()
 
     return make
 
@@ -248,7 +261,7 @@ def _lazy(shared, window: int):
 def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hits."""
     found = find_contamination(documents, benchmark, ["doc_id"], window)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join("items", ",")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items", "hits")
 
@@ -265,32 +278,32 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     """
     spark = documents.sparkSession
     names = documents.columns
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").cast("string").alias("text"))
+    items = _items(benchmark)
+    # all input columns travel in one struct, so none of their names can clash
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def renewed(df: DataFrame) -> DataFrame:
-        columns = {c: F.col(f"__row.`{c}`") for c in names}
+        columns = {c: F.col(f"row.`{c}`") for c in names}
         columns["text"] = F.when(F.col("cut"), F.col("text")).otherwise(columns["text"])
         if "n_chars" in names:
             columns["n_chars"] = F.when(F.col("cut"), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
         return df.select(*[columns[c].alias(c) for c in names])
 
-    if total <= block_bytes:
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
-        made = map_texts(rows, "text", _cleaner(shared, window), "clean string, cut boolean", ["__row"], SHARD_BYTES)
+    if _blocks(items, block_bytes) == 1:
+        shared = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in items.collect()], window))
+        made = map_texts(rows, "text", _cleaner(shared), "clean string, cut boolean", ["row"], SHARD_BYTES)
         return renewed(made.withColumnRenamed("clean", "text"))
     scratch, done, rounds = Scratch(spark, "decontaminate"), [], 0
     left = rows.withColumn("cut", F.lit(False))
     while rounds == 0 or not left.isEmpty():
-        found = find_contamination(left, benchmark, ["__row", "text", "cut"], window, block_bytes)
+        found = find_contamination(left, benchmark, ["row", "text", "cut"], window, block_bytes)
         raw, hits = F.col("text").cast("binary"), F.col("hits")
         rest = F.transform(
             F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), hits["stop"]).alias("a"), F.concat(hits["start"], F.array(F.octet_length("text").cast("long"))).alias("b")),
             lambda x: F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"),
         )
         hit = F.size("hits") > 0
-        made = found.select("__row", F.when(hit, F.array_join(rest, "\n")).otherwise(F.col("text")).alias("text"), (F.col("cut") | hit).alias("cut"), hit.alias("again"))
+        made = found.select("row", F.when(hit, F.array_join(rest, "\n")).otherwise(F.col("text")).alias("text"), (F.col("cut") | hit).alias("cut"), hit.alias("again"))
         made = scratch.table(made, f"round{rounds}")
         done.append(made.where("NOT again"))
         left, rounds = made.where("again").drop("again"), rounds + 1
@@ -300,9 +313,9 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     return renewed(out)
 
 
-def _cleaner(shared, window: int):
+def _cleaner(shared):
     def make():
-        search = _searcher([shared.value], window)()
+        search = _searcher(shared.value)()
 
         def clean(texts: list[bytes]) -> list[bytes | None]:
             """The rest of each text that has a hit, else None."""
