@@ -16,8 +16,8 @@ is a table: half_keys**2 tables of 2*rows MinHashes for 2*half_keys*rows hash ev
 6. The pairs of sets that share a table, still lie in different components, and aren't ruled out by
    size, own shingles or sketch are confirmed on full sets. Tables of up to ``SMALL`` sets are joined
    with themselves. Larger ones are dealt into blocks of bounded size, and each pair of blocks is
-   compared with bit sets in a task of its own, which returns only what lies at the threshold. No cap
-   applies to any of these steps.
+   compared on full sets, as bits, in a task of its own, which returns a spanning forest of the links
+   that it finds: never more rows than sets. No cap applies to any of these steps.
 
 At similarity s a pair is missed with probability about 2*(1 - s**rows)**half_keys: 1.5e-4 at the
 threshold 0.85 with the defaults, 2e-6 at 0.9, and the rounds give further chances through others.
@@ -30,6 +30,7 @@ Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ from .components import components
 from .store import Scratch
 
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, us array<long>, vs array<long>, s1 long, s2 long"
-#: Sketch bits that may differ: 6.5 standard deviations above the mean at similarity 0.85.
-SKETCH_SLACK = 34
+#: How many standard deviations above the mean the differing sketch bits of a pair at the threshold may lie.
+SLACK = 6.5
 #: Sets in a table that is joined with itself; sets and bytes in a block of a larger one.
 SMALL, BLOCK_SETS, BLOCK_BYTES = 16, 1500, 4 << 20
 FILTER_BITS = 26
@@ -114,9 +115,9 @@ def _signatures(width: int, half_keys: int, rows: int):
     return run
 
 
-def _sets(width: int, small: bool = False):
-    """(rep, items): the sorted hashes of each set, 64 bits or (small) 32 bits each."""
-    kind = np.uint32 if small else np.uint64
+def _sets(width: int):
+    """(rep, items): the sorted hashes of each set."""
+    kind = np.uint64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,19 +170,25 @@ def _items(width: int):
     return run
 
 
+def slack(percent: int, hashes: int) -> int:
+    """Sketch bits that may differ. A hash differs with the chance 1 - s; then either of its two bits does with 1 / 2."""
+    n, differs = min(hashes, 64), 1 - percent / 100
+    return math.ceil(n * differs + SLACK * math.sqrt(n * differs / 2 + n * differs * (1 - differs)))
+
+
 def _compare_blocks(percent: int):
-    """Of two blocks' sets (32-bit items): pairs in different components that may reach the threshold.
+    """Of two blocks' sets: links at the threshold between different components, as a spanning forest.
 
-    Items that collide change an intersection by one or two, so the test leaves room for that; the
-    confirmation on full sets follows.
+    Sets are compared in full here, so every link is a true one, and no more of them are returned
+    than there are sets.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rep, block, comp, n, own = (table[c].to_numpy() for c in ("rep", "block", "comp", "n", "own"))
         column = table["items"].combine_chunks()
-        raw = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
         owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-        item, place, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        _, place, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
         common = held > 1
         number = np.cumsum(common) - 1
         shared = common[place]
@@ -190,17 +197,19 @@ def _compare_blocks(percent: int):
         at, who = number[place[shared]], owner[shared]
         np.bitwise_or.at(bits, (who, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
         two = table["bi"][0].as_py() != table["bj"][0].as_py()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, int]] = []
+        _, tree = np.unique(comp, return_inverse=True)  # what is linked so far
         for i in range(len(raw) - 1):
             rest = np.arange(i + 1, len(raw))
             bound = np.minimum(n[i] - own[i], n[rest] - own[rest]) * 100 >= percent * np.maximum(n[i] + own[rest], n[rest] + own[i])
-            rest = rest[bound & (comp[rest] != comp[i]) & ((block[rest] != block[i]) if two else True)]
+            rest = rest[bound & (tree[rest] != tree[i]) & ((block[rest] != block[i]) if two else True)]
             if len(rest):
-                both = np.bitwise_count(bits[rest] & bits[i]).sum(1, dtype=np.int64) + 2
-                rest = rest[100 * both >= percent * (n[i] + n[rest] - both)]
-                found.append((np.minimum(rep[i], rep[rest]), np.maximum(rep[i], rep[rest])))
-        a, b = (np.concatenate([f[k] for f in found]) if found else rep[:0] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                both = np.bitwise_count(bits[rest] & bits[i]).sum(1, dtype=np.int64)
+                for j in rest[100 * both >= percent * (n[i] + n[rest] - both)].tolist():
+                    if tree[j] != tree[i]:
+                        tree[tree == tree[j]] = tree[i]
+                        found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -231,15 +240,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, width
     return linked
 
 
-def _possible(percent: int, a: str = "", b: str = "h_") -> str:
+def _possible(percent: int, hashes: int, a: str = "", b: str = "h_") -> str:
     """What every pair above the threshold fulfils.
 
     n is the size of a set, own the number of its shingles that no other set in question holds:
     the intersection is at most n - own of either, the union at least n plus the other's own. That
-    test is exact; the sketches allow six standard deviations (see SKETCH_SLACK).
+    test is exact; the sketches allow SLACK standard deviations.
     """
     return f"""100 * least({a}n - {a}own, {b}n - {b}own) >= {percent} * greatest({a}n + {b}own, {b}n + {a}own)
-        AND bit_count({a}s1 ^ {b}s1) + bit_count({a}s2 ^ {b}s2) <= {SKETCH_SLACK}"""
+        AND bit_count({a}s1 ^ {b}s1) + bit_count({a}s2 ^ {b}s2) <= {slack(percent, hashes)}"""
 
 
 def _own_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -251,10 +260,10 @@ def _own_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _large_tables(members: DataFrame, mixed: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """The pairs within large tables that may reach the threshold, block against block."""
+    """Links within large tables, block against block, each block pair's as a spanning forest."""
     rows = scratch.table(members.join(mixed, "u").select("u", "rep", "comp", "n", "own", "blocks"), "large")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(rows.select("rep").distinct(), "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(width, small=True), "rep long, items binary").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(_sets(width), "rep long, items binary").dropDuplicates(["rep"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("u", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "rep", "block", "comp", "n", "own")
@@ -297,6 +306,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
     keyed = scratch.table(keyed.select(F.xxhash64("u", "v").alias("key"), *facts), "keyed")
 
     links = comps = None
+    hashes = 2 * half_keys * rows
     for turn in range(hub_rounds + 1):
         tag = f"round{turn}"
         if turn < hub_rounds:
@@ -306,7 +316,8 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
             # a table with one component is done; the rest go on
             hubs = members.groupBy("key").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
             hubs = scratch.table(hubs.select("key", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in [*facts, "comp"]]), f"{tag}-hubs")
-            pairs = members.join(hubs, "key").where(f"comp <> h_comp AND {_possible(percent)}")
+            pairs = members.join(hubs, "key").where(f"comp <> h_comp AND {_possible(percent, hashes)}")
+            direct = None
         else:
             members = scratch.table(_in_components(lists, comps).select("comp", *facts, "vs", F.explode("us").alias("u")), f"{tag}-members")
             weight = F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.col("n") * 4) / BLOCK_BYTES)
@@ -314,12 +325,14 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
             mixed = scratch.table(mixed.select("u", "m", "blocks"), f"{tag}-mixed")
             left = members.join(mixed.where(F.col("m") <= SMALL).select("u"), "u", "left_semi")
             right = left.select("u", *[F.col(c).alias(f"h_{c}") for c in [*facts, "comp", "vs"]])
-            pairs = left.join(right, "u").where(f"comp < h_comp AND {_possible(percent)} AND arrays_overlap(vs, h_vs)")
-            pairs = pairs.select("rep", "h_rep").union(_large_tables(members, mixed.where(F.col("m") > SMALL), docs, scratch, width, percent))
+            pairs = left.join(right, "u").where(f"comp < h_comp AND {_possible(percent, hashes)} AND arrays_overlap(vs, h_vs)")
+            direct = scratch.table(_large_tables(members, mixed.where(F.col("m") > SMALL), docs, scratch, width, percent).distinct(), f"{tag}-direct")
         pairs = scratch.table(pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct(), f"{tag}-pairs")
-        if pairs.isEmpty():
+        found = None if pairs.isEmpty() else _verify(pairs, docs, scratch, tag, width, percent)
+        if direct is not None:
+            found = direct if found is None else found.union(direct)
+        if found is None:
             continue
-        found = _verify(pairs, docs, scratch, tag, width, percent)
         links = found if links is None else links.union(found)
         comps = scratch.table(components(links, scratch, f"{tag}-cc"), f"{tag}-comps")
 
