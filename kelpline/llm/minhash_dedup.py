@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytes_np as B
 from .components import components
+from .maptext import let_go
 from .store import Scratch
 
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, us array<long>, vs array<long>, s1 long, s2 long"
@@ -48,6 +49,8 @@ SLACK = 6.5
 #: Sets in a table that is joined with itself; sets and bytes in a block of a larger one.
 SMALL, BLOCK_SETS, BLOCK_BYTES = 16, 1500, 4 << 20
 FILTER_BITS = 26
+#: Bytes of text that a task signs at once.
+SLICE = 512 << 10
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +85,7 @@ def _signatures(width: int, half_keys: int, rows: int):
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
             ids = batch.column(0)
-            for a, b in B.slices(offsets):
+            for a, b in B.slices(offsets, SLICE):
                 sets, bounds = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
@@ -111,6 +114,7 @@ def _signatures(width: int, half_keys: int, rows: int):
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * half_keys), pa.array(np.ascontiguousarray(keys[s].T).reshape(-1).view(np.int64)), mask=pa.array(empty)) for s in range(2)]
                 longs = [pa.array(x.view(np.int64)) for x in (fp[0], fp[1])]
                 yield pa.RecordBatch.from_arrays([ids[a:b].cast(pa.int64()), pa.array(sizes), *longs, *lists, pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64))], names=["doc_id", "n_shingles", "fp1", "fp2", "us", "vs", "s1", "s2"])
+        let_go()
 
     return run
 

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
-from .maptext import map_texts
+from .maptext import let_go, map_texts
 from .store import Scratch
 
 BITS = 20
 LENGTHS = (4, 5, 6)
 WINDOW = 256
+#: Bytes of text that a task scores at once.
+SLICE = 256 << 10
 #: Labelled texts of each kind that are learnt from, at most; the bound lets their ids be broadcast.
 TOXIC, CLEAN = 12_000, 24_000
 #: Tasks that count the n-grams of these texts.
@@ -114,6 +116,8 @@ def _counts(batches):
         part = slice(a, a + (1 << 16))
         cells = [pa.array(np.concatenate([[sizes[y]], counts[y, found]])[part]) for y in range(4)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int32)), *cells], names=["bucket", "c0", "c1", "c2", "c3"])
+    del counts, features, cells
+    let_go()
 
 
 def _scale(buckets: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -227,12 +231,12 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
 
     Labels train only where crc32 of the doc_id as text, modulo 3, is not 1.
     """
-    scored = map_texts(documents.select("doc_id", "text"), "text", _scorer(_model(documents, labels, sample)), "score double", ["doc_id"])
+    scored = map_texts(documents.select("doc_id", "text"), "text", _scorer(_model(documents, labels, sample)), "score double", ["doc_id"], SLICE)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of documents that aren't predicted toxic, in the same columns."""
     packed = documents.select(F.col("text"), F.struct(*[f"`{c}`" for c in documents.columns]).alias("__row"))
-    scored = map_texts(packed, "text", _scorer(_model(documents, labels, sample)), "score double", ["__row"])
+    scored = map_texts(packed, "text", _scorer(_model(documents, labels, sample)), "score double", ["__row"], SLICE)
     return scored.where(F.col("score") < threshold).select("__row.*")

@@ -485,7 +485,7 @@ def test_perplexity_is_kneser_ney(spark, docs):
     """Log perplexities, per language, against the definition; with cut-offs the rest still sums to one."""
     rows = [(i, r["text"][:400], "ab"[i % 2]) for i, r in enumerate(docs.limit(24).collect())] + [(90, "Zwölf é 123 \n\t x", "a"), (91, None, "a"), (92, "only one", None)]
     small = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["log_ppl"] for r in quality._judged(small, quality.WIDTH).select("row.doc_id", "log_ppl").collect()}
+    got = {r["doc_id"]: r["log_ppl"] for r in quality._judged(small, quality.WIDTH, ["doc_id"]).select("row.doc_id", "log_ppl").collect()}
     model = quality.train(small.select("text", quality._name(F.col("lang")).alias("lang")), Scratch(spark, "kn"), cutoff=1)
     for lang in ("a", "b", None):
         own = [(i, t) for i, t, x in rows if x == lang and t]
