@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -53,17 +55,38 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
-#: What one walk over a nested value tells.
+#: What one walk over a value tells.
 WALKED = "json string, depth int, max_key_bytes int, max_leaf_bytes int, size long, strindex_losses int"
-NODE_OVERHEAD = 32
+#: Estimated bytes of a value's node, and of an entry of a list of keys and values.
+NODE_OVERHEAD, ENTRY_OVERHEAD = 32, 56
 
 
 def _literal(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
+def float_json(x: float) -> str:
+    """As ``mapping.json_double``."""
+    if not math.isfinite(x):
+        return "null"
+    sign, digits, power = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + power
+    lead = "-" if sign else ""
+    if not text:
+        return lead + "0.0"
+    if not -5 < point <= 16:
+        return f"{lead}{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{point - 1}"
+    if point <= 0:
+        return f"{lead}0.{'0' * -point}{text}"
+    return f"{lead}{text.ljust(point, '0')}.0" if point >= len(text) else f"{lead}{text[:point]}.{text[point:]}"
+
+
 def walk_value(value: Any) -> tuple[str, int, int, int, int, int]:
-    """Canonical JSON of a wire value ({"stringValue": ...} and so on), its depth, largest key and leaf, size and losses."""
+    """Canonical JSON of a wire value ({"stringValue": ...} and so on), its depth, largest key and leaf, size and losses.
+
+    Depth counts containers inside each other: a list of plain values has 1.
+    """
     kinds = {k: v for k, v in (value or {}).items() if v is not None}
     if not kinds:
         return "null", 0, 0, 0, NODE_OVERHEAD, 0
@@ -74,8 +97,6 @@ def walk_value(value: Any) -> tuple[str, int, int, int, int, int]:
         n = len(v.encode())
         return _literal(v), 0, 0, n, NODE_OVERHEAD + n, 0
     if kind == "bytesValue":
-        import base64
-
         raw = base64.b64decode(v)
         return f'"{raw.hex()}"', 0, 0, len(raw), NODE_OVERHEAD + len(raw), 0
     if kind == "boolValue":
@@ -83,25 +104,36 @@ def walk_value(value: Any) -> tuple[str, int, int, int, int, int]:
     if kind == "intValue":
         return str(int(v)), 0, 0, 0, NODE_OVERHEAD, 0
     if kind == "doubleValue":
-        x = float(v)
-        return (json.dumps(x) if math.isfinite(x) else "null"), 0, 0, 0, NODE_OVERHEAD, 0
+        return float_json(float(v)), 0, 0, 0, NODE_OVERHEAD, 0
     if kind == "arrayValue":
         inner = [("", walk_value(x)) for x in v.get("values") or []]
-        body = "[" + ",".join(w[0] for _, w in inner) + "]"
+        body, keys, entries = "[" + ",".join(w[0] for _, w in inner) + "]", [], 0
     elif kind == "kvlistValue":
         inner = [(x.get("key", ""), walk_value(x.get("value"))) for x in v.get("values") or []]
         last = dict((k, w[0]) for k, w in inner)
         body = "{" + ",".join(f"{_literal(k)}:{last[k]}" for k in sorted(last, key=lambda k: k.encode())) + "}"
+        keys, entries = [len(k.encode()) for k, _ in inner], ENTRY_OVERHEAD * len(inner)
     else:
         return "null", 0, 0, 0, NODE_OVERHEAD, 0
-    keys = [len(k.encode()) for k, _ in inner]
     walks = [w for _, w in inner]
-    return body, 1 + max([w[1] for w in walks], default=0), max([*keys, *(w[2] for w in walks)], default=0), max([w[3] for w in walks], default=0), NODE_OVERHEAD + sum(keys) + sum(w[4] for w in walks), sum(w[5] for w in walks)
+    return body, 1 + max([w[1] for w in walks], default=0), max([*keys, *(w[2] for w in walks)], default=0), max([w[3] for w in walks], default=0), NODE_OVERHEAD + sum(keys) + entries + sum(w[4] for w in walks), sum(w[5] for w in walks)
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}[t]) for n, t in (x.split(" ") for x in WALKED.split(", "))]))
+_FIELDS = [x.split(" ") for x in WALKED.split(", ")]
+WALK_TYPE = T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}[t]) for n, t in _FIELDS])
+WALK_DDL = ",".join(f"{n}:{'bigint' if t == 'long' else t}" for n, t in _FIELDS)
+
+
+@F.pandas_udf(WALK_TYPE)
 def walk_json(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """walk_value over JSON text; null text gives a null value."""
-    columns = ["json", "depth", "max_key_bytes", "max_leaf_bytes", "size", "strindex_losses"]
     for part in values:
-        yield pd.DataFrame([walk_value(None if x is None else json.loads(x)) for x in part], columns=columns)
+        yield pd.DataFrame([walk_value(None if x is None else json.loads(x)) for x in part], columns=[n for n, _ in _FIELDS])
+
+
+@F.pandas_udf(T.ArrayType(WALK_TYPE))
+def walk_all(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """walk_value over lists of JSON texts; a null list stays null."""
+    names = [n for n, _ in _FIELDS]
+    for part in lists:
+        yield pd.Series([None if x is None else [dict(zip(names, walk_value(json.loads(y)), strict=True)) for y in x] for x in part])

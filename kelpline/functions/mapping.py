@@ -24,6 +24,18 @@ def event_time(time: Column, observed: Column) -> Column:
     return F.when(time == 0, observed).otherwise(time)
 
 
+def event_date(timestamp_ns: Column) -> Column:
+    """The UTC day of a time in nanoseconds, for partitioning."""
+    day = 86_400_000_000_000
+    return F.date_add(F.lit("1970-01-01").cast("date"), ((timestamp_ns - F.pmod(timestamp_ns, F.lit(day))) / day).cast("int"))
+
+
+def in_range(timestamp_ns: str, low: int, high: int, date: str | None = "event_date") -> Column:
+    """low <= time < high, and the same of the day, which prunes partitions."""
+    time = (F.col(timestamp_ns) >= low) & (F.col(timestamp_ns) < high)
+    return time & F.col(date).between(event_date(F.lit(low)), event_date(F.lit(high - 1))) if date else time
+
+
 def severity(number: Column) -> Column:
     """Severity numbers outside 0..24 are unspecified (0)."""
     return F.when(number.between(0, 24), number).otherwise(F.lit(0)).cast("int")
@@ -70,11 +82,31 @@ def lossy_text(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def _digits(value: Column) -> tuple[Column, Column, Column]:
+    """Sign, significant digits, and where the point stands before them: the number is 0.digits * 10**point. Zero has no digits."""
+    text = F.abs(value).cast("string")
+    whole, part, power = (F.regexp_extract(text, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", k) for k in (1, 2, 3))
+    both = F.concat(whole, part)
+    led = F.regexp_replace(both, "^0+", "")
+    point = F.length(whole) + F.coalesce(F.nullif(power, F.lit("")).cast("int"), F.lit(0)) - (F.length(both) - F.length(led))
+    # minus zero keeps its sign
+    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return sign, F.regexp_replace(led, "0+$", ""), point
+
+
+def _placed(digits: Column, point: Column, whole_tail: str) -> Column:
+    """Digits with the point in its place and zeros where they are needed; ``whole_tail`` ends whole numbers."""
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(whole_tail))
+    return F.when(n == 0, F.lit("0" + whole_tail)).when(point <= 0, small).when(point >= n, large).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+
+
 def plain_double(value: Column) -> Column:
-    """A double without exponent: 5.0 prints as 5; not-a-number and infinities as NaN, inf, -inf."""
-    small, whole = value.try_cast("decimal(38,17)"), value.try_cast("decimal(38,0)")
-    text = F.when(small.isNotNull(), F.regexp_replace(F.format_string("%s", small), r"\.?0+$", ""))
-    return F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf")).when(whole.cast("double") == value, whole.cast("string")).otherwise(text)
+    """A double without exponent: 5.0 prints as 5, 1e-7 as 0.0000001; not-a-number and infinities as NaN, inf, -inf."""
+    sign, digits, point = _digits(value)
+    odd = F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf"))
+    return odd.when(value.isNotNull(), F.concat(sign, _placed(digits, point, "")))
 
 
 def scalar_body(text: Column, integer: Column, double: Column, boolean: Column) -> Column:
@@ -83,8 +115,14 @@ def scalar_body(text: Column, integer: Column, double: Column, boolean: Column)
 
 
 def json_double(value: Column) -> Column:
-    """A double in JSON; values that aren't finite are null."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit("null")).otherwise(value.cast("string"))
+    """A double in JSON: 5.0, 10000000.0, 0.00001, 1e-6, 1e21; an exponent from 1e16 on and below 1e-5. Not finite: null."""
+    sign, digits, point = _digits(value)
+    n = F.length(digits)
+    power = F.concat(F.lit("e"), (point - 1).cast("string"))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit("")), power)
+    plain = (n == 0) | ((point > -5) & (point <= 16))
+    text = F.concat(sign, F.when(plain, _placed(digits, point, ".0")).otherwise(scientific))
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit("null")).otherwise(text)
 
 
 def safe_preview(text: Column, length: int = 200) -> Column:

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def resource_rows(records: DataFrame) -> DataFrame:
-    """One row per resource_id: that of the earliest record that names it."""
-    first = F.min_by(F.struct("service_name", "host_name", "schema_url", "resource_json"), "id").alias("r")
-    grouped = records.groupBy("resource_id").agg(first, F.min("id").alias("first_seen"))
-    return grouped.select(F.col("resource_id").alias("id"), "r.service_name", "r.host_name", "r.schema_url", F.col("r.resource_json").alias("attributes_json"), "first_seen")
+    """One row per resource_id: that of the earliest record that names it.
+
+    Ids alone are reduced first (their aggregation needs no sort); only the rows found so are fetched.
+    """
+    first = records.groupBy("resource_id").agg(F.min("id").alias("first_seen"))
+    own = records.select("resource_id", F.col("id").alias("first_seen"), "service_name", "host_name", "schema_url", F.col("resource_json").alias("attributes_json"))
+    rows = own.join(first, ["resource_id", "first_seen"], "left_semi").dropDuplicates(["resource_id"])
+    return rows.select(F.col("resource_id").alias("id"), "service_name", "host_name", "schema_url", "attributes_json", "first_seen")
 
 
 def upsert_resources(existing: DataFrame, incoming: DataFrame) -> DataFrame:

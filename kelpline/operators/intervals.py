@@ -1,61 +1,84 @@
-"""Algebra on sets of closed integer intervals (start, end)."""
+"""Algebra on sets of closed integer intervals (start, end).
+
+All of it is one sweep: intervals become steps up and down at their ends, running totals of the steps
+say what covers a point, and where that begins and stops to fulfil a condition, intervals begin and
+end. Totals run in cells of the number line (``prefix``), so no task sees all points.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width of the cells that intervals and points are dealt by.
-CELL = 1 << 16
+from .prefix import BITS, running
+
 
+def _steps(intervals: DataFrame, by: Sequence[str], **signs: int) -> DataFrame:
+    """by, at and the named steps: +sign where an interval starts, -sign after its end. Intervals with start > end are dropped."""
+    rows = intervals.where(F.col("start") <= F.col("end"))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("s")
+    return rows.select(*by, ends).select(*by, F.col("s.at").cast("bigint").alias("at"), *[(F.col("s.d") * k).cast("bigint").alias(n) for n, k in signs.items()])
 
-def merge(intervals: DataFrame, cell: int = CELL) -> DataFrame:
-    """Overlapping and adjacent intervals as one; those with start > end are dropped.
 
-    Each cell of the number line merges what starts in it by itself; the much fewer results are then
-    merged over cells by one window.
-    """
-    rows = intervals.where(F.col("start") <= F.col("end")).select("start", "end", F.floor(F.col("start") / cell).alias("cell"))
+def _sweep(steps: DataFrame, by: Sequence[str], holds: Column) -> DataFrame:
+    """by, start, end of the maximal stretches in which ``holds`` (of running totals a and b) is true."""
+    points = steps.groupBy(*by, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    points = points.where("a <> 0 OR b <> 0").withColumns({"da": F.col("a"), "db": F.col("b")})
+    now = running(points, by, "at", {"a": "sum", "b": "sum"})
+    was = now.withColumns({"after": holds, "a": F.col("a") - F.col("da"), "b": F.col("b") - F.col("db")}).withColumn("was", holds)
+    turns = was.where("after <> was").select(*by, "at", F.col("after").cast("bigint").alias("n"), "after")
+    paired = running(turns, by, "at", {"n": "sum"})
+    return paired.groupBy(*by, "n").agg(F.max(F.when(F.col("after"), F.col("at"))).alias("start"), F.max(F.when(~F.col("after"), F.col("at") - 1)).alias("end")).drop("n")
 
-    def islands(df: DataFrame, part: list[str]) -> DataFrame:
-        w = W.partitionBy(*part).orderBy("start", "end")
-        reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-        fresh = F.when(F.col("start") <= reach + 1, 0).otherwise(1)
-        marked = df.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        return marked.groupBy(*part, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
-    local = islands(rows, ["cell"]).select("start", "end", F.lit(0).alias("one"))
-    return islands(local, ["one"]).select("start", "end")
+def merge(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Overlapping and adjacent intervals as one, for each ``by``; those with start > end are dropped."""
+    return _sweep(_steps(intervals, by, a=1, b=0), by, F.col("a") > 0)
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What a covers and b doesn't, merged. A sweep over boundary events of both merged sets."""
-    events = None
-    for df, name in ((merge(a), "a"), (merge(b), "b")):
-        for at, sign in ((F.col("start"), 1), (F.col("end") + 1, -1)):
-            one = df.select(at.alias("at"), F.lit(sign if name == "a" else 0).alias("da"), F.lit(sign if name == "b" else 0).alias("db"))
-            events = one if events is None else events.unionByName(one)
-    points = events.groupBy("at").agg(F.sum("da").alias("da"), F.sum("db").alias("db")).withColumn("one", F.lit(0))
-    w = W.partitionBy("one").orderBy("at")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    spans = points.select("at", F.lead("at").over(w).alias("next"), F.sum("da").over(run).alias("a"), F.sum("db").over(run).alias("b"))
-    return merge(spans.where("a > 0 AND b = 0").select(F.col("at").alias("start"), (F.col("next") - 1).alias("end")))
+    """What a covers and b doesn't, merged."""
+    return _sweep(_steps(a, (), a=1, b=0).unionByName(_steps(b, (), a=0, b=1)), (), (F.col("a") > 0) & (F.col("b") == 0))
+
+
+def length(merged: DataFrame) -> DataFrame:
+    """How many integers disjoint intervals hold (total)."""
+    return merged.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("total"))
 
 
 def total(intervals: DataFrame) -> DataFrame:
-    """How many integers merged intervals cover."""
-    return merge(intervals).agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("total"))
+    """How many integers intervals cover."""
+    return length(merge(intervals))
+
+
+def covered(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The distinct values v of points that lie in an interval."""
+    there = points.select(F.col("v").cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("a"), F.lit(True).alias("point"))
+    rows = _steps(intervals, (), a=1).withColumn("point", F.lit(False)).unionByName(there)
+    rows = rows.groupBy("at").agg(F.sum("a").alias("a"), F.bool_or("point").alias("point"))
+    return running(rows, (), "at", {"a": "sum"}).where("point AND a > 0").select(F.col("at").alias("v"))
+
+
+def contains(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The rows of points (column v) that lie in an interval, each once."""
+    return points.join(covered(points, intervals), "v", "left_semi")
+
+
+def values(merged: DataFrame) -> DataFrame:
+    """The integers v of disjoint intervals. A long one is cut into pieces that are dealt out first."""
+    piece = 1 << BITS
+    cuts = F.explode(F.sequence(F.col("start"), F.col("end"), F.lit(piece).cast("bigint"))).alias("lo")
+    pieces = merged.select("end", cuts).select("lo", F.least(F.col("end"), F.col("lo") + piece - 1).alias("hi")).repartition("lo")
+    return pieces.select(F.explode(F.sequence("lo", "hi")).alias("v"))
 
 
-def contains(points: DataFrame, intervals: DataFrame, cell: int = 1024) -> DataFrame:
-    """points (column v) that lie in an interval, each once. An equi-join on cells, then the exact test."""
-    merged = merge(intervals).withColumn("cell", F.explode(F.expr(f"sequence(floor(start / {cell}), floor(end / {cell}))")))
-    p = points.withColumn("cell", F.floor(F.col("v") / cell))
-    return p.join(merged, (p["cell"] == merged["cell"]) & F.col("v").between(F.col("start"), F.col("end")), "left_semi").drop("cell")
+def gaps(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Intervals of the expected values that aren't among found (column v)."""
+    return subtract(expected, found.select(F.col("v").alias("start"), F.col("v").alias("end")))
 
 
 def missing(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Values v of the expected intervals that aren't among found (column v)."""
-    dense = merge(expected).select(F.explode(F.expr("sequence(start, end)")).alias("v"))
-    return dense.join(found.select("v"), "v", "left_anti")
+    return values(gaps(expected, found))

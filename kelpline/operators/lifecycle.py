@@ -24,63 +24,109 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _since(events: DataFrame, cutoff: int) -> DataFrame:
+    """Events from a time on; where they are stored by day, older days aren't read."""
+    kept = events.where(F.col("timestamp_ns") >= cutoff)
+    return kept.where(F.col("event_date") >= mapping.event_date(F.lit(cutoff))) if "event_date" in events.columns else kept
+
+
 def purge(events: DataFrame, resources: DataFrame, now_ns: int, window_ns: int) -> tuple[DataFrame, DataFrame]:
     """Events within the window and the resources that they use. Strictly older events go.
 
     Resources are only cleaned when the purge deletes something; orphans from before stay otherwise.
     """
     cutoff = mapping.retention_cutoff(now_ns, window_ns)
-    kept = events.where(F.col("timestamp_ns") >= cutoff)
+    kept = _since(events, cutoff)
     if events.where(F.col("timestamp_ns") < cutoff).isEmpty():
         return kept, resources
     return kept, resources.join(kept.select(F.col("resource_id").alias("id")), "id", "left_semi")
 
 
 def purge_report(events: DataFrame, resources: DataFrame, now_ns: int, window_ns: int) -> DataFrame:
-    kept, used = purge(events, resources, now_ns, window_ns)
-    names = {"deleted": events.where(F.col("timestamp_ns") < mapping.retention_cutoff(now_ns, window_ns)), "kept": kept, "resources": used}
-    return row_counts(names)
-
-
-def partition_ranges(rows: DataFrame, order: list[Column], bytes_: Column, parts: int) -> DataFrame:
-    """Rows with their place in a global order and the bytes up to and including them.
-
-    Rows are ranged by the order's first key, each range is summed, and only the range totals meet
-    in one window; within a range a window runs on its own.
+    """(name, n): what a purge deletes, keeps, and the resources that stay. Events are read once."""
+    old = F.col("timestamp_ns") < mapping.retention_cutoff(now_ns, window_ns)
+    per = events.groupBy("resource_id").agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("kept"))
+    used = per.join(resources.select(F.col("id").alias("resource_id"), F.lit(1).alias("known")), "resource_id", "full")
+    zero = F.lit(0)
+    sums = used.agg(F.coalesce(F.sum("deleted"), zero).alias("deleted"), F.coalesce(F.sum("kept"), zero).alias("kept"), F.count_if((F.col("kept") > 0) & F.col("known").isNotNull()).alias("used"), F.count("known").alias("known"))
+    one = lambda name, n: F.struct(F.lit(name).alias("name"), n.alias("n"))
+    left = F.when(F.col("deleted") > 0, F.col("used")).otherwise(F.col("known"))
+    return sums.select(F.explode(F.array(one("deleted", F.col("deleted")), one("kept", F.col("kept")), one("resources", left))).alias("r")).select("r.*")
+
+
+def oldest(events: DataFrame, n: int) -> DataFrame:
+    """The n oldest events by (timestamp_ns, id), where n is bounded.
+
+    Numbers per day, then per second of the day in question, bound the times first, so that not much
+    more than n rows are sorted.
     """
-    ranged = rows.withColumn("__bytes", bytes_.cast("bigint")).withColumn("__range", F.lit(0))
-    keys = [F.col(f"__k{i}") for i in range(len(order))]
-    ranged = ranged.withColumns({f"__k{i}": k for i, k in enumerate(order)})
-    bounds = ranged.stat.approxQuantile("__k0", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    for b in sorted(set(bounds)):
-        ranged = ranged.withColumn("__range", F.col("__range") + (F.col("__k0") > F.lit(int(b)).cast("bigint")).cast("int"))
-    totals = ranged.groupBy("__range").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"))
-    own = W.partitionBy("__range").orderBy(*keys)
-    out = ranged.join(totals, "__range").withColumn("place", F.row_number().over(own) + F.col("__n0")).withColumn("bytes_upto", F.sum("__bytes").over(own.rowsBetween(W.unboundedPreceding, 0)) + F.col("__b0"))
-    return out.drop("__bytes", "__range", "__b0", "__n0", *[f"__k{i}" for i in range(len(order))])
-
-
-def enforce_quota(events: DataFrame, quota_bytes: int, parts: int = 16, batch: int = BATCH, rounds: int = QUOTA_ROUNDS) -> DataFrame:
+    def bound(rows: DataFrame, cell: Column, width: int) -> tuple[DataFrame, int | None]:
+        sizes = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("c")).orderBy("cell").limit(100_000)
+        seen = 0
+        for r in sizes.toLocalIterator():
+            seen += r["c"]
+            if seen >= n:
+                return rows.where(F.col("timestamp_ns") < (r["cell"] + 1) * width), r["cell"]
+        return rows, None
+
+    floor = lambda width: ((F.col("timestamp_ns") - F.pmod("timestamp_ns", F.lit(width))) / width).cast("bigint")
+    day, second = 86_400_000_000_000, 1_000_000_000
+    rows, last = bound(events, floor(day), day)
+    if last is not None:
+        if "event_date" in events.columns:
+            rows = rows.where(F.col("event_date") <= mapping.event_date(F.lit(last * day)))
+        before = rows.where(F.col("timestamp_ns") < last * day).count()
+        inside, left = rows.where(F.col("timestamp_ns") >= last * day), n - before
+        seen, cells = 0, inside.groupBy(floor(second).alias("cell")).agg(F.count("*").alias("c")).orderBy("cell")
+        for r in cells.toLocalIterator():
+            seen += r["c"]
+            if seen >= left:
+                rows = rows.where(F.col("timestamp_ns") < (r["cell"] + 1) * second)
+                break
+    return rows.orderBy("timestamp_ns", "id").limit(n)
+
+
+def enforce_quota(events: DataFrame, quota_bytes: int, batch: int = BATCH, rounds: int = QUOTA_ROUNDS) -> DataFrame:
     """The events that stay: the oldest go in whole batches until the rest fits, in at most ``rounds`` batches.
 
-    The newest batch always stays, even where the quota can't be met.
+    The newest batch always stays, even where the quota can't be met. Only the oldest ``rounds`` *
+    ``batch`` events are ever ordered; the last one that goes then bounds the rest by a plain filter.
     """
     size = F.coalesce(F.octet_length("body"), F.lit(0)) + F.octet_length("attributes_json")
-    placed = partition_ranges(events, [F.col("timestamp_ns"), F.col("id")], size, parts)
     total = events.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    if total["b"] <= quota_bytes or not total["n"]:
+    most = min(rounds * batch, (total["n"] - 1) // batch * batch) if total["n"] else 0
+    if total["b"] <= quota_bytes or most <= 0:
         return events
-    # the smallest number of whole batches whose removal makes the rest fit
-    fits = placed.where((F.col("place") % batch == 0) & (F.lit(total["b"]) - F.col("bytes_upto") <= quota_bytes)).agg(F.min("place")).first()[0]
-    gone = min(fits if fits is not None else total["n"], rounds * batch, (total["n"] - 1) // batch * batch)
-    return placed.where(F.col("place") > gone).select(*events.columns)
+    w = W.orderBy("timestamp_ns", "id")  # over at most rounds * batch rows
+    placed = oldest(events.select(*{"timestamp_ns", "id", *(["event_date"] if "event_date" in events.columns else [])}, size.cast("bigint").alias("bytes")), most)
+    placed = placed.select("timestamp_ns", "id", F.row_number().over(w).alias("place"), F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    ends = placed.where(F.col("place") % batch == 0).orderBy("place").collect()  # one row for each batch
+    last = next((r for r in ends if total["b"] - r["upto"] <= quota_bytes), ends[-1])
+    t = F.col("timestamp_ns")
+    return _since(events, last["timestamp_ns"]).where((t > last["timestamp_ns"]) | ((t == last["timestamp_ns"]) & (F.col("id") > last["id"])))
+
+
+def drop_signal(spark: SparkSession, root: str, tables: tuple[str, ...] = ("metric_data_point", "metric_series", "metric", "scope")) -> list[str]:
+    """Remove an older signal's stored tables, children before parents; the names of those that were there. Log tables aren't touched."""
+    gone = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            gone.append(name)
+    return gone
+
+
+def purge_points(points: DataFrame, series: DataFrame, now_ns: int, window_ns: int) -> tuple[DataFrame, DataFrame]:
+    """Metric points within the window (time_unix_nano), and the series that still have one."""
+    kept = points.where(F.col("time_unix_nano") >= mapping.retention_cutoff(now_ns, window_ns))
+    return kept, series.join(kept.select("series_id"), "series_id", "left_semi")
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """rows and an order-independent content checksum."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    """rows and an order-independent content checksum: the sum of 60 bits of each row's MD5, taken over its columns by name."""
+    cells = [F.lower(F.hex(c)) if kind == "binary" else F.col(c).cast("string") for c, kind in sorted(df.dtypes)]
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in cells])
+    h = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,14 +27,15 @@ def correctness(found: DataFrame, generated: int, rejected: DataFrame, ambiguous
 
     found has a column v. In a recovery run, rows of rejected requests that were applied in part are tolerated.
     """
-    distinct = found.select("v").distinct()
-    expected = expected_persisted(generated, rejected, ambiguous)
+    distinct = found.where("v IS NOT NULL").select("v").distinct()
+    everything = found.sparkSession.createDataFrame([(1, generated)], "start long, end long")
+    taken = rejected.select("start", "end").unionByName(ambiguous.select("start", "end")).unionByName(distinct.select(F.col("v").alias("start"), F.col("v").alias("end")))
     parts = {
-        "missing": intervals.missing(expected, distinct).agg(F.count("*").alias("x")),
+        "missing": intervals.length(intervals.subtract(everything, taken)).select(F.col("total").alias("x")),
         "duplicate": duplicates(found).select(F.col("duplicates").alias("x")),
         "unexpected": distinct.where((F.col("v") < 1) | (F.col("v") > generated)).agg(F.count("*").alias("x")),
-        "rejected_present": intervals.contains(distinct, rejected).agg(F.count("*").alias("x")),
-        "ambiguous_present": intervals.contains(distinct, ambiguous).agg(F.count("*").alias("x")),
+        "rejected_present": intervals.covered(distinct, rejected).agg(F.count("*").alias("x")),
+        "ambiguous_present": intervals.covered(distinct, ambiguous).agg(F.count("*").alias("x")),
     }
     rows = None
     for name, df in parts.items():
@@ -46,21 +49,27 @@ def correctness(found: DataFrame, generated: int, rejected: DataFrame, ambiguous
     return wide.withColumn("passed", ok)
 
 
-def classify_outcome(status: Column, accepted: Column, records: Column) -> Column:
-    """accepted, rejected or ambiguous from a client's status and the number that the server took.
+def classify_outcome(status: Column, transport: Column, rejected: Column, records: Column) -> Column:
+    """What became of a request: accepted, rejected, ambiguous or partial.
 
-    A partial success has inexact positions, so its range is ambiguous; so is a lost answer.
+    An answer (status ok) tells how many records were rejected: none, all, or some, whose positions
+    it doesn't say. Invalid argument and unavailable are the server's own verdicts and reject all,
+    unless the transport made them up. Any other end (a timeout too) leaves open what was stored.
     """
-    return F.when((status == "ok") & (accepted == records), "accepted").when((status == "ok") & (accepted == 0), "rejected").when(status == "ok", "ambiguous").when(status.isin("invalid_argument", "resource_exhausted", "unauthenticated"), "rejected").otherwise("ambiguous")
+    answer = F.when(F.coalesce(rejected, F.lit(0)) <= 0, "accepted").when(rejected >= records, "rejected").otherwise("partial")
+    verdict = status.isin("invalid_argument", "unavailable") & ~F.coalesce(transport, F.lit(False))
+    return F.when(status == "ok", answer).when(verdict, "rejected").otherwise("ambiguous")
 
 
 def outcome_ledger(results: DataFrame) -> DataFrame:
-    """Merged intervals of each class: class, start, end."""
-    out = None
-    for kind in ("accepted", "rejected", "ambiguous"):
-        one = intervals.merge(results.where(F.col("class") == kind)).select(F.lit(kind).alias("class"), "start", "end")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Merged intervals of each class: class, start, end, positions_exact.
+
+    A request that was rejected in part counts as ambiguous; one such makes the positions inexact.
+    Requests without a class, start or end are left out.
+    """
+    exact = results.where(F.col("class") == "partial").isEmpty()
+    rows = results.where("class IS NOT NULL").withColumn("class", F.when(F.col("class") == "partial", "ambiguous").otherwise(F.col("class")))
+    return intervals.merge(rows, by=["class"]).withColumn("positions_exact", F.lit(exact))
 
 
 def accounting(results: DataFrame) -> DataFrame:
@@ -84,22 +93,36 @@ def latency_summary(samples: DataFrame, by: list[str], value: str, exact: bool =
     return got.select(*by, "n", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(PERCENTILES)], "max")
 
 
-def health(samples: DataFrame, stall_ms: int = 10_000, busy_share: float = 0.9, maintenance_ms: int = 60_000) -> DataFrame:
-    """Each sample with state (Healthy, Degraded, Unhealthy) and reason; the first rule that holds decides."""
-    backlog = (F.col("queue_depth") > 0) | (F.col("pending_records") > 0)
-    long_run = F.col("maintenance_in_progress") & (F.col("maintenance_elapsed_ms") > maintenance_ms)
+def health(samples: DataFrame, degraded_ms: int = 5_000, unhealthy_ms: int = 30_000, ack_stall_ms: int = 60_000, maintenance_ms: int = 900_000, pressure: float = 0.8) -> DataFrame:
+    """Each sample with state (Healthy, Degraded, Unhealthy) and reason; the first rule that holds decides.
+
+    During maintenance the writer rests by design: only its own bound makes it unhealthy. Outside of
+    it, tickets that wait while nothing is pending and both stages rest are lost. A stage's age counts
+    only while it has work. A queue is full from ``pressure`` of its capacity on (1 at least); without
+    a capacity never.
+    """
+    c = F.col
+    pending = c("queue_depth") + c("pending_records")
+    share = min(max(pressure, 0.0), 1.0) if math.isfinite(pressure) else 1.0
+    full = (c("queue_capacity") > 0) & (c("queue_depth") >= F.greatest(F.floor(c("queue_capacity") * share), F.lit(1)))
+    waiting = (c("outstanding_tickets") > 0) & (c("watermark_idle_ms") >= ack_stall_ms)
+    resting = (c("writer_idle_ms") >= ack_stall_ms) & (c("batcher_idle_ms") >= ack_stall_ms)
+    age = F.greatest(F.when(c("queue_depth") > 0, c("writer_idle_ms")).otherwise(0), F.when(c("pending_records") > 0, c("batcher_idle_ms")).otherwise(0))
+    upkeep = c("maintenance_in_progress")
     rules = [
-        (~F.col("writer_running"), "Unhealthy", "writer stopped"),
-        (~F.col("batcher_running"), "Unhealthy", "batcher stopped"),
-        (long_run & (F.col("maintenance_elapsed_ms") > 5 * maintenance_ms), "Unhealthy", "maintenance stuck"),
-        (backlog & ~F.col("maintenance_in_progress") & (F.col("writer_idle_ms") > stall_ms), "Unhealthy", "writer stalled"),
-        ((F.col("ingest_queue_depth") > 0) & (F.col("batcher_idle_ms") > stall_ms), "Unhealthy", "batcher stalled"),
-        ((F.col("outstanding_tickets") > 0) & (F.col("watermark_idle_ms") > 3 * stall_ms), "Unhealthy", "watermark stalled"),
-        (long_run, "Degraded", "maintenance is slow"),
-        (F.col("queue_depth") >= F.col("queue_capacity") * busy_share, "Degraded", "queue nearly full"),
-        ((F.col("outstanding_tickets") > 0) & (F.col("watermark_idle_ms") > stall_ms), "Degraded", "watermark is slow"),
+        (~c("writer_running"), "Unhealthy", "writer not running"),
+        (~c("batcher_running"), "Unhealthy", "batcher not running"),
+        (upkeep & (c("maintenance_elapsed_ms") >= maintenance_ms), "Unhealthy", "maintenance stalled"),
+        (upkeep & waiting, "Degraded", "maintenance ack stall"),
+        (upkeep & full, "Degraded", "maintenance saturated"),
+        (upkeep, "Healthy", "maintenance running"),
+        (waiting & (pending == 0) & resting, "Unhealthy", "ack stall"),
+        (pending == 0, "Healthy", "idle"),
+        (age >= unhealthy_ms, "Unhealthy", "stalled"),
+        (age >= degraded_ms, "Degraded", "draining"),
+        (full, "Degraded", "saturated"),
     ]
-    state, reason = F.lit("Healthy"), F.lit(None).cast("string")
+    state, reason = F.lit("Healthy"), F.lit("progressing")
     for test, s, r in reversed(rules):
         state, reason = F.when(test, s).otherwise(state), F.when(test, r).otherwise(reason)
     return samples.withColumns({"state": state, "reason": reason})

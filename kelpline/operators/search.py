@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
+from . import prefix
 
 FULL = ["body", "event_name", "severity_text", "attributes_json", "scope_name", "service_name"]
+#: Buckets of terms of a stored index.
+BUCKETS = 64
 MODES = {"off": [], "body": ["body"], "full": FULL}
 
 
@@ -25,9 +27,20 @@ def postings(rows: DataFrame, mode: str) -> DataFrame:
     return split.select("term", "id", "column", "pos")
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Store postings by buckets of terms, sorted by term, so that a search reads one bucket's row groups of its term."""
+    rows = index.withColumn("bucket", _bucket(F.col("term")))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def term_search(index: DataFrame, rows: DataFrame, term: str, column: str | None = None) -> DataFrame:
-    """Rows that hold the term, in any indexed column or in one."""
+    """Rows that hold the term, in any indexed column or in one. A stored index is read in the term's bucket only."""
     hits = index.where(F.col("term") == term)
+    hits = hits.where(F.col("bucket") == _bucket(F.lit(term))) if "bucket" in index.columns else hits
     hits = hits.where(F.col("column") == column) if column else hits
     return rows.join(hits.select("id"), "id", "left_semi")
 
@@ -42,26 +55,50 @@ def without_deleted(index: DataFrame, deleted: DataFrame) -> DataFrame:
     return index.join(deleted.select("id"), "id", "left_anti")
 
 
-def keyset_pages(rows: DataFrame, after: int, until: int, size: int, parts: int = 16) -> DataFrame:
-    """(page, first_id, last_id, n) of the ids above ``after`` up to ``until``, ``size`` a page.
+def keyset_pages(rows: DataFrame, after: int, until: int, size: int) -> DataFrame:
+    """(page, first_id, last_id, n) of the ids above ``after`` up to ``until``, ``size`` a page."""
+    ids = rows.where((F.col("id") > after) & (F.col("id") <= until)).groupBy("id").agg(F.count("*").alias("n"))
+    placed = prefix.running(ids.select("id", F.lit(1).cast("bigint").alias("n")), (), "id", {"n": "sum"})
+    return placed.groupBy(F.floor((F.col("n") - 1) / size).alias("page")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
-    Ids are counted in ranges first; only the range totals meet in one window.
+
+class Rebuild:
+    """A rebuild of the postings below ``root``, page after page, that can stop and go on.
+
+    The plan of pages is made once and stored. A step writes a page's postings over what an earlier try
+    left there, then the cursor; so a step that is repeated after a failure converges. The cursor is the
+    last file of a folder whose files are never changed.
     """
-    ids = rows.where((F.col("id") > after) & (F.col("id") <= until)).select("id")
-    width = max(1, (until - after) // parts)
-    ranged = ids.withColumn("r", F.floor((F.col("id") - after - 1) / width))
-    totals = ranged.groupBy("r").agg(F.count("*").alias("n"))
-    totals = totals.select("r", F.coalesce(F.sum("n").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    place = F.row_number().over(W.partitionBy("r").orderBy("id")) + F.col("n0") - 1
-    paged = ranged.join(totals, "r").select("id", F.floor(place / size).alias("page"))
-    return paged.groupBy("page").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
-
-
-def rebuild_page(rows: DataFrame, cursor: int, until: int, size: int, mode: str) -> tuple[int | None, DataFrame]:
-    """The next page's last id (None: done) and its postings. Writing them over the page's old ones makes a replay converge."""
-    page = rows.where((F.col("id") > cursor) & (F.col("id") <= until)).orderBy("id").limit(size)
-    last = page.agg(F.max("id")).first()[0]
-    return last, postings(rows.where((F.col("id") > cursor) & (F.col("id") <= (cursor if last is None else last))), mode)
+
+    def __init__(self, spark: SparkSession, rows: DataFrame, root: str, mode: str, until: int, size: int = 2_000):
+        self.spark, self.rows, self.root, self.mode = spark, rows, root, mode
+        self.system = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not self._exists(f"{root}/pages/_SUCCESS"):
+            keyset_pages(rows, -(2**63), until, size).coalesce(1).write.mode("overwrite").parquet(f"{root}/pages")
+        self.pages = spark.read.parquet(f"{root}/pages")
+
+    def _exists(self, path: str) -> bool:
+        return self.system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    def done(self) -> int:
+        """Pages that are done: the persisted cursor."""
+        if not self._exists(f"{self.root}/cursor"):
+            return 0
+        return self.spark.read.schema("page long").json(f"{self.root}/cursor").agg(F.coalesce(F.max("page") + 1, F.lit(0))).first()[0]
+
+    def step(self) -> bool:
+        """Rebuild one page; False if all are done."""
+        at = self.done()
+        page = self.pages.where(F.col("page") == at).first()
+        if page is None:
+            return False
+        own = self.rows.where(F.col("id").between(page["first_id"], page["last_id"]))
+        postings(own, self.mode).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/postings/page={at}")
+        self.spark.range(1).select(F.lit(at).cast("long").alias("page")).coalesce(1).write.mode("append").json(f"{self.root}/cursor")
+        return True
+
+    def index(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/postings").drop("page")
 
 
 def reconcile(state: DataFrame, configured: str, max_id: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import prefix
+
 CAPACITY = 500
 #: Rows of an origin that are numbered together; origins are dealt by (origin, id div CHUNK).
 CHUNK = 1 << 16
@@ -27,26 +30,101 @@ def size_batches(records: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.withColumn("batch_no", F.floor(F.col("place") / capacity)).drop("chunk", "n0", "place")
 
 
+#: Rows that are scanned together, and chunks whose tables are put together.
+SCAN, FAN = 1 << 15, 256
+_PATH = "origin_id string, chunk long, entry long, batches long"
+_TABLE = "origin_id string, chunk long, entry long, exit long, batches long"
+
+
+def _next_starts(t: np.ndarray, capacity: int, age_ms: int) -> np.ndarray:
+    """For each arrival the place where the batch that it opens ends: full, or the first later arrival that finds it too old."""
+    n = len(t)
+    # the first later place with t >= limit: running maxima of blocks of growing size would do; times mostly rise
+    top = np.maximum.accumulate(t)
+    out = np.minimum(np.arange(n) + capacity, n)
+    for i in range(n):
+        j = max(i + 1, int(np.searchsorted(top, t[i] + age_ms)))
+        while j < out[i] and t[j] < t[i] + age_ms:
+            j += 1
+        out[i] = min(out[i], j)
+    return out
+
+
 def age_batches(records: DataFrame, capacity: int, age_ms: int) -> DataFrame:
     """Replay of the age-bounded flush: origin_id, ordinal, arrival_ms, batch_no.
 
     A batch closes when it is full, or when an arrival finds its oldest record ``age_ms`` old; later
-    arrivals never postpone that. The scan is sequential within an origin.
+    arrivals never postpone that. Where a batch ends depends only on where it starts, and a batch has
+    at most ``capacity`` records. So each chunk of an origin's rows can tell by itself, for each of its
+    first ``capacity`` places, where a chain of batches that enters there leaves it and how many it
+    opens. These small tables are put together, chunk after chunk; then each chunk numbers its rows.
+    Rows without an origin, ordinal or arrival are left out.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        batch, size, oldest, out = 0, 0, 0, []
-        for t in pdf["arrival_ms"].tolist():
-            if size and (size >= capacity or t >= oldest + age_ms):
-                batch, size = batch + 1, 0
-            oldest = t if not size else oldest
-            size += 1
-            out.append(batch)
-        return pdf.assign(batch_no=out)[["origin_id", "ordinal", "arrival_ms", "batch_no"]]
-
-    rows = records.select(F.col("origin_id").cast("string"), F.col("ordinal").cast("long"), F.col("arrival_ms").cast("long"))
-    return rows.groupBy("origin_id").applyInPandas(scan, "origin_id string, ordinal long, arrival_ms long, batch_no long")
+    rows = records.select(F.col("origin_id").cast("string"), F.col("ordinal").cast("long"), F.col("arrival_ms").cast("long")).dropna()
+    scan = max(SCAN, 2 * capacity)
+    placed = size_batches(rows, scan).withColumnRenamed("batch_no", "chunk")
+    place = F.row_number().over(W.partitionBy("origin_id", "chunk").orderBy("ordinal")) - 1
+    placed = placed.withColumn("place", place)
+    # the rows that a chunk's last batches may reach lie at the start of the next one
+    ahead = placed.where(F.col("place") < capacity).withColumns({"chunk": F.col("chunk") - 1, "place": F.col("place") + scan}).where("chunk >= 0")
+    both = placed.unionByName(ahead)
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        own = int((pdf["place"] < scan).sum())
+        following = _next_starts(pdf["arrival_ms"].to_numpy(), capacity, age_ms)
+        exit_, count = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
+        for i in range(own - 1, -1, -1):
+            exit_[i], count[i] = exit_[following[i]] if following[i] < own else following[i], 1 + (count[following[i]] if following[i] < own else 0)
+        n = min(own, capacity)
+        return pd.DataFrame({"origin_id": pdf["origin_id"].iloc[0], "chunk": pdf["chunk"].iloc[0], "entry": np.arange(n), "exit": exit_[:n] - own, "batches": count[:n]})
+
+    paths = _paths(both.groupBy("origin_id", "chunk").applyInPandas(table, _TABLE))
+
+    def number(key: tuple, pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        own = int((pdf["place"] < scan).sum())
+        following = _next_starts(pdf["arrival_ms"].to_numpy(), capacity, age_ms)
+        starts, at = np.zeros(own, np.int64), int(path["entry"].iloc[0])
+        while at < own:
+            starts[at] = 1
+            at = int(following[at])
+        out = pdf.iloc[:own][["origin_id", "ordinal", "arrival_ms"]]
+        return out.assign(batch_no=np.cumsum(starts) + int(path["batches"].iloc[0]) - 1)
+
+    return both.groupBy("origin_id", "chunk").cogroup(paths.groupBy("origin_id", "chunk")).applyInPandas(number, "origin_id string, ordinal long, arrival_ms long, batch_no long")
+
+
+def _paths(tables: DataFrame) -> DataFrame:
+    """Where each chunk is entered, and how many batches were opened before it."""
+
+    def follow(tables: pd.DataFrame, entry: int, batches: int) -> pd.DataFrame:
+        out = []
+        for chunk, own in tables.groupby("chunk", sort=True):
+            out.append((own["origin_id"].iloc[0], chunk, entry, batches))
+            if entry < len(own):
+                row = own.sort_values("entry").iloc[entry]
+                entry, batches = int(row["exit"]), batches + int(row["batches"])
+            else:  # a last chunk that is shorter than where the chain enters
+                entry -= len(own)
+        return pd.DataFrame(out, columns=["origin_id", "chunk", "entry", "batches"])
+
+    most = tables.agg(F.max("chunk")).first()[0] or 0
+    if most < FAN:
+        return tables.groupBy("origin_id").applyInPandas(lambda pdf: follow(pdf, 0, 0), _PATH)
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [own.sort_values("entry") for _, own in pdf.groupby("chunk", sort=True)]
+        at, count = parts[0]["exit"].to_numpy(), parts[0]["batches"].to_numpy()
+        for own in parts[1:]:
+            inside = at < len(own)
+            place = np.minimum(at, len(own) - 1)
+            at, count = np.where(inside, own["exit"].to_numpy()[place], at - len(own)), count + np.where(inside, own["batches"].to_numpy()[place], 0)
+        return pd.DataFrame({"origin_id": pdf["origin_id"].iloc[0], "chunk": pdf["up"].iloc[0], "entry": np.arange(len(at)), "exit": at, "batches": count})
+
+    grouped = tables.withColumn("up", F.floor(F.col("chunk") / FAN))
+    above = _paths(grouped.groupBy("origin_id", "up").applyInPandas(together, _TABLE)).withColumnRenamed("chunk", "up")
+    return grouped.groupBy("origin_id", "up").cogroup(above.groupBy("origin_id", "up")).applyInPandas(lambda pdf, top: follow(pdf, int(top["entry"].iloc[0]), int(top["batches"].iloc[0])), _PATH)
 
 
 def segments(batched: DataFrame) -> DataFrame:
@@ -103,10 +181,15 @@ def batch_counters(batched: DataFrame, capacity: int) -> DataFrame:
     return sizes.select("batches", "full", "flushed")
 
 
-def drained_at(samples: DataFrame, target: int, stable_ms: int = 1500) -> DataFrame:
-    """The first time t_ms at which the count n reached the target, or had not changed for ``stable_ms``."""
-    w = W.partitionBy(F.lit(0)).orderBy("t_ms")
-    changed = F.coalesce(F.col("n") != F.lag("n").over(w), F.lit(True))
-    since = F.max(F.when(changed, F.col("t_ms"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    marked = samples.select("t_ms", "n", changed.alias("changed"), since.alias("since"))
-    return marked.where((F.col("n") >= target) | (F.col("t_ms") - F.col("since") >= stable_ms)).agg(F.min("t_ms").alias("t_ms"))
+def drained_at(samples: DataFrame, target: int | None = None, stable_ms: int = 1500) -> DataFrame:
+    """The first time t_ms at which the count n reached the target. Without a target: at which a count above 0 had not changed for ``stable_ms``."""
+    rows = samples.where("t_ms IS NOT NULL AND n IS NOT NULL").groupBy("t_ms").agg(F.max("n").alias("n"))
+    if target is not None:
+        return rows.where(F.col("n") >= target).agg(F.min("t_ms").alias("t_ms"))
+    # the sample before each one, and the last change up to it, carried from cell to cell of time
+    last = rows.select("t_ms", F.struct("t_ms", "n").alias("s")).withColumn("cell", F.shiftright("t_ms", prefix.BITS))
+    carried = prefix.before(last.groupBy("cell").agg(F.max("s").alias("s")), (), "cell", {"s": "max"}).withColumnRenamed("s", "c")
+    earlier = F.coalesce(F.lag("s").over(W.partitionBy("cell").orderBy("t_ms")), F.col("c"))["n"]
+    marked = last.join(carried, "cell").select("t_ms", F.col("s.n").alias("n"), F.when(~earlier.eqNullSafe(F.col("s.n")), F.col("t_ms")).alias("since"))
+    since = prefix.running(marked, (), "t_ms", {"since": "max"})
+    return since.where((F.col("n") > 0) & (F.col("t_ms") - F.col("since") >= stable_ms)).agg(F.min("t_ms").alias("t_ms"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mapping
+from ..functions import canonical, mapping
 
 
 @dataclass(frozen=True)
@@ -31,21 +31,36 @@ def request_shape(records: DataFrame) -> DataFrame:
     return scopes.groupBy("request_id").agg(F.sum("n").alias("records"), F.count("*").alias("chunks"))
 
 
+#: The lists of attributes of a record, and what the walk over each value tells (canonical.WALKED).
+LISTS = {"attributes": "attribute_facts", "resource_attributes": "resource_facts", "scope_attributes": "scope_facts"}
+
+
 def record_violations(limits: Limits) -> Column:
-    """The reasons, as an array, why one record breaks its request."""
-    a, values = F.col("attributes"), F.col("resource_attributes")
-    long_key = lambda x: F.octet_length(x["key"]) > limits.key_bytes
-    long_value = lambda x: F.octet_length(x["value"]) > limits.value_bytes
+    """The reasons, as an array, why one record breaks its request: in its own, its resource's or its scope's fields.
+
+    Bounds on keys, leaves and depth hold inside containers too, and in structured bodies (body_fact).
+    """
+    any_list = lambda test: F.lit(False) if not LISTS else _or([F.exists(c, test) for c in LISTS])
+    any_fact = lambda field, most: _or([F.exists(c, lambda x: x[field] > most) for c in LISTS.values()] + [F.coalesce(F.col("body_fact")[field] > most, F.lit(False))])
+    plain = ("schema_url", "scope_name", "scope_version", "scope_schema_url", "severity_text", "event_name")
     tests = {
-        "attribute_count": (F.size(a) > limits.attributes) | (F.size(values) > limits.attributes),
-        "key_bytes": F.exists(a, long_key) | F.exists(values, long_key),
-        "value_bytes": F.exists(a, long_value) | F.exists(values, long_value),
-        "body_bytes": F.octet_length("body") > limits.body_bytes,
-        "string_bytes": F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in ("schema_url", "scope_name", "scope_version", "severity_text", "event_name")]) > limits.string_bytes,
+        "attribute_count": _or([F.size(c) > limits.attributes for c in LISTS]),
+        "key_bytes": any_list(lambda x: F.octet_length(x["key"]) > limits.key_bytes) | any_fact("max_key_bytes", limits.key_bytes),
+        "value_bytes": any_fact("max_leaf_bytes", limits.value_bytes),
+        "nesting_depth": any_fact("depth", limits.depth),
+        "body_bytes": F.col("body_size") > limits.body_bytes,
+        "string_bytes": F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in plain]) > limits.string_bytes,
     }
     return F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
 
 
+def _or(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
 def request_violations(records: DataFrame, limits: Limits) -> DataFrame:
     """(request_id, reason) pairs, distinct, from bounds on records and on the request's shape."""
     single = records.select("request_id", F.explode(record_violations(limits)).alias("reason"))
@@ -55,9 +70,15 @@ def request_violations(records: DataFrame, limits: Limits) -> DataFrame:
 
 
 def scope_expansion(records: DataFrame, limits: Limits) -> DataFrame:
-    """Requests with a scope whose metadata, repeated for each of its records, exceeds the budget."""
-    attrs = F.aggregate("scope_attributes", F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x["key"]) + F.coalesce(F.octet_length(x["value"]), F.lit(0)))
-    meta = attrs + F.octet_length("scope_name") + F.octet_length("scope_version") + F.octet_length("scope_schema_url")
+    """Requests with a scope whose metadata, repeated for each of its records, exceeds the budget.
+
+    Metadata: name, version, schema URL, and for each attribute its key, its value's estimated size and a fixed overhead.
+    """
+    add = lambda acc, x: acc + x
+    keys = F.aggregate(F.transform("scope_attributes", lambda x: F.octet_length(x["key"]) + canonical.ENTRY_OVERHEAD), F.lit(0), add)
+    values = F.aggregate(F.transform("scope_facts", lambda x: x["size"]), F.lit(0).cast("long"), add)
+    text = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    meta = keys + values + text("scope_name") + text("scope_version") + text("scope_schema_url")
     scopes = records.groupBy("request_id", "resource_idx", "scope_idx").agg(F.max(meta).alias("meta"), F.count("*").alias("n"))
     return scopes.where(F.col("meta") > F.floor(F.lit(limits.scope_bytes) / F.col("n"))).select("request_id", F.lit("scope_expansion").alias("reason"))
 
@@ -69,10 +90,21 @@ def split_requests(records: DataFrame, violations: DataFrame) -> tuple[DataFrame
 
 
 def mapping_losses(raw: DataFrame) -> DataFrame:
-    """(reason, n): what mapping had to change or drop."""
+    """(reason, n): what mapping had to change or drop.
+
+    String-table references count wherever a value is mapped: in a record's attributes and structured
+    body for each record, in a scope's or resource's attributes once for each group. One that is a body
+    itself counts as an absent body.
+    """
     flags = {"timestamp_overflow": mapping.timestamp_overflows(F.col("time_unix_nano")), "invalid_trace_id": mapping.id_invalid(F.col("trace_id"), 16), "invalid_span_id": mapping.id_invalid(F.col("span_id"), 8), "unknown_severity": mapping.severity_unknown(F.col("severity_number"))}
     reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in flags.items()]))
-    return raw.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    single = raw.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    losses = lambda c: F.aggregate(F.transform(c, lambda x: x["strindex_losses"]), F.lit(0), lambda acc, x: acc + x)
+    own = losses("attribute_facts") + F.coalesce(F.col("body_fact.strindex_losses"), F.lit(0))
+    scopes = raw.groupBy("request_id", "resource_idx", "scope_idx").agg(F.sum(own).alias("own"), F.max(losses("scope_facts")).alias("scope"), F.max(losses("resource_facts")).alias("resource"))
+    groups = scopes.groupBy("request_id", "resource_idx").agg((F.sum("own") + F.sum("scope") + F.max("resource")).alias("n"))
+    tables = groups.agg(F.sum("n").alias("n")).where("n > 0").select(F.lit("string_value_strindex").alias("reason"), "n")
+    return single.unionByName(tables)
 
 
 def poison_reason() -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-from ..operators import search, tickets, validation
+from .. import store
+from ..operators import prefix, search, tickets, validation
 from ..operators.flatten import combined_groups, nest_requests
-from ..sources.driver_tables import log_tables, raw_records, stored_records, table
+from ..functions import canonical, mapping
+from ..sources import otlp_json
+from ..sources.driver_tables import log_rows, log_tables, raw_records, table
 from .read_model import log, logs
 from .registry import query
 
-LIMITS = validation.Limits(records=99, attributes=5, key_bytes=14, value_bytes=9, body_bytes=18, string_bytes=27, chunks=7, scope_bytes=500)
 SHAPE = "shape AS (SELECT request_id, count(*) AS records, count(DISTINCT resource_idx * 2 + scope_idx) AS chunks FROM raw GROUP BY request_id)"
 BODY = "octet_length(encode(raw_body))"
 
@@ -36,34 +37,103 @@ def d2(spark, sf):
     return _reasons(spark, sf, "record_count", records=99)
 
 
-@log("d3_attribute_cap", "SELECT DISTINCT request_id, 'attribute_count' AS reason FROM raw WHERE 6 > 5")
+@log("d7_body_bytes", f"SELECT DISTINCT request_id, 'body_bytes' AS reason FROM raw WHERE {BODY} > 19")
+def d7(spark, sf):
+    return _reasons(spark, sf, "body_bytes", body_bytes=19)
+
+
+@log("d8_string_bytes", "SELECT DISTINCT request_id, 'string_bytes' AS reason FROM raw WHERE greatest(length(url), length(sev_text), length(raw_name)) > 27")
+def d8(spark, sf):
+    return _reasons(spark, sf, "string_bytes", string_bytes=27)
+
+
+@log("d9_scope_expansion", "SELECT DISTINCT request_id, 'scope_expansion' AS reason FROM (SELECT request_id, resource_idx, scope_idx, 7 + CASE WHEN scope_idx = 0 THEN 3 ELSE 0 END + 3 + 56 + 1 + 32 AS meta, count(*) AS n FROM raw GROUP BY ALL) WHERE meta > 2000 // n")
+def d9(spark, sf):
+    return validation.scope_expansion(raw_records(spark, sf), validation.Limits(scope_bytes=2000)).distinct()
+
+
+#: What some records of the wire requests carry, by id % 300: attributes of the record and of its scope, its body, the scope's schema URL.
+DEEP = lambda n: '{"arrayValue":{"values":[' * n + '{"intValue":"1"}' + "]}}" * n
+TEXT = lambda n: '{"stringValue":"' + "v" * n + '"}'
+ENTRY = lambda k, v: '{"key":"' + k + '","value":' + v + "}"
+KVLIST = lambda *entries: '{"kvlistValue":{"values":[' + ",".join(entries) + "]}}"
+MANY = ",".join(ENTRY(f"a{i}", TEXT(1)) for i in range(21))
+RECORD = {7: ENTRY("deep", DEEP(5)), 8: ENTRY("deep", DEEP(4)), 9: ENTRY("k" * 61, TEXT(1)), 11: ENTRY("list", KVLIST(ENTRY("k" * 61, TEXT(1)))), 12: ENTRY("long", TEXT(601)), 13: ENTRY("list", '{"arrayValue":{"values":[{"bytesValue":"' + "AAAA" * 201 + '"}]}}'), 16: MANY, 18: ENTRY("ref", '{"stringValueStrindex":3}'), 23: ENTRY("list", '{"arrayValue":{"values":[{"stringValueStrindex":3},{"doubleValue":10000000},{"doubleValue":1e-7},{"bytesValue":"3q0="},' + KVLIST(ENTRY("z", TEXT(1)), ENTRY("a", '{"boolValue":true}'), ENTRY("z", "{}")) + "]}}"), 24: ENTRY("esc", '{"stringValue":"a\\"b\\\\c\\n\\u0007"}')}
+SCOPED = {10: ENTRY("s" * 61, TEXT(1)), 17: MANY, 25: ENTRY("ref", '{"stringValueStrindex":1}')}
+BODIES = {14: KVLIST(ENTRY("b", TEXT(601))), 15: TEXT(2001), 20: '{"bytesValue":"/2E="}', 21: KVLIST(ENTRY("b", '{"intValue":"1"}'), ENTRY("a", '{"doubleValue":2.5}')), 22: '{"stringValueStrindex":2}'}
+URLS = {19: "u" * 701}
+WIRE_LIMITS = validation.Limits(records=1000, attributes=20, key_bytes=60, value_bytes=600, depth=4, body_bytes=2000, string_bytes=700, chunks=1000)
+FAULTS = {7: "nesting_depth", 9: "key_bytes", 10: "key_bytes", 11: "key_bytes", 12: "value_bytes", 13: "value_bytes", 14: "value_bytes", 15: "body_bytes", 16: "attribute_count", 17: "attribute_count", 19: "string_bytes"}
+
+
+def wire_records(spark, sf):
+    """events as export requests in JSON, one scope group for each record, read back as flat records (id is in the event name)."""
+    e = table(spark, sf, "events")
+    m = (F.col("event_id") % 300).cast("int")
+
+    def pick(cells: dict[int, str], rest):
+        out = rest
+        for k, v in cells.items():
+            out = F.when(m == k, F.lit(v)).otherwise(out)
+        return out
+
+    body = pick(BODIES, F.concat(F.lit('{"stringValue":"'), "event_type", F.lit('"}')))
+    record = F.concat(F.lit('{"eventName":"'), F.col("event_id").cast("string"), F.lit('","timeUnixNano":"5","body":'), body, F.lit(',"attributes":['), pick(RECORD, F.lit("")), F.lit("]}"))
+    scope = F.concat(F.lit('{"scope":{"name":"s","attributes":['), pick(SCOPED, F.lit("")), F.lit(']},"schemaUrl":"'), pick(URLS, F.lit("")), F.lit('","logRecords":['), record, F.lit("]}"))
+    groups = e.groupBy(F.expr("event_id div 100").alias("request_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", scope.alias("s")))), lambda x: x["s"]), ",").alias("scopes"))
+    lines = groups.select("request_id", F.concat(F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc"}}]},"scopeLogs":['), "scopes", F.lit("]}]}")).alias("value"))
+    return otlp_json.flatten(otlp_json.parse_requests(lines)).withColumn("id", F.col("event_name").cast("bigint"))
+
+
+_faults = lambda reasons: f"SELECT DISTINCT event_id // 100 AS request_id, reason FROM events JOIN (VALUES {', '.join(f'({k}, {chr(39)}{r}{chr(39)})' for k, r in FAULTS.items() if r in reasons)}) v(m, reason) ON event_id % 300 = m"
+
+
+def _wire_faults(spark, sf, *reasons):
+    return validation.request_violations(wire_records(spark, sf), WIRE_LIMITS).where(F.col("reason").isin(*reasons))
+
+
+@query("d3_attribute_cap", _faults(["attribute_count"]))
 def d3(spark, sf):
-    return _reasons(spark, sf, "attribute_count", attributes=5)
+    return _wire_faults(spark, sf, "attribute_count")
 
 
-@log("d4_key_bytes", "SELECT DISTINCT request_id, 'key_bytes' AS reason FROM raw WHERE length('bench.record_id') > 14")
+@query("d4_key_bytes", _faults(["key_bytes"]))
 def d4(spark, sf):
-    return _reasons(spark, sf, "key_bytes", key_bytes=14)
+    return _wire_faults(spark, sf, "key_bytes")
 
 
-@log("d5_value_bytes", "SELECT DISTINCT request_id, 'value_bytes' AS reason FROM raw WHERE host <> '' AND length(host) + 2 > 7")
+@query("d5_value_bytes", _faults(["value_bytes"]))
 def d5(spark, sf):
-    return _reasons(spark, sf, "value_bytes", value_bytes=7)
+    return _wire_faults(spark, sf, "value_bytes")
 
 
-@log("d7_body_bytes", f"SELECT DISTINCT request_id, 'body_bytes' AS reason FROM raw WHERE {BODY} > 19")
-def d7(spark, sf):
-    return _reasons(spark, sf, "body_bytes", body_bytes=19)
+@query("d6_nesting_depth", _faults(["nesting_depth"]))
+def d6(spark, sf):
+    return _wire_faults(spark, sf, "nesting_depth")
 
 
-@log("d8_string_bytes", "SELECT DISTINCT request_id, 'string_bytes' AS reason FROM raw WHERE greatest(length(url), length(sev_text), length(raw_name)) > 27")
-def d8(spark, sf):
-    return _reasons(spark, sf, "string_bytes", string_bytes=27)
+@query("d_wire_violations", _faults(set(FAULTS.values())))
+def d_wire(spark, sf):
+    return validation.request_violations(wire_records(spark, sf), WIRE_LIMITS)
 
 
-@log("d9_scope_expansion", "SELECT DISTINCT request_id, 'scope_expansion' AS reason FROM (SELECT request_id, resource_idx, scope_idx, 6 + 7 + CASE WHEN scope_idx = 0 THEN 3 ELSE 0 END AS meta, count(*) AS n FROM raw GROUP BY ALL) WHERE meta > 500 // n")
-def d9(spark, sf):
-    return validation.scope_expansion(raw_records(spark, sf), validation.Limits(scope_bytes=500)).distinct()
+@query("c15_strindex_losses", "SELECT 'string_value_strindex' AS reason, count(*) AS n FROM events WHERE event_id % 300 IN (18, 23, 25)")
+def c15(spark, sf):
+    return validation.mapping_losses(wire_records(spark, sf))
+
+
+NESTED = """'[null,10000000.0,1e-7,"dead",{"a":true,"z":null}]'"""
+
+
+@query("c10_nested_json", "SELECT event_id AS id, CASE event_id % 300 WHEN 8 THEN '{\"deep\":[[[[1]]]]}' WHEN 18 THEN '{\"ref\":null}' WHEN 23 THEN '{\"list\":' || " + NESTED + r""" || '}' WHEN 24 THEN '{"esc":"a\"b\\c\n\u0007"}' ELSE '{}' END AS attributes_json FROM events WHERE event_id % 300 NOT IN (7, 9, 11, 12, 13, 16)""")
+def c10(spark, sf):
+    rows = wire_records(spark, sf).where(~(F.col("id") % 300).isin(7, 9, 11, 12, 13, 16))
+    return rows.select("id", canonical.attributes_json(F.col("attributes")).alias("attributes_json"))
+
+
+@query("c7_c8_bodies", "SELECT event_id AS id, CASE event_id % 300 WHEN 14 THEN '{\"b\":\"' || repeat('v', 601) || '\"}' WHEN 15 THEN repeat('v', 2001) WHEN 20 THEN chr(65533) || 'a' WHEN 21 THEN '{\"a\":2.5,\"b\":1}' WHEN 22 THEN NULL ELSE event_type END AS body FROM events")
+def c7_c8(spark, sf):
+    return wire_records(spark, sf).select("id", mapping.body_choice(F.col("body"), F.col("body_json")).alias("body"))
 
 
 @log("d10_chunk_cap", f", {SHAPE} SELECT request_id, 'chunk_count' AS reason FROM shape WHERE chunks > 6")
@@ -80,7 +150,7 @@ def d11(spark, sf):
 
 def ticketed(spark, sf):
     """log rows with a ticket; some lose their resource, as poison."""
-    rows = stored_records(raw_records(spark, sf)).withColumn("ticket", F.expr("id div 20 + 1"))
+    rows = log_rows(spark, sf).withColumn("ticket", F.expr("id div 20 + 1"))
     return rows.withColumn("resource_id", F.when((F.col("event_type") == "error") & (F.col("id") % 29 == 0), None).otherwise(F.col("resource_id")))
 
 
@@ -114,7 +184,7 @@ def d16(spark, sf):
 
 
 def batched(spark, sf):
-    rows = stored_records(raw_records(spark, sf))
+    rows = log_rows(spark, sf)
     return tickets.size_batches(rows.select(F.col("service_name").alias("origin_id"), F.col("id").alias("ordinal"), F.expr("id div 20 + 1").alias("ticket")), 100)
 
 
@@ -126,9 +196,15 @@ def e1(spark, sf):
     return batched(spark, sf)
 
 
-@query("e2_age_batches")
+E2 = """WITH RECURSIVE r AS (SELECT CAST(user_id % 4 AS VARCHAR) AS o, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS p FROM events),
+w AS (SELECT o, p, t, coalesce((SELECT min(x.p) FROM r x WHERE x.o = r.o AND x.p > r.p AND x.p <= r.p + 100 AND (x.t >= r.t + 600000 OR x.p = r.p + 100)), p + 100) AS nxt FROM r),
+s AS (SELECT o, p, nxt, 0 AS b FROM w WHERE p = 1 UNION ALL SELECT w.o, w.p, w.nxt, s.b + 1 FROM s JOIN w ON w.o = s.o AND w.p = s.nxt)
+SELECT r.o AS origin_id, r.event_id AS ordinal, r.t AS arrival_ms, s.b AS batch_no FROM r JOIN s ON s.o = r.o AND r.p >= s.p AND r.p < s.nxt"""
+
+
+@query("e2_age_batches", E2)
 def e2(spark, sf):
-    rows = table(spark, sf, "events").select((F.col("user_id") % 4).cast("string").alias("origin_id"), F.col("event_id").alias("ordinal"), F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival_ms"))
+    rows = table(spark, sf, "events").select((F.col("user_id") % 4).cast("string").alias("origin_id"), F.col("event_id").alias("ordinal"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("arrival_ms"))
     return tickets.age_batches(rows, 100, 10 * 60 * 1000)
 
 
@@ -182,27 +258,32 @@ def e9(spark, sf):
     return tickets.batch_counters(batched(spark, sf), 100)
 
 
-@query("e11_drained_at", "WITH s AS (SELECT epoch_ms(ts) AS t_ms, count(*) OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM events)), c AS (SELECT *, lag(t_ms) OVER (ORDER BY t_ms) AS p FROM (SELECT t_ms, max(n) AS n FROM s GROUP BY t_ms)) SELECT min(t_ms) AS t_ms FROM c WHERE n >= 500")
+PROGRESS = "WITH s AS (SELECT epoch_us(ts) // 1000 AS t_ms, count_if(event_type = 'purchase') AS k FROM events GROUP BY 1), c AS (SELECT t_ms, sum(k) OVER (ORDER BY t_ms)::BIGINT AS n FROM s)"
+
+
+def progress(spark, sf):
+    """How many purchases had been seen at each time; between two of them the count stands still."""
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("t_ms")
+    return prefix.running(table(spark, sf, "events").groupBy(t).agg(F.count_if(F.col("event_type") == "purchase").alias("n")), (), "t_ms", {"n": "sum"})
+
+
+@query("e11_drained_at", f"{PROGRESS} SELECT min(t_ms) AS t_ms FROM c WHERE n >= 100")
 def e11(spark, sf):
-    from pyspark.sql import Window as W
+    return tickets.drained_at(progress(spark, sf), 100)
+
 
-    times = table(spark, sf, "events").select("ts").distinct()
-    # samples: how many distinct times had passed, from counts per day first
-    day = times.withColumn("day", F.to_date("ts"))
-    sizes = day.groupBy("day").agg(F.count("*").alias("n")).withColumn("n0", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    counted = day.join(sizes, "day").withColumn("n", F.row_number().over(W.partitionBy("day").orderBy("ts")) + F.col("n0"))
-    samples = counted.groupBy(F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms")).agg(F.max("n").alias("n"))
-    return tickets.drained_at(samples, 500)
+@query("e11_drained_stable", f"{PROGRESS} SELECT min(t_ms) AS t_ms FROM (SELECT *, min(t_ms) OVER (PARTITION BY n) AS since FROM c) WHERE n > 0 AND t_ms - since >= 600000")
+def e11_stable(spark, sf):
+    return tickets.drained_at(progress(spark, sf), stable_ms=600_000)
 
 
-DOCS = "d AS (SELECT doc_id AS id, text AS body, source AS service_name, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+DOCS = "d AS (SELECT doc_id AS id, text AS body, source AS service_name, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS words FROM documents)"
 
 
 def corpus(spark, sf):
-    """English documents of ASCII characters only, as searchable rows."""
-    d = table(spark, sf, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    """All documents as searchable rows."""
     none = F.lit("")
-    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("source").alias("service_name"), *[none.alias(c) for c in ("event_name", "severity_text", "attributes_json", "scope_name")])
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("source").alias("service_name"), *[none.alias(c) for c in ("event_name", "severity_text", "attributes_json", "scope_name")])
 
 
 @query("i1_tokens", f"WITH {DOCS} SELECT id, words AS tokens FROM d")
@@ -212,14 +293,24 @@ def i1(spark, sf):
     return corpus(spark, sf).select("id", tokens(F.col("body")).alias("tokens"))
 
 
+def body_index(spark, sf):
+    """The stored postings of all documents."""
+    return store.derived(spark, "postings_body", f"{sf}/documents.parquet", lambda path: search.write_index(search.postings(corpus(spark, sf), "body"), path))
+
+
+def full_index(spark, sf):
+    """The stored postings of all columns of the log rows."""
+    return store.derived(spark, "postings_full", f"{sf}/events.parquet", lambda path: search.write_index(search.postings(logs(spark, sf), "full"), path))
+
+
 @query("i2_postings_body", f"WITH {DOCS} SELECT w AS term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest(words) AS w FROM d) GROUP BY w")
 def i2(spark, sf):
-    return search.postings(corpus(spark, sf), "body").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    return body_index(spark, sf).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
 
 
 @log("i3_postings_full", "SELECT col AS \"column\", w AS term, count(*) AS n FROM (SELECT 'body' AS col, unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9]+')) AS w FROM logs UNION ALL SELECT 'service_name', unnest(regexp_extract_all(lower(service_name), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'event_name', unnest(regexp_extract_all(lower(coalesce(event_name, '')), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'severity_text', unnest(regexp_extract_all(lower(coalesce(severity_text, '')), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'scope_name', unnest(regexp_extract_all(lower(scope_name), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'attributes_json', unnest(regexp_extract_all(lower(attributes_json), '[a-z0-9]+')) FROM logs) GROUP BY col, w")
 def i3(spark, sf):
-    return search.postings(logs(spark, sf), "full").groupBy("column", "term").agg(F.count("*").alias("n"))
+    return full_index(spark, sf).groupBy("column", "term").agg(F.count("*").alias("n"))
 
 
 @query("i4_postings_off", "SELECT doc_id AS id, '' AS term FROM documents WHERE false")
@@ -230,7 +321,7 @@ def i4(spark, sf):
 @query("i5_term_search", f"WITH {DOCS} SELECT id FROM d WHERE list_contains(words, 'worthless')")
 def i5(spark, sf):
     rows = corpus(spark, sf)
-    return search.term_search(search.postings(rows, "body"), rows, "worthless").select("id")
+    return search.term_search(body_index(spark, sf), rows, "worthless").select("id")
 
 
 @query("i5_term_scan", f"WITH {DOCS} SELECT id FROM d WHERE list_contains(words, 'worthless')")
@@ -241,14 +332,14 @@ def i5s(spark, sf):
 @log("i6_column_search", "SELECT id FROM logs WHERE service_name = 'svc-1'")
 def i6(spark, sf):
     rows = logs(spark, sf)
-    hits = search.term_search(search.postings(rows, "full"), rows, "1", "service_name")
+    hits = search.term_search(full_index(spark, sf), rows, "1", "service_name")
     return hits.select("id")
 
 
 @query("i8_index_delete", f"WITH {DOCS} SELECT id, count(*) AS n FROM (SELECT id, unnest(words) AS w FROM d WHERE id % 3 <> 0) GROUP BY id")
 def i8(spark, sf):
     rows = corpus(spark, sf)
-    return search.without_deleted(search.postings(rows, "body"), rows.where("id % 3 = 0")).groupBy("id").agg(F.count("*").alias("n"))
+    return search.without_deleted(body_index(spark, sf), rows.where("id % 3 = 0")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @log("i10_reconcile", "SELECT 1 AS id, 'full' AS mode, 'rebuilding' AS status, CAST(0 AS BIGINT) AS last_rowid, max(id) AS rebuild_until FROM rec")

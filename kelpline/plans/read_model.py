@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, mapping
 from ..operators import identity
-from ..sources.driver_tables import CTES, log_tables, raw_records, stored_records
+from ..sources.driver_tables import CTES, log_rows, log_tables, raw_records, stored_records
 from .registry import query
 
 JAN_10, JAN_20 = 1704844800000000000, 1705708800000000000
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = identity.read_view(*log_tables(spark, sf_dir))
+def logs(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The read view, of all rows or of a range of times."""
+    events, resources = log_tables(spark, sf_dir)
+    if low is not None and high is not None:
+        events = events.where(mapping.in_range("timestamp_ns", low, high))
+    view = identity.read_view(events, resources)
     return view.withColumns({"trace_id": mapping.hex_text(F.col("trace_id")), "span_id": mapping.hex_text(F.col("span_id"))})
 
 
@@ -29,14 +33,14 @@ def b1(spark, sf):
 
 @log("b2_time_range", f"SELECT id, timestamp_ns, service_name FROM logs WHERE timestamp_ns >= {JAN_10} AND timestamp_ns < {JAN_20}")
 def b2(spark, sf):
-    return logs(spark, sf).where((F.col("timestamp_ns") >= JAN_10) & (F.col("timestamp_ns") < JAN_20)).select("id", "timestamp_ns", "service_name")
+    return logs(spark, sf, JAN_10, JAN_20).select("id", "timestamp_ns", "service_name")
 
 
 @log("b3_resource_time_range", f"SELECT id, resource_id, timestamp_ns FROM logs WHERE resource_id = (SELECT min(id) FROM res) AND timestamp_ns >= {JAN_10} AND timestamp_ns < {JAN_20}")
 def b3(spark, sf):
     events, resources = log_tables(spark, sf)
     first = resources.agg(F.min("id").alias("resource_id"))
-    return events.join(first, "resource_id", "left_semi").where((F.col("timestamp_ns") >= JAN_10) & (F.col("timestamp_ns") < JAN_20)).select("id", "resource_id", "timestamp_ns")
+    return events.where(mapping.in_range("timestamp_ns", JAN_10, JAN_20)).join(first, "resource_id", "left_semi").select("id", "resource_id", "timestamp_ns")
 
 
 @log("b4_trace_lookup", "SELECT trace_id, timestamp_ns, id FROM logs WHERE trace_id = (SELECT min(trace_id) FROM logs WHERE trace_id IS NOT NULL) ORDER BY timestamp_ns, id")
@@ -102,7 +106,7 @@ def b14(spark, sf):
 
 @log("b_service_errors", f"SELECT service_name, count(*) AS n, count(DISTINCT trace_id) AS traces, max(timestamp_ns) AS latest FROM logs WHERE severity_number >= 17 AND timestamp_ns >= {JAN_10} AND timestamp_ns < {JAN_20} GROUP BY service_name")
 def service_errors(spark, sf):
-    seen = logs(spark, sf).where((F.col("severity_number") >= 17) & (F.col("timestamp_ns") >= JAN_10) & (F.col("timestamp_ns") < JAN_20))
+    seen = logs(spark, sf, JAN_10, JAN_20).where(F.col("severity_number") >= 17)
     return seen.groupBy("service_name").agg(F.count("*").alias("n"), F.countDistinct("trace_id").alias("traces"), F.max("timestamp_ns").alias("latest"))
 
 
@@ -115,15 +119,18 @@ def a3(spark, sf):
 
 @log("a7_resource_upsert", "SELECT id, service_name, host_name, schema_url, attributes_json FROM res")
 def a7(spark, sf):
-    rows = stored_records(raw_records(spark, sf))
+    rows = log_rows(spark, sf)
     early, late = (identity.resource_rows(rows.where(c)) for c in ("id % 2 = 0", "id % 2 = 1"))
     return identity.upsert_resources(early, late).drop("first_seen")
 
 
-@query("a8_resourceless_origin", "SELECT sha256(repeat(unhex('0000000000000000'), 2) || unhex('1c00000000000000') || encode('https://example.test/schemas') || unhex('0200000000000000') || encode('{}')) AS resource_id, '' AS service_name, count(*) AS n FROM events WHERE user_id % 2 = 0".replace("repeat(unhex('0000000000000000'), 2)", "unhex('00000000000000000000000000000000')"))
+A8 = """SELECT sha256(unhex('00000000000000000000000000000000') || unhex(CASE WHEN user_id % 2 = 0 THEN '1c' ELSE '00' END || '00000000000000') || encode(CASE WHEN user_id % 2 = 0 THEN 'https://example.test/schemas' ELSE '' END) || unhex('0200000000000000') || encode('{}')) AS resource_id,
+  '' AS service_name, count(*) AS n FROM events GROUP BY 1"""
+
+
+@query("a8_resourceless_origin", A8)
 def a8(spark, sf):
-    empty = F.array().cast(canonical.ATTRIBUTES)
-    rows = stored_records(raw_records(spark, sf).where("user_id % 2 = 0").withColumn("resource_attributes", empty))
+    rows = stored_records(raw_records(spark, sf).withColumn("resource_attributes", F.array().cast(canonical.ATTRIBUTES)))
     return rows.groupBy("resource_id", "service_name").agg(F.count("*").alias("n"))
 
 
@@ -138,11 +145,11 @@ def c1(spark, sf):
     return raw_records(spark, sf).select("id", mapping.saturate_timestamp(t).alias("t"), mapping.timestamp_overflows(t).alias("overflows"))
 
 
-@log("c2_event_time", "SELECT id, timestamp_ns, observed_timestamp_ns FROM rec WHERE time_unix_nano = 0")
+@log("c2_event_time", "SELECT id, timestamp_ns, observed_timestamp_ns FROM rec")
 def c2(spark, sf):
     raw = raw_records(spark, sf)
     t, o = (mapping.saturate_timestamp(F.col(c)) for c in ("time_unix_nano", "observed_time_unix_nano"))
-    return raw.where("time_unix_nano = 0").select("id", mapping.event_time(t, o).alias("timestamp_ns"), o.alias("observed_timestamp_ns"))
+    return raw.select("id", mapping.event_time(t, o).alias("timestamp_ns"), o.alias("observed_timestamp_ns"))
 
 
 @log("c3_severity", "SELECT severity_number, count(*) AS n FROM rec GROUP BY severity_number")
@@ -161,11 +168,29 @@ def c5(spark, sf):
     return raw_records(spark, sf).select("id", mapping.hex_text(mapping.parse_id(t, 16)).alias("trace_id"), mapping.hex_text(mapping.parse_id(s, 8)).alias("span_id"), mapping.id_invalid(t, 16).alias("trace_invalid"), mapping.id_invalid(s, 8).alias("span_invalid"))
 
 
-@log("c6_scalar_body", "SELECT id, CASE id % 4 WHEN 0 THEN event_type WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN CASE WHEN floor(value * 4) % 4 = 0 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || CASE CAST(floor(value * 4) % 4 AS INTEGER) WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END END ELSE CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END END AS body FROM raw WHERE value >= 0")
+#: Doubles, how they print without exponent, and how in JSON.
+DOUBLES = [
+    (1e-20, "0.00000000000000000001", "1e-20"), (1.2e-7, "0.00000012", "1.2e-7"), (1e-6, "0.000001", "1e-6"), (1e-5, "0.00001", "0.00001"), (-0.03125, "-0.03125", "-0.03125"), (0.0, "0", "0.0"), (-0.0, "-0", "-0.0"), (123456.789, "123456.789", "123456.789"),
+    (1e7, "10000000", "10000000.0"), (-12345678.5, "-12345678.5", "-12345678.5"), (1e15, "1000000000000000", "1000000000000000.0"), (1e16, "10000000000000000", "1e16"), (1.5e21, "1500000000000000000000", "1.5e21"), (1e300, "1" + "0" * 300, "1e300"),
+    (float("nan"), "NaN", "null"), (float("inf"), "inf", "null"), (float("-inf"), "-inf", "null"),
+]
+def special():
+    return F.element_at(F.array(*[F.lit(d[0]) for d in DOUBLES]), (F.col("id") % len(DOUBLES) + 1).cast("int"))
+
+
+def _expected(k: int) -> str:
+    return f"CASE id % {len(DOUBLES)} " + " ".join(f"WHEN {i} THEN '{d[k]}'" for i, d in enumerate(DOUBLES)) + " END"
+
+
+QUARTERS = "rtrim(rtrim(CAST(CAST(floor(value * 4) / 4 AS DECIMAL(18, 2)) AS VARCHAR), '0'), '.')"
+
+
+@log("c6_scalar_body", f"SELECT id, CASE id % 5 WHEN 0 THEN event_type WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN {QUARTERS} WHEN 3 THEN {_expected(1)} ELSE CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END END AS body FROM raw")
 def c6(spark, sf):
-    k = F.col("id") % 4
-    body = mapping.scalar_body(F.when(k == 0, F.col("event_type")), F.when(k == 1, F.col("user_id")), F.when(k == 2, F.floor(F.col("value") * 4) / 4), F.when(k == 3, F.col("user_id") % 2 == 0))
-    return raw_records(spark, sf).where("value >= 0").select("id", body.alias("body"))
+    k = F.col("id") % 5
+    double = F.when(k == 2, F.floor(F.col("value") * 4) / 4).when(k == 3, special())
+    body = mapping.scalar_body(F.when(k == 0, F.col("event_type")), F.when(k == 1, F.col("user_id")), double, F.when(k == 4, F.col("user_id") % 2 == 0))
+    return raw_records(spark, sf).select("id", body.alias("body"))
 
 
 @log("c9_body_choice", "SELECT id, coalesce(body, CASE WHEN id % 2 = 0 THEN '{}' END) AS body FROM rec")
@@ -183,10 +208,9 @@ def c13(spark, sf):
     return raw_records(spark, sf).select("id", mapping.hex_text(F.col("trace_id")).alias("trace_hex"), mapping.hex_text(F.col("span_id")).alias("span_hex"))
 
 
-@log("c14_json_double", "SELECT id, CASE WHEN id % 3 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR) || '.5' END AS json FROM raw")
+@log("c14_json_double", f"SELECT id, CASE WHEN id % 3 = 0 THEN CAST(user_id AS VARCHAR) || '.5' ELSE {_expected(2)} END AS json FROM raw")
 def c14(spark, sf):
-    x = F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.col("user_id") + 0.5)
-    return raw_records(spark, sf).select("id", mapping.json_double(x).alias("json"))
+    return raw_records(spark, sf).select("id", mapping.json_double(F.when(F.col("id") % 3 == 0, F.col("user_id") + 0.5).otherwise(special())).alias("json"))
 
 
 @log("c17_empty_to_null", "SELECT id, severity_text, event_name, scope_version FROM rec")

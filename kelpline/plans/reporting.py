@@ -121,17 +121,18 @@ def g9(spark, sf):
     return reports.expected_persisted(n, one(50), one(80))
 
 
-@query("g10_outcome_ledger", f"WITH {LEDGER} SELECT class, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, s - 10 * row_number() OVER (PARTITION BY class ORDER BY s) AS g FROM l) GROUP BY class, g")
+@query("g10_outcome_ledger", f"WITH {LEDGER} SELECT class, min(s) AS start, max(e) AS \"end\", NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P') AS positions_exact FROM (SELECT *, s - 10 * row_number() OVER (PARTITION BY class ORDER BY s) AS g FROM l) GROUP BY class, g")
 def g10(spark, sf):
-    return reports.outcome_ledger(ledger(spark, sf))
+    rows = ledger(spark, sf)
+    return reports.outcome_ledger(rows.withColumn("class", F.when(F.col("class") == "ambiguous", "partial").otherwise(F.col("class"))))
 
 
-@query("g11_outcome_class", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'accepted' WHEN o_orderkey % 3 = 1 THEN 'rejected' ELSE 'ambiguous' END WHEN o_orderkey % 4 = 1 THEN 'rejected' ELSE 'ambiguous' END AS class FROM orders")
+@query("g11_outcome_class", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'partial' END WHEN o_orderkey % 5 IN (1, 2) AND o_orderkey % 7 <> 0 THEN 'rejected' ELSE 'ambiguous' END AS class FROM orders")
 def g11(spark, sf):
     k = F.col("o_orderkey")
-    status = F.when(k % 4 == 0, "ok").when(k % 4 == 1, "invalid_argument").when(k % 4 == 2, "unavailable").otherwise("deadline_exceeded")
-    taken = F.when(k % 3 == 0, 10).when(k % 3 == 1, 0).otherwise(4)
-    return table(spark, sf, "orders").select("o_orderkey", reports.classify_outcome(status, taken, F.lit(10)).alias("class"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("ok", "invalid_argument", "unavailable", "deadline_exceeded", "resource_exhausted")]), (k % 5 + 1).cast("int"))
+    rejected = F.when(k % 3 == 0, 0).when(k % 3 == 1, 10).otherwise(4)
+    return table(spark, sf, "orders").select("o_orderkey", reports.classify_outcome(status, k % 7 == 0, rejected, F.lit(10)).alias("class"))
 
 
 PCT = ", ".join(f"quantile_disc(m, {p}) AS {n}" for n, p in reports.PERCENTILES.items())
@@ -143,15 +144,22 @@ def g12(spark, sf):
     return reports.latency_summary(samples, ["event_type"], "m", exact=True)
 
 
-HEALTH = "h AS (SELECT event_id, user_id, event_id % 97 <> 5 AS wr, event_id % 89 <> 7 AS br, (event_id % 23) * 1000 AS wi, (event_id % 19) * 1000 AS bi, event_id % 11 AS qd, event_id % 5 AS pr, event_id % 3 AS iq, event_id % 7 AS ot, (event_id % 41) * 1000 AS wm, event_id % 13 = 0 AS mi, (event_id % 701) * 1000 AS me FROM events), j AS (SELECT *, CASE WHEN NOT wr THEN 'Unhealthy|writer stopped' WHEN NOT br THEN 'Unhealthy|batcher stopped' WHEN mi AND me > 300000 THEN 'Unhealthy|maintenance stuck' WHEN (qd > 0 OR pr > 0) AND NOT mi AND wi > 10000 THEN 'Unhealthy|writer stalled' WHEN iq > 0 AND bi > 10000 THEN 'Unhealthy|batcher stalled' WHEN ot > 0 AND wm > 30000 THEN 'Unhealthy|watermark stalled' WHEN mi AND me > 60000 THEN 'Degraded|maintenance is slow' WHEN qd >= 9 THEN 'Degraded|queue nearly full' WHEN ot > 0 AND wm > 10000 THEN 'Degraded|watermark is slow' ELSE 'Healthy' END AS v FROM h)"
+HEALTH = """h AS (SELECT event_id, user_id, event_id % 97 <> 5 AS wr, event_id % 89 <> 7 AS br, event_id % 23 * 4000 AS wi, event_id % 19 * 5000 AS bi, CASE WHEN event_id % 4 = 0 THEN event_id % 11 ELSE 0 END AS qd,
+  CASE WHEN event_id % 7 = 0 THEN 0 ELSE 10 END AS qc, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 0 END AS pr, event_id % 2 AS ot, event_id % 41 * 3000 AS wm, event_id % 13 = 0 AS mi, event_id % 701 * 2000 AS me FROM events),
+x AS (SELECT *, qc > 0 AND qd >= 8 AS sat, ot > 0 AND wm >= 60000 AS slow, greatest(CASE WHEN qd > 0 THEN wi ELSE 0 END, CASE WHEN pr > 0 THEN bi ELSE 0 END) AS age FROM h),
+j AS (SELECT *, CASE WHEN NOT wr THEN 'Unhealthy|writer not running' WHEN NOT br THEN 'Unhealthy|batcher not running'
+  WHEN mi THEN CASE WHEN me >= 900000 THEN 'Unhealthy|maintenance stalled' WHEN slow THEN 'Degraded|maintenance ack stall' WHEN sat THEN 'Degraded|maintenance saturated' ELSE 'Healthy|maintenance running' END
+  WHEN qd + pr = 0 THEN CASE WHEN slow AND wi >= 60000 AND bi >= 60000 THEN 'Unhealthy|ack stall' ELSE 'Healthy|idle' END
+  WHEN age >= 30000 THEN 'Unhealthy|stalled' WHEN age >= 5000 THEN 'Degraded|draining' WHEN sat THEN 'Degraded|saturated' ELSE 'Healthy|progressing' END AS v FROM x)"""
 
 
 def health_samples(spark, sf):
     i = F.col("event_id")
-    return table(spark, sf, "events").select(
-        "event_id", "user_id", (i % 97 != 5).alias("writer_running"), (i % 89 != 7).alias("batcher_running"), (i % 23 * 1000).alias("writer_idle_ms"), (i % 19 * 1000).alias("batcher_idle_ms"), (i % 11).alias("queue_depth"), F.lit(10).alias("queue_capacity"), (i % 5).alias("pending_records"),
-        (i % 3).alias("ingest_queue_depth"), (i % 7).alias("outstanding_tickets"), (i % 41 * 1000).alias("watermark_idle_ms"), (i % 13 == 0).alias("maintenance_in_progress"), (i % 701 * 1000).alias("maintenance_elapsed_ms"),
-    )
+    cells = {
+        "writer_running": i % 97 != 5, "batcher_running": i % 89 != 7, "writer_idle_ms": i % 23 * 4000, "batcher_idle_ms": i % 19 * 5000, "queue_depth": F.when(i % 4 == 0, i % 11).otherwise(0), "queue_capacity": F.when(i % 7 == 0, 0).otherwise(10),
+        "pending_records": F.when(i % 3 == 0, i % 5).otherwise(0), "outstanding_tickets": i % 2, "watermark_idle_ms": i % 41 * 3000, "maintenance_in_progress": i % 13 == 0, "maintenance_elapsed_ms": i % 701 * 2000,
+    }
+    return table(spark, sf, "events").select("event_id", "user_id", *[c.alias(n) for n, c in cells.items()])
 
 
 @query("g13_health", f"WITH {HEALTH} SELECT event_id, split_part(v, '|', 1) AS state, nullif(split_part(v, '|', 2), '') AS reason FROM j")
@@ -305,7 +313,29 @@ def k2(spark, sf):
     return lifecycle.enforce_quota(log_tables(spark, sf)[0], QUOTA, batch=1000).select("id", "timestamp_ns")
 
 
-@query("k5_verify")
+POINTS = "p AS (SELECT l_orderkey * 10 + l_linenumber AS point, l_partkey AS series_id, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 86400000000000 AS t FROM lineitem)"
+
+
+@query("k9_purge_points", f"WITH {POINTS}, k AS (SELECT * FROM p WHERE t >= 883612800000000000 - 31536000000000000 * 2) SELECT 'points' AS name, count(*) AS n FROM k UNION ALL SELECT 'series', count(DISTINCT series_id) FROM k WHERE series_id IN (SELECT p_partkey FROM part)")
+def k9(spark, sf):
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    points = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("series_id"), (day * 86_400_000_000_000).alias("time_unix_nano"))
+    kept, series = lifecycle.purge_points(points, table(spark, sf, "part").select(F.col("p_partkey").alias("series_id")), 883_612_800_000_000_000, 2 * 31_536_000_000_000_000)
+    return lifecycle.row_counts({"points": kept, "series": series})
+
+
+EVENT = ["id", "resource_id", "timestamp_ns", "observed_timestamp_ns", "severity_number", "severity_text", "trace_id", "span_id", "body", "event_name", "flags", "dropped_attributes_count", "scope_name", "scope_version", "attributes_json", "scope_attributes_json", "scope_schema_url"]
+ROW = ["id", "service_name", "host_name", "schema_url", "attributes_json"]
+
+
+def _sum(name: str, source: str, columns: list[str]) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns))
+    return f"SELECT '{name}' AS name, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({text}), 1, 15) AS HUGEINT)) AS VARCHAR) AS checksum FROM {source}"
+
+
+@log("k5_verify", f"{_sum('log_event', 'rec', EVENT)} UNION ALL {_sum('log_resource', 'res', ROW)}")
 def k5(spark, sf):
     events, resources = log_tables(spark, sf)
-    return lifecycle.checksum(events).select(F.lit("log_event").alias("name"), "rows", "checksum").unionByName(lifecycle.checksum(resources).select(F.lit("log_resource").alias("name"), "rows", "checksum"))
+    tables = {"log_event": events.select(*EVENT), "log_resource": resources.select(*ROW)}
+    out = [lifecycle.checksum(df).select(F.lit(name).alias("name"), "rows", "checksum") for name, df in tables.items()]
+    return out[0].unionByName(out[1])

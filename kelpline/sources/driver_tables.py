@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import canonical, mapping
 
 RECORD_COLUMNS = ["id", "request_id", "resource_idx", "scope_idx"]
@@ -42,7 +43,14 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(_pair("lib", F.lit('"k"'))).alias("scope_attributes"), F.lit("").alias("scope_schema_url"),
         F.when(u % 3 != 0, F.array(_pair("service.name", quoted(F.concat(F.lit("svc-"), text(u % 4)))), _pair("host.name", quoted(F.concat(F.lit("host-"), text(u % 8)))))).otherwise(F.array(_pair("service.name", quoted(F.concat(F.lit("svc-"), text(u % 4)))))).alias("resource_attributes"),
         F.when(u % 2 == 0, "https://example.test/schemas").otherwise("").alias("schema_url"), "user_id", "event_type", "value", "ts", "props",
-    )
+    ).withColumns({"body_size": F.octet_length("body"), "body_fact": F.lit(None).cast(f"struct<{canonical.WALK_DDL}>"), **{f"{n}_facts": _facts(F.col(c)) for n, c in (("attribute", "attributes"), ("resource", "resource_attributes"), ("scope", "scope_attributes"))}})
+
+
+def _facts(attributes: Column) -> Column:
+    """What a walk tells of plain values whose JSON text has no escapes."""
+    leaf = lambda v: F.when(v.startswith('"'), F.octet_length(v) - 2).otherwise(0)
+    zero = F.lit(0)
+    return F.transform(attributes, lambda x: F.struct(x["value"].alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf(x["value"]).alias("max_leaf_bytes"), (leaf(x["value"]) + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), zero.alias("strindex_losses")))
 
 
 #: The same records in DuckDB SQL, as a chain of CTEs: raw, rec (stored values), res (resources), logs (the read view).
@@ -84,15 +92,29 @@ def stored_records(raw: DataFrame) -> DataFrame:
         "id", "request_id", "resource_idx", "scope_idx", canonical.fingerprint(F.col("service_name"), F.col("__host"), F.col("schema_url"), F.col("resource_json")).alias("resource_id"),
         mapping.event_time(mapping.saturate_timestamp(F.col("time_unix_nano")), mapping.saturate_timestamp(F.col("observed_time_unix_nano"))).alias("timestamp_ns"), mapping.saturate_timestamp(F.col("observed_time_unix_nano")).alias("observed_timestamp_ns"),
         mapping.severity(F.col("severity_number")).alias("severity_number"), mapping.non_empty(F.col("severity_text")).alias("severity_text"), mapping.parse_id(F.col("trace_id"), 16).alias("trace_id"), mapping.parse_id(F.col("span_id"), 8).alias("span_id"),
-        mapping.body_choice(F.col("body"), F.lit(None).cast("string")).alias("body"), mapping.non_empty(F.col("event_name")).alias("event_name"), "flags", "dropped_attributes_count", "scope_name", mapping.non_empty(F.col("scope_version")).alias("scope_version"),
+        mapping.body_choice(F.col("body"), F.col("body_json") if "body_json" in raw.columns else F.lit(None).cast("string")).alias("body"), mapping.non_empty(F.col("event_name")).alias("event_name"), "flags", "dropped_attributes_count", "scope_name", mapping.non_empty(F.col("scope_version")).alias("scope_version"),
         canonical.attributes_json(F.col("scope_attributes")).alias("scope_attributes_json"), mapping.non_empty(F.col("scope_schema_url")).alias("scope_schema_url"), canonical.attributes_json(F.col("attributes")).alias("attributes_json"),
         "service_name", mapping.non_empty(F.col("__host")).alias("host_name"), mapping.non_empty(F.col("schema_url")).alias("schema_url"), "resource_json", "user_id", "event_type", "value", "ts",
     )
 
 
+RESOURCE = ["service_name", "host_name", "schema_url", "resource_json"]
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All log rows with their resource's columns, mapped once and stored by event_date, each file sorted by (resource_id, timestamp_ns)."""
+
+    def build(path: str) -> None:
+        rows = stored_records(raw_records(spark, sf_dir)).withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
+        rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").partitionBy("event_date").parquet(path)
+
+    return store.derived(spark, "log_rows", f"{sf_dir}/events.parquet", build)
+
+
 def log_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(log_event, log_resource) of the events table."""
     from ..operators.identity import resource_rows
 
-    rows = stored_records(raw_records(spark, sf_dir))
-    return rows.drop("service_name", "host_name", "schema_url", "resource_json"), resource_rows(rows)
+    rows = log_rows(spark, sf_dir)
+    resources = store.derived(spark, "log_resource", f"{sf_dir}/events.parquet", lambda path: resource_rows(rows).coalesce(1).write.mode("overwrite").parquet(path))
+    return rows.drop(*RESOURCE), resources

@@ -22,8 +22,11 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 100
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:
-    """Times and 64-bit integers may be strings or numbers: they are read as strings."""
-    ident = F.sha2(F.concat_ws("|", "file", "value"), 256)
+    """(request_id, resourceLogs) of rows (value, file). Times and 64-bit integers may be strings or numbers: they are read as strings.
+
+    The id comes from file and text, unless the rows bring a column request_id.
+    """
+    ident = F.col("request_id") if "request_id" in lines.columns else F.sha2(F.concat_ws("|", "file", "value"), 256)
     return lines.select(ident.alias("request_id"), F.from_json("value", REQUEST).alias("r")).where("r IS NOT NULL").select("request_id", "r.resourceLogs")
 
 
@@ -41,34 +44,50 @@ def scalar_json(value: Column) -> Column:
 
 
 def flatten(requests: DataFrame) -> DataFrame:
-    """One row per log record with positions; groups without records vanish. Scope columns are rendered at scope grain."""
+    """One row per log record with positions; groups without records vanish. Scope columns are rendered at scope grain.
+
+    Attribute lists come as key and JSON text; beside each stands what the walk over its values tells
+    (``*_facts``). Lists and bodies without containers are rendered by built-in expressions, the others
+    by an Arrow function, at the grain of their group.
+    """
     groups = requests.select("request_id", F.posexplode("resourceLogs").alias("resource_idx", "g"))
-    scopes = groups.select("request_id", "resource_idx", F.coalesce("g.schemaUrl", F.lit("")).alias("schema_url"), F.col("g.resource.attributes").alias("resource_kv"), F.posexplode("g.scopeLogs").alias("scope_idx", "s"))
-    scopes = scopes.select("request_id", "resource_idx", "scope_idx", "schema_url", "resource_kv", F.coalesce("s.scope.name", F.lit("")).alias("scope_name"), F.coalesce("s.scope.version", F.lit("")).alias("scope_version"), F.coalesce("s.schemaUrl", F.lit("")).alias("scope_schema_url"), _flat_attributes(F.col("s.scope.attributes")).alias("scope_attributes"), "s.logRecords")
+    groups = groups.select("request_id", "resource_idx", F.coalesce("g.schemaUrl", F.lit("")).alias("schema_url"), _facts(F.col("g.resource.attributes")).alias("resource_facts"), F.col("g.resource.attributes").alias("resource_kv"), F.col("g.scopeLogs").alias("scopes"))
+    scopes = groups.select("*", F.posexplode("scopes").alias("scope_idx", "s")).drop("scopes")
+    scopes = scopes.select("request_id", "resource_idx", "scope_idx", "schema_url", "resource_kv", "resource_facts", F.coalesce("s.scope.name", F.lit("")).alias("scope_name"), F.coalesce("s.scope.version", F.lit("")).alias("scope_version"), F.coalesce("s.schemaUrl", F.lit("")).alias("scope_schema_url"), F.col("s.scope.attributes").alias("scope_kv"), _facts(F.col("s.scope.attributes")).alias("scope_facts"), "s.logRecords")
     rows = scopes.select("*", F.posexplode("logRecords").alias("record_idx", "r")).drop("logRecords")
+    rows = rows.withColumns({"attribute_facts": _facts(F.col("r.attributes")), "body_fact": canonical.walk_json(F.when(_container(F.col("r.body")), wire_value(F.col("r.body"))))})
     unsigned = lambda c: F.coalesce(F.col(c).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     body = F.col("r.body")
+    has = F.col("body_fact.json").isNotNull() & _container(body)
+    raw = F.unbase64(body["bytesValue"])
     return rows.select(
-        "request_id", "resource_idx", "scope_idx", "record_idx", "schema_url", _flat_attributes(F.col("resource_kv")).alias("resource_attributes"), "scope_name", "scope_version", "scope_schema_url", "scope_attributes",
+        "request_id", "resource_idx", "scope_idx", "record_idx", "schema_url", _pairs(F.col("resource_kv"), F.col("resource_facts")).alias("resource_attributes"), "resource_facts", "scope_name", "scope_version", "scope_schema_url", _pairs(F.col("scope_kv"), F.col("scope_facts")).alias("scope_attributes"), "scope_facts",
         unsigned("r.timeUnixNano").alias("time_unix_nano"), unsigned("r.observedTimeUnixNano").alias("observed_time_unix_nano"), F.coalesce("r.severityNumber", F.lit(0)).alias("severity_number"), F.coalesce("r.severityText", F.lit("")).alias("severity_text"),
-        F.coalesce(mapping.scalar_body(body["stringValue"], body["intValue"], body["doubleValue"].try_cast("double"), body["boolValue"]), mapping.lossy_text(F.unbase64(body["bytesValue"])), F.lit("")).alias("body"),
-        F.when(body["arrayValue"].isNotNull() | body["kvlistValue"].isNotNull(), wire_value(body)).alias("body_wire"),
+        F.coalesce(mapping.scalar_body(body["stringValue"], body["intValue"], body["doubleValue"].try_cast("double"), body["boolValue"]), mapping.lossy_text(raw), F.lit("")).alias("body"),
+        F.when(has, F.col("body_fact.json")).alias("body_json"), F.when(has, F.col("body_fact")).alias("body_fact"), F.coalesce(F.octet_length(body["stringValue"]), F.octet_length(raw), F.lit(0)).alias("body_size"),
         F.unhex("r.traceId").alias("trace_id"), F.unhex("r.spanId").alias("span_id"), F.coalesce("r.eventName", F.lit("")).alias("event_name"), F.coalesce("r.flags", F.lit(0)).cast("bigint").alias("flags"), F.coalesce("r.droppedAttributesCount", F.lit(0)).cast("bigint").alias("dropped_attributes_count"),
-        _flat_attributes(F.col("r.attributes")).alias("attributes"), F.transform(F.coalesce(F.col("r.attributes"), F.array()), lambda x: wire_value(x["value"])).alias("attribute_wires"),
+        _pairs(F.col("r.attributes"), F.col("attribute_facts")).alias("attributes"), "attribute_facts",
     )
 
 
-def _flat_attributes(kv: Column) -> Column:
-    """Key and JSON text of each attribute; containers show as null here and are filled by ``with_nested``."""
-    return F.coalesce(F.transform(kv, lambda x: F.struct(x["key"].alias("key"), scalar_json(x["value"]).alias("value"))), F.array().cast(canonical.ATTRIBUTES))
+def _container(value: Column) -> Column:
+    return F.coalesce(value["arrayValue"].isNotNull() | value["kvlistValue"].isNotNull(), F.lit(False))
+
+
+def _facts(kv: Column) -> Column:
+    """What the walk over each value tells: one struct for each attribute."""
+    kv = F.coalesce(kv, F.array())
+    zero = F.lit(0)
 
+    def plain(x: Column) -> Column:
+        v = x["value"]
+        leaf = F.coalesce(F.octet_length(v["stringValue"]), F.octet_length(F.unbase64(v["bytesValue"])), zero)
+        return F.struct(scalar_json(v).alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf.alias("max_leaf_bytes"), (leaf + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), F.when(v["stringValueStrindex"].isNotNull(), 1).otherwise(0).alias("strindex_losses"))
 
-def with_nested(rows: DataFrame) -> DataFrame:
-    """Fill in structured bodies (body_json) and the walk of the body; only rows that have one reach the Arrow function."""
-    flat = rows.where("body_wire IS NULL").withColumn("walk", F.lit(None).cast(f"struct<{_fields()}>"))
-    deep = rows.where("body_wire IS NOT NULL").withColumn("walk", canonical.walk_json("body_wire"))
-    return flat.unionByName(deep).withColumn("body_json", F.col("walk.json"))
+    deep = canonical.walk_all(F.when(F.exists(kv, lambda x: _container(x["value"])), F.transform(kv, lambda x: F.coalesce(wire_value(x["value"]), F.lit("{}")))))
+    return F.coalesce(deep, F.transform(kv, plain))
 
 
-def _fields() -> str:
-    return ",".join(f"{a}:{b}" for a, b in (x.strip().split(" ") for x in canonical.WALKED.split(",")))
+def _pairs(kv: Column, facts: Column) -> Column:
+    """Key and JSON text of each attribute."""
+    return F.coalesce(F.zip_with(kv, facts, lambda x, f: F.struct(x["key"].alias("key"), f["json"].alias("value"))), F.array().cast(canonical.ATTRIBUTES))

@@ -40,6 +40,34 @@ def test_nested_walk():
     for _ in range(32):
         deep = {"arrayValue": {"values": [deep]}}
     assert canonical.walk_value(deep)[1] == 32
+    assert canonical.walk_value({"stringValue": "abc"})[4] == canonical.NODE_OVERHEAD + 3
+    assert canonical.walk_value({"kvlistValue": {"values": [{"key": "k", "value": {"stringValue": "abc"}}]}})[4] == 2 * canonical.NODE_OVERHEAD + canonical.ENTRY_OVERHEAD + 4
+
+
+def test_doubles(spark):
+    from kelpline.plans.read_model import DOUBLES
+
+    for value, plain, text in DOUBLES:
+        assert (one(spark, mapping.plain_double(F.lit(value))), one(spark, mapping.json_double(F.lit(value))), canonical.float_json(value)) == (plain, text, text)
+
+
+def test_health_rules(spark):
+    base = {"writer_running": True, "batcher_running": True, "writer_idle_ms": 0, "batcher_idle_ms": 0, "queue_depth": 0, "queue_capacity": 100, "pending_records": 0, "outstanding_tickets": 0, "watermark_idle_ms": 0, "maintenance_in_progress": False, "maintenance_elapsed_ms": 0}
+    cases = [
+        ({"writer_idle_ms": 10**9, "batcher_idle_ms": 10**9}, "Healthy"), ({"pending_records": 5}, "Healthy"), ({"queue_depth": 5, "pending_records": 5, "writer_idle_ms": 150, "batcher_idle_ms": 150}, "Unhealthy"),
+        ({"queue_depth": 5, "writer_idle_ms": 60, "batcher_idle_ms": 60}, "Degraded"), ({"queue_depth": 5, "writer_idle_ms": 5, "batcher_idle_ms": 10_000}, "Healthy"), ({"pending_records": 5, "writer_idle_ms": 10_000, "batcher_idle_ms": 5}, "Healthy"),
+        ({"maintenance_in_progress": True, "maintenance_elapsed_ms": 200, "outstanding_tickets": 2, "watermark_idle_ms": 50_000}, "Degraded"), ({"maintenance_in_progress": True, "maintenance_elapsed_ms": 300}, "Unhealthy"), ({"maintenance_in_progress": True, "queue_depth": 75}, "Degraded"),
+        ({"outstanding_tickets": 1, "watermark_idle_ms": 70, "writer_idle_ms": 70, "batcher_idle_ms": 70}, "Unhealthy"), ({"outstanding_tickets": 1, "watermark_idle_ms": 70, "writer_idle_ms": 70, "batcher_idle_ms": 10}, "Healthy"), ({"queue_depth": 75}, "Degraded"), ({"queue_depth": 75, "queue_capacity": 0}, "Healthy"), ({"writer_running": False}, "Unhealthy"),
+    ]
+    rows = spark.createDataFrame([{**base, **c, "k": i} for i, (c, _) in enumerate(cases)])
+    got = {r["k"]: r["state"] for r in reports.health(rows, 50, 100, 60, 300, 0.75).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_signal_drop(spark, tmp_path):
+    for name in ("metric", "scope", "log_event"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}")
+    assert lifecycle.drop_signal(spark, f"file://{tmp_path}") == ["metric", "scope"] and spark.read.parquet(f"{tmp_path}/log_event").count() == 1
 
 
 def test_bodies(spark):
@@ -80,21 +108,35 @@ def covered(df):
     return {v for r in df.collect() for v in range(r["start"], r["end"] + 1)}
 
 
-def test_intervals_against_sets(spark):
+@pytest.mark.parametrize("bits", [4, 16])
+def test_intervals_against_sets(spark, bits, monkeypatch):
+    from kelpline.operators import prefix
+
+    monkeypatch.setattr(prefix, "BITS", bits)  # 4: totals are carried over many cells, and cells of cells
     rng = random.Random(4)
-    for _ in range(3):
-        a = [(s, s + rng.randint(-2, 30)) for s in (rng.randint(0, 400) for _ in range(30))]
-        b = [(s, s + rng.randint(-2, 9)) for s in (rng.randint(0, 400) for _ in range(30))]
+    for _ in range(2):
+        a = [(s, s + rng.randint(-2, 30)) for s in (rng.randint(-200, 400) for _ in range(30))]
+        b = [(s, s + rng.randint(-2, 9)) for s in (rng.randint(-200, 400) for _ in range(30))]
         sa, sb = ({v for s, e in x for v in range(s, e + 1)} for x in (a, b))
-        merged = intervals.merge(spans(spark, a), cell=64)
+        merged = intervals.merge(spans(spark, a))
         assert covered(merged) == sa and merged.count() == len([v for v in sa if v - 1 not in sa])
         assert covered(intervals.subtract(spans(spark, a), spans(spark, b))) == sa - sb
-        points = spark.range(450).select(F.col("id").alias("v"))
-        assert {r["v"] for r in intervals.contains(points, spans(spark, a), cell=16).collect()} == sa
+        points = spark.range(450).union(spark.range(3)).select(F.col("id").alias("v"), F.lit(1).alias("start"))
+        got = [r["v"] for r in intervals.contains(points, spans(spark, a)).collect()]
+        assert set(got) == {v for v in sa if 0 <= v < 450} and len(got) == sum((2 if v < 3 else 1) for v in sa if 0 <= v < 450)
+        assert {r["v"] for r in intervals.missing(spans(spark, a), spark.createDataFrame([(v,) for v in sb], "v long")).collect()} == sa - sb
     assert intervals.total(spans(spark, [(5, 10), (1, 3), (11, 20), (2, 4)])).first()[0] == 20
     assert intervals.total(spans(spark, [])).first()[0] == 0
 
 
+def test_missing_of_a_long_range(spark):
+    """Three thousand million expected values: only gaps are made."""
+    found = spans(spark, [(1, 1_500_000_000), (1_500_000_004, 3_000_000_000)])
+    gaps = intervals.subtract(spans(spark, [(1, 3_000_000_000)]), found)
+    assert [r["v"] for r in intervals.values(gaps).orderBy("v").collect()] == [1_500_000_001, 1_500_000_002, 1_500_000_003]
+    assert intervals.values(spans(spark, [(5, 200_004)])).count() == 200_000
+
+
 def test_size_batches(spark):
     rows = spark.range(560).select(F.lit("a").alias("origin_id"), F.col("id").alias("ordinal"), F.when(F.col("id") < 70, 1).when(F.col("id") < 220, 2).when(F.col("id") < 470, 3).otherwise(4).alias("ticket"))
     got = tickets.size_batches(rows, 100)
@@ -121,13 +163,44 @@ def test_age_batches_do_not_extend(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2}
 
 
+def test_age_batches_in_chunks(spark, monkeypatch):
+    """Chunks of a hot origin, and tables of chunks put together, give what one scan gives."""
+    monkeypatch.setattr(tickets, "SCAN", 16)
+    monkeypatch.setattr(tickets, "FAN", 3)
+    rng, rows, want = random.Random(7), [], {}
+    for origin, n in (("hot", 400), ("b", 17), ("c", 1)):
+        t, batch, size, oldest = 0, 0, 0, 0
+        for i in range(n):
+            t += rng.choice([0, 0, 1, 2, 5, 30, -2])
+            if size and (size >= 7 or t >= oldest + 10):
+                batch, size = batch + 1, 0
+            oldest = t if not size else oldest
+            size += 1
+            rows.append((origin, 3 * i, t))
+            want[origin, 3 * i] = batch
+    got = tickets.age_batches(spark.createDataFrame(rows, "origin_id string, ordinal long, arrival_ms long"), 7, 10).collect()
+    assert {(r["origin_id"], r["ordinal"]): r["batch_no"] for r in got} == want and len(got) == len(rows)
+
+
+def test_drained(spark):
+    samples = spark.createDataFrame([(0, 0), (200, 0), (2000, 0), (2200, 5), (2400, 7), (3000, 7), (3900, 7), (9000, 9), (70_000_000, 9)], "t_ms long, n long")
+    assert tickets.drained_at(samples, 7).first()[0] == 2400
+    assert tickets.drained_at(samples, 99).first()[0] is None
+    assert tickets.drained_at(samples).first()[0] == 3900
+    assert tickets.drained_at(samples, stable_ms=5000).first()[0] == 70_000_000
+
+
 def test_purge_and_quota(spark, sf):
     events, resources = log_tables(spark, sf)
     low, high = events.agg(F.min("timestamp_ns"), F.max("observed_timestamp_ns")).first()
     kept, used = lifecycle.purge(events, resources, high, (high - low) // 2)
     again, used2 = lifecycle.purge(kept, used, high, (high - low) // 2)
     assert 0 < kept.count() < events.count() and again.count() == kept.count() and used2.count() == used.count()
+    kept, gone = lifecycle.oldest(events, 7).collect(), events.count()
+    first = events.orderBy("timestamp_ns", "id").limit(7).collect()
+    assert [r["id"] for r in kept] == [r["id"] for r in first]
     left = lifecycle.enforce_quota(events, 1, batch=100, rounds=1000)
+    assert gone - left.count() == (gone - 1) // 100 * 100
     assert left.count() == (events.count() - 1) % 100 + 1
     assert lifecycle.enforce_quota(events, 10**12).count() == events.count()
 
@@ -141,17 +214,39 @@ def test_snapshot_restore(spark, sf, tmp_path):
     assert lifecycle.checksum(small).first() == lifecycle.checksum(events).first()
 
 
-def test_search_rebuild_converges(spark, sf):
-    events, resources = log_tables(spark, sf)
-    cursor, parts, top = -1, [], events.agg(F.max("id")).first()[0]
-    while True:
-        last, page = search.rebuild_page(events, cursor, top, 400, "body")
-        if last is None:
-            break
-        parts.append(page)
-        cursor = last
-    total = sum(p.count() for p in parts)
-    assert len(parts) == 3 and total == search.postings(events, "body").count()
+def test_search_rebuild_converges(spark, sf, tmp_path):
+    events, _ = log_tables(spark, sf)
+    top = events.agg(F.max("id")).first()[0]
+    root = f"file://{tmp_path}/index"
+    first = search.Rebuild(spark, events, root, "body", top, 400)
+    assert first.step() and first.done() == 1
+    later = search.Rebuild(spark, events, root, "body", top, 400)  # goes on where the cursor stands
+    assert later.done() == 1
+    search.postings(events.limit(5), "body").write.parquet(f"{root}/postings/page=1")  # what a failed try left
+    while later.step():
+        pass
+    assert later.done() == 3 and not later.step()
+    want = search.postings(events, "body")
+    assert later.index().count() == want.count() and later.index().exceptAll(want.select(*later.index().columns)).isEmpty()
+
+
+def test_stored_index_is_read_by_bucket(spark, sf, tmp_path):
+    events, _ = log_tables(spark, sf)
+    search.write_index(search.postings(events, "body"), f"file://{tmp_path}/p")
+    stored = spark.read.parquet(f"file://{tmp_path}/p")
+    hits = search.term_search(stored, events, "error")
+    assert "PartitionFilters: [isnotnull(bucket" in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == events.where(search.contains_term(F.col("body"), "error")).count() > 0
+
+
+def test_time_ranges_prune(spark, sf):
+    from kelpline.plans.read_model import JAN_10, JAN_20
+
+    events, _ = log_tables(spark, sf)
+    plan = events.where(mapping.in_range("timestamp_ns", JAN_10, JAN_20))._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters")[1].split("]")[0] and "timestamp_ns" in plan.split("PushedFilters")[1].split("]")[0]
+    got = spark.range(1).select(*[mapping.event_date(F.lit(t)).cast("string").alias(f"d{i}") for i, t in enumerate((0, -1, 2**63 - 1, JAN_10))]).first()
+    assert tuple(got) == ("1970-01-01", "1969-12-31", "2262-04-11", "2024-01-10")
 
 
 def test_correctness_report_finds_faults(spark):
@@ -186,15 +281,29 @@ REQUEST = {
 
 def test_otlp_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(REQUEST) + "\n")
-    rows = otlp_json.with_nested(otlp_json.flatten(otlp_json.read_requests(spark, str(tmp_path))))
+    rows = otlp_json.flatten(otlp_json.read_requests(spark, str(tmp_path)))
     got = sorted(rows.collect(), key=lambda r: r["record_idx"])
     assert [r["body"] for r in got] == ["hi", ""] and got[1]["body_json"] == '{"a":"x\\"y","b":1}'
     assert got[0]["attributes"][0]["value"] == "5" and got[0]["trace_id"].hex() == "ab" * 16
     stored = stored_records(rows.withColumns({c: F.lit(None) for c in ("user_id", "event_type", "value", "ts")}).withColumn("id", F.col("record_idx")))
     by = {r["id"]: r for r in stored.collect()}
+    assert by[1]["body"] == '{"a":"x\\"y","b":1}'
     assert by[0]["timestamp_ns"] == 222 and by[1]["timestamp_ns"] == 2**63 - 1 and by[0]["service_name"] == "shop"
 
 
+def test_requests_stream_to_tables(spark, tmp_path):
+    """Export requests in files, as a stream, through flatten and mapping to the stored tables."""
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(REQUEST) + "\nnot json\n")
+    flat = otlp_json.flatten(otlp_json.stream_requests(spark, f"file://{tmp_path}/in", 1))
+    named = flat.withColumns({"id": F.xxhash64("request_id", "record_idx"), "ticket": F.lit(1), "user_id": F.lit(0), "event_type": F.lit(""), "value": F.lit(0.0), "ts": F.lit(None).cast("timestamp")})
+    sinks.start(stored_records(named).withColumn("ticket", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    out = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
+    assert sorted(r["body"] for r in out("log_event").collect()) == ["hi"] * 3 + ['{"a":"x\\"y","b":1}'] * 3
+    assert {r["service_name"] for r in out("log_resource").collect()} == {"shop"} and out("log_resource").count() == 1
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     rows = stored_records(raw_records(spark, sf)).withColumn("ticket", F.expr("id div 20 + 1"))
     for k in range(2):

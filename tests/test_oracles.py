@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def cell(v):
     if isinstance(v, (list, tuple)) or (hasattr(v, "tolist") and hasattr(v, "__len__")):
         return str([cell(x) for x in v])
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "NULL"
     if hasattr(v, "as_tuple"):
         v = float(v)
