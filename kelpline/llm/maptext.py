@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytes_np as B
+from .store import small_batches
 
 #: (bytes, offsets[, a further column]) of some whole texts -> one Arrow array per result field.
 TextFunction = Callable[..., list[pa.Array]]
@@ -33,6 +34,7 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], TextFunction], resu
     clash with the result's while the function runs. A null text counts as empty. The function also
     gets the column ``with_column``, if there is one.
     """
+    small_batches(df.sparkSession)
     fields = T._parse_datatype_string(result)
     more = [F.col(f"`{with_column}`").alias("more")] if with_column else []
     packed = df.select(F.col(f"`{column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry"), *more)

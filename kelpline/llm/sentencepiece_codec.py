@@ -38,12 +38,13 @@ from pyspark.sql import types as T
 
 from . import bytes_np as B
 from .maptext import let_go
+from .store import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Characters of a stretch that is searched beside others; bytes of text that are searched at once.
-LONG, PORTION = 48, 2 << 20
+LONG, PORTION = 48, 1 << 20
 #: Pairs of pieces whose verdict a worker holds: 2**PAIR_BITS.
 PAIR_BITS = 20
 _NEVER = 1 << 30
@@ -496,6 +497,7 @@ def _lists(ids: np.ndarray, bounds: np.ndarray, nulls: pa.Array) -> pa.Array:
 
 def _mapped(df: DataFrame, column: str, result: T.StructType, f: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """Every column of df, then the result's fields (which replace equal names)."""
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c not in result.fieldNames()]
     packed = df.select(F.col(f"`{column}`").alias("value"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in names]).alias("carry"))
     schema = T.StructType([packed.schema["carry"], T.StructField("result", result)])
