@@ -163,8 +163,28 @@ def _calibrate(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
+def _rows(shared):
+    """Of each text: the buckets of a strong scale, and where each stands."""
+
+    def run(batches):
+        strong, features = shared.value, Presence()
+        for batch in batches:
+            data, offsets = B.text_buffers(batch.column(0))
+            for a, b in B.slices(offsets, SLICE):
+                found = [(own[strong[own]], at[strong[own]]) for own, at in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+                lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *lists], names=["cell", "own", "at"])
+        del features
+        let_go()
+
+    return run
+
+
 def train(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, and the second regression's terms, from (text, label) rows with labels 0 and 1."""
+    """Weights, and the second regression's terms, from (text, label) rows with labels 0 and 1.
+
+    The driver gets counts by bucket, and of the sample the features of a strong scale, never texts.
+    """
     fold = F.xxhash64("text").bitwiseAND(1).cast("int")
     cells = texts.select("text", (F.col("label") * 2 + fold).alias("cell"))
     counted = cells.mapInArrow(_counts, "bucket int, c0 long, c1 long, c2 long, c3 long").groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]).toArrow()
@@ -176,18 +196,17 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarra
     # 0, 1: without that fold; 2: all
     scales = [_scale(bucket, table[[1 - k, 3 - k]], sizes[[1 - k, 3 - k]]) for k in (0, 1)]
     scales.append(_scale(bucket, table[[0, 2]] + table[[1, 3]], sizes[[0, 2]] + sizes[[1, 3]]))
-    features, rows, places, labels, folds = Presence(), [], [], [], []
+    rows, places, labels, folds = [], [], [], []
     strong = (scales[0] != 0) | (scales[1] != 0) | (scales[2] != 0)
+    shared = texts.sparkSession.sparkContext.broadcast(strong)
     for y in (0, 1):
-        got = cells.where(F.shiftright("cell", 1) == y).orderBy(F.xxhash64("text")).limit(sample).toArrow()
-        data, offsets = B.text_buffers(got["text"])
+        chosen = cells.where(F.shiftright("cell", 1) == y).orderBy(F.xxhash64("text")).limit(sample)
+        got = chosen.mapInArrow(_rows(shared), "cell int, own array<int>, at array<int>").toArrow()
         folds += (got["cell"].to_numpy() % 2).tolist()
         labels += [y] * len(got)
-        for a, b in B.slices(offsets):
-            for own, at in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                keep = strong[own]
-                rows.append(own[keep])
-                places.append(at[keep].astype(np.int32))
+        rows += [np.array(x, np.int32) for x in got["own"].to_pylist()]
+        places += [np.array(x, np.int32) for x in got["at"].to_pylist()]
+    shared.destroy()
     mark, fold_of, held = np.array(labels), np.array(folds), np.zeros((len(rows), 2))
     for k in (0, 1):
         inside, outside = np.flatnonzero(fold_of != k), np.flatnonzero(fold_of == k)
@@ -215,28 +234,28 @@ def held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def _model(documents: DataFrame, labels: DataFrame, sample: int):
+def _model(documents: DataFrame, labels: DataFrame, sample: int, toxic: int, clean: int):
     """The broadcast model: one number per bucket, and the second regression."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("label"))
     marks = marks.where(~held_out("__id"))
     pick = lambda y, most: marks.where(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    chosen = F.broadcast(pick(1, TOXIC).unionByName(pick(0, CLEAN)))
+    chosen = F.broadcast(pick(1, toxic).unionByName(pick(0, clean)))
     texts = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
     texts = Scratch(documents.sparkSession, "toxicity").table(texts, "training").coalesce(COUNTERS)
     return documents.sparkSession.sparkContext.broadcast(train(texts, sample))
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document.
+def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document. Learns from ``toxic`` and ``clean`` labelled texts at most.
 
     Labels train only where crc32 of the doc_id as text, modulo 3, is not 1.
     """
-    scored = map_texts(documents.select("doc_id", "text"), "text", _scorer(_model(documents, labels, sample)), "score double", ["doc_id"], SLICE)
+    scored = map_texts(documents.select("doc_id", "text"), "text", _scorer(_model(documents, labels, sample, toxic, clean)), "score double", ["doc_id"], SLICE)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
     """The rows of documents that aren't predicted toxic, in the same columns."""
     packed = documents.select(F.col("text"), F.struct(*[f"`{c}`" for c in documents.columns]).alias("__row"))
-    scored = map_texts(packed, "text", _scorer(_model(documents, labels, sample)), "score double", ["__row"], SLICE)
+    scored = map_texts(packed, "text", _scorer(_model(documents, labels, sample, toxic, clean)), "score double", ["__row"], SLICE)
     return scored.where(F.col("score") < threshold).select("__row.*")
