@@ -28,10 +28,12 @@ from . import bytes_np as B
 from .maptext import map_texts
 from .toxicity import held_out
 
-SEGMENT, HIDDEN, BATCH = 96, 6, 2048
+SEGMENT, HIDDEN, BATCH = 96, 8, 2048
 #: Training documents of each language, on average; and segments of each of them, at most.
 SAMPLE, PER_DOCUMENT = 300, 6
 STEPS, TRAIN_BATCH, RATE = 150, 128, 0.02
+#: Segments of each language in a training step, at least: with many languages steps grow.
+LEAST_EACH = 8
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -168,7 +170,7 @@ class Network:
         by = [np.flatnonzero(label == k) for k in range(len(self.languages))]
         weights = [self.forward.x, self.forward.u, self.backward.x, self.backward.u, self.v, self.c]
         m, s = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        each = max(1, TRAIN_BATCH // len(by))
+        each = max(LEAST_EACH, TRAIN_BATCH // len(by))
         for step in range(1, steps + 1):
             own = np.concatenate([rng.choice(b, each) for b in by if len(b)])
             x, y = np.ascontiguousarray(text[:, own]), label[own]

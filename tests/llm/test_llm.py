@@ -235,6 +235,29 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.drop_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_toxicity_scales_against_counts(spark):
+    """Each bucket's scale is the log ratio of smoothed document rates, counted by hand."""
+    rows = [(" ".join(random.Random(i).choices(["lamp", "river", "Grobnak", "stone"], k=30)), int(i % 3 == 0)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "text string, cell int")
+    got = {r["bucket"]: (r["c0"], r["c1"]) for r in texts.mapInArrow(toxicity._counts, "bucket int, c0 long, c1 long, c2 long, c3 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect()}
+    features, want = toxicity.Presence(), Counter()
+    for text, label in rows:
+        raw = text.lower()
+        grams = {raw[i : i + n] for n in toxicity.LENGTHS for i in range(len(raw) - n + 1)}
+        own, _ = next(features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+        assert len(set(own.tolist())) == len(own) <= len(grams)
+        want.update((b, label) for b in own.tolist())
+    sizes = np.array([sum(y == k for _, y in rows) for k in (0, 1)])
+    assert got.pop(-1) == tuple(sizes)
+    assert all(n == (want[b, 0], want[b, 1]) for b, n in got.items())
+    buckets = np.array(list(got))
+    scale = toxicity._scale(buckets, np.array([got[b] for b in buckets.tolist()]).T, sizes)
+    for b in buckets.tolist()[:50]:
+        rate = [(want[b, y] + toxicity.ALPHA * sizes[y] / sizes.sum()) / sizes[y] for y in (0, 1)]
+        r = math.log(rate[1] / rate[0])
+        assert math.isclose(scale[b], r if abs(r) >= toxicity.LEAST_SCALE else 0.0, abs_tol=1e-9)
+
+
 def test_lm_scores(docs, odd, empty):
     got = {r["doc_id"]: r for r in lm_mixing.score_documents(docs, common=200).collect()}
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -381,8 +404,9 @@ def test_language_id(docs, odd, empty):
 
 
 def test_gru_gradients():
+    """Backpropagation through time against differences, for inputs, recurrences and both directions."""
     rng = np.random.default_rng(0)
-    net = language_id.Network(["a", "b"])
+    net, hidden = language_id.Network(["a", "b"]), language_id.HIDDEN
     text = rng.integers(97, 105, (20, 3)).astype(np.uint8)
     valid = (np.arange(20)[:, None] < np.array([20, 11, 5])[None, :]).astype(np.float32)[:, None, :]
     y = np.array([0, 1, 0])
@@ -394,26 +418,54 @@ def test_gru_gradients():
     p, _ = net.probabilities(text, valid)
     p[:, y, np.arange(3)] -= 1
     d = np.matmul(net.v.T, p * valid)
-    _, du = net.forward.gradients(text, valid, d[:, : language_id.HIDDEN])
-    for i, j in ((0, 0), (7, 2), (13, 5)):
-        w, e = net.forward.u, 1e-2
-        old = w[i, j]
-        w[i, j] = old + e
-        up = loss()
-        w[i, j] = old - e
-        down = loss()
-        w[i, j] = old
-        assert math.isclose(du[i, j], (up - down) / 2 / e, rel_tol=0.05, abs_tol=2e-3)
+    fx, fu = net.forward.gradients(text, valid, d[:, :hidden])
+    bx, bu = net.backward.gradients(text[::-1], valid[::-1], d[::-1, hidden:])
+    for w, g in ((net.forward.x, fx), (net.forward.u, fu), (net.backward.x, bx), (net.backward.u, bu)):
+        for _ in range(6):
+            i, j = rng.integers(0, w.shape[0]), rng.integers(97, 105) if w.shape[1] == 256 else rng.integers(0, w.shape[1])
+            e, old = 1e-2, w[i, j]
+            w[i, j] = old + e
+            up = loss()
+            w[i, j] = old - e
+            down = loss()
+            w[i, j] = old
+            assert math.isclose(g[i, j], (up - down) / 2 / e, rel_tol=0.05, abs_tol=5e-3)
 
 
 def test_url_filter(spark):
     urls = ["http://a.com/en/1", "HTTP://EXAMPLE.com/en/7x?q", "https://x.example.com/en/8", "ftp://b.net/de/9", "http://example.net/de/80", "no url", None, "http://shop.io/casino-bonus", "http://casinos.io/", "http://free-win.io/", "http://free.io/free", "http://h?x://com/en/", "http://org/es/"]
     rows = [(i, u, "x") for i, u in enumerate(urls)]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, rule string")).collect()}
-    assert [got[i][2:] for i in range(len(urls))] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), ("org/es/", "block")]
+    assert [got[i][2:] for i in range(len(urls))] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/es/", "block")]
     assert got[1][:2] == ("example.com", "/en/7x") and got[6][:2] == ("", "") and got[11][:2] == ("h", "")
 
 
+def test_url_terms(spark):
+    urls = ["http://h/search?q=VIAGRA", "http://h/#casino", "www.xxx.com/a", "http://h/sex/adult", "http://h/sex?sex#sex", "http://h/free-win-deal", "http://h/free-win", "http://h/pornography", "http://h/aporn/", "http://h/é-porn-é", "xxx", "", None, "http://h/xxx"]
+    pages = spark.createDataFrame([(1, u, 0) for u in urls] + [(2, "http://h/xxx", 0)] * 2, "page_id long, url string, lowered int")
+    got = [r["verdict"] for r in url_filter.judge_urls(pages).collect()]
+    assert got == ["block"] * 4 + ["allow", "block", "allow", "allow", "allow", "block", "block", "allow", "allow", "block", "block", "block"]
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages, vocabulary={}).where("verdict = 'block'").count() == 0
+    equal = [("block", "h", "/x"), ("allow", "h", "/x")]
+    assert {r["verdict"] for r in url_filter.judge_urls(pages.where("url LIKE '%/xxx'"), equal).collect()} == {"block"}
+    # brute force over every term
+    want = []
+    for u in urls:
+        hits = {t for t in url_filter.VOCABULARY if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", (u or "").translate(LOWER))}
+        soft = [url_filter.VOCABULARY[t] for t in hits if url_filter.VOCABULARY[t] < 100]
+        want.append("block" if len(soft) < len(hits) or len(soft) >= 2 and sum(soft) >= 100 else "allow")
+    assert got[: len(urls)] == want
+
+
+def test_learned_vocabulary(spark):
+    rows = [(f"http://a{i}.io/buy-zorg/{i}", True) for i in range(40)] + [(f"http://b{i}.io/news/{i}", False) for i in range(120)] + [(f"http://c{i}.io/mixa-mixb", i % 4 != 0) for i in range(40)] + [(None, True)]
+    learned = url_filter.learn_vocabulary(spark.createDataFrame(rows, "url string, bad boolean"))
+    weights = {r["term"]: r["weight"] for r in learned.collect()}
+    assert weights["zorg"] == 100 and "news" not in weights and 50 < weights["mixa"] == weights["mixb"] < 100
+    pages = spark.createDataFrame([(1, "http://x.io/zorg"), (2, "http://x.io/mixa"), (3, "http://x.io/mixa-mixb"), (4, "http://x.io/news")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge_urls(pages, [], learned).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+
+
 def test_quality_counts(spark, docs, odd, empty):
     rows = docs.select("doc_id", "text").collect() + [r for r in odd.select("doc_id", "text").collect()]
     both = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
