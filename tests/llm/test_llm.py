@@ -86,6 +86,59 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert all(got[i]["n_shingles"] == len(s) and got[i]["kept"] == (want[i] == i) for i, s in sets.items())
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Ties count as links: 17 of 20 shingles shared is 85 %; 16 of 19 is less."""
+    def text(shared, own, tag):
+        return " ".join([f"s{i}" for i in range(shared + 2)] + [f"{tag}{i}" for i in range(own)])
+
+    rows = []
+    for k in range(20):
+        rows += [(10 * k, text(17, 0, "a").replace("s", f"t{k}x")), (10 * k + 1, text(17, 3, "b").replace("s", f"t{k}x"))]
+        rows += [(10 * k + 2, text(16, 0, "a").replace("s", f"u{k}x")), (10 * k + 3, text(16, 3, "b").replace("s", f"u{k}x"))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == components({i: shingles(t) for i, t in rows}, 85)
+
+
+@pytest.mark.parametrize(("width", "percent", "half_keys"), [(3, 85, 10), (5, 80, 14)])
+def test_near_duplicates_recall(spark, width, percent, half_keys):
+    """All components of the 1,000 documents of sf0.01, against an exact join of their sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: shingles(r["text"], width) for r in docs.collect()}
+    by, links = {}, Counter()
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    for ids in by.values():
+        links.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), both in links.items():
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, width, percent, half_keys).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_spanning_links_of_a_family(spark, monkeypatch):
+    """A family at the threshold, dealt into blocks: fewer links come back than there are pairs, and none is lost."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 20)
+    rng, base = random.Random(3), [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), hub_rounds=0).collect()}
+    assert got == components({i: shingles(t) for i, t in rows}, 85)
+
+
 def test_near_duplicates_odd(odd, empty):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) - 1  # without the null id
@@ -272,10 +325,101 @@ def test_lm_scores(docs, odd, empty):
     assert lm_mixing.score_documents(empty).count() == 0
 
 
-def test_lm_is_a_distribution():
-    """The probabilities of all byte strings that end after one or two bytes, and of the rest, sum to one."""
-    code = lm_mixing.Code(np.arange(256.0))
-    assert math.isclose(sum(2.0**-n for n in code.length), 1.0)
+def small_model(spark, docs):
+    """A model of some documents, put together from what tasks would gather."""
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(30).collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    size, count = np.zeros(256), Counter()
+    for part in lm_mixing._corpus_counts([batch]):
+        for kind, key, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if kind:
+                count[key] += n
+            else:
+                size[key] += n
+    n_ends, n_train = count.pop(int(lm_mixing.END_WORD)), sum(count.values())
+    vocabulary = lm_mixing.Vocabulary(np.array(list(count), np.int64), np.array(list(count.values())), n_ends, n_train + n_ends, size)
+
+    class Shared:
+        value = vocabulary
+
+    cells = {c: v for part in lm_mixing._summed(lm_mixing._bit_counts(Shared)([batch])) for c, v in zip(*(x.to_pylist() for x in part.columns), strict=True)}
+    table = np.zeros(lm_mixing.SLOTS, np.int16)
+    for chunk, cell in cells.items():
+        if chunk >= 0:
+            table[chunk * lm_mixing.CHUNK : (chunk + 1) * lm_mixing.CHUNK] = np.frombuffer(cell, np.int16)
+    start = np.frombuffer(cells[-1], np.float64).reshape(2, lm_mixing.GATES, lm_mixing.INPUTS)
+    return lm_mixing.Mixer(table, start), vocabulary, texts, count, n_ends
+
+
+def brute_stream(mixer, stream, which, size):
+    """Natural log probability of one text's decisions, one after another; weights and map move after each block."""
+    more, refined, out = [0.0] * lm_mixing.INPUTS, [1 / (1 + math.exp(-((k + 0.5) / lm_mixing.BUCKETS * 24 - 12))) for k in range(lm_mixing.BUCKETS)], []
+    step, errors, seen = [0.0] * lm_mixing.INPUTS, Counter(), Counter()
+    for i in range(size):
+        cells = [int(mixer.table[stream.slots[k, i]]) for k in range(lm_mixing.INPUTS)]
+        x, gate = [(c >> 2) / lm_mixing.STEP for c in cells], 0
+        for c in cells:
+            gate = gate * 4 + (c & 3)
+        z = sum((float(mixer.start[which][gate, k]) + more[k]) * x[k] for k in range(lm_mixing.INPUTS))
+        z = min(max(z, -11.99), 11.99)
+        p, bit = 1 / (1 + math.exp(-z)), int(stream.bit[i])
+        cell = int((z + 12) * lm_mixing.BUCKETS / 24)
+        mixed = 0.75 * p + 0.25 * refined[cell]
+        out.append(math.log(max(lm_mixing.LEAST, mixed if bit else 1 - mixed)))
+        step = [s + (bit - p) * v for s, v in zip(step, x, strict=True)]
+        errors[cell] += bit - refined[cell]
+        seen[cell] += 1
+        if (i + 1) % lm_mixing.BLOCK == 0:
+            more = [m + lm_mixing.RATE * s for m, s in zip(more, step, strict=True)]
+            for c in seen:
+                refined[c] += lm_mixing.MAP_RATE * errors[c] / (1 + lm_mixing.MAP_RATE * seen[c])
+            step, errors, seen = [0.0] * lm_mixing.INPUTS, Counter(), Counter()
+    return out
+
+
+def test_lm_score_against_brute_force(spark, docs):
+    mixer, vocabulary, texts, _, _ = small_model(spark, docs)
+    texts = [*texts[:3], "", "never seen wordses here xqz", "a " * 400]
+    data, offsets = B.text_buffers(pa.array(texts))
+    want = []
+    for t in texts:
+        own, at = B.text_buffers(pa.array([t]))
+        part = lm_mixing.Sliced(vocabulary, own, at)
+        want.append((sum(brute_stream(mixer, part.word, 0, len(part.word.bit))), sum(brute_stream(mixer, part.spelling, 1, len(part.spelling.bit)))))
+        symbols = [int(vocabulary.look_up(np.array([h]))[0][0]) for h in part.hashes] + [vocabulary.end]
+        assert len(part.word.bit) == sum(vocabulary.words.length[x] for x in symbols)
+    got, spelled = [], []
+    for part, score, letters in lm_mixing.score_texts(mixer, vocabulary, data, offsets):
+        got += score.tolist()
+        spelled += np.diff(np.concatenate([[0], np.cumsum(letters)])[np.searchsorted(part.escaped, part.words)]).tolist()
+    assert np.allclose(np.array(got) * math.log(10), [w for w, _ in want], rtol=1e-4) and np.allclose(np.array(spelled) * math.log(10), [s for _, s in want], rtol=1e-4)
+
+
+def test_lm_is_a_distribution(spark, docs):
+    """Real predictions over all that may come next sum to one: tree words, end and escape; bytes; escaped words."""
+    mixer, vocabulary, _, count, n_ends = small_model(spark, docs)
+    rng = np.random.default_rng(3)
+    for code, which, widths, base in ((vocabulary.words, 0, lm_mixing.WORD_BITS, lm_mixing.WORD_BASE), (vocabulary.letters, 1, lm_mixing.SPELL_BITS, lm_mixing.SPELL_BASE)):
+        n = len(code.length)
+        assert math.isclose(sum(2.0 ** -float(x) for x in code.length), 1.0)
+        for _ in range(3):
+            contexts = [np.full(n, rng.integers(0, 2**32), np.uint32) for _ in range(lm_mixing.INPUTS)]
+            stream = lm_mixing.Stream(code, np.arange(n), contexts, widths, base)
+            ends = np.concatenate([[0], np.cumsum(stream.size)])
+            logs = mixer.log_odds([mixer.prepared(stream, which)], [ends])[0]
+            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])[ends])
+            assert abs(np.exp(sums).sum() - 1) < 1e-3
+    rare = [n for n in count.values() if n < 2]
+    n1, n2 = len(rare), sum(n == 2 for n in count.values())
+    d = n1 / (n1 + 2 * n2)
+    known = lm_mixing.escaped_log10(np.full(len(rare), -1e9), np.array(rare), d, float(sum(rare)), d * len(rare) / sum(rare))
+    assert math.isclose((10**known).sum() + d * len(rare) / sum(rare), 1, rel_tol=1e-9)
+
+
+def test_lm_beats_its_base(spark):
+    got = lm_mixing.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    score, base = got.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
 
 
 def test_decontamination(spark, sf, docs, odd, empty):
@@ -302,6 +446,18 @@ def test_decontamination(spark, sf, docs, odd, empty):
     assert {r["items_sha256"] for r in decontaminate.contamination_report(odd, short.limit(0)).collect()} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_decontamination_with_clashing_names(spark):
+    names = ["cut", "clean", "row", "__text", "n0", "h0", "i0", "again", "hits"]
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = spark.createDataFrame([(1, f"keep {item} this", *[f"x{k}" for k in range(len(names))])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    known = spark.createDataFrame([("q-1", item), ("q-2", None)], "item_id string, text string")
+    for size in (1 << 20, 10):
+        got = decontaminate.remove_contamination(rows, known, block_bytes=size)
+        assert got.columns == rows.columns
+        assert tuple(got.first()) == (1, "keep \n this", *[f"x{k}" for k in range(len(names))])
+    assert decontaminate.contamination_report(rows, known).first()["items"] == ["q-1"]
+
+
 def test_decontamination_in_blocks(spark):
     w = [f"w{i}" for i in range(60)]
     inner, outer = " ".join(f"in{i}" for i in range(10)), [f"out{i}" for i in range(10)]
