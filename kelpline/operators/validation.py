@@ -40,7 +40,7 @@ def record_violations(limits: Limits) -> Column:
 
     Bounds on keys, leaves and depth hold inside containers too, and in structured bodies (body_fact).
     """
-    any_list = lambda test: F.lit(False) if not LISTS else _or([F.exists(c, test) for c in LISTS])
+    any_list = lambda test: _or([F.exists(c, test) for c in LISTS])
     any_fact = lambda field, most: _or([F.exists(c, lambda x: x[field] > most) for c in LISTS.values()] + [F.coalesce(F.col("body_fact")[field] > most, F.lit(False))])
     plain = ("schema_url", "scope_name", "scope_version", "scope_schema_url", "severity_text", "event_name")
     tests = {

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import store
+from ..functions import canonical, mapping
 from ..operators import prefix, search, tickets, validation
 from ..operators.flatten import combined_groups, nest_requests
-from ..functions import canonical, mapping
 from ..sources import otlp_json
 from ..sources.driver_tables import log_rows, log_tables, raw_records, table
 from .read_model import log, logs
@@ -342,6 +344,20 @@ def i8(spark, sf):
     return search.without_deleted(body_index(spark, sf), rows.where("id % 3 = 0")).groupBy("id").agg(F.count("*").alias("n"))
 
 
+@log("i9_rebuild_index", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9]+')) AS w FROM rec) GROUP BY w")
+def i9(spark, sf):
+    """A rebuild in pages, stopped after the first and taken up again."""
+    events, _ = log_tables(spark, sf)
+    top, n = events.agg(F.max("id"), F.count("*")).first()
+    root = f"{store.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
+    again = lambda: search.Rebuild(spark, events, root, "body", top or 0, max(2_000, n // 4))
+    again().step()
+    rest = again()
+    while rest.step():
+        pass
+    return rest.index().groupBy("term").agg(F.count("*").alias("n"))
+
+
 @log("i10_reconcile", "SELECT 1 AS id, 'full' AS mode, 'rebuilding' AS status, CAST(0 AS BIGINT) AS last_rowid, max(id) AS rebuild_until FROM rec")
 def i10(spark, sf):
     events, _ = log_tables(spark, sf)
