@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only where that setting is missing and the master runs in this one machine (tests),
-    a temporary folder takes its place.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="kelpline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from ..store import shared_dir
 
 #: Rows of a batch that goes to a Python worker, at most. Whole texts make rows large.
 BATCH_ROWS = 1024
