@@ -242,7 +242,9 @@ def _model(documents: DataFrame, labels: DataFrame, sample: int, toxic: int, cle
     chosen = F.broadcast(pick(1, toxic).unionByName(pick(0, clean)))
     texts = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
     texts = Scratch(documents.sparkSession, "toxicity").table(texts, "training").coalesce(COUNTERS)
-    return documents.sparkSession.sparkContext.broadcast(train(texts, sample))
+    shared = documents.sparkSession.sparkContext.broadcast(train(texts, sample))
+    let_go()
+    return shared
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
