@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import mapping
 from ..operators import identity, search, validation
 
 
@@ -22,8 +23,8 @@ def write_batch(root: str, mode: str = "body") -> Callable[[DataFrame, int], Non
         rows = rows.persist()
         healthy, poison, per_ticket = validation.salvage(rows)
         out = lambda name: f"{root}/{name}/batch={batch_id}"
-        events = healthy.withColumn("event_date", F.to_date(F.timestamp_micros(F.expr("timestamp_ns div 1000"))))
-        events.drop("service_name", "host_name", "schema_url", "resource_json").write.mode("overwrite").partitionBy("event_date").parquet(out("log_event"))
+        events = healthy.withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
+        events.drop("service_name", "host_name", "schema_url", "resource_json").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").partitionBy("event_date").parquet(out("log_event"))
         incoming = identity.resource_rows(healthy)
         try:
             seen = spark.read.parquet(f"{root}/log_resource").where(F.col("batch") < batch_id)
