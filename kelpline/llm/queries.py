@@ -72,5 +72,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_report(spark, _table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_lm_score": op5_lm_score, "op11_chat_format": op11_chat_format}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_report
+
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_lm_score": op5_lm_score, "op11_chat_format": op11_chat_format, "op12_periodic_runs": op12_periodic_runs}
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_chat_format": chat_format.ORACLE}
