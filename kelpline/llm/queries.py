@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, url_filter, warc
+from . import chat_format, decontaminate, ranked_search, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_lm_score": op5_lm_score, "op11_chat_format": op11_chat_format, "op12_periodic_runs": op12_periodic_runs}
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_chat_format": chat_format.ORACLE}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_decontaminate": op6_decontaminate, "op10_quality": op10_quality, "op4_toxicity": op4_toxicity, "op8_language_id": op8_language_id, "op2_token_counts": op2_token_counts, "op7_warc": op7_warc, "op9_url_filter": op9_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_lm_score": op5_lm_score, "op11_chat_format": op11_chat_format, "op12_periodic_runs": op12_periodic_runs, "op13_ranked_search": op13_ranked_search}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_chat_format": chat_format.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
