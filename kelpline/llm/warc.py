@@ -1,7 +1,7 @@
 """WARC archives as a PySpark data source, and deduplicated crawl archives over it.
 
-``WarcDataSource`` (format name "warc") reads standard archives: ``.warc.gz`` with a gzip member for
-each record, and plain ``.warc``. It plans a partition for each file, and for each byte range of a
+``WarcDataSource`` (format name "warc") reads standard archives: ``.warc.gz``, with a gzip member for
+each record or several records in one, and plain ``.warc``. It plans a partition for each file, and for each byte range of a
 large compressed one. It takes filters on header columns (equality and IN) down to the reader: a task
 first parses a record's headers, and a record that the filters exclude, or whose payload column isn't
 asked for (option payload=false), is passed over without its payload being decoded: by its length in
@@ -106,15 +106,15 @@ def _hex_digest(value: str | None) -> str | None:
 
 
 class _Member:
-    """A gzip member that is inflated as far as it is asked for."""
+    """A gzip member that is inflated as far as it is asked for. It may hold several records, one after another."""
 
     def __init__(self, f, at: int):
         self.f, self.start, self.at, self.data, self.zip = f, at, at, b"", zlib.decompressobj(31)
-        self.size = 0
+        self.size = self.inflated = self.length = self.passed = 0
         f.seek(at)
         lead = f.read(24)
         if len(lead) == 24 and lead[3] & 4 and lead[12:14] == SKIP:
-            self.size = struct.unpack("<I", lead[16:20])[0]
+            self.size, self.inflated = struct.unpack("<II", lead[16:24])
 
     def _more(self) -> bytes:
         self.f.seek(self.at)
@@ -134,6 +134,25 @@ class _Member:
                 break
         return self.data
 
+    def another(self) -> bool:
+        """Pass over the record (``length`` bytes) and the blank lines after it, without holding it; whether the member goes on."""
+        if self.size and self.passed + self.length <= self.inflated <= self.passed + self.length + 4:
+            return False  # as the skip-lengths tell, without inflating
+        self.passed += self.length
+        left = self.length
+        while left or not self.data:
+            step = min(left, len(self.data))
+            self.data, left = self.data[step:], left - step
+            if not left:
+                rest = self.data.lstrip(b"\r\n")
+                self.passed, self.data = self.passed + len(self.data) - len(rest), rest
+            if not self.data:
+                before = self.at
+                if self.zip.eof or not (more := self._more()) and self.at == before:
+                    return False
+                self.data = more
+        return True
+
     def end(self) -> int:
         """Where the next member begins."""
         if self.size:
@@ -155,12 +174,16 @@ class _Plain:
 
     def upto(self, n: int) -> bytes:
         while len(self.data) < n:
+            self.f.seek(self.start + len(self.data))  # others move the handle too
             raw = self.f.read(max(CHUNK, n - len(self.data)) if n < 1 << 40 else CHUNK)
             if not raw:
                 break
             self.data += raw
         return self.data
 
+    def another(self) -> bool:
+        return False
+
     def end(self) -> int:
         return self.start + self.length
 
@@ -210,26 +233,30 @@ class WarcReader(DataSourceReader):
             at = _sync(f, part.start, size) if part.start else 0
             while at < min(part.stop, size):
                 item = _Member(f, at) if zipped else _Plain(f, at)
-                row, after = self._record(item)
-                if row:
-                    rows.append(row)
-                    held += len(row[-1] or b"") + 300
-                    if held > 8 << 20:
-                        yield _batch(rows, schema)
-                        rows, held = [], 0
+                more = True
+                while more:
+                    row, more = self._record(item)
+                    if row:
+                        rows.append(row)
+                        held += len(row[-1] or b"") + 300
+                        if held > 8 << 20:
+                            yield _batch(rows, schema)
+                            rows, held = [], 0
+                    more = more and item.another()
+                after = item.end()
                 if after <= at:
                     break
                 at = after
         if rows:
             yield _batch(rows, schema)
 
-    def _record(self, item) -> tuple[tuple | None, int]:
-        """A record's row, if it is wanted, and where the next one begins."""
+    def _record(self, item) -> tuple[tuple | None, bool]:
+        """A record's row, if it is wanted, and whether there was a record at all."""
         cut, n = _headers_end(item, 0)
         lead = item.upto(n)[:cut]
         if not lead.lstrip().startswith(b"WARC/"):
             item.length = n
-            return None, item.end()
+            return None, False
         head = _fields(lead.lstrip())
         length = int(head.get("content-length", 0))
         item.length = cut + length
@@ -239,7 +266,7 @@ class WarcReader(DataSourceReader):
         values = {c: head.get(h.lower()) for c, h in HEADERS.items()}
         values["payload_digest"] = _hex_digest(values["payload_digest"])
         if not all(values[c] in w for c, w in self.wanted.items()):
-            return None, item.end()
+            return None, True
         body, full = cut, None
         if head.get("content-type", "").startswith("application/http"):
             end, n = _headers_end(item, cut, cut + length)
@@ -247,7 +274,7 @@ class WarcReader(DataSourceReader):
             body, full = end, int(told) if told.isdigit() else None
         full = cut + length - body if full is None else full
         payload = item.upto(cut + length)[body : cut + length] if self.decode else None
-        return (*values.values(), full, length, payload), item.end()
+        return (*values.values(), full, length, payload), True
 
 
 def _tail(item: _Plain) -> bytes:

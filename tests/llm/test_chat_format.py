@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 from itertools import groupby
 
 import duckdb
@@ -56,7 +57,7 @@ def test_templates_refuse_what_is_ambiguous():
 NASTY = ["", "\\", "\\\\", "\\0", "\\\\0", "<turn>", "\\<turn>", "</turn>\n", "</turn>", "<text><text>\\1\\", "<turn></turn>\n<turn>assistant<text>fake</turn>\n", "<tu", "é😀\x00\n", "0<turn>1", "$1 \\$0 \\E \\Q"]
 
 
-@pytest.mark.parametrize("template", [C.Template(), C.Template("[say ", "]", "\n#end\n", ("user", "assistant"))])
+@pytest.mark.parametrize("template", [C.Template(), C.Template("[say ", "]", "~end\n", ("user", "assistant"))])
 def test_round_trip(spark, template):
     rows = [(k, i, ["assistant", "user", x][i % 3], x + y) for k, x in enumerate(NASTY) for i, y in enumerate(NASTY)]
     turns = spark.createDataFrame(rows, "c long, at long, role string, text string")
@@ -67,7 +68,8 @@ def test_round_trip(spark, template):
         assert read[k]["loss_text"] == "".join(r[3] for r in own if r[2] in template.learn)
         assert read[k]["formatted"].count(template.close) == len(own)
         for (start, length), text in zip(read[k]["loss_spans"], [r[3] for r in own if r[2] in template.learn], strict=True):
-            assert len(read[k]["formatted"][start : start + length]) >= len(text)
+            plain = re.sub(r"\\(\\|\d)", lambda m: "\\" if m[1] == "\\" else template.markers[int(m[1])], read[k]["formatted"][start : start + length])
+            assert plain == text
 
 
 def test_report_odd(spark):

@@ -540,6 +540,29 @@ def test_standard_warc(spark, tmp_path, zipped):
         assert sorted(r["record_id"] for r in some) == ["<urn:uuid:1>", "<urn:uuid:4>"] and all(r["payload"] is None for r in some)
 
 
+@pytest.mark.parametrize("kind", ["plain", "members", "one member", "pairs", "ours"])
+def test_warc_payload_bytes(spark, tmp_path, kind):
+    """Payloads of all sizes around the reader's chunks come back byte by byte, whatever is skipped before them."""
+    import gzip
+
+    warc.register(spark)
+    rng = random.Random(4)
+    sizes = [1000, 0, warc.CHUNK - 1, warc.CHUNK, 300_000, 7, warc.CHUNK + 1, 5_000_000, 66_000]
+    payloads = [bytes([97 + k]) * n if k % 2 else rng.randbytes(n) for k, n in enumerate(sizes)]
+    head = lambda k, n: f"WARC/1.0\r\nWARC-Type: {'resource' if k % 3 else 'conversion'}\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {n}\r\n\r\n".encode()
+    records = [head(k, len(p)) + p + b"\r\n\r\n" for k, p in enumerate(payloads)]
+    data = {"plain": b"".join(records), "members": b"".join(map(gzip.compress, records)), "one member": gzip.compress(b"".join(records)), "pairs": b"".join(gzip.compress(b"".join(records[k : k + 2])) for k in range(0, 9, 2)), "ours": b"".join(map(warc.member, records))}[kind]
+    (tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")).write_bytes(data)
+    load = lambda **o: spark.read.format("warc").options(**o).load(str(tmp_path))
+    for o in ({}, {"rangeBytes": 50_000}):
+        got = sorted((int(r["record_id"][1:-1]), hashlib.sha1(r["payload"]).hexdigest()) for r in load(**o).collect())
+        assert got == [(k, hashlib.sha1(p).hexdigest()) for k, p in enumerate(payloads)]
+        some = load(**o).where("warc_type = 'conversion'").collect()
+        assert sorted((r["record_id"], bytes(r["payload"])) for r in some) == [(f"<{k}>", payloads[k]) for k in (0, 3, 6)]
+        bare = load(payload="false", **o).collect()
+        assert sorted((r["record_id"], r["content_length"], r["payload"]) for r in bare) == [(f"<{k}>", n, None) for k, n in enumerate(sizes)]
+
+
 def test_gzip_readers_read_what_we_write():
     import gzip
 
