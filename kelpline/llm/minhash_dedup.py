@@ -24,7 +24,9 @@ threshold 0.85 with the defaults, 2e-6 at 0.9, and the rounds give further chanc
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept.
 Texts of fewer words than a shingle form one shingle of all their words. Rows that repeat a doc_id
-count as documents with equal ids. Null doc_ids are dropped: such a row can't be named in a result.
+count as documents with equal ids: each distinct set has a key of its own, so different texts of one
+id keep their own links, and the rows have the same component only if links join them. doc_id is a
+whole number. Null doc_ids are dropped: such a row can't be named in a result.
 Extra columns are ignored, whatever their names.
 """
 
@@ -43,7 +45,7 @@ from .components import components
 from .maptext import let_go
 from .store import Scratch
 
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, us array<long>, vs array<long>, s1 long, s2 long"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, us array<long>, vs array<long>, s1 long, s2 long"
 #: How many standard deviations above the mean the differing sketch bits of a pair at the threshold may lie.
 SLACK = 6.5
 #: Sets in a table that is joined with itself; sets and bytes in a block of a larger one.
@@ -77,6 +79,16 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     return (np.concatenate(parts) if parts else acc[:0]), np.cumsum(sizes)
 
 
+def _fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over the hashes of each set; 0 of an empty one."""
+    fp = np.zeros((2, len(bounds) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        fp[0][full] = np.add.reduceat(sets, bounds[:-1][full])
+        fp[1][full] = np.add.reduceat(B.mix(sets), bounds[:-1][full])
+    return fp
+
+
 def _signatures(width: int, half_keys: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 2 * half_keys * rows
@@ -90,11 +102,9 @@ def _signatures(width: int, half_keys: int, rows: int):
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 at = bounds[:-1][full]
-                fp = np.zeros((2, b - a), np.uint64)
+                fp = _fingerprints(sets, bounds)
                 mins = np.zeros((n, b - a), np.uint64)
                 if len(full):
-                    fp[0][full] = np.add.reduceat(sets, at)
-                    fp[1][full] = np.add.reduceat(B.mix(sets), at)
                     work = np.empty_like(sets)
                     for j in range(n):
                         np.bitwise_xor(sets, xors[j], out=work)
@@ -113,7 +123,7 @@ def _signatures(width: int, half_keys: int, rows: int):
                 empty = sizes == 0
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * half_keys), pa.array(np.ascontiguousarray(keys[s].T).reshape(-1).view(np.int64)), mask=pa.array(empty)) for s in range(2)]
                 longs = [pa.array(x.view(np.int64)) for x in (fp[0], fp[1])]
-                yield pa.RecordBatch.from_arrays([ids[a:b].cast(pa.int64()), pa.array(sizes), *longs, *lists, pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64))], names=["doc_id", "n_shingles", "fp1", "fp2", "us", "vs", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids[a:b].cast(pa.int64()), batch.column(2)[a:b], pa.array(sizes), *longs, *lists, pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64))], names=["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "us", "vs", "s1", "s2"])
         let_go()
 
     return run
@@ -136,13 +146,13 @@ def _sets(width: int):
     return run
 
 
-def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the wanted documents.
+def _candidate_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, text) of the wanted sets: (rep, doc_id, fp1, fp2, n), of which each document of the set can give the text.
 
     A bit map of fixed size (FILTER_BITS, whatever the number of documents) lets each task drop most
-    others before the join; the join decides.
+    others before their sets are told again; the join decides.
     """
-    place = F.expr(f"(rep ^ shiftrightunsigned(rep, {FILTER_BITS})) & {(1 << FILTER_BITS) - 1}")
+    place = F.expr(f"(doc_id ^ shiftrightunsigned(doc_id, {FILTER_BITS})) & {(1 << FILTER_BITS) - 1}")
     maps = wanted.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     rows = {r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(rows)
@@ -156,10 +166,16 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy().view(np.uint64)
             at = (ids ^ (ids >> np.uint64(FILTER_BITS))) & np.uint64((1 << FILTER_BITS) - 1)
             keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
+            some = batch.filter(pa.array(keep.astype(bool)))
+            data, offsets = B.text_buffers(some.column(1))
+            for a, b in B.slices(offsets, SLICE):
+                sets, bounds = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                fp = _fingerprints(sets, bounds)
+                yield pa.RecordBatch.from_arrays([*some.slice(a, b - a).columns, *[pa.array(x.view(np.int64)) for x in fp], pa.array(np.diff(bounds))], names=["doc_id", "text", "fp1", "fp2", "n"])
 
-    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string")
-    return some.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    key = ["doc_id", "fp1", "fp2", "n"]
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, fp1 long, fp2 long, n long")
+    return some.join(wanted, key).groupBy(*key).agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text")
 
 
 def _items(width: int):
@@ -235,8 +251,8 @@ def _confirm(percent: int):
 def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(width), "rep long, items binary").dropDuplicates(["rep"]), f"{tag}-sets")
+    texts = docs.join(wanted, "rep", "left_semi")
+    sets = scratch.table(texts.mapInArrow(_sets(width), "rep long, items binary"), f"{tag}-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     linked = scratch.table(both.mapInArrow(_confirm(percent), "a long, b long"), f"{tag}-links")
@@ -257,8 +273,7 @@ def _possible(percent: int, hashes: int, a: str = "", b: str = "h_") -> str:
 
 def _own_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(rep, own): how many shingles of each wanted set no other wanted set holds."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    rows = texts.mapInArrow(_items(width), "rep long, item long")
+    rows = docs.join(wanted, "rep", "left_semi").mapInArrow(_items(width), "rep long, item long")
     alone = rows.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     return alone.groupBy("rep").agg(F.count("*").alias("own"))
 
@@ -266,8 +281,7 @@ def _own_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _large_tables(members: DataFrame, mixed: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Links within large tables, block against block, each block pair's as a spanning forest."""
     rows = scratch.table(members.join(mixed, "u").select("u", "rep", "comp", "n", "own", "blocks"), "large")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(rows.select("rep").distinct(), "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "rep long, items binary").dropDuplicates(["rep"])
+    sets = docs.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sets(width), "rep long, items binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("u", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "rep", "block", "comp", "n", "own")
@@ -282,26 +296,28 @@ def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, half_keys: int = 10, rows: int = 3, hub_rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document; see the module's text.
+    """doc_id, n_shingles, component_id, kept, group and text_hash of every document; see the module's text.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct
     ``width``-word shingles; component_id is the smallest doc_id reachable, kept is
-    doc_id = component_id. ``documents`` needs columns doc_id and text.
+    doc_id = component_id. ``documents`` needs columns doc_id and text. group numbers the components
+    (null without words): it tells those apart that repeated doc_ids give the same component_id.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "near-dup")
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
-    signed = scratch.table(docs.mapInArrow(_signatures(width, half_keys, rows), SIGNATURE), "signed")
+    signed = scratch.table(docs.withColumn("h", F.xxhash64(F.col("text").cast("string"))).mapInArrow(_signatures(width, half_keys, rows), SIGNATURE), "signed")
 
     full = signed.where("n_shingles > 0")
-    sets = full.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("us").alias("us"), F.first("vs").alias("vs"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    sets = scratch.table(sets, "sets")
+    sets = full.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.first("us").alias("us"), F.first("vs").alias("vs"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    # a number for each set; the written table keeps it
+    sets = scratch.table(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
 
     halves = sets.select("rep", F.explode("us").alias("h"), F.lit(0).alias("side")).union(sets.select("rep", F.explode("vs").alias("h"), F.lit(1).alias("side")))
     shared = scratch.table(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     lists = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("us"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("vs")).where("size(us) > 0 AND size(vs) > 0")
     lists = scratch.table(lists.join(sets.select("rep", "n", "s1", "s2"), "rep"), "lists")
-    docs = scratch.table(_candidate_texts(docs, lists.select("rep")), "texts")
+    docs = scratch.table(_candidate_texts(docs, sets.join(lists.select("rep"), "rep", "left_semi").select("rep", "doc_id", "fp1", "fp2", "n"), width), "texts")
     own = scratch.table(_own_shingles(docs, lists.select("rep"), width), "own")
     lists = lists.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     lists = scratch.table(lists.where(f"100 * (n - own) >= {percent} * n"), "live")
@@ -342,8 +358,28 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85, hal
 
     if comps is None:
         comps = spark.createDataFrame([], "node long, component long")
-    where = sets.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
-    where = scratch.table(where, "where")
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(where.withColumnRenamed("n", "n_shingles"), ["fp1", "fp2", "n_shingles"], "left")
+    # a component is called by its smallest doc_id; sets without links by their own
+    linked = comps.select(F.col("node").alias("rep"), "component").join(sets.select("rep", "doc_id"), "rep")
+    linked = linked.join(linked.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("rep", "component", "least")
+    where = sets.select("rep", "doc_id", "fp1", "fp2", F.col("n").alias("n_shingles")).join(linked, "rep", "left")
+    where = scratch.table(where.select("fp1", "fp2", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "rep").alias("group")), "where")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "fp1", "fp2").join(where, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "group", "text_hash")
+
+
+def one_of_each(documents: DataFrame, **settings: int) -> DataFrame:
+    """The rows of documents without near duplicates: of each group the row of the smallest doc_id (of several, one) stays.
+
+    Rows without words are linked with nothing and stay, except for rows that repeat both doc_id and text;
+    rows without a doc_id stay as they are. Columns are those of documents.
+    """
+    names = documents.columns
+    found = near_duplicates(documents, **settings).where("group IS NOT NULL").select("group", F.struct("doc_id", "text_hash").alias("own"))
+    first = found.groupBy("group").agg(F.min("own").alias("first"))
+    dropped = found.join(first, "group").where("own <> first").select(F.col("own.doc_id").alias("__id"), F.col("own.text_hash").alias("__h")).distinct()
+    # all input columns travel in one struct, so none of their names can clash
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__h"))
+    kept = rows.join(dropped, ["__id", "__h"], "left_anti")
+    kept = kept.where("__id IS NOT NULL").dropDuplicates(["__id", "__h"]).unionByName(kept.where("__id IS NULL"))
+    return kept.select(*[F.col(f"row.`{c}`") for c in names])

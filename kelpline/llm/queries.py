@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

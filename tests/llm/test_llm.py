@@ -139,6 +139,28 @@ def test_spanning_links_of_a_family(spark, monkeypatch):
     assert got == components({i: shingles(t) for i, t in rows}, 85)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts of one doc_id have links of their own."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(100)] for _ in range(4)]
+    near = lambda k, n: " ".join([*base[k][: 100 - n], *(f"n{n}x{i}" for i in range(n))])
+    rows = [(1, near(0, 0)), (1, near(1, 0)), (2, near(1, 1)), (3, near(0, 1)), (5, near(2, 0)), (4, near(2, 2)), (5, near(3, 0)), (5, near(3, 0)), (7, near(3, 1)), (9, "alone with one id"), (9, "and with another text")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 4, False), (4, 4, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, True)])
+
+
+def test_one_of_each(spark, odd):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(100)] for _ in range(4)]
+    near = lambda k, n: " ".join([*base[k][: 100 - n], *(f"n{n}x{i}" for i in range(n))])
+    rows = [(4, near(0, 0)), (5, near(0, 1)), (5, near(1, 0)), (5, near(1, 2)), (7, near(1, 1)), (5, near(2, 0)), (5, near(2, 0)), (None, near(0, 0)), (8, None), (8, "")]
+    for row in (lambda r: r, lambda r: r[::-1]):
+        got = [tuple(r) for r in minhash_dedup.one_of_each(spark.createDataFrame(row(rows), SCHEMA).withColumn("own", F.lit(1))).drop("own").collect()]
+        assert len(got) == 6 and {(4, near(0, 0)), (5, near(2, 0)), (None, near(0, 0)), (8, None), (8, "")} < set(got)
+        assert len({(5, near(1, 0)), (5, near(1, 2))} & set(got)) == 1
+    assert minhash_dedup.one_of_each(odd).columns == odd.columns and minhash_dedup.one_of_each(odd.limit(0)).count() == 0
+
+
 def test_near_duplicates_odd(odd, empty):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) - 1  # without the null id
