@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpline.llm.decontaminate import remove_contamination
-from kelpline.llm.minhash_dedup import near_duplicates
+from kelpline.llm.minhash_dedup import one_of_each
 from kelpline.llm.quality import keep_good
 from kelpline.llm.sentencepiece_codec import encode_and_check
 from kelpline.llm.store import Scratch
@@ -32,10 +32,8 @@ def drop_poor_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id stays in each group. Of rows that repeat a doc_id, one stays; rows without one stay."""
-    dropped = near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, half_keys=HALF_KEYS).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each group the row of the smallest doc_id stays; rows without a doc_id stay."""
+    return one_of_each(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, half_keys=HALF_KEYS)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
