@@ -273,7 +273,7 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     rest is searched again, until no phrase is left. n_chars, where it is a column, is renewed.
     Rows whose texts have no hit come back unchanged, null texts included.
 
-    One block is cut and searched again inside the task. With more, a round finds the spans of all
+    One block is cut and searched again inside the task, around the cuts only, however deep phrases lie in each other. With more, a round finds the spans of all
     blocks in the same text and cuts their union; the next round has the rows that were cut.
     """
     spark = documents.sparkSession
@@ -313,33 +313,77 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     return renewed(out)
 
 
+def _uncovered(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, offsets of documents into them, and which go until no phrase is left.
+
+    The words that stay are a linked list. After the first search a phrase can only appear where a cut
+    brought words together, so further rounds index just the words around the last cuts.
+    """
+    low = B.LOWER[data]
+    starts, ends, words = B.word_spans(low, offsets, B.ALNUM_BYTES)
+    n = len(starts)
+    gone = np.zeros(n + 1, bool)
+    if not phrases.by_length or not n:
+        return starts, ends, words, gone[:-1]
+    symbols = phrases.symbols(B.range_hashes(B.prefix_hashes(low), starts, ends))
+    # the neighbours that stay; n stands for the end of a document on either side
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[words[1:][words[1:] > words[:-1]] - 1] = n
+    before[words[:-1][words[1:] > words[:-1]]] = n
+    after, before = np.append(after, n), np.append(before, n)
+    reach = max(phrases.by_length) - 1
+    hit = np.flatnonzero(_search(phrases, symbols, words)[0])
+    while len(hit):
+        gone[hit] = True
+        # both ends of each stretch of words that just went
+        left = before[hit]
+        first = hit[(left == n) | ~gone[left]]
+        a, b = before[first], after[first]
+        while len(inner := np.flatnonzero(gone[b])):
+            b[inner] = after[b[inner]]
+        after[a[a < n]], before[b[b < n]] = b[a < n], a[b < n]
+        joined = (a < n) & (b < n)
+        a, b = a[joined], b[joined]
+        if not len(a) or not reach:
+            break
+        around = [b]
+        for _ in range(reach - 1):
+            around.append(after[around[-1]])
+        behind = [a]
+        for _ in range(reach - 1):
+            behind.append(before[behind[-1]])
+        near = np.stack([*behind[::-1], *around], axis=1)
+        inside = near < n
+        own = near[inside]
+        found = _search(phrases, symbols[own], np.concatenate([[0], np.cumsum(inside.sum(1))]))[0]
+        hit = np.unique(own[found])
+    return starts, ends, words, gone[:-1]
+
+
 def _cleaner(shared):
     def make():
-        search = _searcher(shared.value)()
-
-        def clean(texts: list[bytes]) -> list[bytes | None]:
-            """The rest of each text that has a hit, else None."""
-            column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
-            hits = search(*B.text_buffers(column))[2].to_pylist()
-            out: list[bytes | None] = [None] * len(texts)
-            again = []
-            for i, spans in enumerate(hits):
-                if spans:
-                    at, rest = 0, []
-                    for s in spans:
-                        rest.append(texts[i][at : s["start"]])
-                        at = s["stop"]
-                    out[i] = b"\n".join([*rest, texts[i][at:]])
-                    again.append(i)
-            if again:
-                for i, more in zip(again, clean([out[i] for i in again]), strict=True):
-                    out[i] = out[i] if more is None else more
-            return out
+        phrases = shared.value
 
         def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-            raw = data.tobytes()
-            cut = clean([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-            return [pa.array([None if x is None else x.decode() for x in cut], pa.string()), pa.array([x is not None for x in cut])]
+            starts, ends, words, gone = _uncovered(phrases, data, offsets)
+            inner = np.concatenate([[False], gone[:-1]])
+            inner[words[:-1][words[:-1] < len(gone)]] = False
+            outer = np.concatenate([gone[1:], [False]])
+            outer[words[1:][words[1:] > 0] - 1] = False
+            first, last = np.flatnonzero(gone & ~inner), np.flatnonzero(gone & ~outer)
+            bounds = np.searchsorted(first, words).tolist()
+            start, stop = starts[first].tolist(), ends[last].tolist()
+            out: list[str | None] = []
+            for k in range(len(offsets) - 1):
+                if bounds[k] == bounds[k + 1]:
+                    out.append(None)
+                    continue
+                at, rest = int(offsets[k]), []
+                for i in range(bounds[k], bounds[k + 1]):
+                    rest.append(data[at : start[i]].tobytes())
+                    at = stop[i]
+                out.append(b"\n".join([*rest, data[at : offsets[k + 1]].tobytes()]).decode())
+            return [pa.array(out, pa.string()), pa.array([x is not None for x in out])]
 
         return run
 

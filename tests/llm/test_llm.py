@@ -480,6 +480,29 @@ def test_decontamination_with_clashing_names(spark):
     assert decontaminate.contamination_report(rows, known).first()["items"] == ["q-1"]
 
 
+def test_nested_phrases_are_cut_without_recursion(spark):
+    """10,000 levels, and random texts against cutting again and again by a scan."""
+    item = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    deep = "x " + "alpha " * 10_000 + "beta " * 10_000 + "y"
+    got = decontaminate.remove_contamination(spark.createDataFrame([(1, deep), (2, "beta alpha"), (3, None)], SCHEMA), item).collect()
+    assert {r["doc_id"]: r["text"] and r["text"].split() for r in got} == {1: ["x", "y"], 2: ["beta", "alpha"], 3: None}
+    rng = random.Random(9)
+
+    def cut(w, phrases):
+        while True:
+            hit = {i + k for p in phrases for i in range(len(w) - len(p) + 1) if tuple(w[i : i + len(p)]) == p for k in range(len(p))}
+            if not hit:
+                return w
+            w = [x for i, x in enumerate(w) if i not in hit]
+
+    for _ in range(3):
+        phrases = {tuple(rng.choices("abcd", k=rng.choice([2, 3, 3, 4]))) for _ in range(6)}
+        items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(phrases)], "item_id long, text string")
+        texts = [(k, "".join(rng.choice("abcd") + rng.choice([" ", ", ", "\n"]) for _ in range(rng.choice([0, 3, 40, 200])))) for k in range(60)]
+        kept = decontaminate.remove_contamination(spark.createDataFrame(texts, SCHEMA), items).collect()
+        assert {r["doc_id"]: re.findall("[a-z]", r["text"]) for r in kept} == {i: cut(re.findall("[a-z]", t), phrases) for i, t in texts}
+
+
 def test_decontamination_in_blocks(spark):
     w = [f"w{i}" for i in range(60)]
     inner, outer = " ".join(f"in{i}" for i in range(10)), [f"out{i}" for i in range(10)]
