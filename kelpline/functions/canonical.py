@@ -5,15 +5,19 @@ from __future__ import annotations
 import base64
 import json
 import math
-from collections.abc import Iterator
+import re
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_bytes import scan_lines
+
 #: array<struct<key string, value string>> where value is already JSON text.
 ATTRIBUTES = "array<struct<key:string,value:string>>"
 
@@ -24,14 +28,16 @@ def json_string(text: Column) -> Column:
 
 
 def last_wins(attributes: Column) -> Column:
-    """Of equal keys only the last element stays."""
-    later = lambda x, i: F.exists(F.slice(attributes, i + 2, F.greatest(F.size(attributes), F.lit(1))), lambda y: y["key"] == x["key"])
-    return F.filter(attributes, lambda x, i: ~later(x, i))
+    """In order of the keys' bytes; of equal keys only the last element stays. One sort by key and place, then neighbours are compared."""
+    placed = F.array_sort(F.transform(attributes, lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("i"), x["value"].alias("value"))))
+    # a null key stands for itself; sorted neighbours of one key begin with the last of the list
+    kept = F.filter(F.arrays_zip(placed.alias("x"), F.concat(F.array(F.lit(None).cast("string")), placed["key"]).alias("before")), lambda z: z["x"].isNotNull() & ~F.coalesce(z["x"]["key"] == z["before"], F.lit(False)))
+    return F.transform(kept, lambda z: F.struct(z["x"]["key"].alias("key"), z["x"]["value"].alias("value")))
 
 
 def attributes_json(attributes: Column) -> Column:
     """{"key":value,...} in order of the keys' bytes; a repeated key keeps its last value."""
-    ordered = F.array_sort(last_wins(attributes))
+    ordered = last_wins(attributes)
     return F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda x: F.concat(json_string(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ","), F.lit("}"))
 
 
@@ -55,10 +61,36 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
-#: What one walk over a value tells.
-WALKED = "json string, depth int, max_key_bytes int, max_leaf_bytes int, size long, strindex_losses int"
+#: What one walk over a value tells. scalar_losses counts values that aren't of the kind that they claim.
+WALKED = "json string, depth int, max_key_bytes int, max_leaf_bytes int, size long, strindex_losses int, scalar_losses int"
 #: Estimated bytes of a value's node, and of an entry of a list of keys and values.
 NODE_OVERHEAD, ENTRY_OVERHEAD = 32, 56
+#: A text with more brackets than this inside each other isn't parsed; each container takes four of them at most.
+DEEPEST = 600
+#: Fixed patterns: whole and other numbers as the wire writes them.
+WHOLE, NUMBER = r"^-?[0-9]{1,19}$", r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+NOT_FINITE = ("NaN", "Infinity", "-Infinity")
+
+
+def whole_number(text: Column) -> Column:
+    """A signed 64-bit number as a long, or null."""
+    return F.when(text.rlike(WHOLE), text.try_cast("bigint"))
+
+
+def double_number(text: Column) -> Column:
+    """A double, or null; NaN and infinities by their names."""
+    return F.when(text.rlike(NUMBER) | text.isin(*NOT_FINITE), text.try_cast("double"))
+
+
+def wire_bytes(text: Column) -> Column:
+    """The bytes of base-64 text, of either alphabet, padded or not; null if it is none."""
+    plain = F.rtrim(F.translate(text, "-_", "+/"), F.lit("="))
+    whole = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    return F.when(text == "", F.unhex(F.lit(""))).when(plain.rlike("^[A-Za-z0-9+/]*$") & (F.length(plain) % 4 != 1), F.try_to_binary(whole, F.lit("base64")))
+
+
+def truth(text: Column) -> Column:
+    return F.when(text == "true", True).when(text == "false", False)
 
 
 def _literal(text: str) -> str:
@@ -82,58 +114,125 @@ def float_json(x: float) -> str:
     return f"{lead}{text.ljust(point, '0')}.0" if point >= len(text) else f"{lead}{text[:point]}.{text[point:]}"
 
 
-def walk_value(value: Any) -> tuple[str, int, int, int, int, int]:
-    """Canonical JSON of a wire value ({"stringValue": ...} and so on), its depth, largest key and leaf, size and losses.
+Walked = tuple[str, int, int, int, int, int, int]
+_NULL: Walked = ("null", 0, 0, 0, NODE_OVERHEAD, 0, 0)
+_WRONG: Walked = ("null", 0, 0, 0, NODE_OVERHEAD, 0, 1)
 
-    Depth counts containers inside each other: a list of plain values has 1.
-    """
-    kinds = {k: v for k, v in (value or {}).items() if v is not None}
-    if not kinds:
-        return "null", 0, 0, 0, NODE_OVERHEAD, 0
-    kind, v = next(iter(kinds.items()))
+
+def _text(v: Any) -> str:
+    """Where a string is wanted, other JSON stands for its own text."""
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+class _Container:
+    """A list, or a list of keys and values, that is being walked."""
+
+    def __init__(self, keys: list[str] | None, values: list):
+        self.keys, self.values, self.done = keys, values, []
+
+    def close(self) -> Walked:
+        done = self.done
+        if self.keys is None:
+            body, keys, entries = "[" + ",".join(w[0] for w in done) + "]", [], 0
+        else:
+            last = {k: w[0] for k, w in zip(self.keys, done, strict=True)}
+            body = "{" + ",".join(f"{_literal(k)}:{last[k]}" for k in sorted(last, key=str.encode)) + "}"
+            keys, entries = [len(k.encode()) for k in self.keys], ENTRY_OVERHEAD * len(done)
+        most = lambda k: max((w[k] for w in done), default=0)
+        every = lambda k: sum(w[k] for w in done)
+        return body, 1 + most(1), max([*keys, most(2)], default=0), most(3), NODE_OVERHEAD + sum(keys) + entries + every(4), every(5), every(6)
+
+
+def _begin(value: Any) -> Walked | _Container:
+    """A plain value's result, or the container that it opens."""
+    if value is None:
+        return _NULL
+    if not isinstance(value, dict):
+        return _WRONG
+    kind, v = next(((k, v) for k, v in value.items() if v is not None), ("", None))
     if kind == "stringValueStrindex":
-        return "null", 0, 0, 0, NODE_OVERHEAD, 1
+        return ("null", 0, 0, 0, NODE_OVERHEAD, 1, 0)
     if kind == "stringValue":
-        n = len(v.encode())
-        return _literal(v), 0, 0, n, NODE_OVERHEAD + n, 0
+        text = _text(v)
+        n = len(text.encode())
+        return (_literal(text), 0, 0, n, NODE_OVERHEAD + n, 0, 0)
     if kind == "bytesValue":
-        raw = base64.b64decode(v)
-        return f'"{raw.hex()}"', 0, 0, len(raw), NODE_OVERHEAD + len(raw), 0
+        plain = _text(v).translate({45: "+", 95: "/"}).rstrip("=")
+        if not re.fullmatch("[A-Za-z0-9+/]*", plain) or len(plain) % 4 == 1:
+            return _WRONG
+        raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
+        return (f'"{raw.hex()}"', 0, 0, len(raw), NODE_OVERHEAD + len(raw), 0, 0)
     if kind == "boolValue":
-        return ("true" if v else "false"), 0, 0, 0, NODE_OVERHEAD, 0
+        text = _text(v)
+        return (text, 0, 0, 0, NODE_OVERHEAD, 0, 0) if text in ("true", "false") else _WRONG
     if kind == "intValue":
-        return str(int(v)), 0, 0, 0, NODE_OVERHEAD, 0
+        text = _text(v)
+        return (str(int(text)), 0, 0, 0, NODE_OVERHEAD, 0, 0) if re.match(WHOLE, text) and -(2**63) <= int(text) < 2**63 else _WRONG
     if kind == "doubleValue":
-        return float_json(float(v)), 0, 0, 0, NODE_OVERHEAD, 0
-    if kind == "arrayValue":
-        inner = [("", walk_value(x)) for x in v.get("values") or []]
-        body, keys, entries = "[" + ",".join(w[0] for _, w in inner) + "]", [], 0
-    elif kind == "kvlistValue":
-        inner = [(x.get("key", ""), walk_value(x.get("value"))) for x in v.get("values") or []]
-        last = dict((k, w[0]) for k, w in inner)
-        body = "{" + ",".join(f"{_literal(k)}:{last[k]}" for k in sorted(last, key=lambda k: k.encode())) + "}"
-        keys, entries = [len(k.encode()) for k, _ in inner], ENTRY_OVERHEAD * len(inner)
-    else:
-        return "null", 0, 0, 0, NODE_OVERHEAD, 0
-    walks = [w for _, w in inner]
-    return body, 1 + max([w[1] for w in walks], default=0), max([*keys, *(w[2] for w in walks)], default=0), max([w[3] for w in walks], default=0), NODE_OVERHEAD + sum(keys) + entries + sum(w[4] for w in walks), sum(w[5] for w in walks)
+        text = _text(v)
+        return (float_json(float(text)), 0, 0, 0, NODE_OVERHEAD, 0, 0) if text in NOT_FINITE or re.match(NUMBER, text) else _WRONG
+    if kind in ("arrayValue", "kvlistValue"):
+        values = (v.get("values") if isinstance(v, dict) else v) or []
+        if not isinstance(v, dict) or not isinstance(values, list):
+            return _WRONG
+        if kind == "arrayValue":
+            return _Container(None, values)
+        entries = [x if isinstance(x, dict) else {"value": x if x is None else 0} for x in values]
+        return _Container([_text(x["key"]) if x.get("key") is not None else "" for x in entries], [x.get("value") for x in entries])
+    return _NULL
+
+
+def walk_value(value: Any) -> Walked:
+    """Canonical JSON of a wire value ({"stringValue": ...} and so on), its depth, largest key and leaf, size and losses.
+
+    Depth counts containers inside each other: a list of plain values has 1. A value that isn't of the
+    kind that it claims becomes null and counts as a loss. Open containers stand on a stack.
+    """
+    now = _begin(value)
+    open_: list[_Container] = []
+    while True:
+        if isinstance(now, _Container):
+            open_.append(now)
+        elif open_:
+            open_[-1].done.append(now)
+        else:
+            return now
+        top = open_[-1]
+        now = _begin(top.values[len(top.done)]) if len(top.done) < len(top.values) else open_.pop().close()
+
+
+def _walk_text(text: str | None) -> Walked:
+    """walk_value of JSON text. Numbers stay text. What is deeper than any bound on depth is not parsed: its depth is told by its brackets."""
+    if text is None:
+        return _NULL
+    if text.count("{") + text.count("[") > DEEPEST:
+        depth = scan_lines(pa.array([text]))[0]["depth"].as_py()
+        if depth > DEEPEST:
+            return ("null", depth // 4, 0, 0, len(text), 0, 0)
+    return walk_value(json.loads(text, parse_int=str, parse_float=str, parse_constant=str))
 
 
 _FIELDS = [x.split(" ") for x in WALKED.split(", ")]
 WALK_TYPE = T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}[t]) for n, t in _FIELDS])
 WALK_DDL = ",".join(f"{n}:{'bigint' if t == 'long' else t}" for n, t in _FIELDS)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+
+
+def _struct(walks: list[Walked]) -> pa.StructArray:
+    columns = list(zip(*walks, strict=True)) or [()] * len(_FIELDS)
+    return pa.StructArray.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
 
-@F.pandas_udf(WALK_TYPE)
-def walk_json(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(WALK_TYPE)
+def walk_json(values: pa.Array) -> pa.Array:
     """walk_value over JSON text; null text gives a null value."""
-    for part in values:
-        yield pd.DataFrame([walk_value(None if x is None else json.loads(x)) for x in part], columns=[n for n, _ in _FIELDS])
+    return _struct([_walk_text(x) for x in values.to_pylist()])
 
 
-@F.pandas_udf(T.ArrayType(WALK_TYPE))
-def walk_all(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(WALK_TYPE))
+def walk_all(lists: pa.Array) -> pa.Array:
     """walk_value over lists of JSON texts; a null list stays null."""
-    names = [n for n, _ in _FIELDS]
-    for part in lists:
-        yield pd.Series([None if x is None else [dict(zip(names, walk_value(json.loads(y)), strict=True)) for y in x] for x in part])
+    inner = _struct([_walk_text(x) for x in lists.flatten().to_pylist()])
+    sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int32)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, inner, mask=lists.is_null())

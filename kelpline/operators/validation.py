@@ -35,15 +35,15 @@ def request_shape(records: DataFrame) -> DataFrame:
 LISTS = {"attributes": "attribute_facts", "resource_attributes": "resource_facts", "scope_attributes": "scope_facts"}
 
 
-def record_violations(limits: Limits) -> Column:
-    """The reasons, as an array, why one record breaks its request: in its own, its resource's or its scope's fields.
+def _record_tests(limits: Limits) -> dict[str, Column]:
+    """Why one record breaks its request: in its own, its resource's or its scope's fields.
 
     Bounds on keys, leaves and depth hold inside containers too, and in structured bodies (body_fact).
     """
     any_list = lambda test: _or([F.exists(c, test) for c in LISTS])
     any_fact = lambda field, most: _or([F.exists(c, lambda x: x[field] > most) for c in LISTS.values()] + [F.coalesce(F.col("body_fact")[field] > most, F.lit(False))])
     plain = ("schema_url", "scope_name", "scope_version", "scope_schema_url", "severity_text", "event_name")
-    tests = {
+    return {
         "attribute_count": _or([F.size(c) > limits.attributes for c in LISTS]),
         "key_bytes": any_list(lambda x: F.octet_length(x["key"]) > limits.key_bytes) | any_fact("max_key_bytes", limits.key_bytes),
         "value_bytes": any_fact("max_leaf_bytes", limits.value_bytes),
@@ -51,7 +51,6 @@ def record_violations(limits: Limits) -> Column:
         "body_bytes": F.col("body_size") > limits.body_bytes,
         "string_bytes": F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in plain]) > limits.string_bytes,
     }
-    return F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
 
 
 def _or(tests: list[Column]) -> Column:
@@ -61,26 +60,60 @@ def _or(tests: list[Column]) -> Column:
     return out
 
 
+def _scope_bytes() -> Column:
+    """A scope's metadata: name, version, schema URL, and for each attribute its key, its value's estimated size and a fixed overhead."""
+    add = lambda acc, x: acc + x
+    keys = F.aggregate(F.transform("scope_attributes", lambda x: F.octet_length(x["key"]) + canonical.ENTRY_OVERHEAD), F.lit(0), add)
+    values = F.aggregate(F.transform("scope_facts", lambda x: x["size"]), F.lit(0).cast("long"), add)
+    text = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    return keys + values + text("scope_name") + text("scope_version") + text("scope_schema_url")
+
+
+GROUP = ["request_id", "resource_idx", "scope_idx"]
+
+
 def request_violations(records: DataFrame, limits: Limits) -> DataFrame:
-    """(request_id, reason) pairs, distinct, from bounds on records and on the request's shape."""
-    single = records.select("request_id", F.explode(record_violations(limits)).alias("reason"))
-    shape = request_shape(records)
-    whole = shape.select("request_id", F.explode(F.array_compact(F.array(F.when(F.col("records") > limits.records, F.lit("record_count")), F.when(F.col("chunks") > limits.chunks, F.lit("chunk_count"))))).alias("reason"))
-    return single.union(whole).union(scope_expansion(records, limits)).distinct()
+    """(request_id, reason) pairs, distinct, from bounds on records and on the request's shape.
+
+    Records are read once: a scope group sums up which bounds its records break, how many they are and
+    how large its metadata is, and a request sums up its groups.
+    """
+    tests = _record_tests(limits)
+    bits = F.lit(0)
+    for k, t in enumerate(tests.values()):
+        bits = bits.bitwiseOR(F.when(t, 1 << k).otherwise(0))
+    scopes = records.groupBy(*GROUP).agg(F.bit_or(bits).alias("bits"), F.count("*").alias("n"), F.max(_scope_bytes()).alias("meta"))
+    whole = scopes.groupBy("request_id").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("records"), F.count("*").alias("chunks"), F.max(_expands(limits)).alias("expands"))
+    broken = {**{name: F.col("bits").bitwiseAND(1 << k) != 0 for k, name in enumerate(tests)}, "record_count": F.col("records") > limits.records, "chunk_count": F.col("chunks") > limits.chunks, "scope_expansion": F.col("expands")}
+    return whole.select("request_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in broken.items()]))).alias("reason"))
+
+
+def _expands(limits: Limits) -> Column:
+    return F.coalesce(F.col("meta") > F.floor(F.lit(limits.scope_bytes) / F.col("n")), F.lit(False))
 
 
 def scope_expansion(records: DataFrame, limits: Limits) -> DataFrame:
-    """Requests with a scope whose metadata, repeated for each of its records, exceeds the budget.
+    """Requests with a scope whose metadata, repeated for each of its records, exceeds the budget."""
+    scopes = records.groupBy(*GROUP).agg(F.max(_scope_bytes()).alias("meta"), F.count("*").alias("n"))
+    return scopes.where(_expands(limits)).select("request_id", F.lit("scope_expansion").alias("reason"))
+
+
+def judge_records(records: DataFrame, violations: DataFrame) -> DataFrame:
+    """records with accepted: one violation rejects the whole request."""
+    bad = violations.select("request_id").distinct().withColumn("__bad", F.lit(True))
+    return records.join(bad, "request_id", "left").withColumn("accepted", F.col("__bad").isNull()).drop("__bad")
+
 
-    Metadata: name, version, schema URL, and for each attribute its key, its value's estimated size and a fixed overhead.
+def rejected_requests(parsed: DataFrame, violations: DataFrame) -> DataFrame:
+    """The requests that are given back, one row for each line: request_id, reasons (sorted), bytes, preview.
+
+    ``parsed`` has a row (request_id, value, reason) for each line that came in; those that couldn't be
+    read have their reason there, the others may have broken bounds (request_id, reason).
     """
-    add = lambda acc, x: acc + x
-    keys = F.aggregate(F.transform("scope_attributes", lambda x: F.octet_length(x["key"]) + canonical.ENTRY_OVERHEAD), F.lit(0), add)
-    values = F.aggregate(F.transform("scope_facts", lambda x: x["size"]), F.lit(0).cast("long"), add)
-    text = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    meta = keys + values + text("scope_name") + text("scope_version") + text("scope_schema_url")
-    scopes = records.groupBy("request_id", "resource_idx", "scope_idx").agg(F.max(meta).alias("meta"), F.count("*").alias("n"))
-    return scopes.where(F.col("meta") > F.floor(F.lit(limits.scope_bytes) / F.col("n"))).select("request_id", F.lit("scope_expansion").alias("reason"))
+    broken = violations.groupBy("request_id").agg(F.collect_set("reason").alias("broken"))  # from a dozen reasons
+    all_ = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("reason"), F.coalesce("broken", F.array().cast("array<string>"))))))
+    joined = parsed.select("request_id", "reason", F.coalesce(F.octet_length("value"), F.lit(0)).alias("bytes"), mapping.safe_preview(F.col("value")).alias("preview")).join(broken, "request_id", "left")
+    return joined.select("request_id", all_.alias("reasons"), "bytes", "preview").where("size(reasons) > 0")
 
 
 def split_requests(records: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,19 +125,23 @@ def split_requests(records: DataFrame, violations: DataFrame) -> tuple[DataFrame
 def mapping_losses(raw: DataFrame) -> DataFrame:
     """(reason, n): what mapping had to change or drop.
 
-    String-table references count wherever a value is mapped: in a record's attributes and structured
-    body for each record, in a scope's or resource's attributes once for each group. One that is a body
-    itself counts as an absent body.
+    String-table references, and values that aren't of the kind that they claim, count wherever a value
+    is mapped: in a record's attributes and structured body for each record, in a scope's or resource's
+    attributes once for each group. A reference that is a body itself counts as an absent body. Times
+    that are no unsigned 64-bit numbers count with the values.
     """
     flags = {"timestamp_overflow": mapping.timestamp_overflows(F.col("time_unix_nano")), "invalid_trace_id": mapping.id_invalid(F.col("trace_id"), 16), "invalid_span_id": mapping.id_invalid(F.col("span_id"), 8), "unknown_severity": mapping.severity_unknown(F.col("severity_number"))}
-    reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in flags.items()]))
-    single = raw.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    losses = lambda c: F.aggregate(F.transform(c, lambda x: x["strindex_losses"]), F.lit(0), lambda acc, x: acc + x)
-    own = losses("attribute_facts") + F.coalesce(F.col("body_fact.strindex_losses"), F.lit(0))
-    scopes = raw.groupBy("request_id", "resource_idx", "scope_idx").agg(F.sum(own).alias("own"), F.max(losses("scope_facts")).alias("scope"), F.max(losses("resource_facts")).alias("resource"))
-    groups = scopes.groupBy("request_id", "resource_idx").agg((F.sum("own") + F.sum("scope") + F.max("resource")).alias("n"))
-    tables = groups.agg(F.sum("n").alias("n")).where("n > 0").select(F.lit("string_value_strindex").alias("reason"), "n")
-    return single.unionByName(tables)
+    values = {"string_value_strindex": "strindex_losses", "invalid_scalar": "scalar_losses"}
+    losses = lambda c, field: F.aggregate(F.transform(c, lambda x: x[field]), F.lit(0), lambda acc, x: acc + x)
+    cells = [F.count_if(f).alias(f"own_{name}") for name, f in flags.items()]
+    for name, field in values.items():
+        own = losses("attribute_facts", field) + F.coalesce(F.col(f"body_fact.{field}"), F.lit(0)) + (F.col("wrong_scalars") if name == "invalid_scalar" else F.lit(0))
+        cells += [F.sum(own).alias(f"own_{name}"), F.max(losses("scope_facts", field)).alias(f"scope_{name}"), F.max(losses("resource_facts", field)).alias(f"resource_{name}")]
+    scopes = raw.groupBy(*GROUP).agg(*cells)
+    names = [*flags, *values]
+    groups = scopes.groupBy("request_id", "resource_idx").agg(*[(F.sum(f"own_{n}") + (F.sum(f"scope_{n}") + F.max(f"resource_{n}") if n in values else F.lit(0))).alias(n) for n in names])
+    total = groups.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("reason"), F.col(n).cast("long").alias("n")) for n in names])).alias("x")).select("x.*").where("n > 0")
 
 
 def poison_reason() -> Column:

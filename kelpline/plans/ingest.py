@@ -150,8 +150,7 @@ def d10(spark, sf):
 @log("d11_whole_request_rejection", f"SELECT id, NOT bool_or({BODY} > 19) OVER (PARTITION BY request_id) AS accepted FROM raw")
 def d11(spark, sf):
     raw = raw_records(spark, sf)
-    good, bad = validation.split_requests(raw, validation.request_violations(raw, validation.Limits(body_bytes=19)))
-    return good.select("id", F.lit(True).alias("accepted")).unionByName(bad.select("id", F.lit(False).alias("accepted")))
+    return validation.judge_records(raw, validation.request_violations(raw, validation.Limits(body_bytes=19))).select("id", "accepted")
 
 
 def ticketed(spark, sf):

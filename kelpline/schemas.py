@@ -1,7 +1,7 @@
 """Explicit schemas: the nested export request, and the canonical tables."""
 
-#: A value keeps its containers as raw JSON text: Spark types can't recurse.
-ANY = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:string,bytesValue:string,arrayValue:string,kvlistValue:string,stringValueStrindex:int>"
+#: A value keeps its containers as raw JSON text: Spark types can't recurse. Scalars are text too, so that one of the wrong kind can be told.
+ANY = "struct<stringValue:string,boolValue:string,intValue:string,doubleValue:string,bytesValue:string,arrayValue:string,kvlistValue:string,stringValueStrindex:string>"
 KV = f"struct<key:string,value:{ANY}>"
 RECORD = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{ANY},attributes:array<{KV}>,droppedAttributesCount:bigint,flags:bigint,traceId:string,spanId:string,eventName:string>"
 SCOPE_LOGS = f"struct<scope:struct<name:string,version:string,attributes:array<{KV}>,droppedAttributesCount:bigint>,schemaUrl:string,logRecords:array<{RECORD}>>"

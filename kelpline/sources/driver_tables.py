@@ -43,14 +43,14 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(_pair("lib", F.lit('"k"'))).alias("scope_attributes"), F.lit("").alias("scope_schema_url"),
         F.when(u % 3 != 0, F.array(_pair("service.name", quoted(F.concat(F.lit("svc-"), text(u % 4)))), _pair("host.name", quoted(F.concat(F.lit("host-"), text(u % 8)))))).otherwise(F.array(_pair("service.name", quoted(F.concat(F.lit("svc-"), text(u % 4)))))).alias("resource_attributes"),
         F.when(u % 2 == 0, "https://example.test/schemas").otherwise("").alias("schema_url"), "user_id", "event_type", "value", "ts", "props",
-    ).withColumns({"body_size": F.octet_length("body"), "body_fact": F.lit(None).cast(f"struct<{canonical.WALK_DDL}>"), **{f"{n}_facts": _facts(F.col(c)) for n, c in (("attribute", "attributes"), ("resource", "resource_attributes"), ("scope", "scope_attributes"))}})
+    ).withColumns({"body_size": F.octet_length("body"), "body_fact": F.lit(None).cast(f"struct<{canonical.WALK_DDL}>"), "wrong_scalars": F.lit(0), **{f"{n}_facts": _facts(F.col(c)) for n, c in (("attribute", "attributes"), ("resource", "resource_attributes"), ("scope", "scope_attributes"))}})
 
 
 def _facts(attributes: Column) -> Column:
     """What a walk tells of plain values whose JSON text has no escapes."""
     leaf = lambda v: F.when(v.startswith('"'), F.octet_length(v) - 2).otherwise(0)
     zero = F.lit(0)
-    return F.transform(attributes, lambda x: F.struct(x["value"].alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf(x["value"]).alias("max_leaf_bytes"), (leaf(x["value"]) + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), zero.alias("strindex_losses")))
+    return F.transform(attributes, lambda x: F.struct(x["value"].alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf(x["value"]).alias("max_leaf_bytes"), (leaf(x["value"]) + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), zero.alias("strindex_losses"), zero.alias("scalar_losses")))
 
 
 #: The same records in DuckDB SQL, as a chain of CTEs: raw, rec (stored values), res (resources), logs (the read view).

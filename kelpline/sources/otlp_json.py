@@ -9,25 +9,44 @@ from ..functions import canonical, mapping
 from ..schemas import REQUEST
 
 
+#: Brackets that a request of legal depth has inside each other at most: the way to a value, four for each container, an entry in the last one.
+LEGAL_BRACKETS = 10 + 4 * 32
+#: Why a request can't be read.
+MALFORMED, TOO_DEEP = "malformed", "nesting_depth"
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    """(request_id, value): the id comes from the file and the text, and from the line's place, as a line may be there twice."""
+    ident = F.concat_ws("-", F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value")), 256), F.hex(F.monotonically_increasing_id()))
+    return text.select(ident.alias("request_id"), "value")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """(request_id, resourceLogs) of JSON lines; the id comes from the file and the text."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return parse_requests(lines)
+    """(request_id, value, resourceLogs, reason) of JSON lines, one row for each line."""
+    return parse_requests(_lines(spark.read.text(path)))
 
 
 def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """The same as a stream over files that arrive in a folder."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return parse_requests(lines.select("value", F.col("_metadata.file_path").alias("file")))
+    return parse_requests(_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)))
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:
-    """(request_id, resourceLogs) of rows (value, file). Times and 64-bit integers may be strings or numbers: they are read as strings.
+    """(request_id, value, resourceLogs, reason) of rows (request_id, value): one row for each of them.
 
-    The id comes from file and text, unless the rows bring a column request_id.
+    A line that can't be read has no resourceLogs, but a reason: malformed (no JSON object, more than
+    one, or a field of the wrong kind), or nesting_depth. Brackets are counted in the bytes before a
+    parser sees them, as parsers have bounds of their own. An object without resourceLogs is an empty
+    request. Times and 64-bit integers may be strings or numbers: they are read as strings.
     """
-    ident = F.col("request_id") if "request_id" in lines.columns else F.sha2(F.concat_ws("|", "file", "value"), 256)
-    return lines.select(ident.alias("request_id"), F.from_json("value", REQUEST).alias("r")).where("r IS NOT NULL").select("request_id", "r.resourceLogs")
+    from ..functions.json_bytes import frame
+
+    framed = lines.select("request_id", "value", frame(F.col("value")).alias("f"))
+    reason = F.when(F.col("f.framed") & (F.col("f.depth") <= LEGAL_BRACKETS), None).when(F.col("f.depth") > LEGAL_BRACKETS, TOO_DEEP).otherwise(MALFORMED)
+    judged = framed.select("request_id", "value", reason.alias("reason"))
+    parsed = judged.withColumn("r", F.from_json(F.when(F.col("reason").isNull(), F.col("value")), f"{REQUEST}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    reason = F.coalesce("reason", F.when(F.col("r._corrupt").isNotNull(), F.lit(MALFORMED)))
+    return parsed.select("request_id", "value", F.when(reason.isNull(), F.col("r.resourceLogs")).alias("resourceLogs"), reason.alias("reason"))
 
 
 def wire_value(value: Column) -> Column:
@@ -37,10 +56,19 @@ def wire_value(value: Column) -> Column:
 
 
 def scalar_json(value: Column) -> Column:
-    """JSON of a value that is no container, from built-in expressions."""
-    number = mapping.json_double(value["doubleValue"].try_cast("double"))
-    raw = F.concat(F.lit('"'), F.lower(F.hex(F.unbase64(value["bytesValue"]))), F.lit('"'))
-    return F.coalesce(F.when(value["stringValue"].isNotNull(), canonical.json_string(value["stringValue"])), value["intValue"], F.when(value["doubleValue"].isNotNull(), number), value["boolValue"].cast("string"), F.when(value["bytesValue"].isNotNull(), raw), F.lit("null"))
+    """JSON of a value that is no container, from built-in expressions. One that isn't of the kind that it claims is null."""
+    number = mapping.json_double(canonical.double_number(value["doubleValue"]))
+    raw = F.concat(F.lit('"'), F.lower(F.hex(canonical.wire_bytes(value["bytesValue"]))), F.lit('"'))
+    return F.coalesce(F.when(value["stringValue"].isNotNull(), canonical.json_string(value["stringValue"])), canonical.whole_number(value["intValue"]).cast("string"), number, canonical.truth(value["boolValue"]).cast("string"), raw, F.lit("null"))
+
+
+def scalar_losses(value: Column) -> Column:
+    """1 if a value that is no container isn't of the kind that it claims, else 0."""
+    kinds = {"intValue": canonical.whole_number, "doubleValue": canonical.double_number, "boolValue": canonical.truth, "bytesValue": canonical.wire_bytes}
+    wrong = F.lit(False)
+    for name, read in kinds.items():
+        wrong = wrong | (value[name].isNotNull() & read(value[name]).isNull())
+    return F.when(value["stringValue"].isNull() & wrong, 1).otherwise(0)
 
 
 def flatten(requests: DataFrame) -> DataFrame:
@@ -56,20 +84,30 @@ def flatten(requests: DataFrame) -> DataFrame:
     scopes = scopes.select("request_id", "resource_idx", "scope_idx", "schema_url", "resource_kv", "resource_facts", F.coalesce("s.scope.name", F.lit("")).alias("scope_name"), F.coalesce("s.scope.version", F.lit("")).alias("scope_version"), F.coalesce("s.schemaUrl", F.lit("")).alias("scope_schema_url"), F.col("s.scope.attributes").alias("scope_kv"), _facts(F.col("s.scope.attributes")).alias("scope_facts"), "s.logRecords")
     rows = scopes.select("*", F.posexplode("logRecords").alias("record_idx", "r")).drop("logRecords")
     rows = rows.withColumns({"attribute_facts": _facts(F.col("r.attributes")), "body_fact": canonical.walk_json(F.when(_container(F.col("r.body")), wire_value(F.col("r.body"))))})
-    unsigned = lambda c: F.coalesce(F.col(c).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    times = [F.col("r.timeUnixNano"), F.col("r.observedTimeUnixNano")]
     body = F.col("r.body")
+    wrong = F.when(_container(body), 0).otherwise(scalar_losses(body)) + sum((F.when(t.isNotNull() & _unsigned(t).isNull(), 1).otherwise(0) for t in times), F.lit(0))
     has = F.col("body_fact.json").isNotNull() & _container(body)
-    raw = F.unbase64(body["bytesValue"])
+    raw = canonical.wire_bytes(body["bytesValue"])
+    # text that is no hex is there, but no id
+    ident = lambda c: F.coalesce(F.when(F.col(c).rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(c)), F.when(F.col(c).isNotNull(), F.unhex(F.lit("00"))))
+    zero = F.lit(0).cast("decimal(20,0)")
     return rows.select(
         "request_id", "resource_idx", "scope_idx", "record_idx", "schema_url", _pairs(F.col("resource_kv"), F.col("resource_facts")).alias("resource_attributes"), "resource_facts", "scope_name", "scope_version", "scope_schema_url", _pairs(F.col("scope_kv"), F.col("scope_facts")).alias("scope_attributes"), "scope_facts",
-        unsigned("r.timeUnixNano").alias("time_unix_nano"), unsigned("r.observedTimeUnixNano").alias("observed_time_unix_nano"), F.coalesce("r.severityNumber", F.lit(0)).alias("severity_number"), F.coalesce("r.severityText", F.lit("")).alias("severity_text"),
-        F.coalesce(mapping.scalar_body(body["stringValue"], body["intValue"], body["doubleValue"].try_cast("double"), body["boolValue"]), mapping.lossy_text(raw), F.lit("")).alias("body"),
-        F.when(has, F.col("body_fact.json")).alias("body_json"), F.when(has, F.col("body_fact")).alias("body_fact"), F.coalesce(F.octet_length(body["stringValue"]), F.octet_length(raw), F.lit(0)).alias("body_size"),
-        F.unhex("r.traceId").alias("trace_id"), F.unhex("r.spanId").alias("span_id"), F.coalesce("r.eventName", F.lit("")).alias("event_name"), F.coalesce("r.flags", F.lit(0)).cast("bigint").alias("flags"), F.coalesce("r.droppedAttributesCount", F.lit(0)).cast("bigint").alias("dropped_attributes_count"),
+        F.coalesce(_unsigned(times[0]), zero).alias("time_unix_nano"), F.coalesce(_unsigned(times[1]), zero).alias("observed_time_unix_nano"), F.coalesce("r.severityNumber", F.lit(0)).alias("severity_number"), F.coalesce("r.severityText", F.lit("")).alias("severity_text"),
+        F.coalesce(mapping.scalar_body(body["stringValue"], canonical.whole_number(body["intValue"]), canonical.double_number(body["doubleValue"]), canonical.truth(body["boolValue"])), mapping.lossy_text(raw), F.lit("")).alias("body"),
+        F.when(has, F.col("body_fact.json")).alias("body_json"), F.when(has, F.col("body_fact")).alias("body_fact"), wrong.alias("wrong_scalars"), F.coalesce(F.octet_length(body["stringValue"]), F.octet_length(raw), F.lit(0)).alias("body_size"),
+        ident("r.traceId").alias("trace_id"), ident("r.spanId").alias("span_id"), F.coalesce("r.eventName", F.lit("")).alias("event_name"), F.coalesce("r.flags", F.lit(0)).cast("bigint").alias("flags"), F.coalesce("r.droppedAttributesCount", F.lit(0)).cast("bigint").alias("dropped_attributes_count"),
         _pairs(F.col("r.attributes"), F.col("attribute_facts")).alias("attributes"), "attribute_facts",
     )
 
 
+def _unsigned(text: Column) -> Column:
+    """An unsigned 64-bit number as DECIMAL(20,0), or null."""
+    number = F.when(text.rlike("^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
+    return F.when(number <= F.lit("18446744073709551615").cast("decimal(20,0)"), number)
+
+
 def _container(value: Column) -> Column:
     return F.coalesce(value["arrayValue"].isNotNull() | value["kvlistValue"].isNotNull(), F.lit(False))
 
@@ -81,8 +119,8 @@ def _facts(kv: Column) -> Column:
 
     def plain(x: Column) -> Column:
         v = x["value"]
-        leaf = F.coalesce(F.octet_length(v["stringValue"]), F.octet_length(F.unbase64(v["bytesValue"])), zero)
-        return F.struct(scalar_json(v).alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf.alias("max_leaf_bytes"), (leaf + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), F.when(v["stringValueStrindex"].isNotNull(), 1).otherwise(0).alias("strindex_losses"))
+        leaf = F.coalesce(F.octet_length(v["stringValue"]), F.octet_length(canonical.wire_bytes(v["bytesValue"])), zero)
+        return F.struct(scalar_json(v).alias("json"), zero.alias("depth"), zero.alias("max_key_bytes"), leaf.alias("max_leaf_bytes"), (leaf + canonical.NODE_OVERHEAD).cast("bigint").alias("size"), F.when(v["stringValueStrindex"].isNotNull(), 1).otherwise(0).alias("strindex_losses"), scalar_losses(v).alias("scalar_losses"))
 
     deep = canonical.walk_all(F.when(F.exists(kv, lambda x: _container(x["value"])), F.transform(kv, lambda x: F.coalesce(wire_value(x["value"]), F.lit("{}")))))
     return F.coalesce(deep, F.transform(kv, plain))
