@@ -68,6 +68,41 @@ WIRE_LIMITS = validation.Limits(records=1000, attributes=20, key_bytes=60, value
 FAULTS = {7: "nesting_depth", 9: "key_bytes", 10: "key_bytes", 11: "key_bytes", 12: "value_bytes", 13: "value_bytes", 14: "value_bytes", 15: "body_bytes", 16: "attribute_count", 17: "attribute_count", 19: "string_bytes"}
 
 
+def _nested(levels: int):
+    """A value of lists inside each other, by built-in functions."""
+    return F.concat(F.repeat(F.lit('{"arrayValue":{"values":['), levels), F.lit("{}"), F.repeat(F.lit("]}}"), levels))
+
+
+def unreadable_lines(spark, sf):
+    """events as lines of one request each, many of them broken in some way."""
+    i = F.col("event_id")
+    line = lambda value, rest="": F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"eventName":"'), i.cast("string"), F.lit('"' + rest + ',"attributes":[{"key":"v","value":'), value, F.lit("}]}]}]}]}"))
+    good = line(F.concat(F.lit('{"intValue":"'), i.cast("string"), F.lit('"}')))
+    kinds = [F.concat(F.lit("no json "), i.cast("string")), line(_nested(31)), line(_nested(33)), line(_nested(400)), F.concat(good, good), F.left(good, F.length(good) - 1), line(F.lit("{}"), ',"severityNumber":"x"'), line(F.lit('{"arrayValue":{"values":[{"intValue":"x"},{"boolValue":true}]}}')), F.lit("{}"), line(F.lit('{"doubleValue":"1.0f"}'))]
+    value = good
+    for k, text in enumerate(kinds):
+        value = F.when(i % 12 == k, text).otherwise(value)
+    return table(spark, sf, "events").select(i.cast("string").alias("request_id"), value.alias("value"))
+
+
+@query("a1_unreadable_requests", "SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_id % 12 IN (2, 3) THEN 'nesting_depth' WHEN event_id % 12 IN (0, 4, 5, 6) THEN 'malformed' ELSE '' END AS reasons, CASE WHEN event_id % 12 IN (0, 2, 3, 4, 5, 6, 8) THEN 0 ELSE 1 END AS records FROM events")
+def a1(spark, sf):
+    """Each line's fate: rejected with its reasons, or the records that it gave."""
+    parsed = otlp_json.parse_requests(unreadable_lines(spark, sf))
+    records = otlp_json.flatten(parsed)
+    violations = validation.request_violations(records, validation.Limits())
+    rejected = validation.rejected_requests(parsed, violations)
+    n = validation.judge_records(records, violations).where("accepted").groupBy("request_id").agg(F.count("*").cast("int").alias("records"))
+    joined = parsed.select("request_id").join(rejected, "request_id", "left").join(n, "request_id", "left")
+    return joined.select("request_id", F.coalesce(F.array_join("reasons", ","), F.lit("")).alias("reasons"), F.coalesce("records", F.lit(0)).alias("records"))
+
+
+@query("a1_wrong_values", "SELECT 'invalid_scalar' AS reason, count(*) AS n FROM events WHERE event_id % 12 IN (7, 9)")
+def a1_wrong(spark, sf):
+    parsed = otlp_json.parse_requests(unreadable_lines(spark, sf))
+    return validation.mapping_losses(otlp_json.flatten(parsed))
+
+
 def wire_records(spark, sf):
     """events as export requests in JSON, one scope group for each record, read back as flat records (id is in the event name)."""
     e = table(spark, sf, "events")

@@ -94,7 +94,7 @@ def stored_records(raw: DataFrame) -> DataFrame:
         mapping.severity(F.col("severity_number")).alias("severity_number"), mapping.non_empty(F.col("severity_text")).alias("severity_text"), mapping.parse_id(F.col("trace_id"), 16).alias("trace_id"), mapping.parse_id(F.col("span_id"), 8).alias("span_id"),
         mapping.body_choice(F.col("body"), F.col("body_json") if "body_json" in raw.columns else F.lit(None).cast("string")).alias("body"), mapping.non_empty(F.col("event_name")).alias("event_name"), "flags", "dropped_attributes_count", "scope_name", mapping.non_empty(F.col("scope_version")).alias("scope_version"),
         canonical.attributes_json(F.col("scope_attributes")).alias("scope_attributes_json"), mapping.non_empty(F.col("scope_schema_url")).alias("scope_schema_url"), canonical.attributes_json(F.col("attributes")).alias("attributes_json"),
-        "service_name", mapping.non_empty(F.col("__host")).alias("host_name"), mapping.non_empty(F.col("schema_url")).alias("schema_url"), "resource_json", "user_id", "event_type", "value", "ts",
+        "service_name", mapping.non_empty(F.col("__host")).alias("host_name"), mapping.non_empty(F.col("schema_url")).alias("schema_url"), "resource_json", *[c for c in ("ticket", "user_id", "event_type", "value", "ts") if c in raw.columns],
     )
 
 

@@ -15,20 +15,29 @@ LEGAL_BRACKETS = 10 + 4 * 32
 MALFORMED, TOO_DEEP = "malformed", "nesting_depth"
 
 
-def _lines(text: DataFrame) -> DataFrame:
-    """(request_id, value): the id comes from the file and the text, and from the line's place, as a line may be there twice."""
-    ident = F.concat_ws("-", F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value")), 256), F.hex(F.monotonically_increasing_id()))
-    return text.select(ident.alias("request_id"), "value")
+def numbered(lines: DataFrame) -> DataFrame:
+    """(request_id, value) of rows (file, value): the id comes from file and text, and from the line's place, as a line may be there twice."""
+    return lines.select(F.concat_ws("-", _ident(), F.hex(F.monotonically_increasing_id())).alias("request_id"), "value")
+
+
+def _ident() -> Column:
+    return F.sha2(F.concat_ws("|", "file", "value"), 256)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """(request_id, value, resourceLogs, reason) of JSON lines, one row for each line."""
-    return parse_requests(_lines(spark.read.text(path)))
+    return parse_requests(numbered(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))))
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """(file, value) as a stream over files that arrive in a folder."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """The same as a stream over files that arrive in a folder."""
-    return parse_requests(_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)))
+    """As ``read_requests``, over such a stream. Rows of a stream have no numbers, so equal lines of one file share their request_id."""
+    return parse_requests(stream_lines(spark, path, files_per_trigger).select(_ident().alias("request_id"), "value"))
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:

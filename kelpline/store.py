@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,11 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _files(spark, path)
+    return system.exists(at)
+
+
 def version(spark: SparkSession, path: str) -> str:
     """What changes when the files below a path do: their names, lengths and times."""
     system, at = _files(spark, path)
@@ -38,8 +45,28 @@ def version(spark: SparkSession, path: str) -> str:
 
 def derived(spark: SparkSession, name: str, source: str, build: Callable[[str], None]) -> DataFrame:
     """The table ``name`` derived from the files below ``source``; ``build`` writes it to a path if it isn't there yet."""
-    path = f"{shared_dir(spark)}/derived/{name}-{version(spark, source)}"
-    system, done = _files(spark, f"{path}/_SUCCESS")
-    if not system.exists(done):
-        build(path)
+    path = f"{shared_dir(spark)}/derived/{name}-{CODE}-{version(spark, source)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        # built under a name of its own: of two jobs that build at once, the first one to rename wins
+        own = f"{path}.{uuid.uuid4().hex}"
+        build(own)
+        system, at = _files(spark, own)
+        system.mkdirs(_files(spark, path)[1].getParent())
+        if not exists(spark, path):
+            system.rename(at, _files(spark, path)[1])
+        if exists(spark, own):
+            system.delete(at, True)
+        lost = f"{path}/{own.rpartition('/')[2]}"  # where a rename lands if another job's folder was there just before it
+        if exists(spark, lost):
+            system.delete(_files(spark, lost)[1], True)
     return spark.read.parquet(path)
+
+
+def _code() -> str:
+    """What changes when the library's code does: a changed mapping doesn't read an old table."""
+    own = Path(__file__).resolve().parent
+    names = sorted(p for d in ("functions", "operators", "sources", "plans") for p in (own / d).glob("*.py"))
+    return hashlib.sha256(b"\n".join(p.read_bytes() for p in names)).hexdigest()[:12] if names else "packed"
+
+
+CODE = _code()

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import store
 from ..functions import mapping
 from ..operators import identity, search, validation
+from ..sources import otlp_json
+from ..sources.driver_tables import stored_records
+
+
+#: Folders of a batch's new resources, by their ids.
+RESOURCE_BUCKETS = 64
 
 
 def write_batch(root: str, mode: str = "body") -> Callable[[DataFrame, int], None]:
@@ -25,14 +32,13 @@ def write_batch(root: str, mode: str = "body") -> Callable[[DataFrame, int], Non
         out = lambda name: f"{root}/{name}/batch={batch_id}"
         events = healthy.withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
         events.drop("service_name", "host_name", "schema_url", "resource_json").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").partitionBy("event_date").parquet(out("log_event"))
-        incoming = identity.resource_rows(healthy)
-        try:
-            seen = spark.read.parquet(f"{root}/log_resource").where(F.col("batch") < batch_id)
-            incoming = incoming.join(seen, "id", "left_anti")
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        incoming.write.mode("overwrite").parquet(out("log_resource"))
+        incoming = identity.resource_rows(healthy).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(RESOURCE_BUCKETS)).cast("int"))
+        if store.exists(spark, f"{root}/log_resource"):
+            # ids alone, of the buckets that this batch touches, are read again
+            touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # RESOURCE_BUCKETS at most
+            seen = spark.read.schema("id string, batch long, bucket int").parquet(f"{root}/log_resource").where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id))
+            incoming = incoming.join(seen.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        incoming.write.mode("overwrite").partitionBy("bucket").parquet(out("log_resource"))
         search.postings(healthy, mode).write.mode("overwrite").parquet(out("postings"))
         poison.select("request_id", "ticket", "reason", "body_preview", "timestamp_ns").write.mode("overwrite").parquet(out("quarantine"))
         per_ticket.write.mode("overwrite").parquet(out("tickets"))
@@ -41,6 +47,40 @@ def write_batch(root: str, mode: str = "body") -> Callable[[DataFrame, int], Non
     return write
 
 
+def write_requests(root: str, mode: str = "body", limits: validation.Limits | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over lines (file, value) of one request each.
+
+    Accepted requests go on as rows, with a ticket for each scope group. Requests that can't be read or
+    break a bound go to rejected_requests, with their reasons; losses and counts go to tables of their
+    own. In request_counts, lines = accepted + empty + rejected in each batch.
+    """
+    limits = limits or validation.Limits()
+    rows_of = write_batch(root, mode)
+
+    def write(lines: DataFrame, batch_id: int) -> None:
+        parsed = otlp_json.parse_requests(otlp_json.numbered(lines)).persist()
+        out = lambda name: f"{root}/{name}/batch={batch_id}"
+        records = otlp_json.flatten(parsed).persist()
+        violations = validation.request_violations(records, limits)
+        rejected = validation.rejected_requests(parsed, violations).persist()
+        rejected.write.mode("overwrite").parquet(out("rejected_requests"))
+        accepted = validation.judge_records(records, violations).where("accepted").drop("accepted")
+        named = accepted.withColumns({"id": F.xxhash64("request_id", "resource_idx", "scope_idx", "record_idx"), "ticket": F.xxhash64("request_id", "resource_idx", "scope_idx")})
+        validation.mapping_losses(accepted).write.mode("overwrite").parquet(out("losses"))
+        rows_of(stored_records(named), batch_id)
+        counts = parsed.agg(F.count("*").alias("lines")).crossJoin(rejected.agg(F.count("*").alias("rejected"))).crossJoin(named.agg(F.countDistinct("request_id").alias("accepted"), F.count("*").alias("records")))  # three rows of one
+        counts.select("lines", "accepted", "rejected", (F.col("lines") - F.col("accepted") - F.col("rejected")).alias("empty"), "records").write.mode("overwrite").parquet(out("request_counts"))
+        for df in (rejected, records, parsed):
+            df.unpersist()
+
+    return write
+
+
+def start_requests(lines: DataFrame, root: str, checkpoint: str, mode: str = "body", limits: validation.Limits | None = None) -> StreamingQuery:
+    """Ingest the requests that are there of a stream of lines, then stop."""
+    return lines.writeStream.foreachBatch(write_requests(root, mode, limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def start(rows: DataFrame, root: str, checkpoint: str, mode: str = "body") -> StreamingQuery:
     """Ingest what is there, then stop; the checkpoint remembers what was committed."""
     return rows.writeStream.foreachBatch(write_batch(root, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -131,3 +131,21 @@ def test_walk_of_odd_shapes():
         value = {"arrayValue": {"values": [value]}}
     assert canonical.walk_value(value)[:2] == ("[" * 50_000 + "1" + "]" * 50_000, 50_000)
     assert canonical._walk_text(deep(400))[1] > 32 and canonical._walk_text('{"intValue":' + "1" * 5000 + "}")[6] == 1
+
+
+def test_rejected_requests_in_a_stream(spark, tmp_path):
+    """All lines of all files are in the counts of their batch; the rejected ones are stored with their reasons."""
+    from kelpline.streaming import sinks
+
+    (tmp_path / "in").mkdir()
+    good = json.dumps(request({"intValue": "1"}, {"boolValue": "no"}, n=2))
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join([good, "no json", with_value(deep(40)), good, "{}"][: 5 - k]) + "\n")
+    lines = otlp_json.stream_lines(spark, f"file://{tmp_path}/in", 1)
+    sinks.start_requests(lines, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    out = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
+    counts = sorted((r["lines"], r["accepted"], r["rejected"], r["empty"], r["records"]) for r in out("request_counts").collect())
+    assert counts == [(3, 1, 2, 0, 2), (4, 2, 2, 0, 4), (5, 2, 2, 1, 4)]
+    assert sorted((r["reasons"], r["preview"][:7]) for r in out("rejected_requests").collect()) == sorted([(["malformed"], "no json"), (["nesting_depth"], '{"resou')] * 3)
+    assert out("log_event").count() == 10 and out("log_resource").count() == 1 and out("tickets").count() == 5
+    assert [r["reason"] for r in out("losses").collect()] == ["invalid_scalar"] * 3
