@@ -145,12 +145,23 @@ def ticket_states(events: DataFrame) -> DataFrame:
 
 def watermark(states: DataFrame) -> DataFrame:
     """committed_through: the greatest N such that tickets 1..N are all settled (0 if there is none)."""
-    # a block of CHUNK numbers that is settled throughout extends the prefix; only the first other block is looked into
     t = states.where("state <> 'Unsettled' AND ticket >= 1").select("ticket", F.floor((F.col("ticket") - 1) / CHUNK).alias("block")).distinct()
-    sizes = t.groupBy("block").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.orderBy("block")) - 1)
-    whole = sizes.where((F.col("block") == F.col("k")) & (F.col("n") == CHUNK)).agg(F.count("*")).first()[0]
-    rest = t.where(F.col("block") == whole).withColumn("k", F.row_number().over(W.partitionBy("block").orderBy("ticket")))
-    return rest.where(F.col("ticket") == whole * CHUNK + F.col("k")).agg(F.coalesce(F.max("ticket"), F.lit(whole * CHUNK)).cast("bigint").alias("committed_through"))
+    # of each block how many of its first tickets are settled: places up to the first gap
+    placed = t.withColumn("k", F.row_number().over(W.partitionBy("block").orderBy("ticket")))
+    blocks = placed.groupBy("block").agg(F.coalesce(F.max(F.when(F.col("ticket") == F.col("block") * CHUNK + F.col("k"), F.col("k"))), F.lit(0)).cast("bigint").alias("settled"))
+    return watermark_of_blocks(blocks, CHUNK)
+
+
+def watermark_of_blocks(blocks: DataFrame, size: int, first: int = 0) -> DataFrame:
+    """committed_through of (block, settled), block numbers from ``first`` on being known to matter.
+
+    The first block that isn't settled throughout, whether it is there or not, follows a whole one (or
+    is the first): those that whole blocks call for, without the whole ones, have it as their least.
+    """
+    whole = blocks.where(F.col("settled") == size).select("block")
+    start = blocks.sparkSession.range(1).select(F.lit(first).cast("bigint").alias("block"))
+    open_ = whole.select((F.col("block") + 1).alias("block")).unionByName(start).join(whole, "block", "left_anti").agg(F.min("block").alias("block"))
+    return open_.join(blocks, "block", "left").agg((F.max("block") * size + F.coalesce(F.max("settled"), F.lit(0))).cast("bigint").alias("committed_through"))
 
 
 def outstanding(states: DataFrame) -> DataFrame:

@@ -316,25 +316,6 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert out("postings").count() == search.postings(events, "body").count() and out("quarantine").count() == 0
 
 
-def test_age_flush_stream(spark, tmp_path):
-    from kelpline.streaming.age_flush import flush_by_age
-
-    spark.range(7).select(F.lit("a").alias("origin_id")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("origin_id string").parquet(str(tmp_path / "in"))
-    try:
-        q = flush_by_age(stream, 3, 50).writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
-    except Exception as error:
-        pytest.skip(f"stateful processing isn't available: {error}")
-    import time
-
-    end = time.time() + 60
-    while time.time() < end and spark.table("flushed").count() < 3 and q.isActive:
-        time.sleep(0.5)
-    q.stop()
-    got = sorted((r["batch_no"], r["records"], r["reason"]) for r in spark.table("flushed").collect())
-    assert got == [(0, 3, "full"), (1, 3, "full"), (2, 1, "age")]
-
-
 def test_salvage_and_limits(spark, sf):
     rows = stored_records(raw_records(spark, sf)).withColumn("ticket", F.lit(1)).withColumn("severity_number", F.when(F.col("id") == 5, 30).otherwise(F.col("severity_number")))
     good, bad, per = validation.salvage(rows)
