@@ -37,6 +37,11 @@ def foreign_key_violations(events: DataFrame, resources: DataFrame) -> DataFrame
     return events.join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_anti")
 
 
+def trace_lookup(events: DataFrame, trace_id: bytes) -> DataFrame:
+    """The events of one trace. The id reaches the scan as a literal, so row groups whose bloom filter lacks it aren't read."""
+    return events.where(F.col("trace_id") == F.lit(trace_id))
+
+
 def read_view(events: DataFrame, resources: DataFrame) -> DataFrame:
     """The 20 columns of the logs view. The optimiser sees the small side's size and picks the join."""
     r = resources.select(F.col("id").alias("resource_id"), "service_name", "host_name", F.col("schema_url").alias("resource_schema_url"))

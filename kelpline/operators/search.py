@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.tokens import tokens
 from . import prefix
 
@@ -62,43 +65,58 @@ def keyset_pages(rows: DataFrame, after: int, until: int, size: int) -> DataFram
     return placed.groupBy(F.floor((F.col("n") - 1) / size).alias("page")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
 
+#: Rows of the smallest page of a rebuild; how many of them a step takes when nothing else runs.
+UNIT, IDLE_UNITS = 500, 4
+
+
 class Rebuild:
     """A rebuild of the postings below ``root``, page after page, that can stop and go on.
 
-    The plan of pages is made once and stored. A step writes a page's postings over what an earlier try
-    left there, then the cursor; so a step that is repeated after a failure converges. The cursor is the
-    last file of a folder whose files are never changed.
+    The rows are first laid out by ranges of ids, with the columns of the mode only, and a zone map tells
+    which file holds which ids; so a page opens only its own files, and of these, as they are sorted and
+    have an index of small pages, reads little more than its own rows. The plan of pages is made once and
+    stored, in units of UNIT rows. A step takes one of them while ``busy()``, else IDLE_UNITS. It writes
+    its postings over what an earlier try left there, then the cursor; so a step that is repeated after a
+    failure converges. The cursor is the last file of a folder whose files are never changed.
     """
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, root: str, mode: str, until: int, size: int = 2_000):
-        self.spark, self.rows, self.root, self.mode = spark, rows, root, mode
-        self.system = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self._exists(f"{root}/pages/_SUCCESS"):
-            keyset_pages(rows, -(2**63), until, size).coalesce(1).write.mode("overwrite").parquet(f"{root}/pages")
-        self.pages = spark.read.parquet(f"{root}/pages")
-
-    def _exists(self, path: str) -> bool:
-        return self.system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+    def __init__(self, spark: SparkSession, rows: DataFrame, root: str, mode: str, until: int, unit: int = UNIT, file_rows: int = 1 << 20, busy: Callable[[], bool] = lambda: False):
+        self.spark, self.root, self.mode, self.busy = spark, root, mode, busy
+        if not store.exists(spark, f"{root}/pages/_SUCCESS"):
+            own = rows.where(F.col("id") <= until).select("id", *MODES[mode])
+            files = max(1, -(-own.count() // file_rows))
+            laid = own.repartitionByRange(files, "id").sortWithinPartitions("id")
+            laid.write.mode("overwrite").option("parquet.page.row.count.limit", unit).parquet(f"{root}/rows")
+            laid = spark.read.parquet(f"{root}/rows")
+            laid.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("id").alias("low"), F.max("id").alias("high")).write.mode("overwrite").parquet(f"{root}/zones")
+            keyset_pages(laid, -(2**63), until, unit).repartitionByRange("page").sortWithinPartitions("page").write.mode("overwrite").parquet(f"{root}/pages")
+        self.pages, self.zones = spark.read.parquet(f"{root}/pages"), spark.read.parquet(f"{root}/zones")
 
     def done(self) -> int:
-        """Pages that are done: the persisted cursor."""
-        if not self._exists(f"{self.root}/cursor"):
+        """Units that are done: the persisted cursor."""
+        if not store.exists(self.spark, f"{self.root}/cursor"):
             return 0
-        return self.spark.read.schema("page long").json(f"{self.root}/cursor").agg(F.coalesce(F.max("page") + 1, F.lit(0))).first()[0]
+        return self.spark.read.schema("unit long").json(f"{self.root}/cursor").agg(F.coalesce(F.max("unit"), F.lit(0))).first()[0]
+
+    def page(self, first: int, last: int) -> DataFrame:
+        """The rows of a range of ids, from the files that hold it."""
+        files = [r["file"] for r in self.zones.where((F.col("low") <= last) & (F.col("high") >= first)).select("file").collect()]  # a page's own
+        return self.spark.read.parquet(*files).where(F.col("id").between(first, last))
 
     def step(self) -> bool:
         """Rebuild one page; False if all are done."""
         at = self.done()
-        page = self.pages.where(F.col("page") == at).first()
-        if page is None:
+        units = 1 if self.busy() else IDLE_UNITS
+        page = self.pages.where(F.col("page").between(at, at + units - 1)).agg(F.min("first_id").alias("first"), F.max("last_id").alias("last"), F.count("*").alias("n")).first()
+        if not page["n"]:
             return False
-        own = self.rows.where(F.col("id").between(page["first_id"], page["last_id"]))
-        postings(own, self.mode).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/postings/page={at}")
-        self.spark.range(1).select(F.lit(at).cast("long").alias("page")).coalesce(1).write.mode("append").json(f"{self.root}/cursor")
+        rows = self.page(page["first"], page["last"]) if MODES[self.mode] else self.spark.read.parquet(f"{self.root}/rows").limit(0)
+        postings(rows, self.mode).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/postings/unit={at}")
+        self.spark.range(1).select(F.lit(at + page["n"]).cast("long").alias("unit")).coalesce(1).write.mode("append").json(f"{self.root}/cursor")
         return True
 
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/postings").drop("page")
+        return self.spark.read.parquet(f"{self.root}/postings").drop("unit")
 
 
 def reconcile(state: DataFrame, configured: str, max_id: int) -> DataFrame:

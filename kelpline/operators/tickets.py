@@ -38,16 +38,38 @@ _TABLE = "origin_id string, chunk long, entry long, exit long, batches long"
 
 def _next_starts(t: np.ndarray, capacity: int, age_ms: int) -> np.ndarray:
     """For each arrival the place where the batch that it opens ends: full, or the first later arrival that finds it too old."""
-    n = len(t)
-    # the first later place with t >= limit: running maxima of blocks of growing size would do; times mostly rise
-    top = np.maximum.accumulate(t)
+    n, least = len(t), t + age_ms
     out = np.minimum(np.arange(n) + capacity, n)
-    for i in range(n):
-        j = max(i + 1, int(np.searchsorted(top, t[i] + age_ms)))
-        while j < out[i] and t[j] < t[i] + age_ms:
-            j += 1
-        out[i] = min(out[i], j)
-    return out
+    # where times only rise, the running maximum is the time; else the first place whose maximum is large enough
+    # may have it from before the batch, and the search goes on by maxima of blocks of doubling size
+    top = np.maximum.accumulate(t)
+    found = np.maximum(np.searchsorted(top, least), np.arange(n) + 1)
+    open_ = np.flatnonzero((found < out) & (t[np.minimum(found, n - 1)] < least))
+    if len(open_):
+        levels = [t]
+        while 1 << len(levels) <= min(capacity, n):
+            half = 1 << (len(levels) - 1)
+            levels.append(np.maximum(levels[-1][:-half], levels[-1][half:]))
+        at, want, end = found[open_], least[open_], out[open_]
+        for k in range(len(levels) - 1, -1, -1):
+            fits = at + (1 << k) <= end
+            fits[fits] = levels[k][at[fits]] < want[fits]
+            at = np.where(fits, at + (1 << k), at)
+        # each size was tried once: a stretch that is longer than that is walked on by the largest ones
+        while len(more := np.flatnonzero((at < end) & (t[np.minimum(at, n - 1)] < want))):
+            at[more] += 1
+        found[open_] = at
+    return np.minimum(found, out)
+
+
+def _chains(following: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each place, where a chain of batches leaves the first ``own`` places, and how many batches it opens: by pointer doubling."""
+    n = len(following)
+    jump = np.append(np.where(np.arange(n) < own, following, np.arange(n)), n)
+    count = np.append((np.arange(n) < own).astype(np.int64), 0)
+    while (jump[jump] != jump).any():
+        count, jump = count + count[jump], jump[jump]
+    return jump[:n], count[:n]
 
 
 def age_batches(records: DataFrame, capacity: int, age_ms: int) -> DataFrame:
@@ -73,9 +95,7 @@ def age_batches(records: DataFrame, capacity: int, age_ms: int) -> DataFrame:
         pdf = pdf.sort_values("place")
         own = int((pdf["place"] < scan).sum())
         following = _next_starts(pdf["arrival_ms"].to_numpy(), capacity, age_ms)
-        exit_, count = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
-        for i in range(own - 1, -1, -1):
-            exit_[i], count[i] = exit_[following[i]] if following[i] < own else following[i], 1 + (count[following[i]] if following[i] < own else 0)
+        exit_, count = _chains(following, own)
         n = min(own, capacity)
         return pd.DataFrame({"origin_id": pdf["origin_id"].iloc[0], "chunk": pdf["chunk"].iloc[0], "entry": np.arange(n), "exit": exit_[:n] - own, "batches": count[:n]})
 
@@ -185,11 +205,13 @@ def enqueue_acks(request_tickets: DataFrame, accepted: DataFrame) -> DataFrame:
     return joined.select("request_id", "total", (F.col("total") - F.col("taken")).alias("rejected"), (F.col("taken") > 0).alias("available"))
 
 
-def batch_counters(batched: DataFrame, capacity: int) -> DataFrame:
-    """Chunks (tickets), batches, full batches, and batches that a timer or the end flushed."""
+def batch_counters(batched: DataFrame, capacity: int, dropped: DataFrame | None = None) -> DataFrame:
+    """chunks (an origin's tickets), batches, full batches, batches that a timer or the end flushed, and dropped records."""
     per = batched.groupBy("origin_id", "batch_no").agg(F.count("*").alias("n"))
     sizes = per.agg(F.count("*").alias("batches"), F.count_if(F.col("n") == capacity).alias("full"), F.count_if(F.col("n") < capacity).alias("flushed"))
-    return sizes.select("batches", "full", "flushed")
+    chunks = batched.select("origin_id", "ticket").distinct().agg(F.count("*").alias("chunks"))
+    lost = dropped.agg(F.count("*").alias("dropped")) if dropped is not None else batched.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("dropped"))
+    return sizes.crossJoin(chunks).crossJoin(lost).select("chunks", "batches", "full", "flushed", "dropped")  # one row each
 
 
 def drained_at(samples: DataFrame, target: int | None = None, stable_ms: int = 1500) -> DataFrame:

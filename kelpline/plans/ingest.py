@@ -293,9 +293,9 @@ def e8(spark, sf):
     return tickets.enqueue_acks(request_tickets(spark, sf), taken)
 
 
-@log("e9_batch_counters", f"{BATCHES} SELECT count(*) AS batches, count_if(n = 100) AS full, count_if(n < 100) AS flushed FROM (SELECT count(*) AS n FROM b GROUP BY origin_id, batch_no)")
+@log("e9_batch_counters", f"{BATCHES} SELECT (SELECT count(*) FROM (SELECT DISTINCT origin_id, ticket FROM b)) AS chunks, count(*) AS batches, count_if(n = 100) AS full, count_if(n < 100) AS flushed, (SELECT count(*) FROM rec WHERE event_type = 'error' AND id % 29 = 0) AS dropped FROM (SELECT count(*) AS n FROM b GROUP BY origin_id, batch_no)")
 def e9(spark, sf):
-    return tickets.batch_counters(batched(spark, sf), 100)
+    return tickets.batch_counters(batched(spark, sf), 100, validation.salvage(ticketed(spark, sf))[1])
 
 
 PROGRESS = "WITH s AS (SELECT epoch_us(ts) // 1000 AS t_ms, count_if(event_type = 'purchase') AS k FROM events GROUP BY 1), c AS (SELECT t_ms, sum(k) OVER (ORDER BY t_ms)::BIGINT AS n FROM s)"
@@ -353,6 +353,20 @@ def i3(spark, sf):
     return full_index(spark, sf).groupBy("column", "term").agg(F.count("*").alias("n"))
 
 
+@query("i7_segments", f"WITH {DOCS} SELECT w AS term, count(*) AS n FROM (SELECT unnest(words) AS w FROM d WHERE id % 3 <> 0) GROUP BY w")
+def i7(spark, sf):
+    """The index grown by appends and a delete: segments, tombstones and a merge instead of a new index."""
+    from ..operators.segments import SegmentedIndex
+
+    index, rows = SegmentedIndex(spark, f"{store.shared_dir(spark)}/segments-{uuid.uuid4().hex}", "body"), corpus(spark, sf)
+    for k in range(4):
+        index.append(rows.where(F.pmod("id", F.lit(4)) == k))
+        if k == 2:
+            index.delete(rows.where("id % 3 = 0 AND pmod(id, 4) <= 2"))
+    index.delete(rows.where("id % 3 = 0 AND pmod(id, 4) = 3"))
+    return index.postings().groupBy("term").agg(F.count("*").alias("n"))
+
+
 @query("i4_postings_off", "SELECT doc_id AS id, '' AS term FROM documents WHERE false")
 def i4(spark, sf):
     return search.postings(corpus(spark, sf), "off").select("id", "term")
@@ -384,11 +398,11 @@ def i8(spark, sf):
 
 @log("i9_rebuild_index", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9]+')) AS w FROM rec) GROUP BY w")
 def i9(spark, sf):
-    """A rebuild in pages, stopped after the first and taken up again."""
+    """A rebuild in pages of 2,000 rows, stopped after the first and taken up again."""
     events, _ = log_tables(spark, sf)
-    top, n = events.agg(F.max("id"), F.count("*")).first()
+    top = events.agg(F.max("id")).first()[0]
     root = f"{store.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
-    again = lambda: search.Rebuild(spark, events, root, "body", top or 0, max(2_000, n // 4))
+    again = lambda: search.Rebuild(spark, events, root, "body", top or 0)
     again().step()
     rest = again()
     while rest.step():

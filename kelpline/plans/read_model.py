@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import canonical, mapping
 from ..operators import identity
-from ..sources.driver_tables import CTES, log_rows, log_tables, raw_records, stored_records
+from ..sources.driver_tables import CTES, build_log_rows, log_rows, log_tables, raw_records, stored_records
 from .registry import query
 
 JAN_10, JAN_20 = 1704844800000000000, 1705708800000000000
@@ -46,8 +49,17 @@ def b3(spark, sf):
 @log("b4_trace_lookup", "SELECT trace_id, timestamp_ns, id FROM logs WHERE trace_id = (SELECT min(trace_id) FROM logs WHERE trace_id IS NOT NULL) ORDER BY timestamp_ns, id")
 def b4(spark, sf):
     events, _ = log_tables(spark, sf)
-    wanted = events.agg(F.min("trace_id").alias("trace_id"))
-    return events.join(wanted, "trace_id", "left_semi").orderBy("timestamp_ns", "id").select(mapping.hex_text(F.col("trace_id")).alias("trace_id"), "timestamp_ns", "id")
+    wanted = events.agg(F.min("trace_id")).first()[0]
+    found = identity.trace_lookup(events, bytes(wanted or b""))
+    return found.orderBy("timestamp_ns", "id").select(mapping.hex_text(F.col("trace_id")).alias("trace_id"), "timestamp_ns", "id")
+
+
+@log("b0_build_log_table", "SELECT CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS event_date, count(*) AS n FROM rec GROUP BY 1")
+def b0(spark, sf):
+    """The write path by itself: all events mapped, identified and stored anew."""
+    path = f"{store.shared_dir(spark)}/log-rows-{uuid.uuid4().hex}"
+    build_log_rows(spark, sf, path)
+    return spark.read.parquet(path).groupBy("event_date").count().withColumnRenamed("count", "n")
 
 
 @log("b5_service_filter", "SELECT id, host_name FROM logs WHERE service_name = 'svc-2'")

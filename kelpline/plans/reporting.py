@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import intervals, lifecycle, metrics, reports
+from .. import store
+from ..operators import histogram, intervals, lifecycle, metrics, reports, versions
 from ..sources.access_log import parse_access_log
 from ..sources.driver_tables import log_tables, table
 from .read_model import log
@@ -144,6 +147,20 @@ def g12(spark, sf):
     return reports.latency_summary(samples, ["event_type"], "m", exact=True)
 
 
+BUCKETED = """v AS (SELECT event_type, least(greatest(CAST(trunc(value * 1000) AS BIGINT), 0), 3600000000) AS v FROM events WHERE value IS NOT NULL),
+b AS (SELECT event_type, greatest(length(bin(v)) - 11, 0) * 1024 + (v >> greatest(length(bin(v)) - 11, 0)) AS bucket, count(*) AS n, min(v) AS least, max(v) AS most FROM v GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b)"""
+BUCKET_CELLS = ", ".join(f"min(most) FILTER (WHERE upto >= greatest(ceil(total * {p}::DOUBLE), 1)) AS {n}" for n, p in reports.PERCENTILES.items())
+
+
+@query("g12_latency_histogram", f"WITH {BUCKETED} SELECT event_type, CAST(sum(n) AS BIGINT) AS n, min(least) AS min, {BUCKET_CELLS}, max(most) AS max FROM u GROUP BY event_type")
+def g12_histogram(spark, sf):
+    """A histogram for each user and type, then added up for each type."""
+    samples = table(spark, sf, "events").select("event_type", "user_id", (F.col("value") * 1000).cast("bigint").alias("m"))
+    own = histogram.histogram(samples, ["event_type", "user_id"], "m")
+    return histogram.summary(histogram.merge([own], ["event_type"]), ["event_type"])
+
+
 HEALTH = """h AS (SELECT event_id, user_id, event_id % 97 <> 5 AS wr, event_id % 89 <> 7 AS br, event_id % 23 * 4000 AS wi, event_id % 19 * 5000 AS bi, CASE WHEN event_id % 4 = 0 THEN event_id % 11 ELSE 0 END AS qd,
   CASE WHEN event_id % 7 = 0 THEN 0 ELSE 10 END AS qc, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 0 END AS pr, event_id % 2 AS ot, event_id % 41 * 3000 AS wm, event_id % 13 = 0 AS mi, event_id % 701 * 2000 AS me FROM events),
 x AS (SELECT *, qc > 0 AND qd >= 8 AS sat, ot > 0 AND wm >= 60000 AS slow, greatest(CASE WHEN qd > 0 THEN wi ELSE 0 END, CASE WHEN pr > 0 THEN bi ELSE 0 END) AS age FROM h),
@@ -239,10 +256,13 @@ def j9(spark, sf):
     return z.where("pos < 4").select("point_id", "pos", F.col("z.b").alias("bound"), F.col("z.c").alias("n"))
 
 
-@query("j11_bound_count", f"WITH {HIST} SELECT point_id, 4 AS n_bounds FROM p")
+@query("j11_bound_count", f"WITH {HIST} SELECT point_id, CAST(substr(point_id, 6, 2) AS INTEGER) % 5 AS n_bounds FROM p")
 def j11(spark, sf):
-    h = F.from_json("histogram_json", "bounds array<bigint>, counts array<bigint>")
-    return points(spark, sf).select("point_id", F.size(h["bounds"]).alias("n_bounds"))
+    """Histograms of 0 to 4 bounds, by their month."""
+    h, month = F.from_json("histogram_json", "bounds array<bigint>, counts array<bigint>"), F.substring("point_id", 6, 2).cast("int")
+    cut = F.to_json(F.struct(F.slice(h["bounds"], F.lit(1), month % 5).alias("bounds"), F.slice(h["counts"], F.lit(1), month % 5 + 1).alias("counts")))
+    rows = points(spark, sf).select("point_id", cut.alias("histogram_json"))
+    return rows.select("point_id", F.size(h["bounds"]).alias("n_bounds"))
 
 
 @query("s1_bucket_union", f"WITH {HIST} SELECT point_id, 'finite' AS part, c0 + c1 + c2 + c3 AS n FROM p UNION ALL SELECT point_id, '+Inf', c4 FROM p")
@@ -305,6 +325,18 @@ def k1(spark, sf):
     return lifecycle.purge_report(*log_tables(spark, sf), NOW, WINDOW)
 
 
+@log("k1_purge_stored", f", {PURGE} SELECT 'deleted' AS name, (SELECT count(*) FROM rec) - (SELECT count(*) FROM x) AS n UNION ALL SELECT 'kept', (SELECT count(*) FROM x) UNION ALL SELECT 'resources', count(DISTINCT resource_id) FROM x")
+def k1_stored(spark, sf):
+    """The purge as a delete of stored tables: whole days go, the border day is written anew."""
+    events, resources = log_tables(spark, sf)
+    schema, own = (", ".join(f"{c} {t}" for c, t in df.dtypes) for df in (events, resources))
+    tables = versions.Tables(spark, f"{store.shared_dir(spark)}/purged-{uuid.uuid4().hex}")
+    tables.append({"log_event": events, "log_resource": resources})
+    gone = tables.purge(NOW, WINDOW, schema, own)
+    counts = lifecycle.row_counts({"kept": tables.read("log_event", schema), "resources": tables.read("log_resource", own)})
+    return counts.unionByName(spark.range(1).select(F.lit("deleted").alias("name"), F.lit(gone["deleted"]).cast("bigint").alias("n")))
+
+
 QUOTA = 400_000
 
 

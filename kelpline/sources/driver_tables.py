@@ -104,11 +104,16 @@ RESOURCE = ["service_name", "host_name", "schema_url", "resource_json"]
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All log rows with their resource's columns, mapped once and stored by event_date, each file sorted by (resource_id, timestamp_ns)."""
 
-    def build(path: str) -> None:
-        rows = stored_records(raw_records(spark, sf_dir)).withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
-        rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").partitionBy("event_date").parquet(path)
+    return store.derived(spark, "log_rows", f"{sf_dir}/events.parquet", lambda path: build_log_rows(spark, sf_dir, path))
 
-    return store.derived(spark, "log_rows", f"{sf_dir}/events.parquet", build)
+
+#: Bloom filters of trace ids in each row group, as small as its ids allow: a trace opens only the row groups that may hold it.
+TRACE_FILTERS = {"parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
+
+
+def build_log_rows(spark: SparkSession, sf_dir: str, path: str) -> None:
+    rows = stored_records(raw_records(spark, sf_dir)).withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
+    rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").options(**TRACE_FILTERS).partitionBy("event_date").parquet(path)
 
 
 def log_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -116,5 +121,5 @@ def log_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..operators.identity import resource_rows
 
     rows = log_rows(spark, sf_dir)
-    resources = store.derived(spark, "log_resource", f"{sf_dir}/events.parquet", lambda path: resource_rows(rows).coalesce(1).write.mode("overwrite").parquet(path))
+    resources = store.derived(spark, "log_resource", f"{sf_dir}/events.parquet", lambda path: resource_rows(rows).write.mode("overwrite").parquet(path))
     return rows.drop(*RESOURCE), resources

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -81,6 +81,25 @@ def start_requests(lines: DataFrame, root: str, checkpoint: str, mode: str = "bo
     return lines.writeStream.foreachBatch(write_requests(root, mode, limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: The name of the counters in a query's progress.
+COUNTERS = "ingest"
+
+
+def counted(rows: DataFrame, chunk_start: Column | None = None) -> DataFrame:
+    """rows, with counters that Spark fills in while they pass: records, dropped (poison) and chunks (rows that begin one)."""
+    return rows.observe(COUNTERS, F.count(F.lit(1)).alias("records"), F.count_if(validation.poison_reason().isNotNull()).alias("dropped"), F.count_if(chunk_start if chunk_start is not None else F.lit(False)).alias("chunks"))
+
+
+def counters(query: StreamingQuery) -> dict[str, int]:
+    """The counters of all batches that the query still tells of."""
+    out: dict[str, int] = {}
+    for p in query.recentProgress:
+        row = p["observedMetrics"].get(COUNTERS)
+        for name, n in (row.asDict() if row is not None else {}).items():
+            out[name] = out.get(name, 0) + (n or 0)
+    return out
+
+
 def start(rows: DataFrame, root: str, checkpoint: str, mode: str = "body") -> StreamingQuery:
     """Ingest what is there, then stop; the checkpoint remembers what was committed."""
     return rows.writeStream.foreachBatch(write_batch(root, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,14 +1,17 @@
 """Fixed expected values, properties, and empty tables."""
 
+import itertools
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import canonical, mapping
 from kelpline.functions.tokens import tokens
-from kelpline.operators import intervals, lifecycle, reports, search, tickets, validation
+from kelpline.operators import histogram, identity, intervals, lifecycle, reports, search, tickets, validation
 from kelpline.sources import otlp_json
 from kelpline.sources.access_log import parse_access_log
 from kelpline.sources.driver_tables import log_tables, raw_records, stored_records
@@ -214,20 +217,81 @@ def test_snapshot_restore(spark, sf, tmp_path):
     assert lifecycle.checksum(small).first() == lifecycle.checksum(events).first()
 
 
+def scanned(spark, df):
+    """Rows that the scans of a query give on, before any filter."""
+    df.collect()
+    plan, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            plan.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            plan.append(node.plan())
+        elif node.nodeName().startswith("Scan"):
+            rows += node.metrics().apply("numOutputRows").value()
+        plan += [node.children().apply(k) for k in range(node.children().size())]
+    return rows
+
+
 def test_search_rebuild_converges(spark, sf, tmp_path):
     events, _ = log_tables(spark, sf)
     top = events.agg(F.max("id")).first()[0]
     root = f"file://{tmp_path}/index"
-    first = search.Rebuild(spark, events, root, "body", top, 400)
-    assert first.step() and first.done() == 1
-    later = search.Rebuild(spark, events, root, "body", top, 400)  # goes on where the cursor stands
+    busy = [True]
+    make = lambda: search.Rebuild(spark, events, root, "body", top, unit=100, file_rows=300, busy=lambda: busy[0])
+    first = make()
+    assert first.step() and first.done() == 1  # one unit while other work runs
+    later = make()  # goes on where the cursor stands
     assert later.done() == 1
-    search.postings(events.limit(5), "body").write.parquet(f"{root}/postings/page=1")  # what a failed try left
+    search.postings(events.limit(5), "body").write.parquet(f"{root}/postings/unit=1")  # what a failed try left
+    busy[0] = False
+    assert later.step() and later.done() == 1 + search.IDLE_UNITS
     while later.step():
         pass
-    assert later.done() == 3 and not later.step()
+    assert later.done() == 10 and not later.step()
     want = search.postings(events, "body")
     assert later.index().count() == want.count() and later.index().exceptAll(want.select(*later.index().columns)).isEmpty()
+    pages = later.pages.collect()
+    assert later.zones.count() >= 3 and max(len(later.page(p["first_id"], p["last_id"]).inputFiles()) for p in pages) <= 2
+    assert sum(scanned(spark, later.page(p["first_id"], p["last_id"])) for p in pages) <= 2 * events.count()
+
+
+def test_trace_filters_skip_row_groups(spark, sf):
+    """A trace that isn't there opens no row group, though its id lies between others."""
+    events, _ = log_tables(spark, sf)
+    some = bytes(events.agg(F.max("trace_id")).first()[0])
+    assert 0 < scanned(spark, identity.trace_lookup(events, some).select("id", "trace_id")) < events.count()
+    absent = bytes([some[0] // 2]) + bytes(range(15))
+    assert scanned(spark, identity.trace_lookup(events, absent).select("id", "trace_id")) == 0
+
+
+def test_mergeable_histogram(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.randint(0, 3000), int(rng.lognormvariate(10, 3)), 0, 2047, 2048, 2**31]) for _ in range(4000)] + [-5, 10**12, None]
+    rows = spark.createDataFrame([(k % 3, v) for k, v in enumerate(values)], "g int, v long")
+    own = histogram.histogram(rows, ["g"], "v")
+    assert own.groupBy("g", "bucket").count().where("count > 1").isEmpty() and own.where("most - least > least / 1024").isEmpty()
+    parts = [histogram.histogram(rows.where(F.pmod(F.hash("v"), F.lit(3)) == k), ["g"], "v") for k in range(3)]
+    assert sorted(map(tuple, histogram.merge(parts, ["g"]).collect())) == sorted(map(tuple, own.collect()))
+    for by, groups in ((["g"], [0, 1, 2]), ([], [None])):
+        for r in histogram.summary(histogram.merge([own], by), by).collect():
+            have = sorted(min(max(v, 0), histogram.HIGHEST) for k, v in enumerate(values) if v is not None and (not by or k % 3 == r["g"]))
+            assert (r["n"], r["min"], r["max"]) == (len(have), have[0], have[-1])
+            for name, p in reports.PERCENTILES.items():
+                exact = have[max(1, math.ceil(p * len(have))) - 1]
+                assert exact <= r[name] <= exact * (1 + 2**-histogram.BITS)
+
+
+def test_next_starts_against_a_scan():
+    rng = random.Random(8)
+    for _ in range(200):
+        n, capacity, age = rng.randint(1, 60), rng.randint(1, 12), rng.randint(1, 30)
+        t = np.cumsum([rng.choice([0, 1, 5, 20, -15]) for _ in range(n)])
+        want = [next((j for j in range(i + 1, min(i + capacity, n)) if t[j] >= t[i] + age), min(i + capacity, n)) for i in range(n)]
+        got = tickets._next_starts(t, capacity, age)
+        assert got.tolist() == want
+        exits, counts = tickets._chains(got, n)
+        assert all(exits == n) and counts[0] == len({*itertools.accumulate(range(n), lambda at, _: want[at] if at < n else at, initial=0)} - {n})
 
 
 def test_stored_index_is_read_by_bucket(spark, sf, tmp_path):
@@ -309,7 +373,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     for k in range(2):
         rows.where(f"id % 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    sinks.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    query = sinks.start(sinks.counted(stream, F.col("id") % 20 == 0), str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    assert sinks.counters(query) == {"records": rows.count(), "dropped": 0, "chunks": rows.select("ticket").distinct().count()}
     out = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
     events, resources = log_tables(spark, sf)
     assert out("log_event").count() == events.count() and out("log_resource").count() == resources.count()
