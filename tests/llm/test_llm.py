@@ -762,7 +762,12 @@ def test_perplexity_is_kneser_ney(spark, docs):
     rows = [(i, r["text"][:400], "ab"[i % 2]) for i, r in enumerate(docs.limit(24).collect())] + [(90, "Zwölf é 123 \n\t x", "a"), (91, None, "a"), (92, "only one", None)]
     small = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["log_ppl"] for r in quality._judged(small, quality.WIDTH, ["doc_id"]).select("row.doc_id", "log_ppl").collect()}
-    model = quality.train(small.select("text", quality._name(F.col("lang")).alias("lang")), Scratch(spark, "kn"), cutoff=1)
+    named = small.select("text", quality._name(F.col("lang")).alias("lang"))
+    scratch = Scratch(spark, "kn")
+    languages = quality.numbered(named, scratch)
+    numbers = {r["lang"]: r["number"] for r in languages.collect()}
+    counts = scratch.table(quality.count_ngrams(named.join(languages, "lang")), "counts")
+    model = quality.model_of(quality.kneser_ney(counts, Scratch(spark, "kn"), cutoff=1, share=0))
     for lang in ("a", "b", None):
         own = [(i, t) for i, t, x in rows if x == lang and t]
         folded, p = brute_kneser_ney([t for _, t in own], quality.ORDER)
@@ -770,16 +775,29 @@ def test_perplexity_is_kneser_ney(spark, docs):
             lead = [0] * (quality.ORDER - 1) + codes
             want = [math.log(p(tuple(lead[k : k + quality.ORDER - 1]), lead[k + quality.ORDER - 1])) for k in range(len(codes))]
             raw = np.frombuffer(text.encode(), np.uint8)
-            number = np.full(len(raw), model.languages["" if lang is None else f"={lang}"])
+            number = np.full(len(raw), numbers["" if lang is None else f"={lang}"])
             assert np.allclose(model.log_probabilities(quality.ngram_codes(raw, np.array([0, len(raw)])), number), want, atol=2e-3)
     assert got[91] is None and got[92] > 0
-    cut = quality.train(small.select("text", quality._name(F.col("lang")).alias("lang")), Scratch(spark, "kn"), cutoff=2, grams=300)
+    cut = quality.model_of(quality.kneser_ney(counts, Scratch(spark, "kn"), cutoff=2, share=1 / 800))
     for context in (b"    ", b"the ", b"er w", b"zqzq"):
         code = int.from_bytes(context, "big") << 8
-        sums = np.exp(cut.log_probabilities(code + np.arange(256), np.full(256, cut.languages["=a"])).astype(float)).sum()
+        sums = np.exp(cut.log_probabilities(code + np.arange(256), np.full(256, numbers["=a"])).astype(float)).sum()
         assert abs(sums - 1) < 0.1
 
 
+def test_languages_in_passes(spark, docs, monkeypatch):
+    """Models that don't fit into one broadcast are used one after another, with the same result; shares are a language's own."""
+    rows = docs.select("doc_id", "text", "lang").limit(60)
+    report = lambda: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in quality.quality_report(rows).collect())
+    want = report()
+    levels = [spark.createDataFrame([(k, g) for k in range(3) for g in range(2)], "lang long, gram long")]
+    assert quality.portions(levels, 1) == [(0, 1), (1, 2), (2, quality.LANGUAGES)] and quality.portions(levels, 4) == [(0, 2), (2, quality.LANGUAGES)]
+    monkeypatch.setattr(quality, "portions", lambda levels, f=quality.portions: f(levels, 1))
+    assert report() == want
+    many = spark.createDataFrame([(k, "one two three " * 5 + f"x{k}", f"l{k % 70}") for k in range(140)], "doc_id long, text string, lang string")
+    assert quality.quality_report(many).where("log_ppl IS NULL OR low IS NULL AND NOT base_failed").count() == 0
+
+
 def test_bands_reject_noise_and_keep_clean(spark):
     rng = random.Random(9)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
