@@ -24,7 +24,8 @@ ATTRIBUTES = "array<struct<key:string,value:string>>"
 
 def json_string(text: Column) -> Column:
     """A JSON string literal. The escapes are those of a minimal JSON writer: \\b \\f \\n \\r \\t, \\u00xx, quote and backslash."""
-    return F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+    escaped = F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+    return F.when(text.rlike(r'["\\\x00-\x1f\x7f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def last_wins(attributes: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import intervals
+from . import intervals, prefix
 
 
 def duplicates(found: DataFrame, column: str = "v") -> DataFrame:
@@ -27,21 +27,17 @@ def correctness(found: DataFrame, generated: int, rejected: DataFrame, ambiguous
 
     found has a column v. In a recovery run, rows of rejected requests that were applied in part are tolerated.
     """
-    distinct = found.where("v IS NOT NULL").select("v").distinct()
     everything = found.sparkSession.createDataFrame([(1, generated)], "start long, end long")
-    taken = rejected.select("start", "end").unionByName(ambiguous.select("start", "end")).unionByName(distinct.select(F.col("v").alias("start"), F.col("v").alias("end")))
-    parts = {
-        "missing": intervals.length(intervals.subtract(everything, taken)).select(F.col("total").alias("x")),
-        "duplicate": duplicates(found).select(F.col("duplicates").alias("x")),
-        "unexpected": distinct.where((F.col("v") < 1) | (F.col("v") > generated)).agg(F.count("*").alias("x")),
-        "rejected_present": intervals.covered(distinct, rejected).agg(F.count("*").alias("x")),
-        "ambiguous_present": intervals.covered(distinct, ambiguous).agg(F.count("*").alias("x")),
-    }
-    rows = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("name"), "x")
-        rows = one if rows is None else rows.unionByName(one)
-    wide = rows.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("x"))), F.lit(0)).alias(n) for n in parts])
+    open_ = intervals.length(intervals.subtract(everything, rejected.select("start", "end").unionByName(ambiguous.select("start", "end")))).select(F.col("total").alias("open"))
+    # one sweep: at each value, how often it was found and what covers it
+    zero = F.lit(0).cast("bigint")
+    points = found.where("v IS NOT NULL").groupBy(F.col("v").cast("bigint").alias("at")).agg(F.count("*").alias("n")).select("at", zero.alias("a"), zero.alias("b"), "n")
+    ends = intervals._steps(rejected, (), a=1, b=0).unionByName(intervals._steps(ambiguous, (), a=0, b=1)).withColumn("n", zero)
+    rows = points.unionByName(ends).groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    seen = prefix.running(rows, (), "at", {"a": "sum", "b": "sum"}).where("n > 0")
+    inside, some = F.col("at").between(1, generated), lambda t, name: F.count_if(t).alias(name)
+    sums = seen.agg(some(inside & (F.col("a") == 0) & (F.col("b") == 0), "there"), (F.coalesce(F.sum("n"), zero) - F.count("*")).alias("duplicate"), some(~inside, "unexpected"), some(F.col("a") > 0, "rejected_present"), some(F.col("b") > 0, "ambiguous_present"))
+    wide = sums.crossJoin(open_).select((F.col("open") - F.col("there")).alias("missing"), "duplicate", "unexpected", "rejected_present", "ambiguous_present")  # one row each
     fatal = ["missing", "duplicate", "unexpected"] + ([] if recovery else ["rejected_present"])
     ok = F.lit(True)
     for n in fatal:

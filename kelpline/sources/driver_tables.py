@@ -81,15 +81,27 @@ logs AS (SELECT rec.id, resource_id, timestamp_ns, observed_timestamp_ns, severi
 """
 
 
-def stored_records(raw: DataFrame) -> DataFrame:
-    """Wire-level records as rows of log_event, with their resource's columns and identity beside them."""
+def _resource_columns() -> dict[str, Column]:
+    """service_name, host, canonical JSON and identity of a resource, from its attributes and schema URL."""
     attrs = F.col("resource_attributes")
     unquoted = lambda key: F.when(canonical.attribute(attrs, key)["value"].startswith('"'), F.expr(f"""from_json(concat('{{"x":', try_element_at(filter(resource_attributes, y -> y.key = '{key}'), -1).value, '}}'), 'x string').x"""))
-    service, host = F.coalesce(unquoted("service.name"), F.lit("")), F.coalesce(unquoted("host.name"), F.lit(""))
-    resource_json = canonical.attributes_json(attrs)
-    rows = raw.withColumns({"service_name": service, "__host": host, "resource_json": resource_json})
+    service, host, text = F.coalesce(unquoted("service.name"), F.lit("")), F.coalesce(unquoted("host.name"), F.lit("")), canonical.attributes_json(attrs)
+    return {"service_name": service, "__host": host, "resource_json": text, "resource_id": canonical.fingerprint(service, host, F.col("schema_url"), text)}
+
+
+def stored_records(raw: DataFrame) -> DataFrame:
+    """Wire-level records as rows of log_event, with their resource's columns and identity beside them."""
+    # a resource has many records: it is rendered once for each distinct one (a stream renders it where it stands)
+    if raw.isStreaming:
+        rows = raw.withColumns(_resource_columns())
+    else:
+        key = ["resource_attributes", "schema_url"]
+        own = raw.select(*key).distinct().withColumns(_resource_columns())
+        names = {c: f"__{c}" for c in key}
+        same = raw["resource_attributes"].eqNullSafe(F.col("__resource_attributes")) & raw["schema_url"].eqNullSafe(F.col("__schema_url"))
+        rows = raw.join(own.withColumnsRenamed(names), same).drop(*names.values())
     return rows.select(
-        "id", "request_id", "resource_idx", "scope_idx", canonical.fingerprint(F.col("service_name"), F.col("__host"), F.col("schema_url"), F.col("resource_json")).alias("resource_id"),
+        "id", "request_id", "resource_idx", "scope_idx", "resource_id",
         mapping.event_time(mapping.saturate_timestamp(F.col("time_unix_nano")), mapping.saturate_timestamp(F.col("observed_time_unix_nano"))).alias("timestamp_ns"), mapping.saturate_timestamp(F.col("observed_time_unix_nano")).alias("observed_timestamp_ns"),
         mapping.severity(F.col("severity_number")).alias("severity_number"), mapping.non_empty(F.col("severity_text")).alias("severity_text"), mapping.parse_id(F.col("trace_id"), 16).alias("trace_id"), mapping.parse_id(F.col("span_id"), 8).alias("span_id"),
         mapping.body_choice(F.col("body"), F.col("body_json") if "body_json" in raw.columns else F.lit(None).cast("string")).alias("body"), mapping.non_empty(F.col("event_name")).alias("event_name"), "flags", "dropped_attributes_count", "scope_name", mapping.non_empty(F.col("scope_version")).alias("scope_version"),
