@@ -54,12 +54,12 @@ def b4(spark, sf):
     return found.orderBy("timestamp_ns", "id").select(mapping.hex_text(F.col("trace_id")).alias("trace_id"), "timestamp_ns", "id")
 
 
-@log("b0_build_log_table", "SELECT CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS event_date, count(*) AS n FROM rec GROUP BY 1")
+@log("b0_build_log_table", "SELECT CAST(CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM rec GROUP BY 1")
 def b0(spark, sf):
     """The write path by itself: all events mapped, identified and stored anew."""
     path = f"{store.shared_dir(spark)}/log-rows-{uuid.uuid4().hex}"
     build_log_rows(spark, sf, path)
-    return spark.read.parquet(path).groupBy("event_date").count().withColumnRenamed("count", "n")
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
 
 
 @log("b5_service_filter", "SELECT id, host_name FROM logs WHERE service_name = 'svc-2'")
