@@ -375,11 +375,11 @@ def one_of_each(documents: DataFrame, **settings: int) -> DataFrame:
     rows without a doc_id stay as they are. Columns are those of documents.
     """
     names = documents.columns
-    found = near_duplicates(documents, **settings).where("group IS NOT NULL").select("group", F.struct("doc_id", "text_hash").alias("own"))
-    first = found.groupBy("group").agg(F.min("own").alias("first"))
-    dropped = found.join(first, "group").where("own <> first").select(F.col("own.doc_id").alias("__id"), F.col("own.text_hash").alias("__h")).distinct()
+    found = near_duplicates(documents, **settings).select("group", "doc_id", "text_hash")
+    # a group may be large: only its least row is sought, and rows meet those by doc_id and text
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("own")).select("own.*")
+    stay = first.unionByName(found.where("group IS NULL").select("doc_id", "text_hash")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
     # all input columns travel in one struct, so none of their names can clash
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__h"))
-    kept = rows.join(dropped, ["__id", "__h"], "left_anti")
-    kept = kept.where("__id IS NOT NULL").dropDuplicates(["__id", "__h"]).unionByName(kept.where("__id IS NULL"))
+    kept = rows.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).unionByName(rows.where("__id IS NULL"))
     return kept.select(*[F.col(f"row.`{c}`") for c in names])
