@@ -13,9 +13,9 @@ singles out exactly one admissible path to each boundary, and it is the model's
 White space is escaped as U+2581. In a model none of whose pieces has it after another character, no
 piece crosses the start of a run of it: there all paths are known to meet. A task therefore searches
 the stretches between such boundaries side by side, one character of all of them at a time
-(``Lanes``), and each distinct stretch of a slice once. A stretch of more than ``LONG`` characters
-goes through ``StreamingViterbi``, which finds by itself where paths meet; so does every text of a
-model with other pieces. Texts are taken in portions of bytes, and nothing is remembered between them
+(``Lanes``, the same search with a window of fixed size), and each distinct stretch of a slice once. A
+stretch of more than ``LONG`` characters goes through ``StreamingViterbi``, character by character; so
+does every text of a model with other pieces. Texts are taken in portions of bytes, and nothing is remembered between them
 but the model and a table of fixed size of which pieces may stand side by side.
 Characters without a piece become byte pieces, or the unknown id in models without them.
 
@@ -44,7 +44,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Characters of a stretch that is searched beside others; bytes of text that are searched at once.
-LONG, PORTION = 48, 1 << 20
+LONG, PORTION = 256, 1 << 20
+#: Boundaries that a lane holds (bits of a number); characters after which lanes look for a place to commit to.
+RING, EVERY = 64, 16
 #: Pairs of pieces whose verdict a worker holds: 2**PAIR_BITS.
 PAIR_BITS = 20
 _NEVER = 1 << 30
@@ -264,7 +266,13 @@ class StreamingViterbi:
 
 
 class Lanes:
-    """The search over many stretches at once: one character of all that are long enough at a time."""
+    """The streaming search over many stretches at once: one character of all that are long enough at a time.
+
+    A lane holds RING boundaries: those since its last committed one. The best path to each of them is a
+    number with a bit for each boundary that lies on it. Where the paths of the boundaries that a piece
+    may still start from share a bit, the ids up to there are committed, and the ring goes on. A lane
+    whose paths don't meet within the ring is left to ``StreamingViterbi``, whose window grows.
+    """
 
     def __init__(self, model: Model, points: np.ndarray, bounds: np.ndarray):
         self.model, self.points, self.bounds = model, points, bounds
@@ -290,32 +298,36 @@ class Lanes:
         """Pieces of all stretches (characters without one as -1 minus their code), and their offsets."""
         model, lengths = self.model, np.diff(self.bounds)
         order = np.argsort(-lengths, kind="stable")
-        base, size = self.bounds[:-1][order], lengths[order]
-        most = int(size.max(initial=0))
-        live = np.searchsorted(-size, -np.arange(most + 1), "right")
+        self.base, size = self.bounds[:-1][order], lengths[order]
+        most, lanes = int(size.max(initial=0)), len(order)
+        live = np.searchsorted(-size, -np.arange(most + 2), "right")
         pieces, other = self._pieces(), len(model.names)
-        last, length = np.zeros((most + 1, len(order)), np.int32), np.ones((most + 1, len(order)), np.uint8)
-        value = np.zeros((most + 1, len(order))) if model.kind == UNIGRAM else None
-        cost = np.array(model.scores)
+        self.last, self.length = np.zeros((RING, lanes), np.int32), np.ones((RING, lanes), np.int16)
+        self.path, self.done, self.count = np.zeros((RING, lanes), np.uint64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.path[0] = 1
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last, length, path = self.last, self.length, self.path
+        value = np.zeros((RING, lanes)) if model.kind == UNIGRAM else None
+        cost, stuck = np.array(model.scores), np.zeros(lanes, bool)
         for i in range(1, most + 1):
-            n = int(live[i])
-            last[i, :n] = other
+            n, row = int(live[i]), i % RING
+            last[row, :n], length[row, :n] = other, 1
             rest = np.arange(n)
             if value is not None:
-                value[i, :n] = -np.inf
+                value[row, :n] = -np.inf
             for step in range(min(i, model.longest), 0, -1):
-                found = pieces[step - 1].take(base[rest] + (i - step))
+                found = pieces[step - 1].take(self.base[rest] + (i - step))
                 own = np.flatnonzero(found >= 0)
-                lane, piece = rest[own], found[own]
+                lane, piece, before = rest[own], found[own], (i - step) % RING
                 if value is not None:  # the best sum of scores
-                    score = value[i - step, lane] + cost[piece]
-                    better = score > value[i, lane]
+                    score = value[before, lane] + cost[piece]
+                    better = score > value[row, lane]
                     lane, piece = lane[better], piece[better]
-                    value[i, lane] = score[better]
+                    value[row, lane] = score[better]
                 elif step < i:  # the longest one that fits is the only one
-                    fits = np.flatnonzero(model.fits(last[i - step, lane], piece))
+                    fits = np.flatnonzero(model.fits(last[before, lane], piece))
                     lane, piece, own = lane[fits], piece[fits], own[fits]
-                last[i, lane], length[i, lane] = piece, step
+                last[row, lane], length[row, lane] = piece, step
                 if value is None:
                     left = np.ones(len(rest), bool)
                     left[own] = False
@@ -323,29 +335,65 @@ class Lanes:
                     if not len(rest):
                         break
             if value is not None:
-                none = np.flatnonzero(value[i, :n] == -np.inf)
-                value[i, none] = value[i - 1, none] + model.unknown_score
-        # back along the paths
-        at, lanes, steps = size.copy(), np.flatnonzero(size), []
-        count = np.zeros(len(order), np.int64)
-        while len(lanes):
-            piece, here = last[at[lanes], lanes], at[lanes]
-            odd = piece == other
-            if odd.any():
-                piece[odd] = -1 - self.points[base[lanes[odd]] + here[odd] - 1].astype(np.int32)
-            steps.append((lanes, piece))
-            count[lanes] += 1
-            at[lanes] -= length[here, lanes]
-            lanes = lanes[at[lanes] > 0]
-        sizes = np.zeros(len(order), np.int64)
-        sizes[order] = count
+                none = np.flatnonzero(value[row, :n] == -np.inf)
+                value[row, none] = value[(i - 1) % RING, none] + model.unknown_score
+            all_ = np.arange(n)
+            far = i - self.done[:n]
+            stuck[:n] |= far >= RING
+            path[row, :n] = path[(i - length[row, :n].astype(np.int64)) % RING, all_] | (np.uint64(1) << np.minimum(far, RING - 1).astype(np.uint64))
+            if i % EVERY == 0:
+                shared = path[row, :n].copy()
+                for j in range(max(0, i + 1 - model.longest), i):
+                    shared &= path[j % RING, :n]
+                top = _highest(shared)
+                own = np.flatnonzero((top > 0) & ~stuck[:n])
+                if len(own):
+                    self._commit(own, self.done[own] + top[own])
+            ended = np.arange(int(live[i + 1]), n)
+            ended = ended[~stuck[ended]]
+            if len(ended):
+                self._commit(ended, np.full(len(ended), i))
+        for lane in np.flatnonzero(stuck).tolist():
+            text = "".join(map(chr, self.points[self.base[lane] : self.base[lane] + size[lane]].tolist()))
+            search = StreamingViterbi(model)
+            own = np.array([*search.feed(text), *search.finish()], np.int32)
+            self.out = [tuple(x[held != lane] for x in (held, at, piece)) for held, at, piece in self.out]
+            self.out.append((np.full(len(own), lane), np.arange(len(own)), own))
+            self.count[lane] = len(own)
+        sizes = np.zeros(lanes, np.int64)
+        sizes[order] = self.count
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.zeros(offsets[-1], np.int32)
-        ends = offsets[1:][order] - 1
-        for k, (lanes, piece) in enumerate(steps):
-            out[ends[lanes] - k] = piece
+        out, starts = np.zeros(offsets[-1], np.int32), offsets[:-1][order]
+        for lane, at, piece in self.out:
+            out[starts[lane] + at] = piece
         return out, offsets
 
+    def _commit(self, lanes: np.ndarray, to: np.ndarray) -> None:
+        """The pieces of some lanes from their last committed boundary to another one that is certain."""
+        other = len(self.model.names)
+        new = np.bitwise_count(self.path[to % RING, lanes]).astype(np.int64) - 1
+        at, own = to.copy(), np.arange(len(lanes))
+        while len(own):
+            lane, row = lanes[own], at[own] % RING
+            piece, place = self.last[row, lane], np.bitwise_count(self.path[row, lane]).astype(np.int64) - 2
+            odd = piece == other
+            if odd.any():
+                piece[odd] = -1 - self.points[self.base[lane[odd]] + at[own[odd]] - 1].astype(np.int32)
+            self.out.append((lane, self.count[lane] + place, piece))
+            at[own] -= self.length[row, lane]
+            own = own[at[own] > self.done[lane]]
+        self.path[:, lanes] >>= (to - self.done[lanes]).astype(np.uint64)
+        self.count[lanes] += new
+        self.done[lanes] = to
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """The place of the highest bit that is set; -1 without one."""
+    x = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        x |= x >> np.uint64(k)
+    return np.bitwise_count(x).astype(np.int64) - 1
+
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The ranges of values one after another."""

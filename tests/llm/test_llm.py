@@ -223,7 +223,7 @@ def test_lanes_unigram():
     model = sentencepiece_codec.Model(kind=sentencepiece_codec.UNIGRAM)
     model.scores = [-((i * 7919) % 1000) / 100 - 1 for i in range(len(model.scores))]
     rng = random.Random(4)
-    texts = ["▁" * rng.randint(0, 2) + "".join(rng.choice("theingaq→") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts = ["▁" * rng.randint(0, 2) + "".join(rng.choice("theingaq→") for _ in range(rng.choice([0, 3, 15, 16, 17, 40, 64, 250]))) for _ in range(120)]
     points, bounds = np.array([ord(c) for t in texts for c in t]), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     pieces, at = sentencepiece_codec.Lanes(model, points, bounds).search()
     for k, text in enumerate(texts):
@@ -240,6 +240,33 @@ def test_lanes_unigram():
         assert abs(sum(model.scores[p] if p >= 0 else model.unknown_score for p in own) - best[-1]) < 1e-6
 
 
+def test_lanes_commit_within_their_ring():
+    """Stretches much longer than the ring come out as the library has them; a ring too small for a lane hands it over."""
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL), sentencepiece_codec.encoder(sentencepiece_codec.MODEL)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(c) for _ in range(rng.choice([60, 130, 255]))) for c in ("etaoinshr", "ab", "aé日", "=-", "0123456789") for _ in range(12)] + ["-" * 200, "ab" * 100, "=" * 255]
+    for t in texts:
+        points = np.array([ord(c) for c in "▁" + t])
+        lanes = sentencepiece_codec.Lanes(own.model, points, np.array([0, len(points)]))
+        pieces, at = lanes.search()
+        ids, _ = own._with_bytes(pieces, at)
+        assert ids.tolist() == library.encode(t), t
+        assert lanes.last.shape[0] == sentencepiece_codec.RING
+
+
+def test_lanes_that_are_stuck(monkeypatch):
+    """Where paths don't meet within the ring, the search with a growing window takes over."""
+    own = sentencepiece_codec.encoder(sentencepiece_codec.MODEL)
+    texts = ["thequickbrownfox" * 6, "short", "antidisestablishmentarianism" * 4]
+    points, bounds = np.array([ord(c) for t in texts for c in t]), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = sentencepiece_codec.Lanes(own.model, points, bounds).search()
+    monkeypatch.setattr(sentencepiece_codec, "EVERY", 1 << 20)  # never commits, so long lanes overflow
+    got = sentencepiece_codec.Lanes(own.model, points, bounds).search()
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_pairs_stand_as_merges_leave_them():
     model, rng = sentencepiece_codec.encoder(sentencepiece_codec.MODEL).model, random.Random(6)
     ids = [k for k in model.ids.values() if len(model.names[k]) <= 4]
