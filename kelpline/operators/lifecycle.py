@@ -39,7 +39,7 @@ def purge(events: DataFrame, resources: DataFrame, now_ns: int, window_ns: int)
     kept = _since(events, cutoff)
     if events.where(F.col("timestamp_ns") < cutoff).isEmpty():
         return kept, resources
-    return kept, resources.join(kept.select(F.col("resource_id").alias("id")), "id", "left_semi")
+    return kept, resources.join(kept.select(F.col("resource_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def purge_report(events: DataFrame, resources: DataFrame, now_ns: int, window_ns: int) -> DataFrame:

@@ -98,12 +98,15 @@ class Tables:
     def _no_options(self):
         return self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
-    def _commit(self, add: list[Folder], remove: list[Folder]) -> int:
+    def _commit(self, add: list[Folder], remove: list[Folder], unchanged: list[Folder] | None = None) -> int:
+        """The next version. unchanged: what a table must consist of, as what is added was computed from it."""
         while True:
             version = self.version()
             now = self.folders(version)
             if not set(remove) <= set(now):
                 raise Conflict(f"version {version} has other folders than those to be replaced")
+            if unchanged and {f for f in now if f.table == unchanged[0].table} != set(unchanged):
+                raise Conflict(f"{unchanged[0].table} has changed before version {version + 1}")
             gone = set(remove)
             kept = [f for f in now if f not in gone]
             # a folder that replaces others stands for the latest of them, a new one for this commit
@@ -158,24 +161,28 @@ class Tables:
         the border day is written anew, and all folders of later days stay as they are. A repeated call
         finds nothing to do. schema: with event_date date.
         """
-        border = self.spark.range(1).select(mapping.event_date(F.lit(timestamp_ns)).cast("string")).first()[0]
         while True:
-            own = [f for f in self.folders() if f.table == table]
-            old, edge = [f for f in own if f.day < border], [f for f in own if f.day == border]
-            t = F.col("timestamp_ns")
-            gone: Column = (t < timestamp_ns) if id_ is None else (t < timestamp_ns) | ((t == timestamp_ns) & (F.col("id") <= id_))
-            rows = self.read(table, schema, folders=edge) if edge else None
-            n = rows.where(gone).count() if edge else 0
-            edge = edge if n else []
-            if not old and not edge:
+            add, remove, n = self._without_through([f for f in self.folders() if f.table == table], table, schema, timestamp_ns, id_, order)
+            if not n:
                 return 0
-            whole = self.read(table, schema, folders=old).count() if old else 0
-            add = self._write(table, rows.where(~gone), list(order), seq=max(f.seq for f in edge)) if edge else []
             try:
-                self._commit(add, [*old, *edge])
+                self._commit(add, remove)
             except Conflict:
                 continue
-            return whole + n
+            return n
+
+    def _without_through(self, own: list[Folder], table: str, schema: str, timestamp_ns: int, id_: int | None, order: tuple[str, ...]) -> tuple[list[Folder], list[Folder], int]:
+        """Folders to add and to remove for ``delete_through``, and how many rows go."""
+        border = self.spark.range(1).select(mapping.event_date(F.lit(timestamp_ns)).cast("string")).first()[0]
+        old, edge = [f for f in own if f.day < border], [f for f in own if f.day == border]
+        t = F.col("timestamp_ns")
+        gone: Column = (t < timestamp_ns) if id_ is None else (t < timestamp_ns) | ((t == timestamp_ns) & (F.col("id") <= id_))
+        rows = self.read(table, schema, folders=edge) if edge else None
+        n = rows.where(gone).count() if edge else 0
+        edge = edge if n else []
+        whole = self.read(table, schema, folders=old).count() if old else 0
+        add = self._write(table, rows.where(~gone), list(order), seq=max(f.seq for f in edge)) if edge else []
+        return add, [*old, *edge], whole + n
 
     def replace(self, table: str, df: DataFrame, version: int, order: list[str] | None = None) -> int:
         """All of a table anew, as computed from ``version``; a Conflict if the table has changed since."""
@@ -184,18 +191,33 @@ class Tables:
             raise Conflict(f"{table} has changed since version {version}")
         return self._commit(self._write(table, df, order or []), before)
 
-    def purge(self, now_ns: int, window_ns: int, schema: str, resource_schema: str) -> dict[str, int]:
-        """Retention: events older than the window go, and if any went, resources without events."""
-        deleted = self.delete_through("log_event", schema, mapping.retention_cutoff(now_ns, window_ns))
-        orphans = 0
-        if deleted:
-            version = self.version()
-            resources, events = self.read("log_resource", resource_schema, version), self.read("log_event", schema, version)
-            used = resources.join(events.select(F.col("resource_id").alias("id")), "id", "left_semi")
-            orphans = resources.count() - used.count()
+    def purge(self, now_ns: int, window_ns: int, schema: str, resource_schema: str, tries: int = 5, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> dict[str, int]:
+        """Retention: events older than the window go, and if any go, resources without events, in one version.
+
+        An event that arrives meanwhile may use a resource that was to go, so the resources are then looked
+        at anew. After ``tries`` such times only events go; the resources wait for the next purge that
+        deletes something.
+        """
+        cutoff = mapping.retention_cutoff(now_ns, window_ns)
+        for _ in range(tries):
+            now = self.folders()
+            before = [f for f in now if f.table == "log_event"]
+            add, remove, deleted = self._without_through(before, "log_event", schema, cutoff, None, order)
+            if not deleted:
+                return {"deleted": 0, "orphans": 0}
+            left = [f for f in before if f not in set(remove)] + add
+            used = self.read("log_event", schema, folders=left).select(F.col("resource_id").alias("id")).distinct()  # a resource may have most events
+            resources = self.read("log_resource", resource_schema, folders=now)
+            orphans = resources.join(used, "id", "left_anti").count()
             if orphans:
-                self.replace("log_resource", used, version)
-        return {"deleted": deleted, "orphans": orphans}
+                remove = [*remove, *(f for f in now if f.table == "log_resource")]
+                add = [*add, *self._write("log_resource", resources.join(used, "id", "left_semi"), [])]
+            try:
+                self._commit(add, remove, before if orphans else None)
+            except Conflict:
+                continue
+            return {"deleted": deleted, "orphans": orphans}
+        return {"deleted": self.delete_through("log_event", schema, cutoff, order=order), "orphans": 0}
 
     def compact(self, table: str, schema: str, target_bytes: int = 256 << 20, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> list[str]:
         """Join small files, day by day (or the table, where it has no days); the days that were written anew.

@@ -95,6 +95,38 @@ def test_purge_drops_days_and_rewrites_the_border(spark, tmp_path):
     assert t.delete_through("log_event", EVENT, 22 * DAY // 4, 22) == 1  # at the time itself, up to an id
 
 
+def test_purge_sees_events_that_arrive(spark, tmp_path, monkeypatch):
+    """An event of a resource that was to go arrives before the purge commits: the resource stays, in each version."""
+    t = Tables(spark, f"file://{tmp_path}/t")
+    t.append({"log_event": events(spark, 0, 40), "log_resource": resources(spark, 5)})
+    late = events(spark, 40, 41).withColumn("resource_id", F.lit("r4"))
+    commit = t._commit
+
+    def commit_after_another(add, remove, unchanged=None):
+        monkeypatch.setattr(t, "_commit", commit)
+        t.append({"log_event": late})
+        return commit(add, remove, unchanged)
+
+    monkeypatch.setattr(t, "_commit", commit_after_another)
+    assert t.purge(40 * DAY // 4, 5 * DAY, EVENT, RESOURCE) == {"deleted": 20, "orphans": 1}
+    for v in range(1, t.version() + 1):
+        known = t.read("log_resource", RESOURCE, v).select(F.col("id").alias("resource_id"))
+        assert t.read("log_event", EVENT, v).join(known, "resource_id", "left_anti").count() == 0
+    assert {r["id"] for r in t.read("log_resource", RESOURCE).collect()} == {"r0", "r1", "r2", "r4"}
+    assert sorted(r["id"] for r in t.read("log_event", EVENT).collect()) == list(range(20, 41))
+
+    def never(add, remove, unchanged=None):  # rows keep on arriving
+        if unchanged:
+            raise Conflict("changed")
+        return commit(add, remove, unchanged)
+
+    t.append({"log_resource": spark.createDataFrame([("r9", "svc")], RESOURCE)})
+    monkeypatch.setattr(t, "_commit", never)
+    assert t.purge(41 * DAY // 4, 5 * DAY, EVENT, RESOURCE, tries=2) == {"deleted": 1, "orphans": 0}
+    monkeypatch.setattr(t, "_commit", commit)
+    assert t.purge(42 * DAY // 4, 5 * DAY, EVENT, RESOURCE) == {"deleted": 1, "orphans": 1}
+
+
 def test_compaction_by_size(spark, tmp_path):
     t = Tables(spark, f"file://{tmp_path}/t")
     for k in range(4):
