@@ -24,7 +24,7 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def orphan_resources(resources: DataFrame, events: DataFrame) -> DataFrame:
     """Resources that no event refers to."""
-    return resources.join(events.select(F.col("resource_id").alias("id")), "id", "left_anti")
+    return resources.join(events.select(F.col("resource_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def cascade_delete(events: DataFrame, deleted_resources: DataFrame) -> DataFrame:

@@ -86,24 +86,33 @@ def oldest(events: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("timestamp_ns", "id").limit(n)
 
 
-def enforce_quota(events: DataFrame, quota_bytes: int, batch: int = BATCH, rounds: int = QUOTA_ROUNDS) -> DataFrame:
-    """The events that stay: the oldest go in whole batches until the rest fits, in at most ``rounds`` batches.
+def quota_cut(events: DataFrame, quota_bytes: int, batch: int = BATCH, rounds: int = QUOTA_ROUNDS) -> tuple[int, int] | None:
+    """(timestamp_ns, id) of the last event that a quota lets go; None if none goes.
 
-    The newest batch always stays, even where the quota can't be met. Only the oldest ``rounds`` *
-    ``batch`` events are ever ordered; the last one that goes then bounds the rest by a plain filter.
+    The oldest go in whole batches until the rest fits, in at most ``rounds`` batches. The newest batch
+    always stays, even where the quota can't be met. Only the oldest ``rounds`` * ``batch`` events are
+    ever ordered.
     """
     size = F.coalesce(F.octet_length("body"), F.lit(0)) + F.octet_length("attributes_json")
     total = events.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     most = min(rounds * batch, (total["n"] - 1) // batch * batch) if total["n"] else 0
     if total["b"] <= quota_bytes or most <= 0:
-        return events
+        return None
     w = W.orderBy("timestamp_ns", "id")  # over at most rounds * batch rows
     placed = oldest(events.select(*{"timestamp_ns", "id", *(["event_date"] if "event_date" in events.columns else [])}, size.cast("bigint").alias("bytes")), most)
     placed = placed.select("timestamp_ns", "id", F.row_number().over(w).alias("place"), F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
     ends = placed.where(F.col("place") % batch == 0).orderBy("place").collect()  # one row for each batch
     last = next((r for r in ends if total["b"] - r["upto"] <= quota_bytes), ends[-1])
+    return last["timestamp_ns"], last["id"]
+
+
+def enforce_quota(events: DataFrame, quota_bytes: int, batch: int = BATCH, rounds: int = QUOTA_ROUNDS) -> DataFrame:
+    """The events that stay: those after ``quota_cut``, by a plain filter."""
+    cut = quota_cut(events, quota_bytes, batch, rounds)
+    if cut is None:
+        return events
     t = F.col("timestamp_ns")
-    return _since(events, last["timestamp_ns"]).where((t > last["timestamp_ns"]) | ((t == last["timestamp_ns"]) & (F.col("id") > last["id"])))
+    return _since(events, cut[0]).where((t > cut[0]) | ((t == cut[0]) & (F.col("id") > cut[1])))
 
 
 def drop_signal(spark: SparkSession, root: str, tables: tuple[str, ...] = ("metric_data_point", "metric_series", "metric", "scope")) -> list[str]:
@@ -119,7 +128,7 @@ def drop_signal(spark: SparkSession, root: str, tables: tuple[str, ...] = ("metr
 def purge_points(points: DataFrame, series: DataFrame, now_ns: int, window_ns: int) -> tuple[DataFrame, DataFrame]:
     """Metric points within the window (time_unix_nano), and the series that still have one."""
     kept = points.where(F.col("time_unix_nano") >= mapping.retention_cutoff(now_ns, window_ns))
-    return kept, series.join(kept.select("series_id"), "series_id", "left_semi")
+    return kept, series.join(kept.select("series_id").distinct(), "series_id", "left_semi")
 
 
 def checksum(df: DataFrame) -> DataFrame:

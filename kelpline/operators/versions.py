@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mapping
+from . import lifecycle
 
 DAY = "event_date"
 
@@ -191,18 +192,29 @@ class Tables:
             raise Conflict(f"{table} has changed since version {version}")
         return self._commit(self._write(table, df, order or []), before)
 
-    def purge(self, now_ns: int, window_ns: int, schema: str, resource_schema: str, tries: int = 5, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> dict[str, int]:
-        """Retention: events older than the window go, and if any go, resources without events, in one version.
+    def purge(self, now_ns: int, window_ns: int, schema: str, resource_schema: str, tries: int = 5) -> dict[str, int]:
+        """Retention: events older than the window go, and if any go, resources without events, in one version."""
+        return self._evict(mapping.retention_cutoff(now_ns, window_ns), None, schema, resource_schema, tries)
+
+    def enforce_quota(self, quota_bytes: int, schema: str, resource_schema: str, batch: int = lifecycle.BATCH, rounds: int = lifecycle.QUOTA_ROUNDS, tries: int = 5) -> dict[str, int]:
+        """Quota: the oldest events go as ``lifecycle.quota_cut`` says, and with them resources without events, in one version.
+
+        What arrives meanwhile and is older than the last event to go, goes too.
+        """
+        cut = lifecycle.quota_cut(self.read("log_event", schema), quota_bytes, batch, rounds)
+        return self._evict(*cut, schema, resource_schema, tries) if cut else {"deleted": 0, "orphans": 0}
+
+    def _evict(self, timestamp_ns: int, id_: int | None, schema: str, resource_schema: str, tries: int, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> dict[str, int]:
+        """``delete_through`` for log_event, and resources without events go too if any went.
 
         An event that arrives meanwhile may use a resource that was to go, so the resources are then looked
-        at anew. After ``tries`` such times only events go; the resources wait for the next purge that
+        at anew. After ``tries`` such times only events go; the resources wait for the next call that
         deletes something.
         """
-        cutoff = mapping.retention_cutoff(now_ns, window_ns)
         for _ in range(tries):
             now = self.folders()
             before = [f for f in now if f.table == "log_event"]
-            add, remove, deleted = self._without_through(before, "log_event", schema, cutoff, None, order)
+            add, remove, deleted = self._without_through(before, "log_event", schema, timestamp_ns, id_, order)
             if not deleted:
                 return {"deleted": 0, "orphans": 0}
             left = [f for f in before if f not in set(remove)] + add
@@ -217,7 +229,7 @@ class Tables:
             except Conflict:
                 continue
             return {"deleted": deleted, "orphans": orphans}
-        return {"deleted": self.delete_through("log_event", schema, cutoff, order=order), "orphans": 0}
+        return {"deleted": self.delete_through("log_event", schema, timestamp_ns, id_, order), "orphans": 0}
 
     def compact(self, table: str, schema: str, target_bytes: int = 256 << 20, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> list[str]:
         """Join small files, day by day (or the table, where it has no days); the days that were written anew.

@@ -328,23 +328,35 @@ def k1(spark, sf):
 @log("k1_purge_stored", f", {PURGE} SELECT 'deleted' AS name, (SELECT count(*) FROM rec) - (SELECT count(*) FROM x) AS n UNION ALL SELECT 'kept', (SELECT count(*) FROM x) UNION ALL SELECT 'resources', count(DISTINCT resource_id) FROM x")
 def k1_stored(spark, sf):
     """The purge as a delete of stored tables: whole days go, the border day is written anew."""
+    return _stored(spark, sf, lambda tables, schema, own: tables.purge(NOW, WINDOW, schema, own))
+
+
+def _stored(spark, sf, evict):
+    """(name, n): what a call of ``evict`` deletes of stored tables, and what they hold then."""
     events, resources = log_tables(spark, sf)
     schema, own = (", ".join(f"{c} {t}" for c, t in df.dtypes) for df in (events, resources))
-    tables = versions.Tables(spark, f"{store.shared_dir(spark)}/purged-{uuid.uuid4().hex}")
+    tables = versions.Tables(spark, f"{store.shared_dir(spark)}/evicted-{uuid.uuid4().hex}")
     tables.append({"log_event": events, "log_resource": resources})
-    gone = tables.purge(NOW, WINDOW, schema, own)
+    gone = evict(tables, schema, own)
     counts = lifecycle.row_counts({"kept": tables.read("log_event", schema), "resources": tables.read("log_resource", own)})
     return counts.unionByName(spark.range(1).select(F.lit("deleted").alias("name"), F.lit(gone["deleted"]).cast("bigint").alias("n")))
 
 
 QUOTA = 400_000
+GONE = f"z AS (SELECT id, timestamp_ns, row_number() OVER (ORDER BY timestamp_ns, id) AS place, sum(coalesce(octet_length(encode(body)), 0) + octet_length(encode(attributes_json))) OVER (ORDER BY timestamp_ns, id) AS upto FROM rec), s AS (SELECT max(upto) AS total, count(*) AS n FROM z), g AS (SELECT CASE WHEN (SELECT total FROM s) <= {QUOTA} THEN 0 ELSE least(coalesce((SELECT min(place) FROM z, s WHERE place % 1000 = 0 AND total - upto <= {QUOTA}), (SELECT n FROM s)), 8000, ((SELECT n FROM s) - 1) // 1000 * 1000) END AS gone)"
 
 
-@log("k2_quota", f", z AS (SELECT id, timestamp_ns, row_number() OVER (ORDER BY timestamp_ns, id) AS place, sum(coalesce(octet_length(encode(body)), 0) + octet_length(encode(attributes_json))) OVER (ORDER BY timestamp_ns, id) AS upto FROM rec), s AS (SELECT max(upto) AS total, count(*) AS n FROM z), g AS (SELECT CASE WHEN (SELECT total FROM s) <= {QUOTA} THEN 0 ELSE least(coalesce((SELECT min(place) FROM z, s WHERE place % 1000 = 0 AND total - upto <= {QUOTA}), (SELECT n FROM s)), 8000, ((SELECT n FROM s) - 1) // 1000 * 1000) END AS gone) SELECT id, timestamp_ns FROM z, g WHERE place > gone")
+@log("k2_quota", f", {GONE} SELECT id, timestamp_ns FROM z, g WHERE place > gone")
 def k2(spark, sf):
     return lifecycle.enforce_quota(log_tables(spark, sf)[0], QUOTA, batch=1000).select("id", "timestamp_ns")
 
 
+@log("k2_quota_stored", f", {GONE}, x AS (SELECT * FROM z, g WHERE place > gone) SELECT 'deleted' AS name, CAST(gone AS BIGINT) AS n FROM g UNION ALL SELECT 'kept', (SELECT count(*) FROM x) UNION ALL SELECT 'resources', (SELECT count(DISTINCT resource_id) FROM rec JOIN x USING (id))")
+def k2_stored(spark, sf):
+    """The quota as a delete of stored tables."""
+    return _stored(spark, sf, lambda tables, schema, own: tables.enforce_quota(QUOTA, schema, own, batch=1000))
+
+
 POINTS = "p AS (SELECT l_orderkey * 10 + l_linenumber AS point, l_partkey AS series_id, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 86400000000000 AS t FROM lineitem)"
 
 

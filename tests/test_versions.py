@@ -127,6 +127,24 @@ def test_purge_sees_events_that_arrive(spark, tmp_path, monkeypatch):
     assert t.purge(42 * DAY // 4, 5 * DAY, EVENT, RESOURCE) == {"deleted": 1, "orphans": 1}
 
 
+def test_quota_deletes_the_oldest(spark, tmp_path):
+    """Against a loop over sorted rows: ties of times, a border inside a day, a quota that can't be met, and one that is."""
+    rows = [(i, f"r{i % 3 if i > 12 else 7}", (i // 4) * (DAY // 5), "x" * (i % 7), "{}") for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, resource_id string, timestamp_ns bigint, body string, attributes_json string").withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
+    schema = "id bigint, resource_id string, timestamp_ns bigint, body string, attributes_json string, event_date date"
+    own = spark.createDataFrame([(r, "svc") for r in ("r0", "r1", "r2", "r7")], RESOURCE)
+    for quota, rounds in ((150, 8), (0, 3), (0, 80), (10_000, 8)):
+        t = Tables(spark, f"file://{tmp_path}/t{quota}-{rounds}")
+        t.append({"log_event": df, "log_resource": own})
+        left, n = sorted(rows, key=lambda r: (r[2], r[0])), 0
+        while sum(len(r[3]) + 2 for r in left) > quota and n < rounds and len(left) > 6:
+            left, n = left[6:], n + 1
+        used = {r[1] for r in left}
+        assert t.enforce_quota(quota, schema, RESOURCE, batch=6, rounds=rounds) == {"deleted": 50 - len(left), "orphans": 4 - len(used)}
+        assert sorted(r["id"] for r in t.read("log_event", schema).collect()) == sorted(r[0] for r in left)
+        assert {r["id"] for r in t.read("log_resource", RESOURCE).collect()} == used and t.version() == 1 + (len(left) < 50)
+
+
 def test_compaction_by_size(spark, tmp_path):
     t = Tables(spark, f"file://{tmp_path}/t")
     for k in range(4):
