@@ -7,6 +7,10 @@ the same number: one wins, the other takes the winner's manifest and tries again
 folders that it replaces are gone. A snapshot is a file that names a version; it copies no data.
 Folders that no manifest or snapshot names any more are removed by ``vacuum``.
 
+A stream adds each of its batches once: the manifest that has a batch's folders has its number too, so a
+batch that is replayed after a failure is known to be there. Tables with event_date have a folder for each
+day, those with bucket one for each bucket.
+
 A manifest has an entry for each commit and day, so compaction, which joins a day's commits, bounds it.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 from ..functions import mapping
 from . import lifecycle
 
-DAY = "event_date"
+DAY, BUCKET = "event_date", "bucket"
+#: The name in manifests under which the last batch of each stream stands.
+STREAMS = "_streams"
 
 
 class Conflict(RuntimeError):
@@ -39,10 +46,15 @@ class Folder:
     bytes: int
     seq: int = 0
 
+    @property
+    def part(self) -> str | None:
+        """The day or bucket of a table that has them."""
+        name, _, value = self.path.partition("/")[2].partition("=")
+        return value if name in (DAY, BUCKET) else None
+
     @property
     def day(self) -> str | None:
-        part = self.path.partition("/")[2]
-        return part.partition("=")[2] if part.startswith(f"{DAY}=") else None
+        return self.part if self.path.partition("/")[2].startswith(f"{DAY}=") else None
 
 
 class Tables:
@@ -99,15 +111,15 @@ class Tables:
     def _no_options(self):
         return self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
-    def _commit(self, add: list[Folder], remove: list[Folder], unchanged: list[Folder] | None = None) -> int:
-        """The next version. unchanged: what a table must consist of, as what is added was computed from it."""
+    def _commit(self, add: list[Folder], remove: list[Folder], unchanged: tuple[str, list[Folder]] | None = None) -> int:
+        """The next version. unchanged: a table and what it must consist of, as what is added was computed from it."""
         while True:
             version = self.version()
             now = self.folders(version)
             if not set(remove) <= set(now):
                 raise Conflict(f"version {version} has other folders than those to be replaced")
-            if unchanged and {f for f in now if f.table == unchanged[0].table} != set(unchanged):
-                raise Conflict(f"{unchanged[0].table} has changed before version {version + 1}")
+            if unchanged and {f for f in now if f.table == unchanged[0]} != set(unchanged[1]):
+                raise Conflict(f"{unchanged[0]} has changed before version {version + 1}")
             gone = set(remove)
             kept = [f for f in now if f not in gone]
             # a folder that replaces others stands for the latest of them, a new one for this commit
@@ -129,17 +141,17 @@ class Tables:
     # writing
 
     def _write(self, table: str, df: DataFrame, order: list[str], files: int | None = None, seq: int = 0) -> list[Folder]:
-        """New folders of a table, sorted by ``order`` within files; by day if the rows have one."""
+        """New folders of a table, sorted by ``order`` within files; by day or bucket if the rows have one."""
         commit = f"c={uuid.uuid4().hex}"
         at = f"{self.root}/data/{table}/{commit}"
-        by_day = DAY in df.columns
+        by = [c for c in (DAY, BUCKET) if c in df.columns][:1]
         if files is not None:
             df = df.repartitionByRange(files, *order) if order else df.repartition(files)
-        elif by_day:
-            df = df.hint("rebalance", DAY)
-        df = df.sortWithinPartitions(*([DAY] if by_day else []), *order) if order or by_day else df
+        elif by:
+            df = df.hint("rebalance", *by)
+        df = df.sortWithinPartitions(*by, *order) if order or by else df
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(DAY) if by_day else writer).parquet(at)
+        (writer.partitionBy(*by) if by else writer).parquet(at)
         found, sizes = self.system.listFiles(self._path(at), True), {}
         while found.hasNext():
             f = found.next()
@@ -155,6 +167,31 @@ class Tables:
         add = [f for name, df in tables.items() for f in self._write(name, df, (order or {}).get(name, []))]
         return self._commit(add, [])
 
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that is there; -1 before the first."""
+        return max([int(f.path.rpartition("/")[2]) for f in self.folders() if f.table == STREAMS and f.path.rpartition("/")[0] == stream], default=-1)
+
+    def append_batch(self, stream: str, batch: int, tables: dict[str, DataFrame], order: dict[str, list[str]], upsert: str, new_rows: Callable[[list[Folder]], DataFrame]) -> bool:
+        """Add a batch of a stream to several tables at once; False if it is there already.
+
+        ``new_rows`` tells what to add to the table ``upsert``, given its folders; it is asked again if
+        that table changes before the batch is put.
+        """
+        if self.last_batch(stream) >= batch:
+            return False
+        written = [f for name, df in tables.items() for f in self._write(name, df, order.get(name, []))]
+        while self.last_batch(stream) < batch:
+            now = self.folders()
+            own = [f for f in now if f.table == upsert]
+            before = [f for f in now if f.table == STREAMS and f.path.rpartition("/")[0] == stream]
+            add = self._write(upsert, new_rows(own), order.get(upsert, []))
+            try:
+                self._commit([*written, *add, Folder(STREAMS, f"{stream}/{batch}", 0, 0)], before, (upsert, own))
+                return True
+            except Conflict:
+                continue
+        return False  # another run of the stream was faster
+
     def delete_through(self, table: str, schema: str, timestamp_ns: int, id_: int | None = None, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> int:
         """Delete what lies before a time, and at the time the ids up to ``id_``; how many rows went.
 
@@ -225,22 +262,22 @@ class Tables:
                 remove = [*remove, *(f for f in now if f.table == "log_resource")]
                 add = [*add, *self._write("log_resource", resources.join(used, "id", "left_semi"), [])]
             try:
-                self._commit(add, remove, before if orphans else None)
+                self._commit(add, remove, ("log_event", before) if orphans else None)
             except Conflict:
                 continue
             return {"deleted": deleted, "orphans": orphans}
         return {"deleted": self.delete_through("log_event", schema, timestamp_ns, id_, order), "orphans": 0}
 
     def compact(self, table: str, schema: str, target_bytes: int = 256 << 20, order: tuple[str, ...] = ("resource_id", "timestamp_ns")) -> list[str]:
-        """Join small files, day by day (or the table, where it has no days); the days that were written anew.
+        """Join small files, day by day or bucket by bucket (or the table, where it has neither); those that were written anew.
 
         Folders of a day are packed into bins: those whose files have less than half of the target on
         average, if that makes fewer files. Other days, and folders of large files, aren't read.
         """
         done = []
         own = [f for f in self.folders() if f.table == table]
-        for day in sorted({f.day or "" for f in own}):
-            small = [f for f in own if (f.day or "") == day and f.bytes < f.files * target_bytes / 2]
+        for day in sorted({f.part or "" for f in own}):
+            small = [f for f in own if (f.part or "") == day and f.bytes < f.files * target_bytes / 2]
             files = max(1, -(-sum(f.bytes for f in small) // target_bytes))
             if sum(f.files for f in small) <= files:
                 continue

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import store
 from ..functions import mapping
-from ..operators import identity, search, validation
+from ..operators import identity, search, validation, versions
 from ..sources import otlp_json
 from ..sources.driver_tables import stored_records
 
@@ -47,6 +47,35 @@ def write_batch(root: str, mode: str = "body") -> Callable[[DataFrame, int], Non
     return write
 
 
+EVENT_ORDER = ["resource_id", "timestamp_ns"]
+
+
+def write_versioned(tables: versions.Tables, stream: str, mode: str = "body") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts all tables of a batch under one version, each batch once.
+
+    Readers see all of a batch or nothing of it, and a batch that is replayed adds nothing, whatever was
+    purged or compacted in between. A purge that takes a resource away before the batch is put is seen:
+    the batch then brings the resource again. ``stream`` names the query; it goes with its checkpoint.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        healthy, poison, per_ticket = validation.salvage(rows)
+        events = healthy.withColumn("event_date", mapping.event_date(F.col("timestamp_ns"))).drop("service_name", "host_name", "schema_url", "resource_json")
+        incoming = identity.resource_rows(healthy).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(RESOURCE_BUCKETS)).cast("int"))
+
+        def new_resources(folders: list[versions.Folder]) -> DataFrame:
+            touched = {str(r["bucket"]) for r in incoming.select("bucket").distinct().collect()}  # RESOURCE_BUCKETS at most
+            seen = tables.read("log_resource", "id string, bucket int", folders=[f for f in folders if f.part in touched])
+            return incoming.join(seen, ["bucket", "id"], "left_anti")
+
+        new = {"log_event": events, "postings": search.postings(healthy, mode), "quarantine": poison.select("request_id", "ticket", "reason", "body_preview", "timestamp_ns"), "tickets": per_ticket}
+        tables.append_batch(stream, batch_id, new, {"log_event": EVENT_ORDER, "log_resource": ["id"]}, "log_resource", new_resources)
+        rows.unpersist()
+
+    return write
+
+
 def write_requests(root: str, mode: str = "body", limits: validation.Limits | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over lines (file, value) of one request each.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from kelpline.functions import mapping
 from kelpline.operators import search, segments
 from kelpline.operators.versions import Conflict, Tables
+from kelpline.sources.driver_tables import log_tables, raw_records, stored_records
+from kelpline.streaming import sinks
 
 EVENT = "id bigint, resource_id string, timestamp_ns bigint, body string, event_date date"
 RESOURCE = "id string, service_name string"
@@ -163,6 +165,51 @@ def test_compaction_by_size(spark, tmp_path):
         t.replace("log_event", events(spark, 0, 1), 1)
 
 
+def test_stream_puts_each_batch_once(spark, sf, tmp_path):
+    """Batches of all tables under one version: a replay adds nothing, a purged resource comes again, compaction shrinks what batches left."""
+    rows = stored_records(raw_records(spark, sf)).withColumn("ticket", F.expr("id div 20 + 1")).persist()
+    t = Tables(spark, f"file://{tmp_path}/t")
+    write = sinks.write_versioned(t, "s")
+    for k in range(3):
+        write(rows.where(f"id % 3 = {k}"), k)
+    assert t.version() == 3 and t.last_batch("s") == 2 and t.last_batch("other") == -1
+    write(rows.where("id % 3 = 2"), 2)
+    assert t.version() == 3
+    all_events, all_resources = log_tables(spark, sf)
+    schema = ", ".join(f"{c} {k}" for c, k in rows.drop("service_name", "host_name", "schema_url", "resource_json").dtypes) + ", event_date date"
+    own = "id string, service_name string, host_name string, schema_url string, attributes_json string, first_seen bigint, bucket int"
+    ids = lambda df, c="id": sorted(r[c] for r in df.select(c).collect())
+    assert ids(t.read("log_event", schema)) == ids(all_events) and ids(t.read("log_resource", own)) == ids(all_resources)
+    assert t.read("postings", "id bigint").count() == search.postings(all_events, "body").count() and t.read("tickets", "kept bigint").agg(F.sum("kept")).first()[0] == rows.count()
+    days = {f.part for f in t.folders() if f.table == "log_event"}
+    assert set(t.compact("log_event", schema)) == days and ids(t.read("log_event", schema)) == ids(all_events)
+    assert sum(f.files for f in t.folders() if f.table == "log_event") == len(days)
+    t.compact("log_resource", own, order=("id",))
+    assert ids(t.read("log_resource", own)) == ids(all_resources)
+
+    # most events go before the next batch is put, and their resources with them; saturated times stay
+    read, once = t.read, []
+    stay = rows.where(F.col("timestamp_ns") >= 2**62)
+    n_stay, used = stay.count(), {r["resource_id"] for r in stay.collect()}
+    assert 0 < n_stay < 10
+
+    def read_then_purge(table, *args, **kwargs):
+        out = read(table, *args, **kwargs)
+        if table == "log_resource" and not once:
+            once.append(1)
+            out = out.persist()
+            out.count()
+            assert t.purge(2**62, 0, schema, own) == {"deleted": rows.count() - n_stay, "orphans": len(ids(all_resources)) - len(used)}
+        return out
+
+    t.read = read_then_purge
+    late = rows.where("id % 50 = 0")
+    write(late, 3)
+    t.read = read
+    assert once and t.last_batch("s") == 3 and ids(t.read("log_event", schema)) == ids(late.unionAll(stay))
+    assert ids(t.read("log_resource", own)) == sorted({r["resource_id"] for r in late.collect()} | used)
+
+
 def test_segments_equal_a_fresh_index(spark, tmp_path, monkeypatch):
     """Appends, deletes, deletes of what isn't there, and ids that come again, against an index of what is left."""
     rng = random.Random(3)
