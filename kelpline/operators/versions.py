@@ -9,7 +9,7 @@ Folders that no manifest or snapshot names any more are removed by ``vacuum``.
 
 A stream adds each of its batches once: the manifest that has a batch's folders has its number too, so a
 batch that is replayed after a failure is known to be there. Tables with event_date have a folder for each
-day, those with bucket one for each bucket.
+day, those with resource_bucket one for each bucket.
 
 A manifest has an entry for each commit and day, so compaction, which joins a day's commits, bounds it.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import mapping
 from . import lifecycle
 
-DAY, BUCKET = "event_date", "bucket"
+DAY, BUCKET = "event_date", "resource_bucket"
 #: The name in manifests under which the last batch of each stream stands.
 STREAMS = "_streams"
 

@@ -62,12 +62,12 @@ def write_versioned(tables: versions.Tables, stream: str, mode: str = "body") ->
         rows = rows.persist()
         healthy, poison, per_ticket = validation.salvage(rows)
         events = healthy.withColumn("event_date", mapping.event_date(F.col("timestamp_ns"))).drop("service_name", "host_name", "schema_url", "resource_json")
-        incoming = identity.resource_rows(healthy).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(RESOURCE_BUCKETS)).cast("int"))
+        incoming = identity.resource_rows(healthy).withColumn("resource_bucket", F.pmod(F.xxhash64("id"), F.lit(RESOURCE_BUCKETS)).cast("int"))
 
         def new_resources(folders: list[versions.Folder]) -> DataFrame:
-            touched = {str(r["bucket"]) for r in incoming.select("bucket").distinct().collect()}  # RESOURCE_BUCKETS at most
-            seen = tables.read("log_resource", "id string, bucket int", folders=[f for f in folders if f.part in touched])
-            return incoming.join(seen, ["bucket", "id"], "left_anti")
+            touched = {str(r["resource_bucket"]) for r in incoming.select("resource_bucket").distinct().collect()}  # RESOURCE_BUCKETS at most
+            seen = tables.read("log_resource", "id string, resource_bucket int", folders=[f for f in folders if f.part in touched])
+            return incoming.join(seen, ["resource_bucket", "id"], "left_anti")
 
         new = {"log_event": events, "postings": search.postings(healthy, mode), "quarantine": poison.select("request_id", "ticket", "reason", "body_preview", "timestamp_ns"), "tickets": per_ticket}
         tables.append_batch(stream, batch_id, new, {"log_event": EVENT_ORDER, "log_resource": ["id"]}, "log_resource", new_resources)

@@ -177,7 +177,7 @@ def test_stream_puts_each_batch_once(spark, sf, tmp_path):
     assert t.version() == 3
     all_events, all_resources = log_tables(spark, sf)
     schema = ", ".join(f"{c} {k}" for c, k in rows.drop("service_name", "host_name", "schema_url", "resource_json").dtypes) + ", event_date date"
-    own = "id string, service_name string, host_name string, schema_url string, attributes_json string, first_seen bigint, bucket int"
+    own = "id string, service_name string, host_name string, schema_url string, attributes_json string, first_seen bigint, resource_bucket int"
     ids = lambda df, c="id": sorted(r[c] for r in df.select(c).collect())
     assert ids(t.read("log_event", schema)) == ids(all_events) and ids(t.read("log_resource", own)) == ids(all_resources)
     assert t.read("postings", "id bigint").count() == search.postings(all_events, "body").count() and t.read("tickets", "kept bigint").agg(F.sum("kept")).first()[0] == rows.count()
