@@ -22,24 +22,33 @@ from .json_bytes import scan_lines
 ATTRIBUTES = "array<struct<key:string,value:string>>"
 
 
+#: Characters that a JSON string escapes.
+ESCAPED = r'["\\\x00-\x1f\x7f]'
+
+
 def json_string(text: Column) -> Column:
     """A JSON string literal. The escapes are those of a minimal JSON writer: \\b \\f \\n \\r \\t, \\u00xx, quote and backslash."""
     escaped = F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
-    return F.when(text.rlike(r'["\\\x00-\x1f\x7f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    return F.when(text.rlike(ESCAPED), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def last_wins(attributes: Column) -> Column:
     """In order of the keys' bytes; of equal keys only the last element stays. One sort by key and place, then neighbours are compared."""
-    placed = F.array_sort(F.transform(attributes, lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("i"), x["value"].alias("value"))))
+    placed = F.sort_array(F.transform(attributes, lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("i"), x["value"].alias("value"))))
     # a null key stands for itself; sorted neighbours of one key begin with the last of the list
-    kept = F.filter(F.arrays_zip(placed.alias("x"), F.concat(F.array(F.lit(None).cast("string")), placed["key"]).alias("before")), lambda z: z["x"].isNotNull() & ~F.coalesce(z["x"]["key"] == z["before"], F.lit(False)))
-    return F.transform(kept, lambda z: F.struct(z["x"]["key"].alias("key"), z["x"]["value"].alias("value")))
+    kept = lambda s: F.filter(s, lambda x, i: ~F.coalesce(x["key"] == F.get(s, i - 1)["key"], F.lit(False)))
+    # the sorted list is bound to a name, as an expression that stands twice is worked out twice
+    return F.transform(F.get(F.transform(F.array(placed), kept), F.lit(0)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
 
 
 def attributes_json(attributes: Column) -> Column:
     """{"key":value,...} in order of the keys' bytes; a repeated key keeps its last value."""
     ordered = last_wins(attributes)
-    return F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda x: F.concat(json_string(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ","), F.lit("}"))
+    entries = lambda key: F.array_join(F.transform(ordered, lambda x: F.concat(key(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ",")
+    # keys seldom need escapes: one test over all of them spares one for each
+    special = F.array_join(F.transform(attributes, lambda x: x["key"]), "").rlike(ESCAPED)
+    text = F.when(special, entries(json_string)).otherwise(entries(lambda key: F.concat(F.lit('"'), key, F.lit('"'))))
+    return F.concat(F.lit("{"), text, F.lit("}"))
 
 
 def attribute(attributes: Column, key: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +93,15 @@ def _resource_columns() -> dict[str, Column]:
 
 def stored_records(raw: DataFrame) -> DataFrame:
     """Wire-level records as rows of log_event, with their resource's columns and identity beside them."""
-    # a resource has many records: it is rendered once for each distinct one (a stream renders it where it stands)
+    # a resource has many records: it is rendered once for each distinct one (a stream renders it where it stands).
+    # These are stored first: the optimiser sees how small they are, and doesn't deal all records by a few resources
     if raw.isStreaming:
         rows = raw.withColumns(_resource_columns())
     else:
         key = ["resource_attributes", "schema_url"]
-        own = raw.select(*key).distinct().withColumns(_resource_columns())
+        path = f"{store.shared_dir(raw.sparkSession)}/resources-{uuid.uuid4().hex}"
+        raw.select(*key).distinct().withColumns(_resource_columns()).write.parquet(path)
+        own = raw.sparkSession.read.parquet(path)
         names = {c: f"__{c}" for c in key}
         same = raw["resource_attributes"].eqNullSafe(F.col("__resource_attributes")) & raw["schema_url"].eqNullSafe(F.col("__schema_url"))
         rows = raw.join(own.withColumnsRenamed(names), same).drop(*names.values())

@@ -256,6 +256,23 @@ def test_search_rebuild_converges(spark, sf, tmp_path):
     assert sum(scanned(spark, later.page(p["first_id"], p["last_id"])) for p in pages) <= 2 * events.count()
 
 
+def test_records_are_not_dealt_by_resource(spark, sf):
+    """The few distinct resources are broadcast: no exchange of records by a handful of keys."""
+    rows = stored_records(raw_records(spark, sf)).select("id", "resource_id")
+    assert rows.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_last_of_equal_keys(spark):
+    """Null keys and values, repeated keys, keys that need escapes, and lists that are null or empty."""
+    lists = [[("b", "1"), ("a", "2"), ("b", None)], [(None, "1"), (None, "2"), ("a", "3")], [('q"', "1"), ("a\n", "2"), ('q"', "3")], [], None, [("é", "1"), ("z", "2"), ("Z", "3"), ("z", "4")]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, a array<struct<key:string,value:string>>")
+    got = [r[0] for r in df.orderBy("k").select(canonical.attributes_json(F.col("a"))).collect()]
+    assert got == ['{"a":2,"b":null}', got[1], '{"a\\n":2,"q\\"":3}', "{}", None, '{"Z":3,"z":4,"é":1}']
+    assert [[x["value"] for x in r[0]] for r in df.where("k = 1").select(canonical.last_wins(F.col("a"))).collect()] == [["2", "1", "3"]]
+
+
 def test_trace_filters_skip_row_groups(spark, sf):
     """A trace that isn't there opens no row group, though its id lies between others."""
     events, _ = log_tables(spark, sf)
