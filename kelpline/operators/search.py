@@ -65,7 +65,7 @@ def keyset_pages(rows: DataFrame, after: int, until: int, size: int) -> DataFram
     return placed.groupBy(F.floor((F.col("n") - 1) / size).alias("page")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
 
-#: Rows of the smallest page of a rebuild; how many of them a step takes when nothing else runs.
+#: Rows of the smallest page of a rebuild; how many of them a step takes at first when nothing else runs.
 UNIT, IDLE_UNITS = 500, 4
 
 
@@ -75,13 +75,15 @@ class Rebuild:
     The rows are first laid out by ranges of ids, with the columns of the mode only, and a zone map tells
     which file holds which ids; so a page opens only its own files, and of these, as they are sorted and
     have an index of small pages, reads little more than its own rows. The plan of pages is made once and
-    stored, in units of UNIT rows. A step takes one of them while ``busy()``, else IDLE_UNITS. It writes
-    its postings over what an earlier try left there, then the cursor; so a step that is repeated after a
-    failure converges. The cursor is the last file of a folder whose files are never changed.
+    stored, in units of UNIT rows. A step takes one of them while ``busy()``, else IDLE_UNITS, and twice as
+    many with each further step for which nothing else runs, its files side by side: so the number of steps
+    grows with the logarithm of the rows. It writes its postings over what an earlier try left there, then
+    the cursor; so a step that is repeated after a failure converges. The cursor is the last file of a
+    folder whose files are never changed.
     """
 
     def __init__(self, spark: SparkSession, rows: DataFrame, root: str, mode: str, until: int, unit: int = UNIT, file_rows: int = 1 << 20, busy: Callable[[], bool] = lambda: False):
-        self.spark, self.root, self.mode, self.busy = spark, root, mode, busy
+        self.spark, self.root, self.mode, self.busy, self.idle = spark, root, mode, busy, IDLE_UNITS
         if not store.exists(spark, f"{root}/pages/_SUCCESS"):
             own = rows.where(F.col("id") <= until).select("id", *MODES[mode])
             files = max(1, -(-own.count() // file_rows))
@@ -106,13 +108,16 @@ class Rebuild:
     def step(self) -> bool:
         """Rebuild one page; False if all are done."""
         at = self.done()
-        units = 1 if self.busy() else IDLE_UNITS
+        busy = self.busy()
+        units = 1 if busy else self.idle
         page = self.pages.where(F.col("page").between(at, at + units - 1)).agg(F.min("first_id").alias("first"), F.max("last_id").alias("last"), F.count("*").alias("n")).first()
         if not page["n"]:
             return False
         rows = self.page(page["first"], page["last"]) if MODES[self.mode] else self.spark.read.parquet(f"{self.root}/rows").limit(0)
-        postings(rows, self.mode).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/postings/unit={at}")
+        found = postings(rows, self.mode)
+        (found.coalesce(1) if units <= IDLE_UNITS else found).write.mode("overwrite").parquet(f"{self.root}/postings/unit={at}")
         self.spark.range(1).select(F.lit(at + page["n"]).cast("long").alias("unit")).coalesce(1).write.mode("append").json(f"{self.root}/cursor")
+        self.idle = IDLE_UNITS if busy else 2 * units
         return True
 
     def index(self) -> DataFrame:

@@ -256,6 +256,24 @@ def test_search_rebuild_converges(spark, sf, tmp_path):
     assert sum(scanned(spark, later.page(p["first_id"], p["last_id"])) for p in pages) <= 2 * events.count()
 
 
+def test_idle_rebuild_takes_few_steps(spark, sf, tmp_path):
+    """Steps grow while nothing else runs, and fall back to one unit when something does."""
+    events, _ = log_tables(spark, sf)
+    busy = [False]
+    index = search.Rebuild(spark, events, f"file://{tmp_path}/index", "body", events.agg(F.max("id")).first()[0], unit=10, file_rows=300, busy=lambda: busy[0])
+    done = []
+    for busy[0] in (False, False, True, False):
+        assert index.step()
+        done.append(index.done())
+    assert done == [4, 12, 13, 17]
+    steps = 4
+    while index.step():
+        steps += 1
+    assert index.done() == 100 and steps <= 9
+    want = search.postings(events, "body")
+    assert index.index().count() == want.count() and index.index().exceptAll(want.select(*index.index().columns)).isEmpty()
+
+
 def test_records_are_not_dealt_by_resource(spark, sf):
     """The few distinct resources are broadcast: no exchange of records by a handful of keys."""
     rows = stored_records(raw_records(spark, sf)).select("id", "resource_id")
