@@ -18,8 +18,8 @@ spelling for the mass that the discounts leave.
 
 Spark gathers, over all training texts: word and byte counts, then the bit counts of every context,
 summed in chunks of slots. The weights to start from are learnt in that same pass, progressively: a
-task predicts each slice of its texts (one in ``STRIDE`` decisions of every text) from the counts of
-its earlier slices before it counts the slice, and steps its weights; Spark averages the tasks'
+task predicts each slice of its texts (every decision of every text) from the counts of its earlier
+slices before it counts the slice, and steps its weights; Spark averages the tasks'
 weights. Broadcast are tables of fixed size and ``VOCABULARY`` words.
 
 Defined results: null and empty texts consist of the end alone. Rows that repeat a doc_id are
@@ -54,8 +54,6 @@ PREFIX = 20
 BLOCK, BUCKETS = 256, 24
 #: Bytes of text whose texts are scored side by side, and whose decisions are listed at once.
 SLICE, PART = 1 << 20, 192 << 10
-#: Of each part's decisions, one in STRIDE teaches the starting weights.
-STRIDE = 16
 RATE, MAP_RATE, START_WEIGHT, LEAST = 0.003, 0.02, 0.3, 1 / (1 << 22)
 ADDED, STEP = 0.15, 512
 #: Slots whose counts travel as one row.
@@ -343,27 +341,47 @@ class Learner:
     def learn(self, stream: Stream, which: int) -> None:
         if not len(stream.bit):
             return
-        self._step(stream.slots[:, ::STRIDE], stream.bit[::STRIDE], which)
+        self._step(stream.slots, stream.bit, which)
         for row in stream.slots:
             np.add.at(self.flat, row * 2 + stream.bit, np.uint32(1))
 
     def _step(self, slots: np.ndarray, bit: np.ndarray, which: int) -> None:
-        x, gate = np.empty(slots.shape, np.float32), np.zeros(slots.shape[1], np.intp)
+        x, gate = np.empty(slots.shape, np.float32), np.zeros(slots.shape[1], np.uint8)
+        both = self.flat.view("<u8")  # a slot's two counts in one number
         for k, row in enumerate(slots):
-            n0, n1 = self.flat.take(row * 2), self.flat.take(row * 2 + 1)
-            x[k] = np.log((n1 + np.float32(ADDED)) / (n0 + np.float32(ADDED)))
-            gate = gate * 4 + np.searchsorted(SEEN, n0 + n1, "right")
+            cell = both.take(row)
+            n0, n1 = (half.astype(np.float32) for half in cell.view("<u4").reshape(-1, 2).T)
+            gate <<= 2
+            for seen in SEEN:
+                gate += n0 + n1 >= seen
+            n1 += np.float32(ADDED)
+            n0 += np.float32(ADDED)
+            n1 /= n0
+            np.log(n1, out=x[k])
+        # the decisions of a gate lie side by side, so its sums run over whole stretches
+        order = np.argsort(gate, kind="stable")
+        x, bit = [row.take(order) for row in x], bit.take(order)
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
         start = self.start[which]
-        p = 1 / (1 + np.exp(-np.clip(_weights(list(x), gate, start.astype(np.float32)), -12, 12)))
-        wrong, spread = bit - p, p * (1 - p)
-        slope = np.stack([np.bincount(gate, wrong * x[k], GATES) for k in range(INPUTS)], 1)
-        curve = np.empty((GATES, INPUTS, INPUTS))
-        for i in range(INPUTS):
-            for j in range(i, INPUTS):
-                curve[:, i, j] = curve[:, j, i] = np.bincount(gate, spread * x[i] * x[j], GATES)
+        slope, curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
+        for g, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends, strict=True)):
+            if a == b:
+                continue
+            own = [row[a:b] for row in x]
+            p = sum(row * np.float32(w) for row, w in zip(own, start[g], strict=True))
+            np.clip(p, -12, 12, out=p)
+            np.exp(np.negative(p, out=p), out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            wrong = bit[a:b] - p
+            p *= 1 - p
+            for i in range(INPUTS):
+                slope[g, i] = np.einsum("a,a->", wrong, own[i])
+                for j in range(i, INPUTS):
+                    curve[g, i, j] = curve[g, j, i] = np.einsum("a,a,a->", p, own[i], own[j])
         self.curve[which] = self.curve[which] * 0.97 + curve
         start += np.clip(np.linalg.solve(self.curve[which], slope[:, :, None])[:, :, 0], -0.2, 0.2)
-        self.used[which] += np.bincount(gate, minlength=GATES)
+        self.used[which] += np.diff(ends, prepend=0)
 
 
 def _slices(batches):

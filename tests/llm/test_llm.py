@@ -374,6 +374,31 @@ def test_lm_scores(docs, odd, empty):
     assert lm_mixing.score_documents(empty).count() == 0
 
 
+def test_every_decision_teaches(spark, docs):
+    """The starting weights are learnt from all decisions; the sums over a gate's decisions are those of plain loops."""
+    rng = np.random.default_rng(5)
+    learner, n = lm_mixing.Learner(), 3000
+    learner.flat[:] = rng.choice([0, 0, 1, 3, 9, 60], len(learner.flat)).astype(np.uint32)
+
+    class Part:
+        slots, bit = rng.integers(0, lm_mixing.SLOTS, (lm_mixing.INPUTS, n)), rng.integers(0, 2, n).astype(np.uint8)
+
+    before = learner.flat.astype(np.float64).reshape(-1, 2)[Part.slots]
+    learner.learn(Part, 0)
+    assert learner.used[0].sum() == n and not learner.used[1].any()
+    assert learner.flat.reshape(-1, 2)[Part.slots].sum() > before.sum()
+    x = np.log((before[:, :, 1] + lm_mixing.ADDED) / (before[:, :, 0] + lm_mixing.ADDED))
+    gate = np.zeros(n, int)
+    for row in before:
+        gate = gate * 4 + np.searchsorted(lm_mixing.SEEN, row.sum(1), "right")
+    for g in range(lm_mixing.GATES):
+        own, bit = x[:, gate == g], Part.bit[gate == g]
+        p = 1 / (1 + np.exp(-np.clip(own.sum(0) * lm_mixing.START_WEIGHT, -12, 12)))
+        curve = np.eye(lm_mixing.INPUTS) * 20 * 0.97 + (own * p * (1 - p)) @ own.T
+        want = lm_mixing.START_WEIGHT + np.clip(np.linalg.solve(curve, own @ (bit - p)), -0.2, 0.2)
+        assert learner.used[0, g] == len(bit) and np.allclose(learner.start[0, g], want, atol=1e-4)
+
+
 def small_model(spark, docs):
     """A model of some documents, put together from what tasks would gather."""
     texts = [r["text"] for r in docs.orderBy("doc_id").limit(30).collect()]
@@ -825,6 +850,29 @@ def test_languages_in_passes(spark, docs, monkeypatch):
     assert quality.quality_report(many).where("log_ppl IS NULL OR low IS NULL AND NOT base_failed").count() == 0
 
 
+def test_one_language_in_pieces(spark, docs, monkeypatch):
+    """A language's model that doesn't fit into one broadcast is used piece after piece, with the same result."""
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 5 > 0, "en").alias("lang")).limit(60).union(spark.createDataFrame([(-1, None, "en"), (-2, "", "en")], "doc_id long, text string, lang string"))
+    report = lambda: sorted(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in quality.quality_report(rows).collect())
+    want, used = report(), []
+
+    def small(levels, ranges, f=quality.cuts):
+        used.extend(f(levels, ranges, 4000))
+        return used
+
+    monkeypatch.setattr(quality, "cuts", small)
+    assert repr(report()) == repr(want)
+    assert max(map(len, used)) >= 3
+
+
+def test_frequent_ngrams_take_no_others_place(spark):
+    """However many bytes a language has, each n-gram that reaches the count is kept."""
+    key = lambda t: int.from_bytes(t.encode(), "big")
+    counts = spark.createDataFrame([(key("aaaaa"), 50_000_000), (key("bcdef"), 4), (key("bcdeg"), 3)], "gram long, n long")
+    kept = quality.kneser_ney(counts, Scratch(spark, "kn"))[-1]
+    assert {r["gram"] for r in kept.collect()} == {key("aaaaa"), key("bcdef")}
+
+
 def test_bands_reject_noise_and_keep_clean(spark):
     rng = random.Random(9)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
