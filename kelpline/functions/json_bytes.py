@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes that are scanned together; a longer line is scanned by itself.
-SLICE = 1 << 22
+SLICE = 1 << 20
 FRAME = "struct<depth:int,framed:boolean>"
 
 

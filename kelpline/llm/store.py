@@ -6,18 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..store import shared_dir
-
-#: Rows of a batch that goes to a Python worker, at most. Whole texts make rows large.
-BATCH_ROWS = 1024
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Batches of few rows bound what tasks hold of texts, in the JVM and in Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
+from ..store import shared_dir, small_batches
 
 class Scratch:
     """Written tables of one job. They outlive lost executors, and cut lineage."""

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most. Whole texts and request lines make rows large.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of few rows bound what tasks hold of texts, in the JVM and in Python."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def _files(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path in its terms."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -149,3 +149,15 @@ def test_rejected_requests_in_a_stream(spark, tmp_path):
     assert sorted((r["reasons"], r["preview"][:7]) for r in out("rejected_requests").collect()) == sorted([(["malformed"], "no json"), (["nesting_depth"], '{"resou')] * 3)
     assert out("log_event").count() == 10 and out("log_resource").count() == 1 and out("tickets").count() == 5
     assert [r["reason"] for r in out("losses").collect()] == ["invalid_scalar"] * 3
+
+
+def test_requests_go_to_python_in_small_batches(spark):
+    """A line may be a large request: batches are bounded by rows and bytes."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    kept = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "10000")
+    spark.conf.unset(names[1])
+    otlp_json.parse_requests(spark.createDataFrame([("a", "{}")], "request_id string, value string"))
+    assert 0 < int(spark.conf.get(names[0])) <= 1024 and 0 < int(spark.conf.get(names[1])) <= 1 << 24
+    for n, v in zip(names, kept, strict=True):
+        spark.conf.set(n, v)
