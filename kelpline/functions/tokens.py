@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +23,19 @@ def _fold_table() -> tuple[str, str]:
 FOLD = _fold_table()
 
 
+def _by_alphabet(text: Column, read: Callable[[Column, str], Column]) -> Column:
+    """read(text, class of token characters). Combining marks that stand alone are dropped first; ASCII text has none, nor letters to fold."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}+", "")), *FOLD)
+    return F.when(F.octet_length(text) == F.length(text), read(F.lower(text), "a-z0-9")).otherwise(read(plain, r"\p{L}\p{N}\p{Co}"))
+
+
 def tokens(text: Column) -> Column:
-    """Tokens in order. Combining marks that stand alone are dropped first."""
-    plain = F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Mn}+", "")), *FOLD)
-    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
+    """Tokens in order."""
+    return _by_alphabet(text, lambda plain, letters: F.regexp_extract_all(plain, F.lit(f"([{letters}]+)"), 1))
+
+
+def spaced(text: Column) -> Column:
+    """The tokens in order as one text with a space between two of them; null if there are none."""
+    joined = _by_alphabet(text, lambda plain, letters: F.regexp_replace(plain, f"[^{letters}]+", " "))
+    return F.nullif(F.trim(joined), F.lit(""))

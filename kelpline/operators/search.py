@@ -1,14 +1,17 @@
-"""Text search over postings: (term, id, column, pos)."""
+"""Text search over postings: (term, id, column, pos), or blocks of them: (term, column, cell, n, docs, places)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
-from ..functions.tokens import tokens
+from ..functions.tokens import spaced, tokens
 from . import prefix
 
 FULL = ["body", "event_name", "severity_text", "attributes_json", "scope_name", "service_name"]
@@ -30,14 +33,121 @@ def postings(rows: DataFrame, mode: str) -> DataFrame:
     return split.select("term", "id", "column", "pos")
 
 
+BLOCKS = "term string, column string, cell bigint, n int, docs int, places binary"
+#: Ids are dealt to cells of 2**CELL_BITS; bytes of tokens that are put into blocks together, at least.
+CELL_BITS, BLOCK_BYTES = 15, 1 << 23
+#: A posting inside a block: its id's place in the cell, and its position.
+PLACE = np.dtype([("id", "<u2"), ("pos", "<i4")])
+
+
+def blocks(rows: DataFrame, mode: str) -> DataFrame:
+    """The same postings, those of one term, column and cell of ids together for as many rows as have BLOCK_BYTES of them.
+
+    Few rows are dealt and sorted in place of one for each token. A block tells how many postings and
+    distinct ids it has; their places are packed, by id. An id may stand in several blocks.
+    """
+    columns = MODES[mode]
+    if not columns:
+        return rows.sparkSession.createDataFrame([], BLOCKS)
+    store.small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += sum(c.nbytes for c in batch.columns[1:])
+            if n >= BLOCK_BYTES:
+                yield from _blocks(held)
+                held, n = [], 0
+        if held:
+            yield from _blocks(held)
+
+    return rows.select(F.col("id").cast("bigint").alias("id"), *[spaced(F.col(c)).alias(c) for c in columns]).mapInArrow(run, BLOCKS)
+
+
+def _blocks(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (id, and its tokens by column, with spaces between). Postings without an id have no cell."""
+    table = pa.Table.from_batches(batches)
+    ids = pa.concat_arrays(table["id"].chunks)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    cells, cell = np.unique(np.where(known, (ids >> CELL_BITS) * 2, 1), return_inverse=True)  # an odd number: no cell
+    within = np.where(known, ids & ((1 << CELL_BITS) - 1), 0)
+    for name in table.column_names[1:]:
+        lists = pc.split_pattern(pa.concat_arrays(table[name].chunks), " ")
+        words = lists.flatten().dictionary_encode()
+        if not len(words):
+            continue
+        row = pc.list_parent_indices(lists).to_numpy()
+        pos = np.arange(len(row)) - np.searchsorted(row, row)
+        key = ((words.indices.to_numpy().astype(np.int64) * len(cells) + cell[row]) << CELL_BITS) | within[row]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        places = np.empty(len(key), PLACE)
+        places["id"], places["pos"] = within[row[order]], pos[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        block = key >> CELL_BITS
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        of = cells[block[first] % len(cells)]
+        numbers = [np.diff(np.r_[first, len(key)]), np.where(of & 1, 0, np.add.reduceat(new.astype(np.int64), first))]
+        term = words.dictionary.take(pa.array(block[first] // len(cells)))
+        yield _batch(BLOCKS, [term, _repeated(name, len(first)), pa.array(of >> 1, mask=(of & 1) == 1), *[pa.array(n.astype(np.int32)) for n in numbers], _packed(places, np.r_[first, len(key)])])
+
+
+def _batch(ddl: str, columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ddl.split(", ")])
+
+
+def _repeated(text: str, n: int) -> pa.Array:
+    return pa.array([text]).take(pa.array(np.zeros(n, np.int64)))
+
+
+def _packed(places: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Places from one end to the next as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * PLACE.itemsize).astype(np.int32)), pa.py_buffer(places.tobytes())])
+
+
+def _unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All places of binary values, and the value that each is of."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    places = np.frombuffer(data, PLACE, (offsets[-1] - offsets[0]) // PLACE.itemsize, offsets[0]) if data else np.empty(0, PLACE)
+    return places, np.repeat(np.arange(len(values)), np.diff(offsets) // PLACE.itemsize)
+
+
+def unblocked(index: DataFrame) -> DataFrame:
+    """Blocks as postings, one row each."""
+    store.small_batches(index.sparkSession)
+    ddl = "term string, id bigint, column string, pos int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, block = _unpacked(b["places"])
+            own = pa.array(block)
+            cell = b["cell"].fill_null(0).to_numpy(zero_copy_only=False)[block]
+            ids = pa.array((cell << CELL_BITS) + places["id"], mask=b["cell"].is_null().to_numpy(zero_copy_only=False)[block])
+            yield _batch(ddl, [b["term"].take(own), ids, b["column"].take(own), pa.array(places["pos"])])
+
+    return index.select("term", "column", "cell", "places").mapInArrow(run, ddl)
+
+
+def term_counts(index: DataFrame, mode: str, ids: DataFrame) -> DataFrame:
+    """(term, n, docs) of blocks: postings of each term, and distinct ids. ids: those of the indexed rows, repeated as there."""
+    whole = index.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # an id that has one row, of one column, stands in one block of a term
+    if len(MODES[mode]) == 1 and ids.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return whole
+    return unblocked(index).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Store postings by buckets of terms, sorted by term, so that a search reads one bucket's row groups of its term."""
+    """Store postings or blocks by buckets of terms, sorted by term, so that a search reads one bucket's row groups of its term."""
     rows = index.withColumn("bucket", _bucket(F.col("term")))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id" if "id" in index.columns else "cell").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def term_search(index: DataFrame, rows: DataFrame, term: str, column: str | None = None) -> DataFrame:
@@ -45,6 +155,7 @@ def term_search(index: DataFrame, rows: DataFrame, term: str, column: str | None
     hits = index.where(F.col("term") == term)
     hits = hits.where(F.col("bucket") == _bucket(F.lit(term))) if "bucket" in index.columns else hits
     hits = hits.where(F.col("column") == column) if column else hits
+    hits = hits if "id" in index.columns else unblocked(hits)
     return rows.join(hits.select("id"), "id", "left_semi")
 
 

@@ -334,23 +334,23 @@ def i1(spark, sf):
 
 
 def body_index(spark, sf):
-    """The stored postings of all documents."""
-    return store.derived(spark, "postings_body", f"{sf}/documents.parquet", lambda path: search.write_index(search.postings(corpus(spark, sf), "body"), path))
+    """The stored postings of all documents, in blocks."""
+    return store.derived(spark, "postings_body", f"{sf}/documents.parquet", lambda path: search.write_index(search.blocks(corpus(spark, sf), "body"), path))
 
 
 def full_index(spark, sf):
-    """The stored postings of all columns of the log rows."""
-    return store.derived(spark, "postings_full", f"{sf}/events.parquet", lambda path: search.write_index(search.postings(logs(spark, sf), "full"), path))
+    """The stored postings of all columns of the log rows, in blocks."""
+    return store.derived(spark, "postings_full", f"{sf}/events.parquet", lambda path: search.write_index(search.blocks(logs(spark, sf), "full"), path))
 
 
 @query("i2_postings_body", f"WITH {DOCS} SELECT w AS term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest(words) AS w FROM d) GROUP BY w")
 def i2(spark, sf):
-    return body_index(spark, sf).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    return search.term_counts(body_index(spark, sf), "body", corpus(spark, sf).select("id"))
 
 
 @log("i3_postings_full", "SELECT col AS \"column\", w AS term, count(*) AS n FROM (SELECT 'body' AS col, unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9]+')) AS w FROM logs UNION ALL SELECT 'service_name', unnest(regexp_extract_all(lower(service_name), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'event_name', unnest(regexp_extract_all(lower(coalesce(event_name, '')), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'severity_text', unnest(regexp_extract_all(lower(coalesce(severity_text, '')), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'scope_name', unnest(regexp_extract_all(lower(scope_name), '[a-z0-9]+')) FROM logs UNION ALL SELECT 'attributes_json', unnest(regexp_extract_all(lower(attributes_json), '[a-z0-9]+')) FROM logs) GROUP BY col, w")
 def i3(spark, sf):
-    return full_index(spark, sf).groupBy("column", "term").agg(F.count("*").alias("n"))
+    return full_index(spark, sf).groupBy("column", "term").agg(F.sum("n").alias("n"))
 
 
 @query("i7_segments", f"WITH {DOCS} SELECT w AS term, count(*) AS n FROM (SELECT unnest(words) AS w FROM d WHERE id % 3 <> 0) GROUP BY w")
@@ -393,7 +393,7 @@ def i6(spark, sf):
 @query("i8_index_delete", f"WITH {DOCS} SELECT id, count(*) AS n FROM (SELECT id, unnest(words) AS w FROM d WHERE id % 3 <> 0) GROUP BY id")
 def i8(spark, sf):
     rows = corpus(spark, sf)
-    return search.without_deleted(body_index(spark, sf), rows.where("id % 3 = 0")).groupBy("id").agg(F.count("*").alias("n"))
+    return search.without_deleted(search.unblocked(body_index(spark, sf)), rows.where("id % 3 = 0")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @log("i9_rebuild_index", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z0-9]+')) AS w FROM rec) GROUP BY w")

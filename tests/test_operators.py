@@ -338,6 +338,32 @@ def test_stored_index_is_read_by_bucket(spark, sf, tmp_path):
     assert hits.count() == events.where(search.contains_term(F.col("body"), "error")).count() > 0
 
 
+def test_blocks_hold_all_postings(spark, sf, tmp_path, monkeypatch):
+    """Null, negative and repeated ids, texts without tokens, and other alphabets; far fewer rows than tokens."""
+    texts = ["Red red x_1", None, " ", "ÉtÉ Å e\u0301 red", "\u0130 \u212a ١٢ 中文 red", "-red--RED-", ""]
+    rows = spark.createDataFrame([(i, texts[k % 7], "svc red") for k, i in enumerate([5, -3, 40_000, 5, None, 7, -40_000, 5, 0, -3, 9])], "id bigint, body string, service_name string")
+    rows = rows.withColumns({c: F.lit("") for c in search.FULL if c not in rows.columns})
+    want = search.postings(rows, "full")
+    for most in (1, search.BLOCK_BYTES):
+        monkeypatch.setattr(search, "BLOCK_BYTES", most)
+        got = search.blocks(rows.coalesce(1), "full")
+        key = lambda r: tuple(map(repr, r))
+        assert sorted(map(key, search.unblocked(got).collect())) == sorted(map(key, want.collect()))
+    counted = lambda df: sorted(map(tuple, df.groupBy("term").agg(F.count("*"), F.countDistinct("id")).collect()))
+    for mode, some in (("full", rows), ("body", rows), ("body", rows.where("id > 6")), ("full", rows.where("id > 6"))):
+        assert sorted(map(tuple, search.term_counts(search.blocks(some, mode), mode, some).collect())) == counted(search.postings(some, mode))
+    search.write_index(got, f"file://{tmp_path}/b")
+    assert sorted(r["id"] for r in search.term_search(spark.read.parquet(f"file://{tmp_path}/b"), rows.where("id IS NOT NULL"), "red", "body").collect()) == sorted(r["id"] for r in rows.where("id IS NOT NULL").where(search.contains_term(F.col("body"), "red")).collect())
+
+
+def test_stored_indexes_have_few_rows(spark, sf):
+    """What is dealt, sorted and stored isn't a row for each token."""
+    from kelpline.plans import ingest
+
+    for index in (ingest.body_index(spark, sf), ingest.full_index(spark, sf)):
+        assert index.agg(F.sum("n")).first()[0] > 2 * index.count()
+
+
 def test_time_ranges_prune(spark, sf):
     from kelpline.plans.read_model import JAN_10, JAN_20
 
