@@ -231,3 +231,15 @@ def test_segments_equal_a_fresh_index(spark, tmp_path, monkeypatch):
         got = {r["id"] for r in index.search("blue", rng.choice([None, "body"])).collect()}
         assert got == {i for i, b in live.items() if "Blue" in b}
     assert index.search("blue", "service_name").count() == 0
+
+
+def test_segments_keep_blocks(spark, tmp_path):
+    """Tombstones take postings out of blocks, over cells of negative and large ids and a null one; blocks aren't taken apart."""
+    index = segments.SegmentedIndex(spark, f"file://{tmp_path}/i", "body")
+    ids = [None, *range(-40, 40), *range(32_760, 32_780)]
+    index.append(spark.createDataFrame([(i, "red blue red") for i in ids], "id bigint, body string").coalesce(1))
+    index.delete(spark.createDataFrame([(i,) for i in [None, *range(-40, 40, 2), 32_768]], "id bigint"))
+    left = [i for i in ids if i is None or not (-40 <= i < 40 and i % 2 == 0 or i == 32_768)]
+    assert sorted(map(repr, (r["id"] for r in index.postings().where("term = 'red' AND pos = 2").collect()))) == sorted(map(repr, left))
+    got = {r["term"]: (r["n"], r["docs"], r["blocks"]) for r in index.blocks().groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.count("*").alias("blocks")).collect()}
+    assert got == {"red": (2 * len(left), len(left) - 1, 4), "blue": (len(left), len(left) - 1, 4)}
