@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ def request_shape(records: DataFrame) -> DataFrame:
 LISTS = {"attributes": "attribute_facts", "resource_attributes": "resource_facts", "scope_attributes": "scope_facts"}
 
 
-def _record_tests(limits: Limits) -> dict[str, Column]:
+def _record_tests(limits: Limits, columns: Collection[str]) -> dict[str, Column]:
     """Why one record breaks its request: in its own, its resource's or its scope's fields.
 
     Bounds on keys, leaves and depth hold inside containers too, and in structured bodies (body_fact).
@@ -44,7 +45,7 @@ def _record_tests(limits: Limits) -> dict[str, Column]:
     any_fact = lambda field, most: _or([F.exists(c, lambda x: x[field] > most) for c in LISTS.values()] + [F.coalesce(F.col("body_fact")[field] > most, F.lit(False))])
     plain = ("schema_url", "scope_name", "scope_version", "scope_schema_url", "severity_text", "event_name")
     return {
-        "attribute_count": _or([F.size(c) > limits.attributes for c in LISTS]),
+        "attribute_count": _or([(F.col(f"{c}_n") if f"{c}_n" in columns else F.size(c)) > limits.attributes for c in LISTS]),
         "key_bytes": any_list(lambda x: F.octet_length(x["key"]) > limits.key_bytes) | any_fact("max_key_bytes", limits.key_bytes),
         "value_bytes": any_fact("max_leaf_bytes", limits.value_bytes),
         "nesting_depth": any_fact("depth", limits.depth),
@@ -72,19 +73,22 @@ def _scope_bytes() -> Column:
 GROUP = ["request_id", "resource_idx", "scope_idx"]
 
 
-def request_violations(records: DataFrame, limits: Limits) -> DataFrame:
-    """(request_id, reason) pairs, distinct, from bounds on records and on the request's shape.
+def request_violations(records: DataFrame, limits: Limits, reasons: Collection[str] | None = None) -> DataFrame:
+    """(request_id, reason) pairs, distinct, from bounds on records and on the request's shape; those of some reasons, or all.
+
+    Tests for other reasons aren't made, nor are the columns that only they read.
 
     Records are read once: a scope group sums up which bounds its records break, how many they are and
     how large its metadata is, and a request sums up its groups.
     """
-    tests = _record_tests(limits)
+    tests = {name: t for name, t in _record_tests(limits, records.columns).items() if reasons is None or name in reasons}
     bits = F.lit(0)
     for k, t in enumerate(tests.values()):
         bits = bits.bitwiseOR(F.when(t, 1 << k).otherwise(0))
     scopes = records.groupBy(*GROUP).agg(F.bit_or(bits).alias("bits"), F.count("*").alias("n"), F.max(_scope_bytes()).alias("meta"))
     whole = scopes.groupBy("request_id").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("records"), F.count("*").alias("chunks"), F.max(_expands(limits)).alias("expands"))
     broken = {**{name: F.col("bits").bitwiseAND(1 << k) != 0 for k, name in enumerate(tests)}, "record_count": F.col("records") > limits.records, "chunk_count": F.col("chunks") > limits.chunks, "scope_expansion": F.col("expands")}
+    broken = {name: t for name, t in broken.items() if reasons is None or name in reasons}
     return whole.select("request_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in broken.items()]))).alias("reason"))
 
 

@@ -30,8 +30,7 @@ def d1(spark, sf):
 
 
 def _reasons(spark, sf, reason, **limits):
-    found = validation.request_violations(raw_records(spark, sf), validation.Limits(**limits))
-    return found.where(F.col("reason") == reason)
+    return validation.request_violations(raw_records(spark, sf), validation.Limits(**limits), [reason])
 
 
 @log("d2_record_cap", f", {SHAPE} SELECT request_id, 'record_count' AS reason FROM shape WHERE records > 99")
@@ -126,7 +125,7 @@ _faults = lambda reasons: f"SELECT DISTINCT event_id // 100 AS request_id, reaso
 
 
 def _wire_faults(spark, sf, *reasons):
-    return validation.request_violations(wire_records(spark, sf), WIRE_LIMITS).where(F.col("reason").isin(*reasons))
+    return validation.request_violations(wire_records(spark, sf), WIRE_LIMITS, reasons)
 
 
 @query("d3_attribute_cap", _faults(["attribute_count"]))

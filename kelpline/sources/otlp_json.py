@@ -86,7 +86,7 @@ def flatten(requests: DataFrame) -> DataFrame:
     """One row per log record with positions; groups without records vanish. Scope columns are rendered at scope grain.
 
     Attribute lists come as key and JSON text; beside each stands what the walk over its values tells
-    (``*_facts``). Lists and bodies without containers are rendered by built-in expressions, the others
+    (``*_facts``), and how many they are (``*_n``), which needs no walk. Lists and bodies without containers are rendered by built-in expressions, the others
     by an Arrow function, at the grain of their group.
     """
     store.small_batches(requests.sparkSession)
@@ -111,6 +111,7 @@ def flatten(requests: DataFrame) -> DataFrame:
         F.when(has, F.col("body_fact.json")).alias("body_json"), F.when(has, F.col("body_fact")).alias("body_fact"), wrong.alias("wrong_scalars"), F.coalesce(F.octet_length(body["stringValue"]), F.octet_length(raw), F.lit(0)).alias("body_size"),
         ident("r.traceId").alias("trace_id"), ident("r.spanId").alias("span_id"), F.coalesce("r.eventName", F.lit("")).alias("event_name"), F.coalesce("r.flags", F.lit(0)).cast("bigint").alias("flags"), F.coalesce("r.droppedAttributesCount", F.lit(0)).cast("bigint").alias("dropped_attributes_count"),
         _pairs(F.col("r.attributes"), F.col("attribute_facts")).alias("attributes"), "attribute_facts",
+        *[F.when(F.col(kv).isNull(), 0).otherwise(F.size(kv)).alias(f"{name}_n") for name, kv in (("attributes", "r.attributes"), ("resource_attributes", "resource_kv"), ("scope_attributes", "scope_kv"))],
     )
 
 

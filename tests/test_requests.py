@@ -161,3 +161,15 @@ def test_requests_go_to_python_in_small_batches(spark):
     assert 0 < int(spark.conf.get(names[0])) <= 1024 and 0 < int(spark.conf.get(names[1])) <= 1 << 24
     for n, v in zip(names, kept, strict=True):
         spark.conf.set(n, v)
+
+
+def test_some_reasons_cost_no_walk(spark, sf):
+    """A count of attributes needs no walk over nested values, and gives the same rows as all tests together."""
+    from kelpline.plans import ingest
+
+    records = ingest.wire_records(spark, sf)
+    some = validation.request_violations(records, ingest.WIRE_LIMITS, ["attribute_count"])
+    every = validation.request_violations(records, ingest.WIRE_LIMITS).where("reason = 'attribute_count'")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "walk" not in plan and "walk" in every._jdf.queryExecution().optimizedPlan().toString()
