@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +37,31 @@ def tokens(text: Column) -> Column:
     return _by_alphabet(text, lambda plain, letters: F.regexp_extract_all(plain, F.lit(f"([{letters}]+)"), 1))
 
 
-def spaced(text: Column) -> Column:
-    """The tokens in order as one text with a space between two of them; null if there are none."""
-    joined = _by_alphabet(text, lambda plain, letters: F.regexp_replace(plain, f"[^{letters}]+", " "))
-    return F.nullif(F.trim(joined), F.lit(""))
+def cuttable(text: Column) -> Column:
+    """What ``cut`` takes: ASCII text as it is, other text as its tokens with spaces between them."""
+    joined = F.regexp_replace(F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}+", "")), *FOLD), r"[^\p{L}\p{N}\p{Co}]+", " ")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(joined)
+
+
+#: ASCII letters, lower-cased, digits and bytes of other characters; 0 for what stands between tokens.
+_WITHIN = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b * (b >= 128) for b in range(256)], np.uint8)
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All tokens of the texts in order, each with its text's number and its place in that text."""
+    texts = texts.fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    low = _WITHIN.take(data)
+    inside = low != 0
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edges = bounds[bounds < len(low)]  # a text begins anew
+    begin[edges] = inside[edges]
+    first, kept = np.flatnonzero(begin), low[inside]
+    ends = np.append(np.flatnonzero(begin[inside]), len(kept)).astype(np.int32)
+    upto = np.searchsorted(first, bounds)
+    number = np.diff(upto)
+    place = np.arange(len(first)) - np.repeat(upto[:-1], number)
+    return np.repeat(np.arange(len(texts)), number), place, pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(kept)])

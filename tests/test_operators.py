@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import canonical, mapping
-from kelpline.functions.tokens import tokens
+from kelpline.functions.tokens import cut, cuttable, tokens
 from kelpline.operators import histogram, identity, intervals, lifecycle, reports, search, tickets, validation
 from kelpline.sources import otlp_json
 from kelpline.sources.access_log import parse_access_log
@@ -356,6 +356,21 @@ def test_blocks_hold_all_postings(spark, sf, tmp_path, monkeypatch):
     assert sorted(r["id"] for r in search.term_search(spark.read.parquet(f"file://{tmp_path}/b"), rows.where("id IS NOT NULL"), "red", "body").collect()) == sorted(r["id"] for r in rows.where("id IS NOT NULL").where(search.contains_term(F.col("body"), "red")).collect())
 
 
+def test_tokens_cut_from_bytes(spark):
+    """All tokens with their places, as the regular expressions find them; no ASCII text is changed before."""
+    texts = ["", None, "a", "Red red\tx_1", "x", "9-É Å e\u0301-", "\u0130 \u212a ١٢ 中文A", " -- ", "end\x00End\x7f", "ǅ ß K", "zz"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    read = rows.select(cuttable(F.col("t")).alias("c"), F.coalesce(tokens(F.col("t")), F.array()).alias("w")).toArrow()
+    assert [c for c, t in zip(read["c"].to_pylist(), texts, strict=True) if t and t.isascii()] == [t for t in texts if t and t.isascii()]
+    want = [(k, i, w) for k, words in enumerate(read["w"].to_pylist()) for i, w in enumerate(words)]
+    column = read["c"].combine_chunks()
+    row, place, words = cut(column)
+    assert list(zip(row.tolist(), place.tolist(), words.to_pylist(), strict=True)) == want
+    row, place, words = cut(column.slice(3, 6))
+    assert list(zip((row + 3).tolist(), place.tolist(), words.to_pylist(), strict=True)) == [x for x in want if 3 <= x[0] < 9]
+    assert len(cut(column.slice(0, 2))[2]) == 0
+
+
 def test_stored_indexes_have_few_rows(spark, sf):
     """What is dealt, sorted and stored isn't a row for each token."""
     from kelpline.plans import ingest
