@@ -6,6 +6,7 @@ import base64
 import json
 import math
 import re
+from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
@@ -32,21 +33,26 @@ def json_string(text: Column) -> Column:
     return F.when(text.rlike(ESCAPED), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
-def last_wins(attributes: Column) -> Column:
-    """In order of the keys' bytes; of equal keys only the last element stays. One sort by key and place, then neighbours are compared."""
+def _last_of_each(attributes: Column, read: Callable[[Column], Column]) -> Column:
+    """read(element) in order of the keys' bytes; null for all but the last of equal keys. One sort by key and place, then neighbours are compared."""
     placed = F.sort_array(F.transform(attributes, lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("i"), x["value"].alias("value"))))
     # a null key stands for itself; sorted neighbours of one key begin with the last of the list
-    kept = lambda s: F.filter(s, lambda x, i: ~F.coalesce(x["key"] == F.get(s, i - 1)["key"], F.lit(False)))
+    again = lambda s, x, i: F.coalesce(x["key"] == F.get(s, i - 1)["key"], F.lit(False))
     # the sorted list is bound to a name, as an expression that stands twice is worked out twice
-    return F.transform(F.get(F.transform(F.array(placed), kept), F.lit(0)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return F.get(F.transform(F.array(placed), lambda s: F.transform(s, lambda x, i: F.when(~again(s, x, i), read(x)))), F.lit(0))
+
+
+def last_wins(attributes: Column) -> Column:
+    """In order of the keys' bytes; of equal keys only the last element stays."""
+    return F.filter(_last_of_each(attributes, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), lambda x: x.isNotNull())
 
 
 def attributes_json(attributes: Column) -> Column:
     """{"key":value,...} in order of the keys' bytes; a repeated key keeps its last value."""
-    ordered = last_wins(attributes)
-    entries = lambda key: F.array_join(F.transform(ordered, lambda x: F.concat(key(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ",")
+    # the elements that went are null, which array_join passes over
+    entries = lambda key: F.array_join(_last_of_each(attributes, lambda x: F.concat(key(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ",")
     # keys seldom need escapes: one test over all of them spares one for each
-    special = F.array_join(F.transform(attributes, lambda x: x["key"]), "").rlike(ESCAPED)
+    special = F.array_join(attributes["key"], "").rlike(ESCAPED)
     text = F.when(special, entries(json_string)).otherwise(entries(lambda key: F.concat(F.lit('"'), key, F.lit('"'))))
     return F.concat(F.lit("{"), text, F.lit("}"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import canonical, mapping
 
+#: Tasks for each core where given events are mapped.
+TASKS_A_CORE = 3
 RECORD_COLUMNS = ["id", "request_id", "resource_idx", "scope_idx"]
 
 
@@ -21,9 +23,14 @@ def _pair(key: str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key"), value.alias("value"))
 
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as wire-level log records, one row each; attribute values are JSON text."""
+def raw_records(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """events as wire-level log records, one row each; attribute values are JSON text.
+
+    ``even`` deals the events to all cores first: a row group of a million of them is else one task's work.
+    """
     e = table(spark, sf_dir, "events")
+    if even:
+        e = e.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "event_id")
     i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     nanos = (micros * 1000).cast("decimal(20,0)")
@@ -129,7 +136,7 @@ TRACE_FILTERS = {"parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom
 
 
 def build_log_rows(spark: SparkSession, sf_dir: str, path: str) -> None:
-    rows = stored_records(raw_records(spark, sf_dir)).withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
+    rows = stored_records(raw_records(spark, sf_dir, even=True)).withColumn("event_date", mapping.event_date(F.col("timestamp_ns")))
     rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "resource_id", "timestamp_ns").write.mode("overwrite").options(**TRACE_FILTERS).partitionBy("event_date").parquet(path)
 
 

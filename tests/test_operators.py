@@ -371,6 +371,15 @@ def test_tokens_cut_from_bytes(spark):
     assert len(cut(column.slice(0, 2))[2]) == 0
 
 
+def test_one_row_group_is_mapped_by_many_tasks(spark, sf):
+    """A file's row group is one task's work until it is dealt."""
+    given, dealt = raw_records(spark, sf), raw_records(spark, sf, even=True)
+    tasks = lambda rows: rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(given) == 1 and tasks(dealt) >= spark.sparkContext.defaultParallelism
+    ids = lambda rows: sorted(r["id"] for r in rows.select("id").collect())
+    assert ids(given) == ids(dealt)
+
+
 def test_stored_indexes_have_few_rows(spark, sf):
     """What is dealt, sorted and stored isn't a row for each token."""
     from kelpline.plans import ingest
