@@ -18,9 +18,9 @@ spelling for the mass that the discounts leave.
 
 Spark gathers, over all training texts: word and byte counts, then the bit counts of every context,
 summed in chunks of slots. The weights to start from are learnt in that same pass, progressively: a
-task predicts each slice of its texts (every decision of every text) from the counts of its earlier
-slices before it counts the slice, and steps its weights; Spark averages the tasks'
-weights. Broadcast are tables of fixed size and ``VOCABULARY`` words.
+task predicts every decision of every text from the counts of its texts before, counts these few
+texts while their slots are still in the cache, and steps its weights after each slice; no text is
+its own witness. Spark averages the tasks' weights. Broadcast are tables of fixed size and ``VOCABULARY`` words.
 
 Defined results: null and empty texts consist of the end alone. Rows that repeat a doc_id are
 scored, and count in training, each by itself; a null doc_id is held in. An empty table gives no
@@ -54,6 +54,8 @@ PREFIX = 20
 BLOCK, BUCKETS = 256, 24
 #: Bytes of text whose texts are scored side by side, and whose decisions are listed at once.
 SLICE, PART = 1 << 20, 192 << 10
+#: Decisions of whole texts whose counts are read and then raised at once, and decisions that are worked on at once.
+STRETCH, TILE = 1 << 14, 1 << 17
 RATE, MAP_RATE, START_WEIGHT, LEAST = 0.003, 0.02, 0.3, 1 / (1 << 22)
 ADDED, STEP = 0.15, 512
 #: Slots whose counts travel as one row.
@@ -338,50 +340,74 @@ class Learner:
         self.curve = np.tile(np.eye(INPUTS) * 20.0, (2, GATES, 1, 1))
         self.used = np.zeros((2, GATES))
 
-    def learn(self, stream: Stream, which: int) -> None:
-        if not len(stream.bit):
-            return
-        self._step(stream.slots, stream.bit, which)
-        for row in stream.slots:
-            np.add.at(self.flat, row * 2 + stream.bit, np.uint32(1))
+    def learn(self, stream: Stream, which: int, ends: np.ndarray | None = None) -> None:
+        """Predict the decisions, count them, step the weights. ``ends`` are the offsets of the texts (none: it is one text)."""
+        if len(stream.bit):
+            ends = np.array([0, len(stream.bit)]) if ends is None else ends
+            stretches = [slice(int(ends[a]), int(ends[b])) for a, b in B.slices(ends, STRETCH)]
+            self._step(stream.slots, stream.bit, which, stretches)
+
+    def _counted(self, slots: np.ndarray, bit: np.ndarray, stretches: list[slice]) -> np.ndarray:
+        """Both counts of each slot in one number, as they were before its stretch; the decisions are counted."""
+        out, both = np.empty(slots.shape, "<u8"), self.flat.view("<u8")
+        # a stream's inputs have slots of their own, so they take turns in the cache; one stretch alone is read as a whole first
+        for rows in [[k] for k in range(INPUTS)] if len(stretches) > 1 else [range(INPUTS)]:
+            for own in stretches:
+                for k in rows:
+                    both.take(slots[k, own], out=out[k, own], mode="clip")  # every slot is inside; only this mode writes to out directly
+                for k in rows:
+                    at = slots[k, own] * 2
+                    at += bit[own]
+                    np.add.at(self.flat, at, np.uint32(1))
+        return out
 
-    def _step(self, slots: np.ndarray, bit: np.ndarray, which: int) -> None:
+    def _step(self, slots: np.ndarray, bit: np.ndarray, which: int, stretches: list[slice]) -> None:
+        cells = self._counted(slots, bit, stretches)
         x, gate = np.empty(slots.shape, np.float32), np.zeros(slots.shape[1], np.uint8)
-        both = self.flat.view("<u8")  # a slot's two counts in one number
-        for k, row in enumerate(slots):
-            cell = both.take(row)
-            n0, n1 = (half.astype(np.float32) for half in cell.view("<u4").reshape(-1, 2).T)
-            gate <<= 2
-            for seen in SEEN:
-                gate += n0 + n1 >= seen
-            n1 += np.float32(ADDED)
-            n0 += np.float32(ADDED)
-            n1 /= n0
-            np.log(n1, out=x[k])
+        for a in range(0, len(bit), TILE):
+            own = gate[a : a + TILE]
+            for row, odds in zip(cells[:, a : a + TILE], x[:, a : a + TILE], strict=True):
+                n0, n1 = (half.astype(np.float32) for half in row.view("<u4").reshape(-1, 2).T)
+                n = n0 + n1
+                own <<= 2
+                for seen in SEEN:
+                    own += (n >= seen).view(np.uint8)
+                n1 += np.float32(ADDED)
+                n0 += np.float32(ADDED)
+                n1 /= n0
+                np.log(n1, out=odds)
+        del cells
         # the decisions of a gate lie side by side, so its sums run over whole stretches
-        order = np.argsort(gate, kind="stable")
-        x, bit = [row.take(order) for row in x], bit.take(order)
-        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        order, used = np.argsort(gate, kind="stable"), np.bincount(gate, minlength=GATES)
+        names = np.flatnonzero(used)
+        ends = np.cumsum(used[names])
         start = self.start[which]
+        weights, work = start.T.astype(np.float32), np.empty(min(TILE, len(bit)), np.float32)
         slope, curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
-        for g, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends, strict=True)):
-            if a == b:
-                continue
-            own = [row[a:b] for row in x]
-            p = sum(row * np.float32(w) for row, w in zip(own, start[g], strict=True))
+        for a in range(0, len(bit), TILE):
+            at = order[a : a + TILE]
+            here = slice(np.searchsorted(ends, a, "right"), np.searchsorted(ends, a + len(at), "left") + 1)
+            gates, until = names[here], np.minimum(ends[here] - a, len(at))
+            first = np.concatenate([[0], until[:-1]])
+            own, p, term = [row.take(at) for row in x], np.zeros(len(at), np.float32), work[: len(at)]
+            for k in range(INPUTS):
+                p += np.multiply(np.repeat(weights[k, gates], until - first), own[k], out=term)
             np.clip(p, -12, 12, out=p)
             np.exp(np.negative(p, out=p), out=p)
             p += 1
             np.reciprocal(p, out=p)
-            wrong = bit[a:b] - p
+            wrong = bit.take(at) - p
             p *= 1 - p
             for i in range(INPUTS):
-                slope[g, i] = np.einsum("a,a->", wrong, own[i])
+                slope[gates, i] += np.add.reduceat(np.multiply(wrong, own[i], out=term), first)
+                weighted = p * own[i]
                 for j in range(i, INPUTS):
-                    curve[g, i, j] = curve[g, j, i] = np.einsum("a,a,a->", p, own[i], own[j])
+                    curve[gates, i, j] += np.add.reduceat(np.multiply(weighted, own[j], out=term), first)
+        for i in range(INPUTS):
+            curve[:, i:, i] = curve[:, i, i:]
         self.curve[which] = self.curve[which] * 0.97 + curve
         start += np.clip(np.linalg.solve(self.curve[which], slope[:, :, None])[:, :, 0], -0.2, 0.2)
-        self.used[which] += np.diff(ends, prepend=0)
+        self.used[which] += used
 
 
 def _slices(batches):
@@ -398,9 +424,12 @@ def _corpus_counts(batches):
     parts: list[np.ndarray] = []
 
     def folded():
-        key, where = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
-        weight = np.concatenate([sums, np.ones(sum(map(len, parts)), np.int64)])
-        return key, np.bincount(where, weight, len(key)).astype(np.int64)
+        key, n = np.unique(np.concatenate([keys[:0], *parts]), return_counts=True)
+        at = np.searchsorted(keys, key)  # both are sorted
+        old = at < len(keys)
+        old[old] = keys[at[old]] == key[old]
+        sums[at[old]] += n[old]
+        return np.insert(keys, at[~old], key[~old]), np.insert(sums, at[~old], n[~old])
 
     for data, offsets in _slices(batches):
         low = B.LOWER[data]
@@ -432,8 +461,8 @@ def _bit_counts(shared):
         vocabulary, learner = shared.value, Learner()
         for data, offsets in _slices(batches):
             part = Sliced(vocabulary, data, offsets)
-            learner.learn(part.word, 0)
-            learner.learn(part.spelling, 1)
+            learner.learn(part.word, 0, part.doc_ends)
+            learner.learn(part.spelling, 1, part.spell_doc_ends)
         counts = learner.flat.reshape(-1, 2 * CHUNK)
         used = np.flatnonzero(counts.any(1))
         for a in range(0, len(used), 256):
@@ -496,7 +525,8 @@ def score_texts(mixer: Mixer, vocabulary: Vocabulary, data: np.ndarray, offsets:
         letters.append(mixer.prepared(part.spelling, 1))
     words = mixer.log_odds(words, [p.doc_ends for p in parts])
     letters = mixer.log_odds(letters, [p.spell_doc_ends for p in parts])
-    sums = lambda x, ends: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[ends]) / np.log(10)
+    # every text has its end and every escaped word a letter, so no sum is empty
+    sums = lambda x, ends: np.add.reduceat(x, ends[:-1]).astype(np.float64) / np.log(10)
     for part, word, letter in zip(parts, words, letters, strict=True):
         yield part, sums(word, part.doc_ends), sums(letter, part.spelled)
 
